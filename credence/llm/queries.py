@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import bpe, fingerprints, language, pii, quality, secrets, simhash_dedup
+from credence.llm import bpe, fingerprints, language, pii, quality, secrets, simhash_dedup, suffix_dedup
 from credence.llm.common import documents
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": over_documents(secrets.op1),
         "op2_pii": over_documents(pii.op2),
         "op5_fingerprints": over_documents(fingerprints.op5),
+        "op6_suffix": over_documents(suffix_dedup.op6),
         "op7_simhash": over_documents(simhash_dedup.op7),
         "op8_language": over_documents(language.op8),
         "op9_bpe": over_documents(bpe.digest_documents),
