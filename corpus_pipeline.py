@@ -1,22 +1,61 @@
-"""Corpus pipeline over ``documents`` (stages are filled in as their operators land)."""
+"""Corpus pipeline over ``documents``: quality rules, near-duplicates, secrets, mixing, BPE.
+
+Each stage takes all that the one before kept and is written as Parquet before the next one reads it.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import quality
+from credence.llm import bpe, mixing, quality, secrets, simhash_dedup
+from credence.llm.common import shared_folder
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs)
+    """Documents that fail the quality rules go."""
+    return quality.keep_good(docs.select(*COLUMNS))
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that with the smallest id."""
+    return simhash_dedup.one_of_each(docs.select(*COLUMNS))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets give way to a mark; all documents stay."""
+    return secrets.mask_secrets(docs.select(*COLUMNS))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out so that sources meet their target weights."""
+    return mixing.mixed(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, checked for a whole number of tokens, with the decoded text."""
+    return bpe.encode_documents(docs.select(*COLUMNS))
+
 
+STAGES = [
+    ("quality rules", good_quality),
+    ("simhash near-dedup", one_of_near_duplicates),
+    ("secret scan", without_secrets),
+    ("mixing", mixed_sources),
+    ("bpe encoding", encoded),
+]
 
-STAGES = [("quality rules", good_quality)]
+#: Secret scans, SimHash and BPE cannot be put in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import bpe, fingerprints, language, pii, quality, secrets, simhash_dedup, suffix_dedup
+from credence.llm import bpe, fingerprints, language, mixing, pii, quality, secrets, simhash_dedup, suffix_dedup, toxicity
 from credence.llm.common import documents
 
 
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": over_documents(secrets.op1),
         "op2_pii": over_documents(pii.op2),
+        "op3_toxicity": toxicity.op3,
+        "op4_mixing": over_documents(mixing.op4),
         "op5_fingerprints": over_documents(fingerprints.op5),
         "op6_suffix": over_documents(suffix_dedup.op6),
         "op7_simhash": over_documents(simhash_dedup.op7),
@@ -28,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": mixing.ORACLE_SQL}
