@@ -39,6 +39,11 @@ def inverse_poisson(u: Column, rate: Column) -> Column:
 
     The sum stops after ``rate + 12 * sqrt(rate) + 30`` terms, beyond which no double is left.
     """
+    # inside a lambda an outside expression is evaluated at every step, so u is bound to a variable first
+    return F.transform(F.array(u), lambda bound: _inverted(bound, rate))[0]
+
+
+def _inverted(u: Column, rate: Column) -> Column:
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
     zero = F.exp(-rate)
     start = F.struct(zero.alias("p"), zero.alias("sum"), F.lit(0).alias("k"))
