@@ -21,12 +21,15 @@ import struct
 import unicodedata
 from hashlib import sha256
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from credence.llm.common import map_rows
+from credence.llm.common import bounded_batches, map_rows
 
 #: Entries of a worker's table of remembered pieces.
-REMEMBER = 300_000
+REMEMBER = 150_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -155,18 +158,26 @@ def default_path() -> str:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: token count, token ids and the decoded text."""
+    """One row per document: token count, token ids and the decoded text.
+
+    Ids go from packed bytes to Arrow without a Python number for each.
+    """
+    bounded_batches(docs.sparkSession)
     source = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path or default_path()))
+    names = ["doc_id", "n_tokens", "token_ids", "decoded"]
 
-    def rows(ids, texts):
+    def run(batches):
         t = loaded(source.value)
-        out = []
-        for key, text in zip(ids, texts, strict=True):
-            data, decoded = t.encode_packed(text or "")
-            out.append((key, len(data) // 4, list(struct.unpack(f"<{len(data) // 4}I", data)), decoded))
-        return out
-
-    return map_rows(docs, [id_col, text_col], "doc_id long, n_tokens long, token_ids array<int>, decoded string", rows)
+        for batch in batches:
+            got = [t.encode_packed(x.as_py() or "") for x in batch.column(1)]
+            sizes = np.fromiter((len(data) // 4 for data, _ in got), dtype=np.int32, count=len(got))
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            ids = np.frombuffer(b"".join(data for data, _ in got), dtype="<i4")
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), lists, pa.array([d for _, d in got], pa.string())], names=names)
+
+    out = "doc_id long, n_tokens long, token_ids array<int>, decoded string"
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, out)
 
 
 def digest_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows and bytes of one Arrow batch; what a Python worker holds at a time follows from these.
 BATCH_ROWS = 10_000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
