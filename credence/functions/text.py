@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +19,6 @@ def normalise(text: Column) -> Column:
 
 def nfkc(text: Column) -> Column:
     """NFKC by an Arrow-batched function, for texts with compatibility forms."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
