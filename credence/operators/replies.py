@@ -54,20 +54,35 @@ def stated_confidence(value: Column) -> Column:
 def parsed_replies(rows: DataFrame) -> DataFrame:
     """Replies (columns record_id, qtype, labels, shown_id, reply) with status, answer and confidence,
     strict, and the status and answer of the lenient reading (text before the first colon)."""
-    r = rows.withColumn("o", reply_object(F.col("reply")))
-    r = r.withColumn("m", F.expr("try_cast(o as map<string, variant>)")).withColumn("entry", F.expr("try_element_at(m, shown_id)"))
-    has = F.coalesce(F.map_contains_key("m", F.col("shown_id")), F.lit(False))
-    is_object = F.coalesce(F.schema_of_variant("entry").startswith("OBJECT"), F.lit(False))
-    r = r.withColumn("value", F.when(is_object, F.expr("try_variant_get(entry, '$.answer', 'variant')")).otherwise(F.col("entry")))
-    r = r.withColumn("stated", F.when(is_object, stated_confidence(F.expr("try_variant_get(entry, '$.confidence', 'variant')"))))
-    kind = F.coalesce(F.schema_of_variant("value"), F.lit("VOID"))
-    strict = answer_index(F.col("qtype"), F.col("labels"), F.col("value"), kind)
-    before = F.to_variant_object(F.struct(F.substring_index(_text(F.col("value")), ":", 1).alias("x")))
-    lenient = F.when((kind == "STRING") & F.contains(_text(F.col("value")), F.lit(":")), answer_index(F.col("qtype"), F.col("labels"), F.try_variant_get(before, "$.x", "variant"), F.lit("STRING")))
-    r = r.withColumns({"strict": strict, "lenient": F.coalesce(strict, lenient)})
-    status = lambda c: F.when(F.col("o").isNull(), "invalid_json").when(~has, "missing").when(F.col(c).isNull(), "invalid_answer").otherwise("ok")
-    return r.select(*rows.columns, status("strict").alias("status"), F.col("strict").alias("answer"), F.when(F.col("strict").isNotNull(), F.col("stated")).alias("confidence"),
-                    status("lenient").alias("lenient_status"), F.col("lenient").alias("lenient_answer"))
+    q, labels = F.col("qtype"), F.col("labels")
+
+    def of_value(o: Column, has: Column, value: Column, stated: Column) -> Column:
+        kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+        text = _text(value)
+        before = F.try_variant_get(F.to_variant_object(F.struct(F.substring_index(text, ":", 1).alias("x"))), "$.x", "variant")
+        loose = F.when((kind == "STRING") & F.contains(text, F.lit(":")), answer_index(q, labels, before, F.lit("STRING")))
+
+        def of_answers(strict: Column, lenient: Column) -> Column:
+            status = lambda c: F.when(o.isNull(), "invalid_json").when(~has, "missing").when(c.isNull(), "invalid_answer").otherwise("ok")
+            return F.struct(status(strict).alias("status"), strict.alias("answer"), F.when(strict.isNotNull(), stated).alias("confidence"),
+                            status(F.coalesce(strict, lenient)).alias("lenient_status"), F.coalesce(strict, lenient).alias("lenient_answer"))
+
+        return D.let(F.struct(answer_index(q, labels, value, kind).alias("s"), loose.alias("l")), lambda a: of_answers(a["s"], a["l"]))
+
+    def of_entry(o: Column, m: Column) -> Column:
+        has = F.coalesce(F.map_contains_key(m, F.col("shown_id")), F.lit(False))
+
+        def read(entry: Column) -> Column:
+            is_object = F.coalesce(F.schema_of_variant(entry).startswith("OBJECT"), F.lit(False))
+            value = F.when(is_object, F.try_variant_get(entry, "$.answer", "variant")).otherwise(entry)
+            stated = F.when(is_object, stated_confidence(F.try_variant_get(entry, "$.confidence", "variant")))
+            return D.let(F.struct(value.alias("v"), stated.alias("c")), lambda x: of_value(o, has, x["v"], x["c"]))
+
+        return D.let(F.try_element_at(m, F.col("shown_id")), read)
+
+    # each value is bound once: written as a chain of columns, the plan would repeat them many times over
+    got = D.let(reply_object(F.col("reply")), lambda o: D.let(o.try_cast("map<string,variant>"), lambda m: of_entry(o, m)))
+    return rows.withColumn("__r", got).select(*rows.columns, "__r.*")
 
 
 def shown_ids(questions: Column) -> Column:
