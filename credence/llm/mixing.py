@@ -59,19 +59,19 @@ def _inverted(u: Column, rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, source_col: str = "source", weights: dict | None = None, total: float | None = None) -> DataFrame:
-    """``(mix_source, known, rate)`` by source; as many rows as there are sources."""
-    by = docs.groupBy(F.col(source_col).alias("mix_source")).agg(F.count("*").alias("n"))
+    """``(__mix_source, __mix_rate)`` by source; as many rows as there are sources."""
+    by = docs.groupBy(F.col(source_col).alias("__mix_source")).agg(F.count("*").alias("n"))
     if weights is None:
         target = F.pow(F.col("n").cast("double"), F.lit(TEMPERATURE))
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "w_source string, w double")
-        by = by.join(given, F.col("mix_source").eqNullSafe(F.col("w_source")), "left").drop("w_source")
+        by = by.join(given, F.col("__mix_source").eqNullSafe(F.col("w_source")), "left").drop("w_source")
         target = F.coalesce("w", F.lit(0.0))
     by = by.withColumn("target", target)
     sums = by.agg(F.sum("n").alias("all_n"), F.sum("target").alias("all_target"))
     wanted = F.lit(float(total)) if total is not None else F.col("all_n").cast("double")
     rate = F.when(F.col("all_target") > 0, F.col("target") / F.col("all_target") * wanted / F.col("n")).otherwise(F.lit(0.0))
-    return by.join(F.broadcast(sums)).select("mix_source", F.least(rate, F.lit(MAX_RATE)).alias("rate"))  # sums is one row
+    return by.join(F.broadcast(sums)).select("__mix_source", F.least(rate, F.lit(MAX_RATE)).alias("__mix_rate"))  # sums is one row
 
 
 def mixed(
@@ -80,15 +80,16 @@ def mixed(
 ) -> DataFrame:
     """``docs`` with each row as often as drawn, in a global random order; ``mix_copy`` counts the
     copies of a row from 1 and ``mix_key`` is the sort key."""
+    docs = docs.drop("mix_copy", "mix_key")
     names = docs.columns
     by = rates(docs, source_col, weights, total)
     if by.count() <= FEW_SOURCES:
         by = F.broadcast(by)
     key = [F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text_col, F.lit("")).cast("binary"))]
-    drawn = docs.join(by, docs[source_col].eqNullSafe(by["mix_source"])).withColumn(
-        "mix_n", inverse_poisson(uniform(F.lit(f"{seed}:count"), *key), F.col("rate"))
+    drawn = docs.join(by, docs[source_col].eqNullSafe(by["__mix_source"])).withColumn(
+        "__mix_n", inverse_poisson(uniform(F.lit(f"{seed}:count"), *key), F.col("__mix_rate"))
     )
-    copies = drawn.where("mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_n"))))
+    copies = drawn.where("__mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
     copies = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), *key, F.col("mix_copy").cast("string")).cast("binary")))
     return copies.select(*names, "mix_copy", "mix_key").orderBy("mix_key")
 

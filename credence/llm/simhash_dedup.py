@@ -198,13 +198,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Where a whole component has no id, all its rows stay."""
     bounded_batches(docs.sparkSession)
     found = clustered(docs, id_col, text_col)
-    heads = found.where("doc_id = component_id").groupBy(F.col("component_id").alias("head")).agg(F.count("*").alias("rows"))
+    heads = found.where("doc_id = component_id").groupBy(F.col("component_id").alias("__head")).agg(F.count("*").alias("__rows"))
     heads = checkpointed(heads)
-    kept = docs.join(heads, docs[id_col] == heads["head"], "inner")
-    single = kept.where("rows = 1").select(*docs.columns)
+    kept = docs.join(heads, docs[id_col] == heads["__head"], "inner")
+    single = kept.where("__rows = 1").select(*docs.columns)
     # several rows of one id: the least of them stays, by partial minima
     order = [text_col, *[c for c in docs.columns if c not in (id_col, text_col)]]
-    again = kept.where("rows > 1").groupBy(id_col).agg(F.min(F.struct(*order)).alias("__least"))
+    again = kept.where("__rows > 1").groupBy(id_col).agg(F.min(F.struct(*order)).alias("__least"))
     again = again.select(id_col, *[F.col(f"__least.`{c}`").alias(c) for c in order]).select(*docs.columns)
     return single.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
 
