@@ -97,7 +97,7 @@ def harmonic(n: Column) -> Column:
     """Harmonic number: summed up to 32, by its expansion beyond (to 1e-14)."""
     x = n.cast("double")
     small = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n, F.lit(32))).cast("int")), F.lit(0.0), lambda a, i: a + 1 / i.cast("double"))
-    large = F.log(x) + 0.57721566490153286 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x)
+    large = F.log(x) + 0.57721566490153286 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, F.lit(4.0))) - 1 / (252 * F.pow(x, F.lit(6.0)))
     return F.when(n <= 0, 0.0).when(n <= 32, small).otherwise(large)
 
 
