@@ -19,11 +19,22 @@ def grid(lo: float = LOW, hi: float = HIGH, points: int = POINTS) -> list[float]
 
 
 def losses(rows: DataFrame, loss, by: list[str], points: list[float]) -> DataFrame:
-    """Mean loss at each temperature, all in one pass with partial sums."""
-    at = rows.withColumn("t", F.explode(F.array(*map(F.lit, points))))
+    """Mean loss at each temperature, all in one pass with partial sums.
+
+    Logits and their maximum are computed once a row; at each temperature ``t`` only the sum of
+    ``exp((z - max) / t)`` is, which all losses are made of.
+    """
+    z = rows.withColumn("__z", D.logits(F.col("probs"))).withColumn("__m", F.array_max("__z"))
+    at = z.withColumn("t", F.explode(F.array(*map(F.lit, points))))
+    at = at.withColumn("__s", F.aggregate("__z", F.lit(0.0), lambda a, x: a + F.exp((x - F.col("__m")) / F.col("t"))))
     return at.groupBy(*by, "t").agg(F.avg(loss(F.col("t"))).alias("loss"), F.count("*").alias("n"))
 
 
+def pooled(table: DataFrame, by: list[str]) -> DataFrame:
+    """The losses of coarser groups from those of finer ones."""
+    return table.groupBy(*by, "t").agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss"), F.sum("n").alias("n"))
+
+
 def best(table: DataFrame, by: list[str]) -> DataFrame:
     """The temperature of least loss; of losses equal to 12 digits the smallest temperature."""
     return table.groupBy(*by).agg(F.min(F.struct(F.round("loss", 12).alias("l"), "t", "n")).alias("b")).select(*by, F.col("b.t").alias("temperature"), F.col("b.l").alias("loss"), F.col("b.n").alias("n"))
@@ -40,13 +51,18 @@ def fit(rows: DataFrame, loss, zooms: int = 3) -> float:
     return t
 
 
+def _log_normaliser(t: Column) -> Column:
+    return F.log("__s") + F.col("__m") / t
+
+
 def nll_loss(t: Column) -> Column:
-    return D.tempered_nll(F.col("probs"), F.col("gold"), t)
+    return _log_normaliser(t) - D.at(F.col("__z"), F.col("gold")) / t
 
 
 def outcome_loss(t: Column, outcome: str = "outcome") -> Column:
     """Log-loss of revealed outcomes at the chosen action."""
-    return -D.bernoulli(F.col(outcome), D.at(D.tempered(F.col("probs"), t), F.col("action")))
+    p = F.exp((D.at(F.col("__z"), F.col("action")) - F.col("__m")) / t) / F.col("__s")
+    return -D.bernoulli(F.col(outcome), p)
 
 
 def scaled(results: DataFrame, t: float) -> DataFrame:
@@ -138,8 +154,7 @@ def bandit_samples(results: DataFrame, size: int, epsilon: float, seed: str) ->
 
 def theta_loss(t: Column) -> Column:
     """Cross-entropy of the tempered distribution against theta."""
-    z = F.transform(D.logits(F.col("probs")), lambda x: x / t)
-    return D.let(z, lambda y: D.log_sum_exp(y) - D.dot(y, theta(F.size("probs"), F.col("gold"))))
+    return _log_normaliser(t) - D.dot(F.col("__z"), theta(F.size("probs"), F.col("gold"))) / t
 
 
 def binary_entropy(f: float) -> float:

@@ -101,17 +101,19 @@ def harmonic(n: Column) -> Column:
     return F.when(n <= 0, 0.0).when(n <= 32, small).otherwise(large)
 
 
-def aurc(judged: DataFrame, by: list[str], value: str = "top1", weight: Column | None = None) -> DataFrame:
-    """Mean over ranks of the expected error rate down to that rank, over all orders of ties."""
-    t = running_ties(judged, by, value, weight)
+def _area(ties: DataFrame, by: list[str]) -> DataFrame:
     rate = F.col("e") / F.col("w")
     area = F.col("e") + (F.col("e0") - rate * F.col("w0")) * (harmonic(F.col("w0") + F.col("w")) - harmonic(F.col("w0")))
-    return t.groupBy(*by).agg((F.sum(area) / F.max("total")).alias("aurc"))
+    return ties.groupBy(*by).agg((F.sum(area) / F.max("total")).alias("aurc"))
 
 
-def coverage_at_risk(judged: DataFrame, by: list[str], value: str = "top1", budgets: list[float] = D.BUDGETS) -> DataFrame:
-    """For each error budget the largest share that a threshold keeps within it."""
-    t = running_ties(judged, by, value).withColumns({"kept": F.col("w0") + F.col("w"), "errors": F.col("e0") + F.col("e")})
+def aurc(judged: DataFrame, by: list[str], value: str = "top1", weight: Column | None = None) -> DataFrame:
+    """Mean over ranks of the expected error rate down to that rank, over all orders of ties."""
+    return _area(running_ties(judged, by, value, weight), by)
+
+
+def _kept(ties: DataFrame, by: list[str], budgets: list[float]) -> DataFrame:
+    t = ties.withColumns({"kept": F.col("w0") + F.col("w"), "errors": F.col("e0") + F.col("e")})
     t = t.withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
     ok = F.col("errors") / F.col("kept") <= F.col("budget") + D.SLACK
     best = t.groupBy(*by, "budget").agg(F.max(F.when(ok, F.struct("kept", "errors", "v"))).alias("b"), F.max("total").alias("total"))
@@ -120,14 +122,18 @@ def coverage_at_risk(judged: DataFrame, by: list[str], value: str = "top1", budg
                        (1 - F.col("b.errors") / F.col("b.kept")).alias("accuracy"), F.col("b.v").alias("threshold"))
 
 
+def coverage_at_risk(judged: DataFrame, by: list[str], value: str = "top1", budgets: list[float] = D.BUDGETS) -> DataFrame:
+    """For each error budget the largest share that a threshold keeps within it."""
+    return _kept(running_ties(judged, by, value), by, budgets)
+
+
 def risk_coverage_block(judged: DataFrame, by: list[str]) -> DataFrame:
-    """Both rankings side by side: area and coverage at each budget."""
-    out = None
-    for ranking, value in (("top1", "top1"), ("entropy", "confidence")):
-        a = aurc(judged, by, value)
-        c = coverage_at_risk(judged, by, value).join(a, by).select(F.lit(ranking).alias("ranking"), *by, "aurc", "budget", "coverage", "n", "accuracy", "threshold")
-        out = c if out is None else out.unionByName(c)
-    return out
+    """Both rankings, from one pass over the answers: area and coverage at each budget."""
+    ranked = F.explode(F.array(*[F.struct(F.lit(n).alias("ranking"), F.col(c).alias("rank_value")) for n, c in (("top1", "top1"), ("entropy", "confidence"))]))
+    rows = judged.select(*by, "hit", ranked.alias("r")).select(*by, "hit", "r.*")
+    by = ["ranking", *by]
+    ties = running_ties(rows, by, "rank_value")
+    return _kept(ties, by, D.BUDGETS).join(_area(ties, by), by).select(*by, "aurc", "budget", "coverage", "n", "accuracy", "threshold")
 
 
 def letter_bias(judged: DataFrame) -> DataFrame:

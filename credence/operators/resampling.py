@@ -119,3 +119,21 @@ def curve_summary(curve: DataFrame, by: list[str]) -> DataFrame:
     best = F.max_by(F.col("step"), F.struct("value", -F.col("step")))
     return curve.groupBy(*by).agg(F.min("step").alias("first_step"), F.min_by("value", "step").alias("first_value"), best.alias("best_step"), F.max("value").alias("best_value"),
                                   F.max("step").alias("last_step"), F.max_by("value", "step").alias("last_value"))
+
+
+def seed_points(points: DataFrame, by: list[str]) -> DataFrame:
+    """Mean and range over several seeds; a single value stands alone (columns seed, value)."""
+    many = F.count("*") > 1
+    return points.groupBy(*by).agg(F.avg("value").alias("value"), F.when(many, F.min("value")).alias("lowest"), F.when(many, F.max("value")).alias("highest"), F.count("*").alias("n_seeds"))
+
+
+def run_comparison(runs: DataFrame, weights: DataFrame, base: str, expected: list[str]) -> DataFrame:
+    """Each expected run against the base: accuracy, ECE and the paired interval of the difference;
+    runs that are absent are listed with nulls."""
+    metrics = run_metrics(runs, weights)
+    of_base = metrics.where(F.col("run") == base).select("b", F.col("accuracy").alias("base_accuracy"))
+    d = metrics.join(of_base, "b").withColumn("d", F.col("accuracy") - F.col("base_accuracy"))
+    point, lo_hi = F.col("b") < 0, interval(F.when(F.col("b") >= 0, F.col("d")), "delta")
+    got = d.groupBy("run").agg(F.max(F.when(point, F.col("accuracy"))).alias("accuracy"), F.max(F.when(point, F.col("ece"))).alias("ece"), F.max(F.when(point, F.col("d"))).alias("delta"), *lo_hi)
+    names = runs.sparkSession.createDataFrame([(e,) for e in expected], "run string")
+    return names.join(got, "run", "left").withColumn("missing", F.col("accuracy").isNull())

@@ -136,9 +136,10 @@ def grid_table(s, d):
 
 
 def calibrated(s, d):
-    rows = X.results(s, d)
-    both = K.losses(rows.withColumn("scope", F.explode(F.array(F.lit("all"), F.concat(F.lit("split:"), "split"), F.concat(F.lit("type:"), "qtype")))), K.nll_loss, ["scope"], K.grid())
-    return K.best(both, ["scope"])
+    """Temperatures over all rows, by split and by type, from one pass over the finest groups."""
+    fine = K.losses(X.results(s, d), K.nll_loss, ["split", "qtype"], K.grid())
+    scopes = F.explode(F.array(F.lit("all"), F.concat(F.lit("split:"), "split"), F.concat(F.lit("type:"), "qtype")))
+    return K.best(K.pooled(fine.withColumn("scope", scopes), ["scope"]), ["scope"])
 
 
 def inversion(s, d):
@@ -192,11 +193,13 @@ QUERIES = {
     "e8_cross_split": lambda s, d: rounded(cross_split(s, d)),
     "e9_paired_failures": lambda s, d: rounded(paired_failures(s, d)),
     "e10_accuracy_table": lambda s, d: rounded(accuracy_table(s, d)),
+    "e11_run_comparison": lambda s, d: rounded(R.run_comparison(runs(s, d), weights(s, d), "a", ["a", "b", "c", "d"])),
     "e12_kept_at": lambda s, d: rounded(kept_at(s, d)),
     "e12_named_other": lambda s, d: rounded(R.named_other(runs(s, d))),
     "e13_stored_check": checked,
     "e14_forgetting": lambda s, d: rounded(forgetting(s, d)),
     "e15_curve_summary": lambda s, d: rounded(curve(s, d)),
+    "e16_seed_points": lambda s, d: rounded(R.seed_points(M.proper_scores(runs(s, d), ["run"]).select(F.when(F.col("run") == "c", "single").otherwise("several").alias("series"), F.col("run").alias("seed"), F.col("nll").alias("value")), ["series"])),
     "f1_tempered": lambda s, d: rounded(X.results_choice(s, d).select("record_id", F.get(D.tempered(F.col("probs"), 2.0), F.col("gold")).alias("p_gold"))),
     "f2_scaled": lambda s, d: rounded(M.symmetry(K.scaled(X.results_noul(s, d), 1.7))),
     "f3_mean_nll": lambda s, d: rounded(K.losses(X.results(s, d), K.nll_loss, ["qtype"], [0.5, 1.0, 2.0])),
@@ -406,6 +409,10 @@ ORACLES = {
     ),
     "e9_paired_failures": rr(sql_paired("split", "judged_choice", "failing"), "split n", "accuracy_a accuracy_b delta disagreement delta_lo delta_hi", failing="SELECT * REPLACE (CASE WHEN record_id % 5 = 0 THEN 0 ELSE hit END AS hit) FROM judged_c"),
     "e10_accuracy_table": rr("SELECT split, avg(hit) FILTER (WHERE run = 'a') AS a, avg(hit) FILTER (WHERE run = 'c') AS c, avg(hit) FILTER (WHERE run = 'a') - avg(hit) FILTER (WHERE run = 'c') AS delta FROM all_runs GROUP BY split", "split", "a c delta"),
+    "e11_run_comparison": rr(
+        f"SELECT n.run, accuracy, ece, delta, delta_lo, delta_hi, accuracy IS NULL AS missing FROM (SELECT unnest(['a', 'b', 'c', 'd']) AS run) n LEFT JOIN (SELECT run, max(accuracy) FILTER (WHERE b < 0) AS accuracy, max(ece) FILTER (WHERE b < 0) AS ece, max(d) FILTER (WHERE b < 0) AS delta, quantile_cont(d, 0.025) FILTER (WHERE b >= 0) AS delta_lo, quantile_cont(d, 0.975) FILTER (WHERE b >= 0) AS delta_hi FROM (SELECT t.*, t.accuracy - o.accuracy AS d FROM run_table t JOIN (SELECT b, accuracy FROM run_table WHERE run = 'a') o USING (b)) GROUP BY run) g USING (run)",
+        "run missing", "accuracy ece delta delta_lo delta_hi",
+    ),
     "e12_kept_at": rr("SELECT t, avg(CAST(top1 >= t - 1e-12 AS INT)) AS coverage, avg(hit) FILTER (WHERE top1 >= t - 1e-12) AS accuracy FROM judged_choice, (SELECT unnest([0.8, 0.9, 0.95]) AS t) GROUP BY t", "", "t coverage accuracy"),
     "e12_named_other": rr("SELECT run, avg(said) AS predicted_other_rate, CAST(sum(CAST(anyone = 0 AS INT)) AS BIGINT) AS n_named, avg(hit) FILTER (WHERE anyone = 0) AS accuracy_named FROM (SELECT *, max(said) OVER (PARTITION BY record_id, question_id) AS anyone FROM (SELECT *, CAST(labels[prediction + 1] = 'other' AS INT) AS said FROM all_runs)) GROUP BY run", "run n_named", "predicted_other_rate accuracy_named"),
     "e13_stored_check": q("SELECT DISTINCT split FROM judged_choice WHERE split = 'test'"),
@@ -414,6 +421,7 @@ ORACLES = {
         "SELECT split, min(step) AS first_step, arg_min(value, step) AS first_value, arg_min(step, step) FILTER (WHERE value = best) AS best_step, max(value) AS best_value, max(step) AS last_step, arg_max(value, step) AS last_value FROM (SELECT *, max(value) OVER (PARTITION BY split) AS best FROM (SELECT split, CAST(record_id // 100 AS BIGINT) AS step, round(avg(hit), 9) AS value FROM judged_choice GROUP BY ALL)) GROUP BY split",
         "split first_step best_step last_step", "first_value best_value last_value",
     ),
+    "e16_seed_points": rr(f"SELECT series, avg(nll) AS value, CASE WHEN count(*) > 1 THEN min(nll) END AS lowest, CASE WHEN count(*) > 1 THEN max(nll) END AS highest, count(*) AS n_seeds FROM (SELECT CASE WHEN run = 'c' THEN 'single' ELSE 'several' END AS series, nll FROM ({_PROPER.format(by='run', of='all_runs')})) GROUP BY series", "series n_seeds", "value lowest highest"),
     "f1_tempered": rr(f"SELECT record_id, ({tempered('probs', '2.0')})[gold + 1] AS p_gold FROM results_choice", "record_id", "p_gold"),
     "f2_scaled": rr(
         "SELECT coalesce(kind, 'overall') AS kind, count(*) AS n, avg(a + b) AS mean_sum, stddev_pop(a + b) AS std_sum, avg(CAST((a >= 0.5) <> (b >= 0.5) AS INT)) AS argmax_consistent FROM "
