@@ -392,13 +392,13 @@ def sql_contrasts(of: dict[str, str], value: str) -> str:
 _STAT = "list_max(list_transform(range(1, len(probs) + 1), lambda i: CASE WHEN i = action + 1 THEN abs(0.9 * probs[i] / list_sum(probs) + 0.1 / len(probs) - propensity) ELSE 0 END))"
 _TOP = "action = list_position(probs, list_max(probs)) - 1"
 ORACLES = {
-    "e1_key_mismatches": q("SELECT record_id, question_id, 1 AS n_a, 0 AS n_b FROM results_choice WHERE record_id % 10 = 3"),
+    "e1_key_mismatches": q("SELECT record_id, question_id, CAST(1 AS BIGINT) AS n_a, CAST(0 AS BIGINT) AS n_b FROM results_choice WHERE record_id % 10 = 3"),
     "e2_bootstrap": rr(f"SELECT qtype, {ci('accuracy', 'accuracy')}, {ci('ece', 'ece')} FROM ({sql_resampled('qtype', 'judged_choice', 'many_weights')}) GROUP BY qtype", "qtype", "accuracy_lo accuracy_hi ece_lo ece_hi"),
     "e2_poisson_bootstrap": rr(
         f"SELECT qtype, {ci('accuracy', 'accuracy')}, {ci('ece', 'ece')} FROM ({sql_resampled('qtype', 'judged_choice', 'pois')}) GROUP BY qtype", "qtype", "accuracy_lo accuracy_hi ece_lo ece_hi",
         pois=f"SELECT * FROM (SELECT b, record_id, len(list_filter({_POIS}, lambda c: c <= {sql_uniform('pois', 'b', 'record_id')})) AS w FROM results_choice, (SELECT unnest(range({PAIRED})) AS b)) WHERE w > 0",
     ),
-    "e3_weighted_runs": rr("SELECT * FROM run_table WHERE b < 20", "run b", "accuracy ece"),
+    "e3_weighted_runs": rr("SELECT run, CAST(b AS INT) AS b, accuracy, ece FROM run_table WHERE b < 20", "run b", "accuracy ece"),
     "e4_contrasts": rr(sql_contrasts(_CONTRASTS, "accuracy"), "contrast", "value ci_lo ci_hi"),
     "e5_paired": rr(sql_paired("qtype", "judged_choice", "judged_c"), "qtype n", "accuracy_a accuracy_b delta disagreement delta_lo delta_hi"),
     "e6_ece_deltas": rr(f"SELECT *, CASE WHEN ci_lo > 0 THEN 'above' WHEN ci_hi < 0 THEN 'below' ELSE 'level' END AS level FROM ({sql_contrasts({'a-b': 'a - b', 'c-b': 'c - b'}, 'ece')})", "contrast level", "value ci_lo ci_hi"),
@@ -457,7 +457,7 @@ ORACLES = {
     "g6_environment_metrics": rr(sql_env_metrics("split", "environment", sql_accepted("g2")), "split n", "accuracy expected_brier brier_min cross_entropy entropy kl calibration_gap sampled_ece"),
     "g7_bandit_samples": q("SELECT record_id, CAST(g AS INT) AS g, action, outcome FROM bandit"),
     "g7_bandit_temperature": rr(sql_best(f"SELECT b.*, {_LP} FROM bandit b JOIN results_choice USING (record_id)", "", _OUT), "n", "temperature loss"),
-    "g8_oracle_temperature": rr(sql_best(f"SELECT *, {TH} AS theta, {_LP} FROM judged_choice", "k", "ln(list_sum(list_transform(lp, lambda y: exp((y - list_max(lp)) / t)))) + list_max(lp) / t - list_sum(list_transform(range(1, k + 1), lambda i: theta[i] * lp[i])) / t"), "k n", "temperature loss"),
+    "g8_oracle_temperature": rr(sql_best(f"SELECT * REPLACE (CAST(k AS INT) AS k), {TH} AS theta, {_LP} FROM judged_choice", "k", "ln(list_sum(list_transform(lp, lambda y: exp((y - list_max(lp)) / t)))) + list_max(lp) / t - list_sum(list_transform(range(1, k + 1), lambda i: theta[i] * lp[i])) / t"), "k n", "temperature loss"),
     "g9_environment_forms": rr(
         sql_env_metrics("form", "three", sql_accepted("g2")), "form n", "accuracy expected_brier brier_min cross_entropy entropy kl calibration_gap sampled_ece",
         forms3=f"SELECT 'raw' AS form, record_id, question_id, gold, probs FROM results_choice UNION ALL SELECT 'tempered', record_id, question_id, gold, {tempered('probs', '2.0')} FROM results_choice UNION ALL SELECT 'theta', record_id, question_id, gold, {_THETA.format(k='len(probs)')} FROM results_choice",

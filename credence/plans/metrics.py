@@ -145,7 +145,7 @@ _SPLIT_ROWS = {
 
 ORACLES = {
     "d1_prediction": oracle("SELECT record_id, question_id, qtype, prediction FROM judged"),
-    "d2_row_values": r(f"SELECT *, CASE WHEN qtype = 'score' THEN {_LEVEL} END AS expected_level FROM judged", "record_id question_id qtype k hit", "top1 expected_level"),
+    "d2_row_values": r(f"SELECT * REPLACE (CAST(k AS INT) AS k), CASE WHEN qtype = 'score' THEN {_LEVEL} END AS expected_level FROM judged", "record_id question_id qtype k hit", "top1 expected_level"),
     "d3_confidence": r("SELECT * FROM judged", "record_id question_id qtype", "confidence"),
     "d4_reliability": r(
         "SELECT qtype, bin, coalesce(count, 0) AS count, mean_confidence, mean_accuracy FROM (SELECT * FROM (SELECT DISTINCT qtype FROM judged), (SELECT CAST(unnest(range(15)) AS INT) AS bin)) e LEFT JOIN "
