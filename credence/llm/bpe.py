@@ -19,6 +19,7 @@ import heapq
 import json
 import struct
 import unicodedata
+from array import array
 from hashlib import sha256
 
 import numpy as np
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from credence.llm.common import bounded_batches, map_rows
 
-#: Entries of a worker's table of remembered pieces.
-REMEMBER = 150_000
+#: Entries of one generation of a worker's remembered pieces and runs without white space.
+REMEMBER = 200_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -40,6 +41,28 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Remembered(dict):
+    """A table of bounded size that keeps what is in use: when it is full, it becomes the old
+    generation, from which entries that are asked for again are taken over."""
+
+    def __init__(self, size: int) -> None:
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def recall(self, key: str) -> bytes | None:
+        """The value of a key that is not among the young ones."""
+        got = self.old.get(key)
+        if got is not None:
+            self.keep(key, got)
+        return got
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class WordBpe:
     """Encoder and decoder of one vocabulary file."""
 
@@ -51,54 +74,73 @@ class WordBpe:
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.suffix: str = model.get("end_of_word_suffix") or ""
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks = {p: i for i, p in enumerate(pairs)}
+        # a pair of token ids is one number; its rank and the merged token's id by that number
+        self.width = max(self.vocab.values()) + 1
+        self.ranks = {self.vocab[a] * self.width + self.vocab[b]: r for r, (a, b) in reversed(list(enumerate(pairs)))}
+        self.merged = [self.vocab[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.strings = {i: s for s, i in (self.vocab | self.special).items()}
-        self.bytes = byte_symbols()
+        names = byte_symbols()
+        self.inner = [self.vocab[names[b]] for b in range(256)]
+        self.final = [self.vocab[names[b] + self.suffix] for b in range(256)]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.piece = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
-        names = sorted(self.special, key=len, reverse=True)
-        self.marks = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.known: dict[str, tuple[bytes, str]] = {}
+        marks = sorted(self.special, key=len, reverse=True)
+        self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
+        self.known = Remembered(REMEMBER)
 
     def merge(self, piece: str) -> list[int]:
-        """Token ids of one piece."""
-        symbols = [self.bytes[b] for b in piece.encode()]
-        if not symbols:
-            return []
-        symbols[-1] += self.suffix
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        ranks, heap = self.ranks, []
-        for i in range(n - 1):
-            if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None:
-                heap.append((r, i))
+        """Token ids of one piece.
+
+        Heap entries are numbers, rank times the next power of two above the length plus position.
+        """
+        data = piece.encode()
+        ids = [self.inner[b] for b in data]
+        n = len(ids)
+        if not n:
+            return ids
+        ids[-1] = self.final[data[-1]]
+        ranks, merged, width = self.ranks, self.merged, self.width
+        shift = n.bit_length()
+        low = (1 << shift) - 1
+        heap = [r << shift | i for i in range(n - 1) if (r := ranks.get(ids[i] * width + ids[i + 1])) is not None]
+        if not heap:
+            return ids
         heapq.heapify(heap)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         while heap:
-            r, i = heapq.heappop(heap)
+            top = heapq.heappop(heap)
+            i = top & low
             j = after[i]
-            if symbols[i] is None or j < 0 or ranks.get((symbols[i], symbols[j])) != r:
+            if j < 0 or ids[i] < 0 or ranks.get(ids[i] * width + ids[j]) != top >> shift:
                 continue  # stale: one side was merged meanwhile
-            symbols[i] += symbols[j]
-            symbols[j] = None
+            new = ids[i] = merged[top >> shift]
+            ids[j] = -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                if (s := ranks.get((symbols[i], symbols[k]))) is not None:
-                    heapq.heappush(heap, (s, i))
-            if (p := before[i]) >= 0 and (s := ranks.get((symbols[p], symbols[i]))) is not None:
-                heapq.heappush(heap, (s, p))
-        vocab = self.vocab
-        return [vocab[s] for s in symbols if s is not None and s in vocab]
-
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text) of a run without white space."""
-        ids = [i for piece in self.piece.findall(chunk) for i in self.merge(piece)]
-        got = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
-        if len(self.known) >= REMEMBER:
-            self.known.clear()
-        if len(chunk) <= 64:
-            self.known[chunk] = got
+                if (s := ranks.get(new * width + ids[k])) is not None:
+                    heapq.heappush(heap, s << shift | i)
+            p = before[i]
+            if p >= 0 and (s := ranks.get(ids[p] * width + new)) is not None:
+                heapq.heappush(heap, s << shift | p)
+        return [x for x in ids if x >= 0]
+
+    def packed_run(self, run: str, whole: bool = False) -> bytes:
+        """Token ids, as little-endian unsigned 32-bit integers, of a run without white space that is
+        not among the young remembered ones; ``whole`` tells that it is one piece.
+
+        A piece by itself is cut into that piece alone, so runs and pieces share one table.
+        """
+        known = self.known
+        got = known.recall(run)
+        if got is None:
+            if whole or run.isalpha():
+                got = array("I", self.merge(run)).tobytes()
+            else:
+                got = b"".join([known.get(x) or self.packed_run(x, True) for x in self.piece.findall(run)])
+            if len(run) <= 64:
+                known.keep(run, got)
         return got
 
     @staticmethod
@@ -106,30 +148,29 @@ class WordBpe:
         """NFC, then each character in lower case by itself (no final-sigma rule)."""
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def parts(self, text: str) -> list[tuple[bytes, str]]:
+    def packed(self, text: str) -> bytes:
+        """Token ids of a text as little-endian unsigned 32-bit integers."""
         out = []
         for k, part in enumerate(self.marks.split(text) if self.marks and "<|" in text else [text]):
             if k % 2:
-                i = self.special[part]
-                out.append((struct.pack("<I", i), self.strings[i]))
+                out.append(struct.pack("<I", self.special[part]))
                 continue
             part = self.normal(part)
-            known, chunk = self.known, self.chunk
             # str.split() also splits at \x1c to \x1f, which are not white space here
             runs = part.split() if not any(c in part for c in "\x1c\x1d\x1e\x1f") else [part]
-            out += [known.get(x) or chunk(x) for x in runs]
-        return out
+            young, other = self.known.get, self.packed_run
+            out += [young(x) or other(x) for x in runs]
+        return b"".join(out)
 
     def encode_packed(self, text: str) -> tuple[bytes, str]:
-        got = self.parts(text)
-        return b"".join(x for x, _ in got), " ".join(s for x, s in got if x)
+        data = self.packed(text)
+        return data, self.decode(np.frombuffer(data, dtype="<u4").tolist())
 
     def encode(self, text: str) -> list[int]:
-        data = self.encode_packed(text)[0]
-        return list(struct.unpack(f"<{len(data) // 4}I", data))
+        return np.frombuffer(self.packed(text), dtype="<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join([self.strings[i] for i in ids])
+        return " ".join(map(self.strings.__getitem__, ids))
 
 
 _LOADED: dict[str, WordBpe] = {}

@@ -192,8 +192,9 @@ def test_bpe_equals_the_library(spark, small, odd):
 def test_remembered_pieces_are_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBER", 5)
     own = bpe.WordBpe(bpe.read_vocabulary(bpe.default_path()))
-    text = " ".join(f"word{i}" for i in range(50))
-    assert own.encode(text) == own.encode(text) and len(own.known) <= 5
+    text = " ".join(f"word{i}." for i in range(50))
+    assert own.encode(text) == own.encode(text) == bpe.WordBpe(bpe.read_vocabulary(bpe.default_path())).encode(text)
+    assert len(own.known) <= 5 and len(own.known.old) <= 5
 
 
 def test_language_held_out_accuracy(spark):
