@@ -174,14 +174,20 @@ def training_windows(text: str) -> list[bytes]:
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, int, list[bytes]]]:
     """(language, id, windows) of a bounded sample of labelled documents that are not held out.
 
-    Ids are chosen from the id and language columns alone: the limit within a language is applied
-    before the shuffle, so a language with a third of all rows sends no more than another.
+    Ids are chosen from the id and language columns alone, those of the lowest hashes. A bound on the
+    hash that follows from the language's count leaves a few times ``per_language`` rows to rank, so a
+    language with a third of all rows sends no more than another.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & F.col("doc_id").isNotNull())
+    by = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    few = by.count() <= 1000
+    # only hashes low enough to be among the first come to the ranking: a few times per_language a language
+    place = (F.xxhash64("doc_id").cast("double") + 2.0**63) / 2.0**64
+    near = usable.select("doc_id", "lang").join(F.broadcast(by) if few else by, "lang").where(place * F.col("n") <= 4.0 * per_language)
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_language)
+    ids = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_language)
     chosen = ids.select("doc_id", "lang").distinct()
-    if ids.select("lang").distinct().count() <= 1000:  # at most per_language ids each
+    if few:  # at most per_language ids each
         chosen = F.broadcast(chosen)
 
     def rows(langs, keys, texts):
