@@ -1,13 +1,16 @@
 """Secret scans: patterns for known forms, and a randomness test battery for the rest.
 
 Base kinds (``assign``, ``access``, ``hex``) are pattern matches. The method adds ``random`` spans:
-runs of token characters outside the base spans get an inferred encoding (the smallest alphabet that
-holds them) and three tests of uniform randomness over that alphabet: chi-squared uniformity of the
-symbols, the number of runs about the alphabet's middle, and the lag-1 serial correlation. A run
-whose tests do not reject randomness gets a p-value under the alternative "words": the chance that
-text of this length over this alphabet is spread so evenly. These p-values go through the
-Benjamini-Hochberg rule over the whole corpus, within strata of encoding and length, so short runs,
-on which the tests have little power, must clear a bar set by runs of their own length.
+runs of token characters are cut at ``=`` (trailing padding stays), as in ``NAME=value``, and each
+piece is tested whole and in the parts between its ``-_``, its ``+/`` and all four, since a token may
+follow a path or a prefix. What lies outside the base spans gets an inferred encoding (the smallest
+alphabet that holds it) and three tests of uniform randomness over that alphabet: chi-squared
+uniformity of the symbols, the number of runs about the alphabet's middle, and the lag-1 serial
+correlation. A part whose tests do not reject randomness gets a p-value under the alternative
+"words": the chance that text of this length over this alphabet is spread so evenly. Of overlapping
+parts the one with the least such p-value stays (of equal ones the longest). These p-values go
+through the Benjamini-Hochberg rule over the whole corpus, within strata of encoding and length, so
+short parts, on which the tests have little power, must clear a bar set by parts of their own length.
 
 The false-discovery step needs only a histogram of p-values by stratum, of a fixed size whatever the
 corpus; it is summed by Spark and read by the driver.
@@ -21,6 +24,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from hashlib import sha256
 
 from pyspark.sql import DataFrame
@@ -37,6 +42,9 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]++")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}+")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
+#: What lies between the characters that base64 lacks, that base64url lacks, and either of them.
+_BETWEEN = (re.compile(r"[^_-]{20,}+"), re.compile(r"[^+/]{20,}+"), re.compile(r"[^+/_-]{20,}+"))
+_LEAST = 20
 
 #: Alphabets in the order of their size; the first that holds a run is its encoding.
 ALPHABETS = {
@@ -132,21 +140,45 @@ def stratum(name: str, n: int) -> str:
     return f"{name}:{max(x for x in LENGTHS if x <= n)}"
 
 
+def parts(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """The stretches of a run that are tested, each once."""
+    end = a + len(text[a:b].rstrip("="))
+    while a < end:
+        cut = text.find("=", a, end)
+        stop = b if cut < 0 else cut
+        if stop - a >= _LEAST:
+            yield from {(a, stop), *(m.span() for between in _BETWEEN for m in between.finditer(text, a, stop))}
+        a = stop + 1
+
+
 def candidates(text: str, base: list[tuple[str, int, int]] | None = None) -> list[tuple[int, int, str, int]]:
-    """(start, end, stratum, p-value bin) of the runs outside base spans that look random."""
-    out = []
+    """(start, end, stratum, p-value bin) of the parts of runs outside base spans that look random."""
+    found = []
     for m in _RUN.finditer(text):
-        got = battery(m[0])
-        if got is None or got[1] < REJECT:
-            continue
-        if base is None:
-            base = base_spans(text)
-        a, b = m.span()
-        if any(s < b and a < e for _, s, e in base):
-            continue
-        depth = min(int(-math.log10(max(got[2], 1e-300)) * BINS), BINS * LAST)
-        out.append((a, b, stratum(got[0], b - a), depth))
-    return out
+        for a, b in parts(text, *m.span()):
+            got = battery(text[a:b])
+            if got is not None and got[1] >= REJECT:
+                depth = min(int(-math.log10(max(got[2], 1e-300)) * BINS), BINS * LAST)
+                found.append((a, b, stratum(got[0], b - a), depth))
+    if not found:
+        return found
+    starts: list[int] = []  # of what is taken, in order and without overlaps: base spans, then parts
+    ends: list[int] = []
+    for _, a, b in sorted(base_spans(text) if base is None else base, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(b, ends[-1])
+        else:
+            starts.append(a)
+            ends.append(b)
+    out = []
+    for part in sorted(found, key=lambda c: (-c[3], c[0] - c[1], c[0])):
+        a, b = part[:2]
+        at = bisect_left(starts, b)
+        if at == 0 or ends[at - 1] <= a:
+            starts.insert(at, a)
+            ends.insert(at, b)
+            out.append(part)
+    return sorted(out)
 
 
 def cutoffs(histogram: list[tuple[str, int, int]], fdr: float = FDR) -> dict[str, int]:

@@ -90,6 +90,32 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert sum(got[i] for i in range(200, 400)) == 0
 
 
+def test_random_tokens_after_names_and_in_urls(spark):
+    rng = random.Random(12)
+    token = lambda n, more="": "".join(rng.choice(string.ascii_letters + string.digits + more) for _ in range(n))
+    around = ["CLIENT_KEY={}", "https://x.io/get?sig={}&v=1", "io/dl/{}-x", "AWS_SECRET_ACCESS_KEY={}", "a-b/some/long/path/of/words/{}-end_x", "K={}==", "plain {} here"]
+    made = [(form, token(40, "+/" if form.startswith("AWS") else "")) for form in around for _ in range(30)]
+    words = ["name=some_long_value_of-words/here", "a=b=c=some-long-path/of_words=here", "utm_source=news-letter/spring_sale=yes"] * 20
+    rows = [(i, f"see {form.format(x)} now") for i, (form, x) in enumerate(made)] + [(1000 + i, w) for i, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.op1(docs).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(docs, length_col=None).collect()}
+    for k in range(len(around)):
+        assert sum(x not in masked[i] for i, (form, x) in enumerate(made) if form == around[k]) >= 28, around[k]
+    assert masked[0] == "see CLIENT_KEY=<SECRET> now" or masked[1] == "see CLIENT_KEY=<SECRET> now"
+    assert not any(spans[i] for i in spans if i >= 1000)
+
+
+def test_parts_do_not_overlap_and_stay_linear():
+    rng = random.Random(13)
+    tokens = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(25)) for _ in range(8000)]
+    start = time.time()
+    for between in "-/=":
+        found = secrets.candidates("secret=abcdefgh1 " + between.join(tokens) + "+-/_x")
+        assert found and all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+    assert time.time() - start < 20
+
+
 def test_false_discovery_cutoffs():
     assert secrets.cutoffs([("s", 10, 100)]) == {}
     assert secrets.cutoffs([("s", 200, 50), ("s", 10, 50)], 0.01) == {"s": 200}
