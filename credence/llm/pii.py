@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
 Base kinds are ``email``, ``ip``, ``card`` (Luhn) and ``phone``. The method adds ``iban`` spans
-(account numbers confirmed by mod-97) and a score for each span: a prior of its kind, raised by words
+(account numbers of their country's length, confirmed by mod-97) and a score for each span: a prior of its kind, raised by words
 nearby that name such data and lowered by words that name something else. Base spans stay whatever
 their score; added spans are kept from ``KEEP`` on.
 
@@ -36,7 +36,21 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9]{4})")
+_IBAN_GROUP = re.compile(r"\x20?[A-Z0-9]{4}")
+_IBAN_TAIL = re.compile(r"\x20?[A-Z0-9]{1,3}(?![A-Za-z0-9])")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
+#: Characters of an account number by country code, as registered.
+IBAN_LENGTHS = {
+    code: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
 _WORD = re.compile(r"[a-z]+")
 _DIGITS = {ord(c): None for c in " ()-.+"}
 _DOUBLE = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
@@ -52,6 +66,37 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """Account numbers in groups of four, with or without spaces between: of the length of their
+    country; where the country is none of the registered ones, the longest end that mod-97 confirms."""
+    out, last = [], 0
+    for m in _IBAN_HEAD.finditer(text):
+        a, at = m.span()
+        if a < last:
+            continue
+        size = IBAN_LENGTHS.get(text[a : a + 2])
+        ends = []
+        for n in range(8, 36, 4):  # characters after the group
+            if (tail := _IBAN_TAIL.match(text, at)) and n > 12:
+                ends.append(tail.end())
+            group = _IBAN_GROUP.match(text, at)
+            if not group:
+                break
+            at = group.end()
+            if n >= 12 and not _ALNUM.match(text, at):
+                ends.append(at)
+        else:
+            if tail := _IBAN_TAIL.match(text, at):
+                ends.append(tail.end())
+        for b in reversed(ends):
+            number = text[a:b].replace(" ", "")
+            if size in (None, len(number)) and mod97(number):
+                out.append((a, b))
+                last = b
+                break
+    return out
+
+
 def _emails(text: str) -> list[tuple[int, int]]:
     """Leftmost matches found from each ``@``: the local part reaches back over its characters, no
     further than the match before."""
@@ -106,9 +151,9 @@ def scored_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     """All spans with their scores, base kinds first."""
     text = text or ""
     out = [(k, a, b, score(text, k, a, b)) for k, a, b in base_spans(text)]
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")) and (s := score(text, "iban", *m.span())) >= KEEP:
-            out.append(("iban", *m.span(), s))
+    for a, b in _ibans(text):
+        if (s := score(text, "iban", a, b)) >= KEEP:
+            out.append(("iban", a, b, s))
     return out
 
 

@@ -148,6 +148,17 @@ def test_checksums_and_context():
     assert pii.scored_spans(None) == []
 
 
+@pytest.mark.parametrize("number", ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("after", ["", " BIC GIBAATWW", " EUR 50", " 50", " A1 B2", ".", " REF1 2345 6789"])
+def test_account_numbers_before_short_words(number, after):
+    for n in (number, number.replace(" ", "")):
+        text = f"IBAN {n}{after}"
+        assert [s[:3] for s in pii.scored_spans(text) if s[0] == "iban"] == [("iban", 5, 5 + len(n))], text
+        wrong = n[:-1] + str((int(n[-1]) + 1) % 10)
+        assert not [s for s in pii.scored_spans(f"IBAN {wrong}{after}") if s[0] == "iban"]
+    assert not [s for s in pii.scored_spans(f"IBAN {number.replace(' ', '')}X") if s[0] == "iban"]
+
+
 def plain_quality(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
