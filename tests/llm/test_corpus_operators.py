@@ -59,6 +59,44 @@ def test_likeness_tells_edits_from_strangers(spark, small):
     assert sum(r["near_edited"] > r["near_next"] for r in got) / len(got) > 0.97
 
 
+def test_near_copies_are_counted_and_named(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for k in range(12):
+        words = [word() for _ in range(60 if k % 2 else 400)]
+        rows.append((1000 * k, " ".join(words)))
+        rows += [(1000 * k + 1 + i, " ".join(words)) for i in range(k)]  # exact copies
+        for i in range(5):  # one changed word each
+            changed = list(words)
+            changed[rng.randrange(len(words))] = word()
+            rows.append((1000 * k + 51 + i, " ".join(changed)))
+    rows.append((None, rows[0][1]))
+    got = fingerprints.op5(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    for r in got:
+        if r["doc_id"] is None or r["doc_id"] % 100:
+            assert r["n_near"] is None and r["near"] is None
+            continue
+        mine = int(r["fingerprint"], 16)
+        want = collections.defaultdict(list)
+        for o in got:
+            want[(mine ^ int(o["fingerprint"], 16)).bit_count(), o["fingerprint"]].append(o["doc_id"])
+        want = {k: v for k, v in want.items() if k[0] <= fingerprints.NEAR}
+        assert r["near"] == ",".join(f"{d}:{f}:{min(x for x in v if x is not None)}:{len(v)}" for (d, f), v in sorted(want.items()))
+        assert r["n_near"] == sum(map(len, want.values())) - 1 == r["doc_id"] // 1000 + 5 + (r["doc_id"] == 0)
+
+
+def test_wide_radius_finds_all():
+    rng = np.random.default_rng(8)
+    q = rng.integers(0, 1 << 16, (300, 8), dtype=np.uint16)
+    flips = rng.random((300, 20, 128)) < rng.uniform(0, 0.35, (300, 20, 1))
+    others = (q[:, None] ^ np.packbits(flips, axis=2).view(np.uint16)).reshape(-1, 8)
+    apart = np.bitwise_count(q[:, None] ^ others[None]).sum(axis=2, dtype=int)
+    for radius in (0, 3, 15, 31):
+        got = [(a, b, d) for x in fingerprints._Tables(q, radius).near(others) for a, b, d in zip(*(y.tolist() for y in x), strict=True)]
+        assert sorted(got) == sorted((a, b, apart[a, b]) for a, b in zip(*(y.tolist() for y in np.nonzero(apart <= radius)), strict=True))
+
+
 def test_block_tables_find_all_in_the_radius(spark):
     rng = random.Random(1)
     values = set()
