@@ -78,20 +78,39 @@ def lifts(s, d):
     return C.lift_gate(lift, null, ["source"])
 
 
-def probe(s, d):
+def probed(s, d):
     q = C.probe_features(asked(s, d).withColumn("instructions", F.concat(F.lit("Does this fit: "), "asked", F.lit("?"))))
-    return s.createDataFrame([("asked", C.probe_accuracy(q.withColumn("t", F.col("underlying").cast("string")), "t", folds=3))], "probe string, accuracy double")
+    return q.withColumn("t", F.col("underlying").cast("string"))
+
+
+def probe(s, d):
+    q = probed(s, d).cache()
+    return s.createDataFrame([("asked", m, C.probe_accuracy(q, "t", model=m)) for m in C.PROBE_MODELS], "probe string, model string, accuracy double")
+
+
+def gated(s, rows, top, lift, model):
+    """(p-value, fails): shuffled targets are tried only for lifts between the two limits."""
+    if not C.LIFT_TEST < lift <= C.LIFT_FAIL:
+        return None, lift > C.LIFT_FAIL
+    null = s.createDataFrame([(1, x) for x in C.probe_null(rows, "t", top, model=model)], "g int, lift double")
+    got = C.lift_gate(s.createDataFrame([(1, lift)], "g int, lift double"), null, ["g"]).first()
+    return got["p_value"], got["fails"]
 
 
 def probe_split(s, d):
-    """Lift of the probe over the majority for each feature family."""
-    q = C.probe_features(asked(s, d).withColumn("instructions", F.concat(F.lit("Does this fit: "), "asked", F.lit("?")))).withColumn("t", F.col("underlying").cast("string"))
+    """Lift of each probe over the majority for each feature family, and the gate's verdict on it. All
+    rows ask the same yes/no question, so they are one group."""
+    q = probed(s, d).cache()
     top = C.majority(q.withColumn("g", F.lit(1)), ["g"], "t").first()["majority"]
     rows = []
     for family in ("w:", "k:", "o:"):
         part = q.withColumn("features", F.expr(f"filter(features, f -> startswith(f, '{family}'))"))
-        rows.append((family, top, C.probe_accuracy(part, "t", folds=2) - top))
-    return s.createDataFrame(rows, "family string, majority double, lift double")
+        out = [family, top]
+        for model in C.PROBE_MODELS:
+            lift = C.probe_accuracy(part, "t", model=model) - top
+            out += [lift, *gated(s, part, top, lift, model)]
+        rows.append(tuple(out))
+    return s.createDataFrame(rows, "family string, majority double, lift double, p_value double, fails boolean, forest_lift double, forest_p_value double, forest_fails boolean")
 
 
 def scaled(s, d):
