@@ -15,9 +15,14 @@ short parts, on which the tests have little power, must clear a bar set by parts
 The false-discovery step needs only a histogram of p-values by stratum, of a fixed size whatever the
 corpus; it is summed by Spark and read by the driver.
 
+The null hypothesis of the false-discovery step is "words", because a false report is a path, a name
+or a phrase that was taken for a secret. The battery works the other way round: its null is a random
+string, so it can refuse what is not random but not vouch for what is. It is a gate before the step.
+
 Defined results: a null text counts as empty and has no spans. Rows are independent, so repeated
 rows, ties and null ids pass through. Texts of any length are scanned whole, in linear time. Without
-any candidate no threshold exists and only base spans are reported.
+any candidate no threshold exists and only base spans are reported. Other columns, whatever their
+names, are not read; ``mask_secrets`` passes them on.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from credence.llm.common import bounded_batches, map_rows
 KINDS = ("assign", "access", "hex")
 #: Possessive quantifiers match the same texts as plain ones here and keep the scan linear.
 _ASSIGN = re.compile(
-    r"""(?:password|passwd|secret|token|api_?key)["']?+\x20*+[:=]\x20*+["']?+\x20*+([A-Za-z0-9+/_.=-]++)""",
+    r"""(?:password|passwd|secret|token|api_?key)["']?+\x20*+[:=]\x20*+["']?+([A-Za-z0-9+/_.=-]++)""",
     re.IGNORECASE | re.ASCII,
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]++")

@@ -32,7 +32,7 @@ def odd(spark):
 
 
 def plain_secrets(t):
-    f = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?\x20*([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 8]
+    f = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 8]
     f += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
     f += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 32]
     return [(secrets.KINDS[k], a, b) for a, k, b in sorted(f)]
@@ -50,7 +50,7 @@ def plain_pii(t):
 
 
 PIECES = ["password", "Token", "api_key", "secret", "=", ":", " ", "'", '"', "AKIA", "ABC9", "Z", "0a", "deadbeef", "1", "22", "255", ".", "-", "@", "x.y", "+1", "(",
-          "4111111111111111", " 5500 0000 0000 0004", "é", "\n", "passwd: ", "abcd1234", "9" * 10]
+          "4111111111111111", " 5500 0000 0000 0004", "é", "\n", "passwd: ", "abcd1234", "9" * 10, 'token: " abcdefgh12', "='  abcdefghij"]
 
 
 def test_patterns_agree_with_plain_ones():
@@ -61,6 +61,12 @@ def test_patterns_agree_with_plain_ones():
         assert plain_pii(t) == pii.base_spans(t), t
 
 
+def test_no_blank_between_quote_and_value():
+    for t in ('password: " abcdefgh1', "token = '  abcdefghij", "x password:' a1b2c3d4e5"):
+        assert secrets.base_spans(t) == []
+    assert secrets.base_spans("token = 'abcdefghij'") == [("assign", 0, 19)]
+
+
 def test_scans_are_linear():
     for t in ["a" * 200_000, "password:" + " " * 200_000, "1" * 200_000, "1." * 100_000, "+1" * 80_000, "a@" * 80_000, "@" + "a-." * 60_000, "AB12" * 50_000, "password" * 30_000]:
         start = time.time()
