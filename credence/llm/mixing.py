@@ -3,8 +3,13 @@
 A source with share ``s`` of the documents gets the target share ``s ** TEMPERATURE``, normalised
 (or the weights that are given). The mean repetition rate of its documents is target share times
 wanted total over its count. Each document draws a uniform number from a hash of seed, id and text,
-inverts the Poisson distribution of its source's rate with it, and is written that many times; the
-copies are then sorted by another hash, which shuffles them globally.
+inverts the Poisson distribution of its source's rate with it, and is written that many times. A rate
+above ``STEP`` is met by several draws, each with a hash stream and an equal share of the rate: their
+sum has the Poisson distribution of the whole rate, so no rate is cut.
+
+The copies are then shuffled globally: another hash of seed, row and copy, ``mix_key``, deals them to
+partitions and orders each partition. The keys are uniform, so every order of the copies is as likely,
+and no pass over the data is needed to find ranges.
 
 Every draw depends on the row alone, so the result is the same whatever the partitions, and after
 the loss of an executor. The hash is md5, so SQL engines give the same draws.
@@ -12,7 +17,8 @@ the loss of an executor. The hash is md5, so SQL engines give the same draws.
 Defined results: documents without a source form a source of their own, with a weight under None if
 weights are given. A source that is given no weight, or weight 0, gets no copies; weights of sources
 that are absent count for nothing. Equal rows draw the same number. A null text draws as an empty
-one. Rates may be at most ``MAX_RATE``. An empty table gives an empty table.
+one. Columns of ``docs`` named ``mix_copy`` or ``mix_key`` give way to the new ones; all others pass
+through. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,10 +28,12 @@ from pyspark.sql import functions as F
 
 TEMPERATURE = 0.7
 SEED = "mix-1"
-#: Largest rate whose probability of zero is a normal double.
-MAX_RATE = 500.0
-#: Sources up to which the table of rates is broadcast; beyond, it is joined by a shuffle.
+#: Largest rate of one draw; the probability of zero is then a normal double.
+STEP = 500.0
+#: Sources up to which the table of rates is broadcast; beyond, it is joined by a shuffle, with the
+#: rows of each source dealt over ``SALTS`` keys.
 FEW_SOURCES = 10_000
+SALTS = 64
 
 
 def uniform(*key: Column) -> Column:
@@ -34,8 +42,21 @@ def uniform(*key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def poisson_count(rate: Column, seed: str, key: Column) -> Column:
+    """A Poisson number of the given rate drawn from the key: the sum of ``ceil(rate / STEP)`` draws,
+    the first from the stream ``seed:count``, the others from ``seed:count1`` and so on."""
+    draws = F.greatest(F.ceil(rate / STEP), F.lit(1)).cast("int")
+    one = inverse_poisson(uniform(F.lit(f"{seed}:count"), key), rate / draws)
+
+    def several(bound: Column) -> Column:
+        drawn = lambda n, i: n + inverse_poisson(uniform(F.concat(F.lit(f"{seed}:count"), i.cast("string")), bound), rate / draws)
+        return F.aggregate(F.sequence(F.lit(1), draws - 1), F.lit(0), drawn)
+
+    return one + F.when(draws > 1, F.transform(F.array(key), several)[0]).otherwise(F.lit(0))
+
+
 def inverse_poisson(u: Column, rate: Column) -> Column:
-    """The least k whose cumulative probability exceeds u; terms are summed in order.
+    """The least k whose cumulative probability exceeds u, for rates up to STEP; terms are summed in order.
 
     The sum stops after ``rate + 12 * sqrt(rate) + 30`` terms, beyond which no double is left.
     """
@@ -71,7 +92,7 @@ def rates(docs: DataFrame, source_col: str = "source", weights: dict | None = No
     sums = by.agg(F.sum("n").alias("all_n"), F.sum("target").alias("all_target"))
     wanted = F.lit(float(total)) if total is not None else F.col("all_n").cast("double")
     rate = F.when(F.col("all_target") > 0, F.col("target") / F.col("all_target") * wanted / F.col("n")).otherwise(F.lit(0.0))
-    return by.join(F.broadcast(sums)).select("__mix_source", F.least(rate, F.lit(MAX_RATE)).alias("__mix_rate"))  # sums is one row
+    return by.join(F.broadcast(sums)).select("__mix_source", rate.alias("__mix_rate"))  # sums is one row
 
 
 def mixed(
@@ -79,19 +100,21 @@ def mixed(
     seed: str = SEED,
 ) -> DataFrame:
     """``docs`` with each row as often as drawn, in a global random order; ``mix_copy`` counts the
-    copies of a row from 1 and ``mix_key`` is the sort key."""
+    copies of a row from 1 and ``mix_key`` is the key of the shuffle."""
     docs = docs.drop("mix_copy", "mix_key")
     names = docs.columns
+    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text_col, F.lit("")).cast("binary")))
     by = rates(docs, source_col, weights, total)
+    same = docs[source_col].eqNullSafe(by["__mix_source"])
     if by.count() <= FEW_SOURCES:
-        by = F.broadcast(by)
-    key = [F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text_col, F.lit("")).cast("binary"))]
-    drawn = docs.join(by, docs[source_col].eqNullSafe(by["__mix_source"])).withColumn(
-        "__mix_n", inverse_poisson(uniform(F.lit(f"{seed}:count"), *key), F.col("__mix_rate"))
-    )
+        joined = docs.join(F.broadcast(by), same)
+    else:
+        salted = docs.withColumn("__mix_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+        joined = salted.join(by.withColumn("__mix_salts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), same & (F.col("__mix_salt") == F.col("__mix_salts")))
+    drawn = joined.where("__mix_rate > 0").withColumn("__mix_key", key).withColumn("__mix_n", poisson_count(F.col("__mix_rate"), seed, F.col("__mix_key")))
     copies = drawn.where("__mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
-    copies = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), *key, F.col("mix_copy").cast("string")).cast("binary")))
-    return copies.select(*names, "mix_copy", "mix_key").orderBy("mix_key")
+    copies = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.col("__mix_key"), F.col("mix_copy").cast("string")).cast("binary")))
+    return copies.select(*names, "mix_copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
 
 
 def op4(docs: DataFrame) -> DataFrame:
@@ -104,22 +127,23 @@ WITH RECURSIVE sized AS (
 ), aimed AS (
   SELECT source, n, pow(CAST(n AS DOUBLE), {TEMPERATURE}) AS target FROM sized
 ), rated AS (
-  SELECT source, least(target / (SELECT sum(target) FROM aimed) * (SELECT CAST(sum(n) AS DOUBLE) FROM sized) / n, {MAX_RATE}) AS rate FROM aimed
+  SELECT source, target / (SELECT sum(target) FROM aimed) * (SELECT CAST(sum(n) AS DOUBLE) FROM sized) / n AS whole FROM aimed
+), split AS (
+  SELECT source, CAST(greatest(ceil(whole / {STEP}), 1) AS INT) AS draws, whole / greatest(ceil(whole / {STEP}), 1) AS rate FROM rated
 ), terms AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS upto, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS INT) AS last FROM rated
+  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS upto, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS INT) AS last FROM split
   UNION ALL
   SELECT source, rate, k + 1, p * rate / (k + 1), upto + p * rate / (k + 1), last FROM terms WHERE k < last
 ), tabled AS (
   SELECT source, list(upto ORDER BY k) AS cumulative FROM terms GROUP BY source
+), keyed AS (
+  SELECT *, row_number() OVER () AS number, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) AS key FROM documents
 ), drawn AS (
-  SELECT d.*, md5(coalesce(d.text, '')) AS digest,
-    CAST(('0x' || substr(md5('{SEED}:count:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || md5(coalesce(d.text, ''))), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u,
-    t.cumulative
-  FROM documents d JOIN tabled t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT number, CAST(('0x' || substr(md5('{SEED}:count' || CASE WHEN i = 0 THEN '' ELSE CAST(i AS VARCHAR) END || ':' || key), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u, cumulative
+  FROM (SELECT number, key, cumulative, unnest(range(draws)) AS i FROM keyed d JOIN tabled t ON d.source IS NOT DISTINCT FROM t.source JOIN split s ON d.source IS NOT DISTINCT FROM s.source)
 ), counted AS (
-  SELECT *, len(list_filter(cumulative, lambda c: u >= c)) AS times FROM drawn
+  SELECT number, CAST(sum(len(list_filter(cumulative, lambda c: u >= c))) AS BIGINT) AS times FROM drawn GROUP BY number
 )
-SELECT doc_id, text, lang, source, n_chars, CAST(i AS INT) AS mix_copy,
-  md5('{SEED}:order:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest || ':' || CAST(i AS VARCHAR)) AS mix_key
-FROM (SELECT *, unnest(range(1, times + 1)) AS i FROM counted)
+SELECT doc_id, text, lang, source, n_chars, CAST(i AS INT) AS mix_copy, md5('{SEED}:order:' || key || ':' || CAST(i AS VARCHAR)) AS mix_key
+FROM (SELECT *, unnest(range(1, times + 1)) AS i FROM keyed JOIN counted USING (number))
 """

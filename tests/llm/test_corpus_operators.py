@@ -267,7 +267,10 @@ def test_mixing_equals_sql(spark, small, odd):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
     want = con.execute(oracle_sql()["op4_mixing"]).fetchall()
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
-    assert [r["mix_key"] for r in got.collect()] == sorted(r[-1] for r in want)
+    parts = got.select(F.spark_partition_id().alias("p"), "mix_key").collect()
+    for p in {r["p"] for r in parts}:
+        keys = [r["mix_key"] for r in parts if r["p"] == p]
+        assert keys == sorted(keys)
     assert mixing.mixed(odd).columns == [*odd.columns, "mix_copy", "mix_key"]
     assert mixing.mixed(odd.limit(0)).count() == 0
 
@@ -281,6 +284,23 @@ def test_mixing_meets_target_weights(spark):
     assert abs(zeros / 14_000 - np.exp(-3)) < 0.01  # a Poisson count of mean 3 is 0 that often
 
 
+def test_high_rates_are_met(spark):
+    rows = [(i, f"t{i}", "a" if i == 0 else "b") for i in range(1001)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["source"]: r["count"] for r in mixing.mixed(docs, weights={"a": 0.9, "b": 0.1}, total=4000).groupBy("source").count().collect()}
+    assert abs(got["a"] - 3600) < 4 * 60 and abs(got["b"] - 400) < 4 * 20
+    many = spark.range(400).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit(5000.0).alias("rate"))
+    n = many.select(mixing.poisson_count(F.col("rate"), "x", F.col("text")).alias("n")).agg(F.avg("n"), F.var_samp("n"), F.count_distinct("n")).first()
+    assert abs(n[0] - 5000) < 4 * (5000 / 400) ** 0.5 and 0.6 < n[1] / 5000 < 1.5 and n[2] > 200
+
+
+def test_many_sources(spark, monkeypatch):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), F.when(F.col("id") % 3 > 0, F.col("id") % 7).cast("string").alias("source"))
+    want = sorted(map(tuple, mixing.mixed(docs).collect()), key=str)
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    assert sorted(map(tuple, mixing.mixed(docs).collect()), key=str) == want
+
+
 def test_inverse_poisson(spark):
     import math
 
