@@ -16,17 +16,23 @@ suffixes smaller than their successors are sorted directly, the others are induc
 scan of the buckets, and the common prefixes of neighbours give the windows that repeat. Only the
 suffixes that start a window, and those needed to induce them, are sorted, to a depth of WIDTH bytes.
 
-Groups of more than ``LARGE`` distinct segments (a passage that very many documents share, with
-other text around it) would need a task of their own. Their windows are instead counted by a
-128-bit hash of their content, with partial counts, so no task gathers a group.
-
-Groups of copies cost little: equal segments are one segment with a count from the first step on.
-Equality of whole segments (step 2 and counts in step 3) is that of two 64-bit hashes, one of the
-segment and one of the anchor's substring.
+A group of more than ``LARGE`` distinct segments (a passage that very many documents share, with
+other text around it) is split, so that no task gathers it. Equal windows have the anchor at the same
+offset, so the windows of a group fall into two classes by that offset, and all windows of a class
+reach some way beyond the anchor: on the left as far as the class's least offset, on the right as far
+as its greatest leaves room. Pieces whose bytes differ there cannot share a window; the class is split
+by them. Equal pieces become one with a count, crowded groups are halved again, and the last classes
+hold one offset, where a piece is one window and equal ones are one piece. Every group that is left
+goes to a suffix array; nothing is decided by its size.
+
+Groups of copies cost little: equal segments are one segment with a count from the first step on, and
+each of a segment's windows repeats if the count is above one. Such equality (step 2 and the counts)
+is that of 128-bit digests, beside the 64-bit hash of the anchor's substring.
 
 Defined results: a null text counts as empty; texts shorter than WIDTH bytes lose nothing. Repeated
 rows are documents like any other, so all of their windows repeat. Equal or null ids are kept apart
-by their texts. Every row is returned; an empty table gives an empty table.
+by their texts. Every row is returned; an empty table gives an empty table. Columns other than
+id and text are not read. Offsets are 32-bit, as a text of Spark's is below 2 GiB.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_digest
+from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
 from credence.llm.common import bounded_batches, checkpointed, map_rows, shuffle_width, stored
 
@@ -48,8 +54,8 @@ GRAM = 64
 STRETCH = 1 << 22
 #: Bytes of segments that one suffix array covers, more only for a single group.
 BATCH = 1 << 19
-#: Distinct segments of one anchor beyond which its windows are counted by hash.
-LARGE = 4096
+#: Distinct segments of one anchor, or pieces of a class, beyond which they are split.
+LARGE = 1024
 _NO_ID = -(1 << 63)
 
 
@@ -91,16 +97,23 @@ def _anchors(data: bytes, width: int) -> Iterator[tuple[int, int, int]]:
 
 
 def _long(value: int) -> int:
+    value &= (1 << 64) - 1
     return value - (1 << 64) if value >> 63 else value
 
 
-def segments(text: bytes, width: int) -> tuple[list[tuple[int, int, int, int, int, int]], list[tuple[int, int]]]:
-    """The distinct segments of one text as (gram, segment hash, first start, starts, offset of the
-    anchor, count up to 2), and the byte ranges that repeat inside the text itself."""
-    seen: dict[tuple[int, int], list[int]] = {}
+def _digest(data: bytes, at: int) -> tuple[int, int]:
+    """128 bits of some bytes with the anchor at an offset."""
+    d = xxh3_128_intdigest(data, at)
+    return _long(d), _long(d >> 64)
+
+
+def segments(text: bytes, width: int) -> tuple[list[tuple[int, ...]], list[tuple[int, int]]]:
+    """The distinct segments of one text as (gram, two halves of the segment's digest, first start,
+    starts, offset of the anchor, count up to 2), and the byte ranges that repeat inside the text."""
+    seen: dict[tuple[int, int, int], list[int]] = {}
     inside = []
     for a, b, p in _anchors(text, width):
-        key = _long(xxh3_64_intdigest(text[p : p + GRAM])), _long(xxh3_64_intdigest(text[a : b + width], p - a))
+        key = _long(xxh3_64_intdigest(text[p : p + GRAM])), *_digest(text[a : b + width], p - a)
         if (old := seen.get(key)) is None:
             seen[key] = [a, b - a + 1, p - a, 1]
         else:
@@ -228,18 +241,18 @@ _RUNS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 def _array_task(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by gram: (gram, seg, starts, n, bytes); a batch of whole groups makes one array."""
-        held: dict[tuple[int, int], tuple[bytes, int, int]] = {}
-        gram, group, size = None, {}, 0
+        """Rows of PIECE sorted by key; a batch of whole groups makes one array."""
+        held: dict[tuple[int, int, int, int], tuple[bytes, int, int]] = {}
+        now, group, size = None, {}, 0
 
         def array() -> pa.RecordBatch | None:
             keys = list(held)
             found = repeated_starts([held[k][:2] for k in keys], width) if keys else []
-            out = [(*k, _runs(f)) for k, f in zip(keys, found, strict=True) if held[k][2] == 1 and len(f)]
+            out = [(*k[:3], _runs(f + k[3])) for k, f in zip(keys, found, strict=True) if held[k][2] == 1 and len(f)]
             held.clear()
             if out:
-                g, s, r = zip(*out, strict=True)
-                return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(s, pa.int64()), pa.array(r, _RUNS)], names=["gram", "seg", "runs"])
+                *names, runs = zip(*out, strict=True)
+                return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in names), pa.array(runs, _RUNS)], names=["gram", "seg", "seg2", "runs"])
 
         def close() -> pa.RecordBatch | None:
             nonlocal size
@@ -251,12 +264,12 @@ def _array_task(width: int):
             return got
 
         for batch in batches:
-            for g, s, n, count, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if g != gram:
+            for key, g, s, t, at, starts, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
                     if (got := close()) is not None:
                         yield got
-                    gram = g
-                group[g, s] = (data, n, count)
+                    now = key
+                group[g, s, t, at] = (data, starts, n)
         if (got := close()) is not None:
             yield got
         if (got := array()) is not None:
@@ -278,8 +291,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Fetch the bytes of segments: ``wanted`` has (did, h, gram, seg, a, starts, n, off)."""
-    by_doc = wanted.groupBy("did", "h").agg(F.collect_list(F.struct("gram", "seg", "a", "starts", "n", "off")).alias("parts"))
+    """Fetch the bytes of segments: ``wanted`` has (did, h, gram, seg, seg2, a, starts, n, off)."""
+    by_doc = wanted.groupBy("did", "h").agg(F.collect_list(F.struct("gram", "seg", "seg2", "a", "starts", "n", "off")).alias("parts"))
     width = WIDTH
 
     def rows(texts, parts):
@@ -287,32 +300,65 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for text, some in zip(texts, parts, strict=True):
             data = text.encode()
             for p in some:
-                out.append((p["gram"], p["seg"], p["starts"], p["n"], p["off"], data[p["a"] : p["a"] + p["starts"] - 1 + width]))
+                out.append((p["gram"], p["gram"], p["seg"], p["seg2"], 0, p["starts"], p["n"], p["off"], data[p["a"] : p["a"] + p["starts"] - 1 + width]))
         return out
 
-    schema = "gram long, seg long, starts int, n int, off int, bytes binary"
+    schema = "key long, gram long, seg long, seg2 long, at int, starts int, n int, off int, bytes binary"
     return map_rows(docs.join(by_doc, ["did", "h"]), ["text", "parts"], schema, rows)
 
 
-def _by_content(fetched: DataFrame) -> DataFrame:
-    """Windows of large groups, counted by their content: (gram, seg, runs) as the arrays give."""
-    width = WIDTH
+#: What a task of suffix arrays gets of a piece: its group, its segment, the segment's start that its
+#: first one is, how many starts, how often it occurs (up to 2), and its bytes.
+PIECE = ["key", "gram", "seg", "seg2", "at", "starts", "n", "bytes"]
+_FOUND = "gram long, seg long, seg2 long, runs array<struct<lo:int,hi:int>>"
+
+
+def _arrays(pieces: DataFrame) -> DataFrame:
+    n = shuffle_width(pieces.sparkSession)
+    return pieces.select(*PIECE).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_array_task(WIDTH), _FOUND)
 
-    def rows(grams, segs, counts, starts, data):
+
+def halves(data: bytes, off: int, starts: int, lo: int, hi: int, width: int) -> list[tuple]:
+    """The two classes of a piece's windows, those with the anchor's offset in ``lo..middle`` and in
+    ``middle+1..hi``: (key, digest halves, lo, hi, anchor's offset in the piece, starts, first start, bytes)."""
+    out, middle = [], (lo + hi) // 2
+    for low, high in ((lo, middle), (middle + 1, hi)):
+        first, last = max(0, off - high), min(starts - 1, off - low)
+        if first <= last:
+            part = data[first : last + width]
+            key = _long(xxh3_64_intdigest(data[off - low : off + width - high], low << 16 | high))
+            out.append((key, *_digest(part, off - first), low, high, off - first, last - first + 1, first, part))
+    return out
+
+
+def _split(fetched: DataFrame, crowded: DataFrame, large: int) -> list[DataFrame]:
+    """What repeats in crowded groups of segments, as ``_arrays`` gives it."""
+    width, found = WIDTH, []
+    schema = "key long, d1 long, d2 long, lo int, hi int, off int, starts int, at int, bytes binary, gram long, seg long, seg2 long, n int"
+    rest = ["lo", "hi", "off", "starts", "at", "bytes", "gram", "seg", "seg2"]
+
+    def rows(los, his, offs, starts, ats, data, grams, segs, segs2, counts):
         out = []
-        for g, s, c, n, d in zip(grams, segs, counts, starts, data, strict=True):
-            for i in range(n):
-                w = xxh3_128_digest(d[i : i + width])
-                out.append((g, s, c, i, int.from_bytes(w[:8], "big", signed=True), int.from_bytes(w[8:], "big", signed=True)))
+        for lo, hi, off, s, at, d, g, a, b, n in zip(los, his, offs, starts, ats, data, grams, segs, segs2, counts, strict=True):
+            for key, d1, d2, low, high, o, few, first, part in halves(d, off, s, lo, hi, width):
+                out.append((key, d1, d2, low, high, o, few, at + first, part, g, a, b, n))
         return out
 
-    each = map_rows(
-        fetched.dropDuplicates(["gram", "seg"]), ["gram", "seg", "n", "starts", "bytes"], "gram long, seg long, n int, i int, w0 long, w1 long", rows
-    )
-    each = stored(each)
-    again = each.groupBy("w0", "w1").agg(F.sum("n").alias("times")).where("times > 1").select("w0", "w1")
-    hit = each.where("n = 1").join(again, ["w0", "w1"], "left_semi")
-    return hit.groupBy("gram", "seg").agg(F.array_agg(F.struct(F.col("i").alias("lo"), F.col("i").alias("hi"))).alias("runs"))
+    pieces = fetched.withColumns({"lo": F.lit(0), "hi": F.lit(width - GRAM)})
+    while not crowded.isEmpty():
+        each = stored(map_rows(pieces.join(crowded, "key", "left_semi"), [*rest, "n"], schema, rows))
+        one = each.groupBy("key", "d1", "d2").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.any_value(F.struct(*rest)).alias("one"))
+        pieces = stored(one.select("key", "d1", "d2", "n", "one.*"))
+        again = pieces.where("n > 1").select("key", "d1", "d2")
+        whole = each.where("n = 1").join(again, ["key", "d1", "d2"], "left_semi")
+        run = F.struct(F.col("at").alias("lo"), (F.col("at") + F.col("starts") - 1).alias("hi"))
+        found.append(whole.select("gram", "seg", "seg2", F.array(run).alias("runs")))
+        groups = pieces.groupBy("key").agg(F.count("*").alias("pieces"), F.min("n").alias("n"), F.max(F.col("hi") - F.col("lo")).alias("range"))
+        groups = checkpointed(groups.where("pieces > 1 and n = 1"))
+        crowded = groups.where((F.col("pieces") > large) & (F.col("range") > 0)).select("key")
+        fine = groups.where((F.col("pieces") <= large) | (F.col("range") == 0)).select("key")
+        found.append(_arrays(pieces.join(fine, "key", "left_semi")))
+    return found
 
 
 def removals(keyed: DataFrame, large: int | None = None) -> DataFrame:
@@ -327,35 +373,34 @@ def removals(keyed: DataFrame, large: int | None = None) -> DataFrame:
             if len(data) >= width:
                 parts, inside = segments(data, width)
                 out += [(d, h, *p) for p in parts]
-                out += [(d, h, None, None, a, b, None, None) for a, b in inside]
+                out += [(d, h, None, None, None, a, b, None, None) for a, b in inside]
         return out
 
-    table = stored(map_rows(keyed, ["did", "h", "text"], "did long, h long, gram long, seg long, a int, starts int, off int, n int", found))
+    schema = "did long, h long, gram long, seg long, seg2 long, a int, starts int, off int, n int"
+    table = stored(map_rows(keyed, ["did", "h", "text"], schema, found))
     inside = table.where("gram is null").select("did", "h", F.col("a").alias("lo"), F.col("starts").alias("hi"))
-    anchors = table.where("gram is not null")
-    grams = anchors.groupBy("gram").agg(F.sum("n").alias("times"), F.min("seg").alias("s0"), F.max("seg").alias("s1"))
-    grams = grams.where("times > 1").select("gram", (F.col("s0") == F.col("s1")).alias("alike"))
+    anchors, segment = table.where("gram is not null"), ["gram", "seg", "seg2"]
+    ends = [f(c).alias(f"{n}_{c}") for c in ("seg", "seg2") for n, f in (("least", F.min), ("most", F.max))]
+    grams = anchors.groupBy("gram").agg(F.sum("n").alias("times"), *ends).where("times > 1")
+    grams = grams.select("gram", ((F.col("least_seg") == F.col("most_seg")) & (F.col("least_seg2") == F.col("most_seg2"))).alias("alike"))
     candidates = stored(anchors.join(grams, "gram"))
     span = [F.col("a").alias("lo"), (F.col("a") + F.col("starts") + F.lit(width - 1)).alias("hi")]
     alike = candidates.where("alike").select("did", "h", *span)
     mixed = candidates.where("not alike")
-    distinct = stored(
-        mixed.groupBy("gram", "seg").agg(F.sum("n").cast("int").alias("n"), F.min(F.struct("did", "h", "a", "starts", "off")).alias("one"))
-    )
-    wanted = distinct.select("gram", "seg", F.least("n", F.lit(2)).alias("n"), "one.*")
-    crowded = checkpointed(distinct.groupBy("gram").count().where(F.col("count") > large).select("gram"))
-    columns = ["gram", "seg", "starts", "n", "bytes"]
-    sort = lambda df: df.select(*columns).repartition(shuffle_width(spark), "gram").sortWithinPartitions("gram")
-    schema = "gram long, seg long, runs array<struct<lo:int,hi:int>>"
+    one = F.min(F.struct("did", "h", "a", "starts", "off")).alias("one")
+    distinct = stored(mixed.groupBy(*segment).agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), one))
+    wanted = distinct.select(*segment, "n", "one.*")
+    crowded = checkpointed(distinct.groupBy(F.col("gram").alias("key")).count().where(F.col("count") > large).select("key"))
     if crowded.isEmpty():
-        arrays = sort(_bytes_of(keyed, wanted)).mapInArrow(_array_task(width), schema)
+        arrays = stored(_arrays(_bytes_of(keyed, wanted)))
     else:
         fetched = stored(_bytes_of(keyed, wanted))
-        arrays = sort(fetched.join(crowded, "gram", "left_anti")).mapInArrow(_array_task(width), schema)
-        arrays = arrays.unionByName(_by_content(fetched.join(crowded, "gram", "left_semi")))
-    arrays = stored(arrays)
-    whole = mixed.join(distinct.where("n > 1").select("gram", "seg"), ["gram", "seg"], "left_semi").select("did", "h", *span)
-    partly = mixed.join(arrays, ["gram", "seg"]).select("did", "h", "a", F.explode("runs").alias("r"))
+        arrays = _arrays(fetched.join(crowded, "key", "left_anti"))
+        for part in _split(fetched, crowded, large):
+            arrays = arrays.unionByName(part)
+        arrays = stored(arrays)
+    whole = mixed.join(distinct.where("n > 1").select(*segment), segment, "left_semi").select("did", "h", *span)
+    partly = mixed.join(arrays, segment).select("did", "h", "a", F.explode("runs").alias("r"))
     partly = partly.select("did", "h", (F.col("a") + F.col("r.lo")).alias("lo"), (F.col("a") + F.col("r.hi") + F.lit(width)).alias("hi"))
     return inside.union(alike).union(whole).union(partly)
 

@@ -246,6 +246,39 @@ def test_suffix_dedup(spark, small, odd, large):
     assert suffix_dedup.deduplicated(odd).count() == odd.count()
 
 
+@pytest.mark.parametrize("length", [330, 395, 560])
+def test_crowded_groups_are_split(spark, length):
+    """A passage in very many documents with other text around it, some of which repeats."""
+    rng = random.Random(length)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(length))
+    made = []
+    for i in range(1200):
+        left, right = ("".join(rng.choice("st") for _ in range(rng.choice((5, 70, 200)))) for _ in "ab")
+        if i % 10 == 0:
+            left, right = left[:30] + "u" * (i % 70), "v" * (i % 90) + right
+        made.append((i, left + passage + right))
+    texts = [t.encode() for _, t in made]
+    got = suffix_dedup.op6(spark.createDataFrame(made, "doc_id long, text string"), 16).collect()
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == plain_cuts(texts, 400)
+
+
+def test_halves_hold_every_window_once():
+    rng = random.Random(4)
+    for _ in range(50):
+        starts = rng.randrange(1, 338)
+        off = rng.randrange(starts - 1, 337)
+        data = bytes(rng.randrange(256) for _ in range(starts + 399))
+        parts, windows = [(data, off, starts, 0, 336, 0)], []
+        while parts:
+            d, o, s, lo, hi, at = parts.pop()
+            if lo == hi:
+                assert s == 1 and len(d) == 400
+                windows.append(at)
+            else:
+                parts += [(x[8], x[5], x[6], x[3], x[4], at + x[7]) for x in suffix_dedup.halves(d, o, s, lo, hi, 400)]
+        assert sorted(windows) == list(range(starts))
+
+
 def test_long_texts_in_stretches(monkeypatch):
     rng = random.Random(9)
     t = bytes(rng.choice(b"abcd") for _ in range(9000))
