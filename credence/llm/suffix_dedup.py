@@ -29,6 +29,10 @@ Groups of copies cost little: equal segments are one segment with a count from t
 each of a segment's windows repeats if the count is above one. Such equality (step 2 and the counts)
 is that of 128-bit digests, beside the 64-bit hash of the anchor's substring.
 
+The same is done once more on words: each word's 64-bit hash is 8 bytes, WIDTH is then 50 words, and
+windows start at words only. This finds the passages of 50 words or more that repeat, of which those
+below 400 bytes are out of the reach of the byte rule.
+
 Defined results: a null text counts as empty; texts shorter than WIDTH bytes lose nothing. Repeated
 rows are documents like any other, so all of their windows repeat. Equal or null ids are kept apart
 by their texts. Every row is returned; an empty table gives an empty table. Columns other than
@@ -50,7 +54,9 @@ from credence.llm.common import bounded_batches, checkpointed, map_rows, shuffle
 
 WIDTH = 400
 GRAM = 64
-#: Bytes of a text whose anchors are sought at a time.
+#: Bytes of a word's hash; WIDTH then holds 50 words, and a gram 8.
+WORD = 8
+#: Units of a text whose anchors are sought at a time.
 STRETCH = 1 << 22
 #: Bytes of segments that one suffix array covers, more only for a single group.
 BATCH = 1 << 19
@@ -62,25 +68,35 @@ _NO_ID = -(1 << 63)
 # --- anchors ---------------------------------------------------------------------------------------
 
 
-def _gram_hashes(data: bytes) -> np.ndarray:
-    """A hash of the GRAM bytes from each position, by doubling the length."""
-    h = np.frombuffer(data, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+def units(text: str | None, step: int) -> bytes:
+    """The bytes in which matches are sought: those of the text, or 64-bit hashes of its words."""
+    data = (text or "").encode()
+    if step == 1:
+        return data
+    words = data.split()
+    return np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)).tobytes()
+
+
+def _gram_hashes(h: np.ndarray, many: int) -> np.ndarray:
+    """A hash of the units from each position, a power of two of them, by doubling the length."""
     base, n = np.uint64(0x9E3779B97F4A7C15), 1
     with np.errstate(over="ignore"):
-        while n < GRAM:
+        while n < many:
             h = h[:-n] * base + h[n:]
             base, n = base * base, 2 * n
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
 
 
-def _anchors(data: bytes, width: int) -> Iterator[tuple[int, int, int]]:
-    """(first window start, last window start, anchor position) of each segment of a text."""
+def _anchors(data: bytes, width: int, step: int = 1) -> Iterator[tuple[int, int, int]]:
+    """(first window start, last window start, anchor position) of each segment of a text, in units."""
     low = np.uint64((1 << 24) - 1)
-    reach = width - GRAM + 1
-    for begin in range(0, len(data) - width + 1, STRETCH):
-        part = data[begin : begin + STRETCH + width - 1]
-        v = _gram_hashes(part)
+    width, gram = width // step, GRAM // step
+    reach = width - gram + 1
+    every = np.frombuffer(data, dtype=np.uint8 if step == 1 else np.uint64)
+    for begin in range(0, len(every) - width + 1, STRETCH):
+        part = every[begin : begin + STRETCH + width - 1]
+        v = _gram_hashes(part.astype(np.uint64) + np.uint64(1) if step == 1 else part, gram)
         v = (v & ~low) | np.arange(len(v), dtype=np.uint64)  # ties go to the left
         padded = np.full(-(-len(v) // reach) * reach, np.iinfo(np.uint64).max, dtype=np.uint64)
         padded[: len(v)] = v
@@ -107,20 +123,21 @@ def _digest(data: bytes, at: int) -> tuple[int, int]:
     return _long(d), _long(d >> 64)
 
 
-def segments(text: bytes, width: int) -> tuple[list[tuple[int, ...]], list[tuple[int, int]]]:
+def segments(data: bytes, width: int, step: int = 1) -> tuple[list[tuple[int, ...]], list[tuple[int, int]]]:
     """The distinct segments of one text as (gram, two halves of the segment's digest, first start,
-    starts, offset of the anchor, count up to 2), and the byte ranges that repeat inside the text."""
+    starts, offset of the anchor, count up to 2), and the ranges that repeat inside the text."""
     seen: dict[tuple[int, int, int], list[int]] = {}
+    wide = width // step
     inside = []
-    for a, b, p in _anchors(text, width):
-        key = _long(xxh3_64_intdigest(text[p : p + GRAM])), *_digest(text[a : b + width], p - a)
+    for a, b, p in _anchors(data, width, step):
+        key = _long(xxh3_64_intdigest(data[p * step : p * step + GRAM])), *_digest(data[a * step : b * step + width], p - a)
         if (old := seen.get(key)) is None:
             seen[key] = [a, b - a + 1, p - a, 1]
         else:
             if old[3] == 1:
-                inside.append((old[0], old[0] + old[1] - 1 + width))
+                inside.append((old[0], old[0] + old[1] - 1 + wide))
                 old[3] = 2
-            inside.append((a, b + width))
+            inside.append((a, b + wide))
     return [(*k, *v) for k, v in seen.items()], merged(inside)
 
 
@@ -207,14 +224,14 @@ def common_prefixes(text: bytes, order: list[int], depth: int) -> np.ndarray:
     return np.minimum(shared, depth)
 
 
-def repeated_starts(parts: list[tuple[bytes, int]], width: int) -> list[np.ndarray]:
+def repeated_starts(parts: list[tuple[bytes, int]], width: int, step: int = 1) -> list[np.ndarray]:
     """For each (segment, number of window starts): the starts whose window occurs again among the parts."""
     text = b"".join(p for p, _ in parts)
     sizes = np.array([len(p) for p, _ in parts])
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     wanted = np.zeros(len(text), dtype=bool)
     for b, (_, n) in zip(begin.tolist(), parts, strict=True):
-        wanted[b : b + n] = True
+        wanted[b : b + n * step : step] = True
     marked, order = two_stage_sort(text, wanted, width)
     # suffixes that only served to induce others, or whose window leaves its segment, do not count
     order = [i for i in order if i < len(wanted) and wanted[i]]
@@ -224,7 +241,7 @@ def repeated_starts(parts: list[tuple[bytes, int]], width: int) -> list[np.ndarr
         equal = common_prefixes(marked, order, width) >= width
         again[at[:-1][equal]] = True
         again[at[1:][equal]] = True
-    return [np.flatnonzero(again[b : b + n]) for b, (_, n) in zip(begin.tolist(), parts, strict=True)]
+    return [np.flatnonzero(again[b : b + n * step : step]) for b, (_, n) in zip(begin.tolist(), parts, strict=True)]
 
 
 def _runs(starts: np.ndarray) -> list[dict]:
@@ -239,7 +256,7 @@ def _runs(starts: np.ndarray) -> list[dict]:
 _RUNS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
-def _array_task(width: int):
+def _array_task(width: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of PIECE sorted by key; a batch of whole groups makes one array."""
         held: dict[tuple[int, int, int, int], tuple[bytes, int, int]] = {}
@@ -247,7 +264,7 @@ def _array_task(width: int):
 
         def array() -> pa.RecordBatch | None:
             keys = list(held)
-            found = repeated_starts([held[k][:2] for k in keys], width) if keys else []
+            found = repeated_starts([held[k][:2] for k in keys], width, step) if keys else []
             out = [(*k[:3], _runs(f + k[3])) for k, f in zip(keys, found, strict=True) if held[k][2] == 1 and len(f)]
             held.clear()
             if out:
@@ -290,7 +307,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _bytes_of(docs: DataFrame, wanted: DataFrame, step: int) -> DataFrame:
     """Fetch the bytes of segments: ``wanted`` has (did, h, gram, seg, seg2, a, starts, n, off)."""
     by_doc = wanted.groupBy("did", "h").agg(F.collect_list(F.struct("gram", "seg", "seg2", "a", "starts", "n", "off")).alias("parts"))
     width = WIDTH
@@ -298,9 +315,10 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def rows(texts, parts):
         out = []
         for text, some in zip(texts, parts, strict=True):
-            data = text.encode()
+            data = units(text, step)
             for p in some:
-                out.append((p["gram"], p["gram"], p["seg"], p["seg2"], 0, p["starts"], p["n"], p["off"], data[p["a"] : p["a"] + p["starts"] - 1 + width]))
+                end = (p["a"] + p["starts"] - 1) * step + width
+                out.append((p["gram"], p["gram"], p["seg"], p["seg2"], 0, p["starts"], p["n"], p["off"], data[p["a"] * step : end]))
         return out
 
     schema = "key long, gram long, seg long, seg2 long, at int, starts int, n int, off int, bytes binary"
@@ -313,25 +331,25 @@ PIECE = ["key", "gram", "seg", "seg2", "at", "starts", "n", "bytes"]
 _FOUND = "gram long, seg long, seg2 long, runs array<struct<lo:int,hi:int>>"
 
 
-def _arrays(pieces: DataFrame) -> DataFrame:
+def _arrays(pieces: DataFrame, step: int) -> DataFrame:
     n = shuffle_width(pieces.sparkSession)
-    return pieces.select(*PIECE).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_array_task(WIDTH), _FOUND)
+    return pieces.select(*PIECE).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_array_task(WIDTH, step), _FOUND)
 
 
-def halves(data: bytes, off: int, starts: int, lo: int, hi: int, width: int) -> list[tuple]:
+def halves(data: bytes, off: int, starts: int, lo: int, hi: int, width: int, step: int = 1) -> list[tuple]:
     """The two classes of a piece's windows, those with the anchor's offset in ``lo..middle`` and in
     ``middle+1..hi``: (key, digest halves, lo, hi, anchor's offset in the piece, starts, first start, bytes)."""
-    out, middle = [], (lo + hi) // 2
+    out, middle, wide = [], (lo + hi) // 2, width // step
     for low, high in ((lo, middle), (middle + 1, hi)):
         first, last = max(0, off - high), min(starts - 1, off - low)
         if first <= last:
-            part = data[first : last + width]
-            key = _long(xxh3_64_intdigest(data[off - low : off + width - high], low << 16 | high))
+            part = data[first * step : (last + wide) * step]
+            key = _long(xxh3_64_intdigest(data[(off - low) * step : (off + wide - high) * step], low << 16 | high))
             out.append((key, *_digest(part, off - first), low, high, off - first, last - first + 1, first, part))
     return out
 
 
-def _split(fetched: DataFrame, crowded: DataFrame, large: int) -> list[DataFrame]:
+def _split(fetched: DataFrame, crowded: DataFrame, large: int, step: int) -> list[DataFrame]:
     """What repeats in crowded groups of segments, as ``_arrays`` gives it."""
     width, found = WIDTH, []
     schema = "key long, d1 long, d2 long, lo int, hi int, off int, starts int, at int, bytes binary, gram long, seg long, seg2 long, n int"
@@ -340,11 +358,11 @@ def _split(fetched: DataFrame, crowded: DataFrame, large: int) -> list[DataFrame
     def rows(los, his, offs, starts, ats, data, grams, segs, segs2, counts):
         out = []
         for lo, hi, off, s, at, d, g, a, b, n in zip(los, his, offs, starts, ats, data, grams, segs, segs2, counts, strict=True):
-            for key, d1, d2, low, high, o, few, first, part in halves(d, off, s, lo, hi, width):
+            for key, d1, d2, low, high, o, few, first, part in halves(d, off, s, lo, hi, width, step):
                 out.append((key, d1, d2, low, high, o, few, at + first, part, g, a, b, n))
         return out
 
-    pieces = fetched.withColumns({"lo": F.lit(0), "hi": F.lit(width - GRAM)})
+    pieces = fetched.withColumns({"lo": F.lit(0), "hi": F.lit((width - GRAM) // step)})
     while not crowded.isEmpty():
         each = stored(map_rows(pieces.join(crowded, "key", "left_semi"), [*rest, "n"], schema, rows))
         one = each.groupBy("key", "d1", "d2").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.any_value(F.struct(*rest)).alias("one"))
@@ -357,21 +375,22 @@ def _split(fetched: DataFrame, crowded: DataFrame, large: int) -> list[DataFrame
         groups = checkpointed(groups.where("pieces > 1 and n = 1"))
         crowded = groups.where((F.col("pieces") > large) & (F.col("range") > 0)).select("key")
         fine = groups.where((F.col("pieces") <= large) | (F.col("range") == 0)).select("key")
-        found.append(_arrays(pieces.join(fine, "key", "left_semi")))
+        found.append(_arrays(pieces.join(fine, "key", "left_semi"), step))
     return found
 
 
-def removals(keyed: DataFrame, large: int | None = None) -> DataFrame:
-    """``(did, h, lo, hi)``: byte ranges to remove, possibly overlapping."""
-    spark, width = keyed.sparkSession, WIDTH
+def removals(keyed: DataFrame, large: int | None = None, step: int = 1) -> DataFrame:
+    """``(did, h, lo, hi)``: ranges covered by what starts anywhere else, possibly overlapping; of
+    bytes, or of words where the step is that of a word's hash."""
+    width, wide = WIDTH, WIDTH // step
     large = LARGE if large is None else large
 
     def found(dids, hashes, texts):
         out = []
         for d, h, t in zip(dids, hashes, texts, strict=True):
-            data = t.encode()
+            data = units(t, step)
             if len(data) >= width:
-                parts, inside = segments(data, width)
+                parts, inside = segments(data, width, step)
                 out += [(d, h, *p) for p in parts]
                 out += [(d, h, None, None, None, a, b, None, None) for a, b in inside]
         return out
@@ -384,7 +403,7 @@ def removals(keyed: DataFrame, large: int | None = None) -> DataFrame:
     grams = anchors.groupBy("gram").agg(F.sum("n").alias("times"), *ends).where("times > 1")
     grams = grams.select("gram", ((F.col("least_seg") == F.col("most_seg")) & (F.col("least_seg2") == F.col("most_seg2"))).alias("alike"))
     candidates = stored(anchors.join(grams, "gram"))
-    span = [F.col("a").alias("lo"), (F.col("a") + F.col("starts") + F.lit(width - 1)).alias("hi")]
+    span = [F.col("a").alias("lo"), (F.col("a") + F.col("starts") + F.lit(wide - 1)).alias("hi")]
     alike = candidates.where("alike").select("did", "h", *span)
     mixed = candidates.where("not alike")
     one = F.min(F.struct("did", "h", "a", "starts", "off")).alias("one")
@@ -392,16 +411,16 @@ def removals(keyed: DataFrame, large: int | None = None) -> DataFrame:
     wanted = distinct.select(*segment, "n", "one.*")
     crowded = checkpointed(distinct.groupBy(F.col("gram").alias("key")).count().where(F.col("count") > large).select("key"))
     if crowded.isEmpty():
-        arrays = stored(_arrays(_bytes_of(keyed, wanted)))
+        arrays = stored(_arrays(_bytes_of(keyed, wanted, step), step))
     else:
-        fetched = stored(_bytes_of(keyed, wanted))
-        arrays = _arrays(fetched.join(crowded, "key", "left_anti"))
-        for part in _split(fetched, crowded, large):
+        fetched = stored(_bytes_of(keyed, wanted, step))
+        arrays = _arrays(fetched.join(crowded, "key", "left_anti"), step)
+        for part in _split(fetched, crowded, large, step):
             arrays = arrays.unionByName(part)
         arrays = stored(arrays)
     whole = mixed.join(distinct.where("n > 1").select(*segment), segment, "left_semi").select("did", "h", *span)
     partly = mixed.join(arrays, segment).select("did", "h", "a", F.explode("runs").alias("r"))
-    partly = partly.select("did", "h", (F.col("a") + F.col("r.lo")).alias("lo"), (F.col("a") + F.col("r.hi") + F.lit(width)).alias("hi"))
+    partly = partly.select("did", "h", (F.col("a") + F.col("r.lo")).alias("lo"), (F.col("a") + F.col("r.hi") + F.lit(wide)).alias("hi"))
     return inside.union(alike).union(whole).union(partly)
 
 
@@ -417,12 +436,16 @@ def _cut(text: str, ranges: list) -> tuple[bytes, int, int]:
     return b"".join(out), sum(b - a for a, b in spans), len(spans)
 
 
-def with_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", large: int | None = None) -> DataFrame:
-    """``(doc_id, text, ranges)``: every row with the byte ranges to remove, null where none."""
+def with_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", large: int | None = None, passages: bool = False) -> DataFrame:
+    """``(doc_id, text, ranges, passages)``: every row with the byte ranges to remove and, if asked
+    for, the word ranges of repeated passages; null where there are none."""
     bounded_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
-    ranges = removals(keyed, large).distinct().groupBy("did", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    return keyed.join(ranges, ["did", "h"], "left").select("doc_id", "text", "ranges")
+    found = removals(keyed, large).withColumn("word", F.lit(False))
+    if passages:
+        found = found.unionByName(removals(keyed, large, WORD).withColumn("word", F.lit(True)))
+    ranges = found.groupBy("did", "h").agg(*[F.collect_set(F.when(F.col("word") == w, F.struct("lo", "hi"))).alias(n) for w, n in ((False, "ranges"), (True, "passages"))])
+    return keyed.join(ranges, ["did", "h"], "left").select("doc_id", "text", "ranges", "passages")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -435,12 +458,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op6(docs: DataFrame, large: int | None = None) -> DataFrame:
-    def rows(ids, texts, ranges):
+    """Bytes removed by the 400-byte rule; then ``n_passages`` and ``n_passage_words``: maximal runs of
+    words covered by ``WIDTH // WORD`` words that also start anywhere else, and the words in them.
+    Passages shorter than 400 bytes are reported there but never removed."""
+
+    def rows(ids, texts, ranges, passages):
         out = []
-        for i, t, r in zip(ids, texts, ranges, strict=True):
+        for i, t, r, p in zip(ids, texts, ranges, passages, strict=True):
             kept, removed, spans = _cut(t, r)
-            out.append((i, len(kept) + removed, removed, spans, sha256(kept).hexdigest()))
+            words = merged([(x["lo"], x["hi"]) for x in p or ()])
+            out.append((i, len(kept) + removed, removed, spans, sha256(kept).hexdigest(), len(words), sum(b - a for a, b in words)))
         return out
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return map_rows(with_ranges(docs, large=large), ["doc_id", "text", "ranges"], schema, rows)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long"
+    return map_rows(with_ranges(docs, large=large, passages=True), ["doc_id", "text", "ranges", "passages"], schema, rows)

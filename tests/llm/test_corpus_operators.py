@@ -232,6 +232,38 @@ def plain_cuts(texts, width):
     return sorted(out)
 
 
+def plain_passages(texts, width=50):
+    seen = collections.Counter()
+    words = [t.split() for t in texts]
+    for w in words:
+        seen.update(tuple(w[i : i + width]) for i in range(len(w) - width + 1))
+    out = []
+    for t, w in zip(texts, words, strict=True):
+        inside = np.zeros(len(w) + 1, dtype=bool)
+        for i in range(len(w) - width + 1):
+            if seen[tuple(w[i : i + width])] > 1:
+                inside[i : i + width] = True
+        out.append((len(t), int((inside[1:] & ~inside[:-1]).sum() + inside[0]), int(inside.sum())))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("large", [None, 1])
+def test_repeated_passages(spark, large):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 5)))
+    passages = [[word() for _ in range(n)] for n in (49, 50, 51, 60, 200)]
+    made = []
+    for i in range(120):
+        w = [word() for _ in range(rng.randrange(80))]
+        for _ in range(rng.randrange(3)):
+            w += rng.choice(passages) + [word() for _ in range(rng.randrange(40))]
+        made.append((i, rng.choice([" ", "\n", "\t "]).join(w)))
+    made += [(200, "of. " * 130), (201, None), (202, "ü " * 60)]
+    got = suffix_dedup.op6(spark.createDataFrame(made, "doc_id long, text string"), large).collect()
+    texts = [(t or "").encode() for _, t in made]
+    assert sorted((r["n_bytes"], r["n_passages"], r["n_passage_words"]) for r in got) == plain_passages(texts)
+
+
 @pytest.mark.parametrize("large", [None, 1])
 def test_suffix_dedup(spark, small, odd, large):
     rng = random.Random(8)
@@ -242,6 +274,7 @@ def test_suffix_dedup(spark, small, odd, large):
         texts = [(r["text"] or "").encode() for r in docs.collect()]
         got = suffix_dedup.op6(docs, large).collect()
         assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == plain_cuts(texts, 400)
+        assert sorted((r["n_bytes"], r["n_passages"], r["n_passage_words"]) for r in got) == plain_passages(texts)
     assert suffix_dedup.op6(odd.limit(0)).count() == 0
     assert suffix_dedup.deduplicated(odd).count() == odd.count()
 
