@@ -41,6 +41,7 @@ id and text are not read. Offsets are 32-bit, as a text of Spark's is below 2 Gi
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -48,7 +49,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from credence.llm.common import bounded_batches, checkpointed, map_rows, shuffle_width, stored
 
@@ -58,6 +59,8 @@ GRAM = 64
 WORD = 8
 #: Units of a text whose anchors are sought at a time.
 STRETCH = 1 << 22
+#: Bytes of words hashed at a time, and the longest that are hashed so.
+BLOCK, LONG = 1 << 16, 256
 #: Bytes of segments that one suffix array covers, more only for a single group.
 BATCH = 1 << 19
 #: Distinct segments of one anchor, or pieces of a class, beyond which they are split.
@@ -68,13 +71,49 @@ _NO_ID = -(1 << 63)
 # --- anchors ---------------------------------------------------------------------------------------
 
 
-def units(text: str | None, step: int) -> bytes:
+def _powers(base: int) -> np.ndarray:
+    out = np.full(BLOCK, base, dtype=np.uint64)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
+
+
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[32, *range(9, 14)]] = True
+_BASE = 0x9E3779B97F4A7C15
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words: polynomials, from running sums over a block of words at a time;
+    words longer than ``LONG`` bytes by XXH3."""
+    every = np.frombuffer(data, dtype=np.uint8)
+    space = np.ones(len(every) + 2, dtype=np.int8)
+    space[1:-1] = _SPACE[every]
+    edges = np.flatnonzero(np.diff(space))
+    starts, ends = edges[::2], edges[1::2]
+    h = np.zeros(len(starts), dtype=np.uint64)
+    i = 0
+    with np.errstate(over="ignore"):
+        while i < len(starts):
+            j = int(np.searchsorted(ends, starts[i] + BLOCK, "right"))
+            if j > i:
+                at = starts[i]
+                part = every[at : ends[j - 1]].astype(np.uint64) + np.uint64(1)
+                sums = np.zeros(len(part) + 1, dtype=np.uint64)
+                np.cumsum(part * _UP[: len(part)], out=sums[1:])
+                h[i:j] = (sums[ends[i:j] - at] - sums[starts[i:j] - at]) * _DOWN[starts[i:j] - at]
+            i = max(j, i + 1)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    for k in np.flatnonzero(ends - starts > LONG).tolist():
+        h[k] = xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return h
+
+
+def units(data: bytes, step: int) -> bytes:
     """The bytes in which matches are sought: those of the text, or 64-bit hashes of its words."""
-    data = (text or "").encode()
-    if step == 1:
-        return data
-    words = data.split()
-    return np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)).tobytes()
+    return data if step == 1 else word_hashes(data).tobytes()
 
 
 def _gram_hashes(h: np.ndarray, many: int) -> np.ndarray:
@@ -88,16 +127,17 @@ def _gram_hashes(h: np.ndarray, many: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _anchors(data: bytes, width: int, step: int = 1) -> Iterator[tuple[int, int, int]]:
-    """(first window start, last window start, anchor position) of each segment of a text, in units."""
+def _anchors(data: bytes, width: int, step: int = 1) -> Iterator[tuple[int, int, int, int]]:
+    """(first window start, last window start, anchor position, anchor's hash) of each segment of a
+    text, in units."""
     low = np.uint64((1 << 24) - 1)
     width, gram = width // step, GRAM // step
     reach = width - gram + 1
     every = np.frombuffer(data, dtype=np.uint8 if step == 1 else np.uint64)
     for begin in range(0, len(every) - width + 1, STRETCH):
         part = every[begin : begin + STRETCH + width - 1]
-        v = _gram_hashes(part.astype(np.uint64) + np.uint64(1) if step == 1 else part, gram)
-        v = (v & ~low) | np.arange(len(v), dtype=np.uint64)  # ties go to the left
+        grams = _gram_hashes(part.astype(np.uint64) + np.uint64(1) if step == 1 else part, gram)
+        v = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)  # ties go to the left
         padded = np.full(-(-len(v) // reach) * reach, np.iinfo(np.uint64).max, dtype=np.uint64)
         padded[: len(v)] = v
         rows = padded.reshape(-1, reach)
@@ -109,7 +149,9 @@ def _anchors(data: bytes, width: int, step: int = 1) -> Iterator[tuple[int, int,
         cut = np.flatnonzero(np.diff(at)) + 1
         first = np.concatenate([[0], cut])
         last = np.concatenate([cut, [n]]) - 1
-        yield from zip((first + begin).tolist(), (last + begin).tolist(), (at[first] + begin).tolist(), strict=True)
+        at = at[first]
+        hashes = (grams[at] ^ np.uint64(step)).view(np.int64)  # bytes and words have anchors of their own
+        yield from zip((first + begin).tolist(), (last + begin).tolist(), (at + begin).tolist(), hashes.tolist(), strict=True)
 
 
 def _long(value: int) -> int:
@@ -117,20 +159,22 @@ def _long(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+_HALVES = struct.Struct(">qq")
+
+
 def _digest(data: bytes, at: int) -> tuple[int, int]:
     """128 bits of some bytes with the anchor at an offset."""
-    d = xxh3_128_intdigest(data, at)
-    return _long(d), _long(d >> 64)
+    return _HALVES.unpack(xxh3_128_digest(data, at))
 
 
-def segments(data: bytes, width: int, step: int = 1) -> tuple[list[tuple[int, ...]], list[tuple[int, int]]]:
-    """The distinct segments of one text as (gram, two halves of the segment's digest, first start,
-    starts, offset of the anchor, count up to 2), and the ranges that repeat inside the text."""
+def segments(data: bytes, width: int, step: int = 1) -> tuple[dict[tuple[int, int, int], list[int]], list[tuple[int, int]]]:
+    """The distinct segments of one text, (gram, two halves of the segment's digest) to [first start,
+    starts, offset of the anchor, count up to 2], and the ranges that repeat inside the text."""
     seen: dict[tuple[int, int, int], list[int]] = {}
     wide = width // step
     inside = []
-    for a, b, p in _anchors(data, width, step):
-        key = _long(xxh3_64_intdigest(data[p * step : p * step + GRAM])), *_digest(data[a * step : b * step + width], p - a)
+    for a, b, p, gram in _anchors(data, width, step):
+        key = gram, *_digest(data[a * step : b * step + width], p - a)
         if (old := seen.get(key)) is None:
             seen[key] = [a, b - a + 1, p - a, 1]
         else:
@@ -138,7 +182,7 @@ def segments(data: bytes, width: int, step: int = 1) -> tuple[list[tuple[int, ..
                 inside.append((old[0], old[0] + old[1] - 1 + wide))
                 old[3] = 2
             inside.append((a, b + wide))
-    return [(*k, *v) for k, v in seen.items()], merged(inside)
+    return seen, merged(inside)
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -166,21 +210,15 @@ def two_stage_sort(text: bytes, wanted: np.ndarray, depth: int) -> tuple[bytes,
     text = text + b"\x00\xff"  # the last suffix of the text proper has a smaller one after it
     data = np.frombuffer(text, dtype=np.uint8)
     n = len(data)
-    step = np.flatnonzero(data[1:] != data[:-1])
+    ends = np.flatnonzero(data[1:] != data[:-1])  # of runs of one byte, but for the last run
     rises = np.zeros(n, dtype=bool)  # smaller than its successor
-    following = np.searchsorted(step, np.arange(n - 1))
-    known = following < len(step)
-    at = step[following[known]]
-    rises[: n - 1][known] = data[at] < data[at + 1]
+    rises[: ends[-1] + 1] = np.repeat(data[ends] < data[ends + 1], np.diff(ends, prepend=-1))
     need = np.zeros(n, dtype=bool)
     need[: len(wanted)] = wanted
-    stops = np.flatnonzero(rises)
     falls = np.flatnonzero(need & ~rises)
     if len(falls):  # the run from each needed falling suffix to the next rising one
-        ends = stops[np.searchsorted(stops, falls)]
-        edges = np.zeros(n + 1, dtype=np.int32)
-        np.add.at(edges, falls, 1)
-        np.subtract.at(edges, ends + 1, 1)
+        stops = np.flatnonzero(rises)
+        edges = np.bincount(falls, minlength=n + 1) - np.bincount(stops[np.searchsorted(stops, falls)] + 1, minlength=n + 1)
         need |= np.cumsum(edges[:-1]) > 0
     up, down = np.flatnonzero(need & rises), np.flatnonzero(need & ~rises)
     ups, downs = np.bincount(data[up], minlength=256), np.bincount(data[down], minlength=256)
@@ -205,22 +243,25 @@ def two_stage_sort(text: bytes, wanted: np.ndarray, depth: int) -> tuple[bytes,
     return text, order
 
 
-def common_prefixes(text: bytes, order: list[int], depth: int) -> np.ndarray:
+def common_prefixes(text: bytes, order: np.ndarray, depth: int) -> np.ndarray:
     """For each neighbouring pair of the suffix array the bytes they share, at most ``depth``."""
-    padded = np.frombuffer(text + bytes(depth + 8), dtype=np.uint8)
+    padded = text + bytes(depth + 16)
+    words = np.ndarray(len(text) + depth + 8, dtype="<u8", buffer=padded, strides=(1,)).astype(np.uint64)  # 8 bytes from each place
     at = np.asarray(order, dtype=np.int64)
     left, right = at[:-1], at[1:]
-    shared = np.zeros(len(left), dtype=np.int64)
-    alive = np.arange(len(left))
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    shared = np.full(max(len(at) - 1, 0), depth, dtype=np.int64)
+    alive = np.arange(len(shared))
     for k in range(0, depth, 8):
-        a, b = words[left[alive] + k], words[right[alive] + k]
-        same = (a == b) & (np.arange(k, k + 8) < depth)
-        run = np.where(same.all(axis=1), 8, same.argmin(axis=1))
-        shared[alive] += run
-        alive = alive[run == 8]
-        if not len(alive):
-            break
+        apart = words[left + k] ^ words[right + k]
+        ended = np.flatnonzero(apart)
+        if len(ended):
+            x = apart[ended]
+            same = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3  # whole bytes below the first set bit
+            shared[alive[ended]] = k + same.astype(np.int64)
+            on = apart == 0
+            alive, left, right = alive[on], left[on], right[on]
+            if not len(alive):
+                break
     return np.minimum(shared, depth)
 
 
@@ -234,11 +275,12 @@ def repeated_starts(parts: list[tuple[bytes, int]], width: int, step: int = 1) -
         wanted[b : b + n * step : step] = True
     marked, order = two_stage_sort(text, wanted, width)
     # suffixes that only served to induce others, or whose window leaves its segment, do not count
-    order = [i for i in order if i < len(wanted) and wanted[i]]
+    order = np.asarray(order, dtype=np.int64)
+    order = order[order < len(wanted)]
+    at = order[wanted[order]]
     again = np.zeros(len(text), dtype=bool)
-    if len(order) > 1:
-        at = np.asarray(order)
-        equal = common_prefixes(marked, order, width) >= width
+    if len(at) > 1:
+        equal = common_prefixes(marked, at, width) >= width
         again[at[:-1][equal]] = True
         again[at[1:][equal]] = True
     return [np.flatnonzero(again[b : b + n * step : step]) for b, (_, n) in zip(begin.tolist(), parts, strict=True)]
@@ -256,41 +298,44 @@ def _runs(starts: np.ndarray) -> list[dict]:
 _RUNS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
-def _array_task(width: int, step: int):
+def _array_task(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of PIECE sorted by key; a batch of whole groups makes one array."""
-        held: dict[tuple[int, int, int, int], tuple[bytes, int, int]] = {}
-        now, group, size = None, {}, 0
-
-        def array() -> pa.RecordBatch | None:
-            keys = list(held)
-            found = repeated_starts([held[k][:2] for k in keys], width, step) if keys else []
-            out = [(*k[:3], _runs(f + k[3])) for k, f in zip(keys, found, strict=True) if held[k][2] == 1 and len(f)]
-            held.clear()
+        """Rows of PIECE sorted by key; a batch of whole groups of one step makes one array."""
+        held: dict[int, dict[tuple[int, int, int, int], tuple[bytes, int, int]]] = {}
+        sizes: dict[int, int] = {}
+        now, group = None, {}
+
+        def array(step: int) -> pa.RecordBatch | None:
+            pieces = held.pop(step, {})
+            sizes[step] = 0
+            found = repeated_starts([p[:2] for p in pieces.values()], width, step) if pieces else []
+            out = [(*k[:3], _runs(f + k[3])) for (k, p), f in zip(pieces.items(), found, strict=True) if p[2] == 1 and len(f)]
             if out:
                 *names, runs = zip(*out, strict=True)
                 return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in names), pa.array(runs, _RUNS)], names=["gram", "seg", "seg2", "runs"])
 
         def close() -> pa.RecordBatch | None:
-            nonlocal size
-            own = sum(len(x[0]) for x in group.values())
-            got = array() if size + own > BATCH and held else None
-            size = own if not held else size + own
-            held.update(group)
+            if not group:
+                return None
+            step, own = now[1], sum(len(x[0]) for x in group.values())
+            got = array(step) if step in held and sizes[step] + own > BATCH else None
+            held.setdefault(step, {}).update(group)
+            sizes[step] = sizes.get(step, 0) + own
             group.clear()
             return got
 
         for batch in batches:
-            for key, g, s, t, at, starts, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != now:
+            for key, step, g, s, t, at, starts, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, step) != now:
                     if (got := close()) is not None:
                         yield got
-                    now = key
+                    now = key, step
                 group[g, s, t, at] = (data, starts, n)
         if (got := close()) is not None:
             yield got
-        if (got := array()) is not None:
-            yield got
+        for step in list(held):
+            if (got := array(step)) is not None:
+                yield got
 
     return run
 
@@ -307,33 +352,35 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _bytes_of(docs: DataFrame, wanted: DataFrame, step: int) -> DataFrame:
-    """Fetch the bytes of segments: ``wanted`` has (did, h, gram, seg, seg2, a, starts, n, off)."""
-    by_doc = wanted.groupBy("did", "h").agg(F.collect_list(F.struct("gram", "seg", "seg2", "a", "starts", "n", "off")).alias("parts"))
+def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Fetch the bytes of segments: ``wanted`` has (did, h) and the columns below."""
+    by_doc = wanted.groupBy("did", "h").agg(F.collect_list(F.struct("step", "gram", "seg", "seg2", "a", "starts", "n", "off")).alias("parts"))
     width = WIDTH
 
     def rows(texts, parts):
         out = []
         for text, some in zip(texts, parts, strict=True):
-            data = units(text, step)
+            text = text.encode()
+            data = {step: units(text, step) for step in {p["step"] for p in some}}
             for p in some:
+                step = p["step"]
                 end = (p["a"] + p["starts"] - 1) * step + width
-                out.append((p["gram"], p["gram"], p["seg"], p["seg2"], 0, p["starts"], p["n"], p["off"], data[p["a"] * step : end]))
+                out.append((p["gram"], step, p["gram"], p["seg"], p["seg2"], 0, p["starts"], p["n"], p["off"], data[step][p["a"] * step : end]))
         return out
 
-    schema = "key long, gram long, seg long, seg2 long, at int, starts int, n int, off int, bytes binary"
+    schema = "key long, step int, gram long, seg long, seg2 long, at int, starts int, n int, off int, bytes binary"
     return map_rows(docs.join(by_doc, ["did", "h"]), ["text", "parts"], schema, rows)
 
 
 #: What a task of suffix arrays gets of a piece: its group, its segment, the segment's start that its
 #: first one is, how many starts, how often it occurs (up to 2), and its bytes.
-PIECE = ["key", "gram", "seg", "seg2", "at", "starts", "n", "bytes"]
+PIECE = ["key", "step", "gram", "seg", "seg2", "at", "starts", "n", "bytes"]
 _FOUND = "gram long, seg long, seg2 long, runs array<struct<lo:int,hi:int>>"
 
 
-def _arrays(pieces: DataFrame, step: int) -> DataFrame:
+def _arrays(pieces: DataFrame) -> DataFrame:
     n = shuffle_width(pieces.sparkSession)
-    return pieces.select(*PIECE).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_array_task(WIDTH, step), _FOUND)
+    return pieces.select(*PIECE).repartition(n, "key").sortWithinPartitions("key", "step").mapInArrow(_array_task(WIDTH), _FOUND)
 
 
 def halves(data: bytes, off: int, starts: int, lo: int, hi: int, width: int, step: int = 1) -> list[tuple]:
@@ -349,20 +396,20 @@ def halves(data: bytes, off: int, starts: int, lo: int, hi: int, width: int, ste
     return out
 
 
-def _split(fetched: DataFrame, crowded: DataFrame, large: int, step: int) -> list[DataFrame]:
+def _split(fetched: DataFrame, crowded: DataFrame, large: int) -> list[DataFrame]:
     """What repeats in crowded groups of segments, as ``_arrays`` gives it."""
     width, found = WIDTH, []
-    schema = "key long, d1 long, d2 long, lo int, hi int, off int, starts int, at int, bytes binary, gram long, seg long, seg2 long, n int"
-    rest = ["lo", "hi", "off", "starts", "at", "bytes", "gram", "seg", "seg2"]
+    schema = "key long, step int, d1 long, d2 long, lo int, hi int, off int, starts int, at int, bytes binary, gram long, seg long, seg2 long, n int"
+    rest = ["step", "lo", "hi", "off", "starts", "at", "bytes", "gram", "seg", "seg2"]
 
-    def rows(los, his, offs, starts, ats, data, grams, segs, segs2, counts):
+    def rows(steps, los, his, offs, starts, ats, data, grams, segs, segs2, counts):
         out = []
-        for lo, hi, off, s, at, d, g, a, b, n in zip(los, his, offs, starts, ats, data, grams, segs, segs2, counts, strict=True):
+        for step, lo, hi, off, s, at, d, g, a, b, n in zip(steps, los, his, offs, starts, ats, data, grams, segs, segs2, counts, strict=True):
             for key, d1, d2, low, high, o, few, first, part in halves(d, off, s, lo, hi, width, step):
-                out.append((key, d1, d2, low, high, o, few, at + first, part, g, a, b, n))
+                out.append((key, step, d1, d2, low, high, o, few, at + first, part, g, a, b, n))
         return out
 
-    pieces = fetched.withColumns({"lo": F.lit(0), "hi": F.lit((width - GRAM) // step)})
+    pieces = fetched.withColumns({"lo": F.lit(0), "hi": (F.lit(width - GRAM) / F.col("step")).cast("int")})
     while not crowded.isEmpty():
         each = stored(map_rows(pieces.join(crowded, "key", "left_semi"), [*rest, "n"], schema, rows))
         one = each.groupBy("key", "d1", "d2").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.any_value(F.struct(*rest)).alias("one"))
@@ -375,52 +422,68 @@ def _split(fetched: DataFrame, crowded: DataFrame, large: int, step: int) -> lis
         groups = checkpointed(groups.where("pieces > 1 and n = 1"))
         crowded = groups.where((F.col("pieces") > large) & (F.col("range") > 0)).select("key")
         fine = groups.where((F.col("pieces") <= large) | (F.col("range") == 0)).select("key")
-        found.append(_arrays(pieces.join(fine, "key", "left_semi"), step))
+        found.append(_arrays(pieces.join(fine, "key", "left_semi")))
     return found
 
 
-def removals(keyed: DataFrame, large: int | None = None, step: int = 1) -> DataFrame:
-    """``(did, h, lo, hi)``: ranges covered by what starts anywhere else, possibly overlapping; of
-    bytes, or of words where the step is that of a word's hash."""
-    width, wide = WIDTH, WIDTH // step
+def removals(keyed: DataFrame, large: int | None = None, steps: tuple[int, ...] = (1,)) -> DataFrame:
+    """``(did, h, step, lo, hi)``: ranges covered by what starts anywhere else, possibly overlapping;
+    of bytes for step 1, and of words for the step of a word's hash."""
+    width = WIDTH
     large = LARGE if large is None else large
 
-    def found(dids, hashes, texts):
-        out = []
-        for d, h, t in zip(dids, hashes, texts, strict=True):
-            data = units(t, step)
-            if len(data) >= width:
-                parts, inside = segments(data, width, step)
-                out += [(d, h, *p) for p in parts]
-                out += [(d, h, None, None, None, a, b, None, None) for a, b in inside]
-        return out
+    names = ["did", "h", "step", "gram", "seg", "seg2", "a", "starts", "off", "n"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.int32()] * 4]
 
-    schema = "did long, h long, gram long, seg long, seg2 long, a int, starts int, off int, n int"
-    table = stored(map_rows(keyed, ["did", "h", "text"], schema, found))
-    inside = table.where("gram is null").select("did", "h", F.col("a").alias("lo"), F.col("starts").alias("hi"))
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[] for _ in names]
+            for d, h, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = t.encode()
+                for step in steps:
+                    data = units(text, step)
+                    if len(data) >= width:
+                        parts, inside = segments(data, width, step)
+                        both = [*zip(*parts, strict=True), *zip(*parts.values(), strict=True)]
+                        many = len(parts) + len(inside)
+                        for col, part in zip(cols, ([d] * many, [h] * many, [step] * many, *both), strict=True):
+                            col += part
+                        if inside:
+                            none = [None] * len(inside)
+                            for col, part in zip(cols[3:], (none, none, none, *zip(*inside, strict=True), none, none), strict=True):
+                                col += part
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    bounded_batches(keyed.sparkSession)
+    schema = "did long, h long, step int, gram long, seg long, seg2 long, a int, starts int, off int, n int"
+    table = stored(keyed.select("did", "h", "text").mapInArrow(found, schema))
+    at = ["did", "h", "step"]
+    inside = table.where("gram is null").select(*at, F.col("a").alias("lo"), F.col("starts").alias("hi"))
     anchors, segment = table.where("gram is not null"), ["gram", "seg", "seg2"]
     ends = [f(c).alias(f"{n}_{c}") for c in ("seg", "seg2") for n, f in (("least", F.min), ("most", F.max))]
     grams = anchors.groupBy("gram").agg(F.sum("n").alias("times"), *ends).where("times > 1")
     grams = grams.select("gram", ((F.col("least_seg") == F.col("most_seg")) & (F.col("least_seg2") == F.col("most_seg2"))).alias("alike"))
     candidates = stored(anchors.join(grams, "gram"))
-    span = [F.col("a").alias("lo"), (F.col("a") + F.col("starts") + F.lit(wide - 1)).alias("hi")]
-    alike = candidates.where("alike").select("did", "h", *span)
+    wide = (F.lit(width) / F.col("step")).cast("int")
+    span = [F.col("a").alias("lo"), (F.col("a") + F.col("starts") - 1 + wide).alias("hi")]
+    alike = candidates.where("alike").select(*at, *span)
     mixed = candidates.where("not alike")
-    one = F.min(F.struct("did", "h", "a", "starts", "off")).alias("one")
+    one = F.min(F.struct("did", "h", "step", "a", "starts", "off")).alias("one")
     distinct = stored(mixed.groupBy(*segment).agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), one))
     wanted = distinct.select(*segment, "n", "one.*")
     crowded = checkpointed(distinct.groupBy(F.col("gram").alias("key")).count().where(F.col("count") > large).select("key"))
     if crowded.isEmpty():
-        arrays = stored(_arrays(_bytes_of(keyed, wanted, step), step))
+        arrays = stored(_arrays(_bytes_of(keyed, wanted)))
     else:
-        fetched = stored(_bytes_of(keyed, wanted, step))
-        arrays = _arrays(fetched.join(crowded, "key", "left_anti"), step)
-        for part in _split(fetched, crowded, large, step):
+        fetched = stored(_bytes_of(keyed, wanted))
+        arrays = _arrays(fetched.join(crowded, "key", "left_anti"))
+        for part in _split(fetched, crowded, large):
             arrays = arrays.unionByName(part)
         arrays = stored(arrays)
-    whole = mixed.join(distinct.where("n > 1").select(*segment), segment, "left_semi").select("did", "h", *span)
-    partly = mixed.join(arrays, segment).select("did", "h", "a", F.explode("runs").alias("r"))
-    partly = partly.select("did", "h", (F.col("a") + F.col("r.lo")).alias("lo"), (F.col("a") + F.col("r.hi") + F.lit(wide)).alias("hi"))
+    whole = mixed.join(distinct.where("n > 1").select(*segment), segment, "left_semi").select(*at, *span)
+    partly = mixed.join(arrays, segment).select(*at, "a", F.explode("runs").alias("r"))
+    partly = partly.select(*at, (F.col("a") + F.col("r.lo")).alias("lo"), (F.col("a") + F.col("r.hi") + wide).alias("hi"))
     return inside.union(alike).union(whole).union(partly)
 
 
@@ -441,10 +504,8 @@ def with_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for, the word ranges of repeated passages; null where there are none."""
     bounded_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
-    found = removals(keyed, large).withColumn("word", F.lit(False))
-    if passages:
-        found = found.unionByName(removals(keyed, large, WORD).withColumn("word", F.lit(True)))
-    ranges = found.groupBy("did", "h").agg(*[F.collect_set(F.when(F.col("word") == w, F.struct("lo", "hi"))).alias(n) for w, n in ((False, "ranges"), (True, "passages"))])
+    found = removals(keyed, large, (1, WORD) if passages else (1,))
+    ranges = found.groupBy("did", "h").agg(*[F.collect_set(F.when(F.col("step") == k, F.struct("lo", "hi"))).alias(n) for k, n in ((1, "ranges"), (WORD, "passages"))])
     return keyed.join(ranges, ["did", "h"], "left").select("doc_id", "text", "ranges", "passages")
 
 

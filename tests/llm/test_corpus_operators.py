@@ -295,6 +295,26 @@ def test_crowded_groups_are_split(spark, length):
     assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == plain_cuts(texts, 400)
 
 
+def test_word_hashes():
+    import xxhash
+
+    rng = random.Random(5)
+    words = [b"a", b"b", b"ab", b"ba", b"x" * 256, b"x" * 257, b"y" * 100_000, "ü".encode(), b"\x00", b"\x00\x00", b"\x1c"]
+    of = {}
+    for _ in range(30):
+        some = [rng.choice(words) for _ in range(rng.randrange(40))]
+        data = b"".join(w + rng.choice([b" ", b"\n", b"\t\x0b\x0c\r "]) for w in some)
+        got = suffix_dedup.word_hashes(data)
+        assert len(got) == len(data.split()) == len(some)
+        for w, h in zip(some, got.tolist(), strict=True):
+            assert of.setdefault(w, h) == h
+    assert len(set(of.values())) == len(words)
+    assert of[b"y" * 100_000] == xxhash.xxh3_64_intdigest(b"y" * 100_000)
+    many = [str(i).encode() for i in range(100_000)]
+    assert len(set(suffix_dedup.word_hashes(b" ".join(many)).tolist())) == len(many)
+    assert (suffix_dedup.word_hashes(b" ".join(many))[:1000] == suffix_dedup.word_hashes(b" ".join(many[:1000]))).all()
+
+
 def test_halves_hold_every_window_once():
     rng = random.Random(4)
     for _ in range(50):
@@ -318,7 +338,7 @@ def test_long_texts_in_stretches(monkeypatch):
     whole = list(suffix_dedup._anchors(t, 400))
     monkeypatch.setattr(suffix_dedup, "STRETCH", 1000)
     cut = list(suffix_dedup._anchors(t, 400))
-    of = lambda parts: {i: p for a, b, p in parts for i in range(a, b + 1)}
+    of = lambda parts: {i: p for a, b, *p in parts for i in range(a, b + 1)}
     assert of(whole) == of(cut) and set(of(whole)) == set(range(9000 - 399))
 
 
