@@ -5,18 +5,20 @@ with its XXH64, and a bit is 1 if more than half of the hashes have it. Two fing
 ``RADIUS`` or fewer differing bits, so at least ``8 - RADIUS`` of their eight positional bytes are
 equal: the guaranteed number of matches.
 
-The index has a posting list for every combination of that many positions with their bytes, so a
-pair that meets in a list has reached the guaranteed count and no pair that can link is missed. A
-list's fingerprints agree on five bytes; at most 2**24 distinct ones fit in it, whatever the corpus.
-In each list shared bytes are tallied, pairs with the guaranteed count are verified by their
-differing bits, and only the links that join separate parts of the list are sent on.
+The index has a posting list for every combination of that many positions with their bytes. This is
+the count filter, done by the keys: a pair that meets in a list has reached the guaranteed count, and
+no pair that can link is missed. Lists of single bytes with a tally by pair would be the textbook
+form, but there each of 2048 lists holds 1/256 of all fingerprints, and 8/512 of all pairs would have
+to be counted. A list's fingerprints agree on five bytes; at most 2**24 distinct ones fit in it,
+whatever the corpus. In each list pairs are verified by their differing bits, and only the links that
+join separate parts of the list are sent on.
 
 Equal fingerprints are one node from the start, so groups of copies cost nothing here.
 
 Defined results: a null text, or one without a word, has fingerprint zero and is linked like any
 other. With repeated rows or equal ids every row is returned. A null id takes part in linking but
-does not name a component unless it is alone; its component_id is then null. An empty table gives an
-empty table.
+does not name a component unless it is alone; its component_id is then null. Columns other than id
+and text are not read; ``one_of_each`` passes them on. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -99,9 +101,7 @@ def _links_direct(values: np.ndarray) -> Iterator[tuple[int, int]]:
         reach, left = [left[0]], left[1:]
         while reach and len(left):
             v = reach.pop()
-            other = left ^ v
-            shared = (other[:, None] >> (np.arange(BYTES, dtype=np.uint64) * np.uint64(8)) & np.uint64(255) == 0).sum(axis=1)
-            near = (shared >= NEEDED) & (np.bitwise_count(other) <= RADIUS)
+            near = np.bitwise_count(left ^ v) <= RADIUS
             for w in left[near]:
                 yield int(v), int(w)
                 reach.append(w)
@@ -141,7 +141,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = p
         return x
 
-    keys, fps = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # batches whose last list may go on
 
     def close(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
         cut = np.flatnonzero(np.diff(keys)) + 1
@@ -160,15 +160,20 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
 
     for batch in batches:
-        keys = np.concatenate([keys, batch.column(0).to_numpy()])
-        fps = np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
-        done = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        if done:
-            got = close(keys[:done], fps[:done])
-            keys, fps = keys[done:], fps[done:]
-            if got:
-                yield got
-    if len(keys) and (got := close(keys, fps)):
+        if not batch.num_rows:
+            continue
+        keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        done = int(np.searchsorted(keys, keys[-1]))
+        if held and (done or keys[0] != held[-1][0][-1]):  # what is held ends in this batch or before it
+            held.append((keys[:done], fps[:done]))
+            got = close(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+        else:
+            got = close(keys[:done], fps[:done]) if done else None
+        held.append((keys[done:], fps[done:]))
+        if got:
+            yield got
+    if held and (got := close(*(np.concatenate(x) for x in zip(*held, strict=True)))):
         yield got
 
 
@@ -176,37 +181,49 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     """``(u, v)``: links between fingerprints of the one-column table, enough of them to connect all
     that are connected."""
     n = shuffle_width(distinct_fps.sparkSession)
-    listed = distinct_fps.mapInArrow(_postings, "list long, fp long")
+    listed = distinct_fps.repartition(n).mapInArrow(_postings, "list long, fp long")  # each is expanded 56 times
     return listed.repartition(n, "list").sortWithinPartitions("list").mapInArrow(_links, "u long, v long")
 
 
+def _parts(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (fp and other columns, one row per fingerprint) with ``part``, the least fingerprint
+    of its component."""
+    found = components(links(nodes.select("fp")))
+    return nodes.join(found, nodes.fp == found.node, "left").withColumn("part", F.coalesce("root", "fp")).drop("node", "root")
+
+
 def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp, component_id)``: component_id is the smallest id of the component."""
     bounded_batches(docs.sparkSession)
     fps = checkpointed(fingerprints(docs, id_col, text_col))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(nodes.select("fp")))
-    of = nodes.join(found, nodes.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("part"))
+    of = _parts(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     least = of.groupBy("part").agg(F.min("first").alias("component_id"))
     named = checkpointed(of.join(least, "part").select(F.col("fp").alias("node"), "component_id"))
     return fps.join(named, fps.fp == named.node).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each component does: that with the
-    smallest id; among rows of that same id, the one whose text sorts first (one of equal rows).
-    Where a whole component has no id, all its rows stay."""
+    """The rows of ``docs`` that stay when one row of each component does: that with the smallest id
+    (rows without an id come last), of several texts with that id the one whose hash is least, and of
+    several rows with that text the least by the other columns. Rows are told apart by id and text,
+    so clashing and null ids lose no component."""
     bounded_batches(docs.sparkSession)
-    found = clustered(docs, id_col, text_col)
-    heads = found.where("doc_id = component_id").groupBy(F.col("component_id").alias("__head")).agg(F.count("*").alias("__rows"))
-    heads = checkpointed(heads)
-    kept = docs.join(heads, docs[id_col] == heads["__head"], "inner")
-    single = kept.where("__rows = 1").select(*docs.columns)
-    # several rows of one id: the least of them stays, by partial minima
-    order = [text_col, *[c for c in docs.columns if c not in (id_col, text_col)]]
-    again = kept.where("__rows > 1").groupBy(id_col).agg(F.min(F.struct(*order)).alias("__least"))
-    again = again.select(id_col, *[F.col(f"__least.`{c}`").alias(c) for c in order]).select(*docs.columns)
-    return single.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+    def rows(ids, hashes, texts):
+        return [(i, h, signed(fingerprint(t))) for i, h, t in zip(ids, hashes, texts, strict=True)]
+
+    seen = map_rows(docs.select(F.col(id_col).alias("i"), key.alias("h"), F.col(text_col).alias("t")), ["i", "h", "t"], "i long, h long, fp long", rows)
+    row = F.struct(F.col("i").isNull().alias("none"), "i", "h", "n")
+    least = checkpointed(seen.groupBy("i", "h", "fp").agg(F.count("*").alias("n")).groupBy("fp").agg(F.min(row).alias("head")))
+    heads = _parts(least).groupBy("part").agg(F.min("head").alias("head"))
+    heads = checkpointed(heads.select(F.col("head.i").alias("__head_id"), F.col("head.h").alias("__head_hash"), F.col("head.n").alias("__head_rows")))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__head_id")) & (key == F.col("__head_hash"))
+    kept = docs.join(heads, same)
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    several = kept.where("__head_rows > 1").groupBy("__head_id", "__head_hash").agg(F.min(F.struct(id_col, text_col, *rest)).alias("__least"))
+    several = several.select(*[F.col(f"__least.`{c}`").alias(c) for c in docs.columns])
+    return kept.where("__head_rows = 1").select(*docs.columns).unionByName(several)
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -189,7 +189,16 @@ def test_one_of_each(spark, odd):
     got = simhash_dedup.one_of_each(odd)
     assert got.columns == odd.columns
     kept = sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=str)
-    assert kept == sorted([(1, ""), (3, "one two"), (5, "other text of the same id"), (None, "no id here at all")], key=str)
+    assert kept == sorted([(1, ""), (3, "one two"), (5, "other text of the same id"), (5, "x" * 150_000), (None, "no id here at all")], key=str)
+    rng = random.Random(15)
+    texts = [" ".join(rng.choice("abcdefgh") * 4 for _ in range(60)) for _ in range(30)]
+    rows = [(rng.choice([None, 7, 8, *range(20, 60)]), rng.choice(texts), str(rng.randrange(3))) for _ in range(300)]
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["lang"]) for r in simhash_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect())
+    part = {t: c for t, (_, _, c) in zip(range(30), sorted(plain_components(list(enumerate(texts))), key=lambda r: r[0]), strict=True)}
+    assert len(got) == len(set(part.values()))
+    for none, i, t, lang in got:
+        mates = [(r[0] is None, r[0] or 0) for r in rows if part[texts.index(r[1])] == part[texts.index(t)]]
+        assert (none, i) == min(mates) and lang == min(r[2] for r in rows if (r[0] is None, r[0] or 0, r[1]) == (none, i, t))
 
 
 # --- suffix arrays -------------------------------------------------------------------------------------
