@@ -6,12 +6,19 @@ with one weight vector ``w`` for all the ordered thresholds ``t``; it gives the
 
 Training uses a bounded sample of labelled documents, ``PER_CLASS`` of each label by a hash of the
 id, and of near copies among them (an equal least hash of their 3-word shingles, for any of four
-hash functions) only one, since a copied text would pass its chance words off as evidence. Features are chosen by the likelihood ratio of their association with the label. Labels are yes or no, so
-grades are made of them: 0 for a document labelled clean; for one labelled toxic 1, 2 or 3, by the
-thirds of the number of words in it with a feature strongly tied to that label.
+hash functions) only one, since a copied text would pass its chance words off as evidence. Features
+are chosen by the likelihood ratio of their association with the label. Labels are yes or no, so
+grades are made of them and of evidence from other documents: the sample is halved by a hash of the
+id, each half gives a lexicon of whole words tied to its toxic label, and a toxic document gets grade
+1, 2 or 3 by the thirds of the number of its words that are in the lexicon of the half it is not in.
+Documents labelled clean have grade 0. A document's grade so depends on neither its own words' part
+in the statistics nor on the features and weights of the model.
 
 The model has at most ``FEATURES`` weights and travels with the function.
 
+Where labels of one id clash, it counts as toxic; labels that are null or neither 0 nor 1 count for
+nothing. Columns other than id and text are not read.
+
 Defined results: a null or empty text, or one without a letter, has no feature, so it gets the
 expected grade of the thresholds alone, near 0. Without labels of both kinds every text gets
 grade 0 and expected grade 0. Rows are independent, so repeated rows and null ids pass through.
@@ -27,16 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from credence.llm.common import documents, map_rows
+from credence.llm.common import checkpointed, documents, map_rows
 
 PER_CLASS = 3000
 FEATURES = 4096
 GRADES = 4
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Likelihood ratio beyond which a feature is chosen (a chance of about 1 in 10**8, as there are
-#: millions of features), and smoothed log-odds beyond which a word counts towards a grade.
+#: millions of features), and that beyond which a word of one half enters its lexicon.
 RATIO = 32.0
-STRONG = 2.5
+LEXICON_RATIO = 16.0
 #: Weight of all clean documents in training, as a multiple of that of all others.
 CLEAN_WEIGHT = 8.0
 STEPS = 400
@@ -57,8 +64,8 @@ def words(text: str | None) -> list[str]:
 class OrdinalModel:
     """Cumulative-link regression; ``names`` gives the index of a feature."""
 
-    def __init__(self, names: dict[str, int], strong: frozenset[int]) -> None:
-        self.names, self.strong = names, strong
+    def __init__(self, names: dict[str, int]) -> None:
+        self.names = names
         self.weights = np.zeros(len(names))
         self.cuts = np.arange(GRADES - 1, dtype=float) + 1
         self._memo: dict[str, tuple[int, ...]] = {}
@@ -80,16 +87,14 @@ class OrdinalModel:
                 out.append(got)
         return out
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-        """(feature indices, values, words with a strong feature)."""
-        hits = self.hits(text)
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(feature indices, values)."""
         counts: dict[int, int] = {}
-        for h in hits:
+        for h in self.hits(text):
             for j in h:
                 counts[j] = counts.get(j, 0) + 1
-        strong = sum(any(j in self.strong for j in h) for h in hits)
         at = np.fromiter(counts, dtype=np.int64, count=len(counts))
-        return at, 1 + np.log(np.fromiter(counts.values(), dtype=float, count=len(counts))), strong
+        return at, 1 + np.log(np.fromiter(counts.values(), dtype=float, count=len(counts)))
 
     def at_least(self, score: float) -> list[float]:
         """P(grade >= k) for k = 1, 2, ..."""
@@ -98,7 +103,7 @@ class OrdinalModel:
     def predict(self, text: str | None) -> tuple[list[float], int]:
         if not len(self.weights):
             return [0.0] * (GRADES - 1), 0
-        at, x, _ = self.vector(text)
+        at, x = self.vector(text)
         p = self.at_least(float(self.weights[at] @ x))
         return p, sum(q > 0.5 for q in p)
 
@@ -158,6 +163,11 @@ def one_of_copies(rows: list[tuple[int, int, list[int]]]) -> list[int]:
     return out
 
 
+def half_of(key: int) -> int:
+    """The half of the sample that a document is in."""
+    return xxh64_intdigest(str(key), 1) & 1
+
+
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """``(doc_id, text, toxic)`` of at most ``per_class`` labelled documents of each label, without near copies."""
     spark = docs.sparkSession
@@ -180,41 +190,58 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> OrdinalModel:
     chosen = sample(docs, labels, per_class)
 
-    def seen(texts, labels):
-        n: dict[str, list[int]] = {}
-        for text, label in zip(texts, labels, strict=True):
+    def seen(ids, texts, labels):
+        n: dict[tuple[str, int], list[int]] = {}
+        for i, text, label in zip(ids, texts, labels, strict=True):
+            half = half_of(i)
             for f in {f for w in set(words(text)) for f in features_of(w)}:
-                n.setdefault(f, [0, 0])[label] += 1
-        return [(f, *c) for f, c in n.items()]
+                n.setdefault((f, half), [0, 0])[label] += 1
+        return [(*f, *c) for f, c in n.items()]
+
+    def halved(ids, labels):
+        return [(half_of(i), label) for i, label in zip(ids, labels, strict=True)]
 
-    sizes = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
+    sizes = {(r["half"], r["toxic"]): r["n"] for r in map_rows(chosen, ["doc_id", "toxic"], "half int, toxic int", halved).groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
+    size = [[sizes.get((h, label), 0) for label in (0, 1)] for h in (0, 1)]
+    clean, toxic = (size[0][label] + size[1][label] for label in (0, 1))
     if not clean or not toxic:
-        return OrdinalModel({}, frozenset())
-    found = map_rows(chosen, ["text", "toxic"], "feature string, c long, t long", seen).groupBy("feature").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-    total, both = float(clean + toxic), F.col("t") + F.col("c")
-    part = lambda n, size: F.when(n > 0, n * F.log(n * total / (both * F.lit(float(size))))).otherwise(0.0)
-    ratio = 2 * (part(F.col("t"), toxic) + part(F.col("c"), clean))
-    odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-    best = found.select("feature", ratio.alias("ratio"), odds.alias("odds")).where(F.col("ratio") > RATIO)
-    best = best.orderBy(F.desc("ratio"), "feature").limit(FEATURES).collect()
-    model = OrdinalModel(
-        {r["feature"]: i for i, r in enumerate(best)}, frozenset(i for i, r in enumerate(best) if r["odds"] > STRONG)
-    )
+        return OrdinalModel({})
+    sums = [F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c in "ct"]
+    found = map_rows(chosen, ["doc_id", "text", "toxic"], "feature string, half int, c long, t long", seen).groupBy("feature").agg(*sums)
+    found = checkpointed(found)
+
+    def ratio(c, t, clean: int, toxic: int):
+        part = lambda n, size: F.when(n > 0, n * F.log(n * float(clean + toxic) / ((t + c) * float(size)))).otherwise(0.0)
+        return 2 * (part(t, toxic) + part(c, clean)) if clean and toxic else F.lit(0.0)
+
+    def top(of: DataFrame, ratio, least: float) -> list[str]:
+        """At most FEATURES names."""
+        rows = of.select("feature", ratio.alias("ratio")).where(F.col("ratio") > least).orderBy(F.desc("ratio"), "feature").limit(FEATURES)
+        return [r["feature"] for r in rows.collect()]
+
+    names = top(found, ratio(F.col("c0") + F.col("c1"), F.col("t0") + F.col("t1"), clean, toxic), RATIO)
+    model = OrdinalModel({f: i for i, f in enumerate(names)})
+    lexicons = []
+    for h in (0, 1):
+        c, t = F.col(f"c{h}"), F.col(f"t{h}")
+        toxic_words = found.where(~F.col("feature").endswith("*") & (t * float(size[h][0]) > c * float(size[h][1])))
+        lexicons.append(frozenset(top(toxic_words, ratio(c, t, *size[h]), LEXICON_RATIO)))
 
     def vectors(ids, texts, labels):
         out = []
         for i, text, label in zip(ids, texts, labels, strict=True):
-            at, x, strong = model.vector(text)
-            out.append((i, label, at.tolist(), x.tolist(), strong))
+            at, x = model.vector(text)
+            lexicon = lexicons[1 - half_of(i)]
+            out.append((i, label, at.tolist(), x.tolist(), sum(w in lexicon for w in words(text))))
         return out
 
-    got = map_rows(chosen, ["doc_id", "text", "toxic"], "doc_id long, toxic int, at array<int>, x array<double>, strong int", vectors).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["strong"], r["at"]))
-    strong = np.array([r["strong"] for r in got])
+    got = map_rows(chosen, ["doc_id", "text", "toxic"], "doc_id long, toxic int, at array<int>, x array<double>, evidence int", vectors).collect()
+    got.sort(key=lambda r: (r["doc_id"], r["evidence"], r["at"]))
+    evidence = np.array([r["evidence"] for r in got])
     label = np.array([r["toxic"] for r in got])
-    thirds = np.quantile(strong[label == 1], [1 / 3, 2 / 3])
-    grades = np.where(label == 1, 1 + (strong > thirds[0]) + (strong > thirds[1]), 0)
+    own = np.sort(evidence[label == 1])  # ties share their middle rank
+    rank = (np.searchsorted(own, evidence, "left") + np.searchsorted(own, evidence, "right")) / (2 * len(own))
+    grades = np.where(label == 1, 1 + (rank > 1 / 3) + (rank > 2 / 3), 0)
     model.fit([(np.array(r["at"], dtype=np.int64), np.array(r["x"])) for r in got], grades)
     return model
 

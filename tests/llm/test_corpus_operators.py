@@ -421,8 +421,38 @@ def test_toxicity_on_labelled_rows(spark):
     assert all(abs(r["expected_severity"] - r["p_at_least_1"] - r["p_at_least_2"] - r["p_at_least_3"]) < 1e-9 for r in got)
 
 
+def test_toxicity_held_out(spark):
+    """Labels of three quarters train; the rest are scored."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    got = toxicity.grade(docs.join(labels.where(out), "doc_id", "left_semi"), toxicity.fit(docs, labels.where(~out)))
+    got = got.withColumnRenamed("toxic", "said").join(labels, "doc_id").collect()
+    toxic, clean = ([r for r in got if r["toxic"] == k] for k in (1, 0))
+    assert len(toxic) > 20 and len(clean) > 200
+    assert sum(r["said"] for r in toxic) / len(toxic) > 0.8
+    assert sum(r["said"] for r in clean) / len(clean) < 0.01
+    above = sum((t["expected_severity"] > c["expected_severity"]) + 0.5 * (t["expected_severity"] == c["expected_severity"]) for t in toxic for c in clean)
+    assert above / (len(toxic) * len(clean)) > 0.93  # area under the ROC curve
+    assert {r["grade"] for r in toxic} >= {1, 2, 3}
+
+
+def test_severity_follows_the_number_of_toxic_words(spark):
+    """More and more words of a toxic kind in texts of one length."""
+    rng = random.Random(31)
+    plain = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    nasty = ["".join(rng.choice("uvwxyz") for _ in range(6)) for _ in range(30)]
+    text = lambda n: " ".join(rng.sample([rng.choice(nasty) for _ in range(n)] + [rng.choice(plain) for _ in range(60 - n)], 60))
+    counts = {i: rng.choice([2, 8, 25]) if i % 4 == 0 else 0 for i in range(1600)}
+    docs = spark.createDataFrame([(i, text(n)) for i, n in counts.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(n > 0)) for i, n in counts.items() if i < 1200], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.grade(docs, toxicity.fit(docs, labels)).collect()}
+    mean = {n: np.mean([got[i]["expected_severity"] for i in range(1200, 1600) if counts[i] == n]) for n in (0, 2, 8, 25)}
+    assert mean[0] < 0.3 < mean[2] < mean[8] < mean[25] and mean[25] > 2.3
+
+
 def test_ordinal_gradient():
-    model = toxicity.OrdinalModel({f"f{i}": i for i in range(6)}, frozenset())
+    model = toxicity.OrdinalModel({f"f{i}": i for i in range(6)})
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 6))
     score = x @ np.array([2, -1, 0.5, 0, 0, 1])
