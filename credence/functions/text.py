@@ -11,24 +11,30 @@ from pyspark.sql import functions as F
 from credence.functions.distributions import let
 
 
+#: The white space of Unicode, for classes in regular expressions.
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Texts of ASCII and the letters of Latin-1 only are their own NFKC forms.
+_PLAIN = r"^[\x00-\x7f\u00c0-\u00ff]*$"
+
+
 def normalise(text: Column) -> Column:
-    """Lower case, runs of anything but a-z and 0-9 to one space, trimmed. Compatibility forms (NFKC)
-    are not built in; put ``nfkc`` in front where texts hold them."""
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    """NFKC, lower case, runs of anything but a-z and 0-9 to one space, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(nfkc(text)), "[^a-z0-9]+", " "))
 
 
 def nfkc(text: Column) -> Column:
-    """NFKC by an Arrow-batched function, for texts with compatibility forms."""
+    """The NFKC form. No built-in function makes it; only texts that it may change go to Python, in
+    Arrow batches, the others stay in the JVM."""
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
-    return run(text)
+    return F.coalesce(run(F.when(~text.rlike(_PLAIN), text)), text)
 
 
 def words(text: Column) -> Column:
     """Runs without white space."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
 
 
 def ngrams(key: Column, n: int = 8) -> Column:
@@ -52,7 +58,7 @@ FORM_KINDS = {
     "longest_word_over": longest_word,
     "contains_number": lambda t: t.rlike("[0-9]").cast("int"),
     "contains_comma": lambda t: F.contains(t, F.lit(",")).cast("int"),
-    "ends_with_question_mark": lambda t: t.rlike(r"\?\s*$").cast("int"),
+    "ends_with_question_mark": lambda t: t.rlike(rf"\?[{SPACE}]*\z").cast("int"),
 }
 
 

@@ -47,7 +47,7 @@ def asked_labels(questions: DataFrame, labels: list[str], stream: str, p_distrac
     for another option with a probability, else for a label that is not offered."""
     k = F.col("record_id")
     n = questions.count()
-    ranked = seeded_rank(questions, [], digest(f"{stream}:half", k))
+    ranked = seeded_rank(questions, [], digest(f"{stream}:half", k), rows=n)
     yes = F.col("rank") <= F.floor(F.lit(n) / 2)
     offered = F.filter("options", lambda x: (x != F.col("intent")) & (x != "other"))
     outside = F.filter(F.array(*map(F.lit, labels)), lambda x: (x != F.col("intent")) & ~F.array_contains(F.col("options"), x))
@@ -65,7 +65,7 @@ def doubled(records: DataFrame, where: Column) -> DataFrame:
 def rescaled(records: DataFrame, level: str, share: float, stream: str) -> DataFrame:
     """An exact share of the five-level rows moves to three levels (0 0 1 2 2)."""
     n = records.count()
-    ranked = seeded_rank(records, [], digest(stream, F.col("record_id")))
+    ranked = seeded_rank(records, [], digest(stream, F.col("record_id")), rows=n)
     short = F.col("rank") <= share_count(share, F.lit(n))
     mapped = F.array(*map(F.lit, [0, 0, 1, 2, 2]))[F.col(level)]
     return ranked.select("record_id", F.when(short, 3).otherwise(5).alias("scale"), F.when(short, mapped).otherwise(F.col(level)).cast("int").alias("level"))
@@ -114,12 +114,9 @@ def position_deviations(positions: DataFrame, min_count: int = MIN_COUNT) -> Dat
 
 
 def held_out_leaks(questions: DataFrame, held: DataFrame) -> DataFrame:
-    """Records whose intent, an option or the asked label is held out. The held-out labels are few
-    (a constant number a domain) and travel as one array."""
-    names = F.broadcast(held.agg(F.collect_set("intent").alias("held")))
-    j = questions.join(names)
-    used = F.array_union("options", F.array("intent", "asked"))
-    return j.where(F.arrays_overlap(used, "held")).select("record_id")
+    """Records whose intent, an option or the asked label is held out."""
+    used = questions.select("record_id", F.explode(F.array_union("options", F.array("intent", "asked"))).alias("used"))
+    return used.join(held.select(F.col("intent").alias("used")).distinct(), "used", "left_semi").select("record_id").distinct()
 
 
 def order_violations(records: DataFrame) -> DataFrame:

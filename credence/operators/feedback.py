@@ -75,7 +75,7 @@ def ips_weights(log: DataFrame, by: list[str], clip: float = WEIGHT_CLIP) -> Dat
     """Inverse propensities, clipped and divided by their mean over the group; the mean is one row a group."""
     raw = F.least(1 / F.col("propensity"), F.lit(clip))
     means = log.groupBy(*by).agg(F.avg(raw).alias("normaliser"), F.avg((1 / F.col("propensity") > clip).cast("int")).alias("clipped_share"))
-    return log.join(F.broadcast(means), by).withColumn("weight", raw / F.col("normaliser"))
+    return log.join(means, by).withColumn("weight", raw / F.col("normaliser"))
 
 
 def importance_weight(p: Column, q: Column, clip: float = WEIGHT_CLIP) -> Column:

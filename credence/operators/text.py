@@ -65,36 +65,51 @@ TEMPLATES: dict[str, list[tuple[str, str]]] = {
 }
 
 
+def text_key(text: Column) -> Column:
+    """The digest of the normalised text; keys of 128 bits are shuffled in place of texts."""
+    return F.md5(T.normalise(text).cast("binary"))
+
+
 def excluded_keys(*texts: DataFrame) -> DataFrame:
-    """Distinct normalised keys of every text that a test split can draw from (one column each)."""
+    """Distinct keys of every text that a test split can draw from (one column each)."""
     out = None
     for t in texts:
-        k = t.select(T.normalise(F.col(t.columns[0])).alias("key"))
+        k = t.select(text_key(F.col(t.columns[0])).alias("key"))
         out = k if out is None else out.unionByName(k)
     return out.distinct()
 
 
 def keep(rows: DataFrame, excluded: DataFrame, text: str = "text") -> DataFrame:
-    return rows.withColumn("key", T.normalise(F.col(text))).join(excluded, "key", "left_anti").drop("key")
+    return rows.withColumn("key", text_key(F.col(text))).join(excluded, "key", "left_anti").drop("key")
 
 
 def dedupe(rows: DataFrame, excluded: DataFrame, index: str, text: str = "text") -> DataFrame:
     """Per row in the order of ``index``: ``test_text``, ``repeat`` with the first kept row, or ``kept``.
 
-    The first row of a key comes from partial minima, not from a window over the key.
+    The first row of a key comes from partial minima, not from a window over the key, and only keys
+    that repeat or are excluded are joined back. A key with very many rows is then a long key of that
+    join's row side, which adaptive execution splits.
     """
-    keyed = rows.select(F.col(index).alias("index"), T.normalise(F.col(text)).alias("key"))
-    first = keyed.groupBy("key").agg(F.min("index").alias("first")).join(excluded.withColumn("out", F.lit(True)), "key", "left")
+    keyed = rows.select(F.col(index).alias("index"), text_key(F.col(text)).alias("key"))
+    first = keyed.groupBy("key").agg(F.min("index").alias("first"), F.count("*").alias("n")).join(excluded.withColumn("out", F.lit(True)), "key", "left")
+    noted = first.where("n > 1 or out").select("key", "first", "out")
     reason = F.when(F.col("out"), "test_text").when(F.col("index") > F.col("first"), "repeat").otherwise("kept")
-    return keyed.join(first, "key").select("index", reason.alias("reason"), F.when(reason == "repeat", F.col("first")).alias("first_kept"))
+    return keyed.join(noted, "key", "left").select("index", reason.alias("reason"), F.when(reason == "repeat", F.col("first")).alias("first_kept"))
 
 
 def overlap(reference: DataFrame, test: DataFrame, n: int = 8) -> DataFrame:
-    """Exact matches and n-gram overlap of the test rows with the reference (columns id, text)."""
-    ref, own = reference.select(T.normalise("text").alias("key")), test.select("id", T.normalise("text").alias("key"))
-    grams = ref.select(F.explode(T.ngrams(F.col("key"), n)).alias("gram")).distinct()
-    hit = own.select("id", F.explode(T.ngrams(F.col("key"), n)).alias("gram")).join(grams, "gram", "left_semi").select("id").distinct()
-    exact = own.join(ref.distinct(), "key", "left_semi").select("id")
+    """Exact matches and n-gram overlap of the test rows with the reference (columns id, text).
+
+    64-bit hashes of the grams are shuffled first; the grams themselves only of rows and hashes that met.
+    """
+    ref, own = reference.select(T.normalise(F.col("text")).alias("key")), test.select("id", T.normalise(F.col("text")).alias("key"))
+    grams = lambda df, *more: df.select(*more, F.explode(T.ngrams(F.col("key"), n)).alias("gram")).withColumn("h", F.xxhash64("gram"))
+    met = grams(own, "id").select("id", "h").join(grams(ref).select("h").distinct(), "h", "left_semi").distinct()
+    some = met.select("h").distinct()
+    of_ref = grams(ref).join(some, "h", "left_semi").select("gram").distinct()
+    of_own = grams(own.join(met.select("id").distinct(), "id", "left_semi"), "id").join(some, "h", "left_semi")
+    hit = of_own.join(of_ref, "gram", "left_semi").select("id").distinct()
+    exact = own.select("id", F.md5(F.col("key").cast("binary")).alias("key")).join(ref.select(F.md5(F.col("key").cast("binary")).alias("key")).distinct(), "key", "left_semi").select("id")
     counts = own.agg(F.count("*").alias("n_test"), F.sum((F.size(F.split("key", " ")) >= n).cast("int")).alias("n_with_ngrams"))
     both = counts.join(exact.agg(F.count("*").alias("n_exact"))).join(hit.agg(F.count("*").alias("n_overlap")))  # one row each
     return both.withColumn("overlap_rate", F.col("n_overlap") / F.col("n_test"))
@@ -152,7 +167,7 @@ STATE_FIELDS = ["channel", "timestamp", "message_id", "user_id", "thread_id", "l
 def wrap_states(rows: DataFrame, key: str, share: float = 0.2, text: str = "text") -> DataFrame:
     """Exactly ``round(share * n)`` rows get a JSON state: 1 to 3 random fields and the text at a random place."""
     n = rows.count()
-    ranked = seeded_rank(rows, [], digest("wrap", F.col(key)))
+    ranked = seeded_rank(rows, [], digest("wrap", F.col(key)), rows=n)
     wrapped = F.col("rank") <= share_count(share, F.lit(n))
     order = F.array_sort(F.transform(F.array(*map(F.lit, STATE_FIELDS)), lambda f: F.struct(digest("wrap:field", F.col(key), f).alias("d"), f.alias("f"))))
     fields = F.slice(F.transform(order, lambda s: s["f"]), F.lit(1), 1 + F.floor(uniform("wrap:count", F.col(key)) * 3).cast("int"))

@@ -119,8 +119,10 @@ def scaled(s, d):
 
 
 def allocated(s, d):
-    sizes = {x["source"]: x["n"] for x in records(s, d).groupBy("source").agg(F.count("*").alias("n")).collect()}
-    return s.createDataFrame(sorted(S.allocate(dict(sorted(sizes.items())), 37).items()), "source string, n long")
+    """Parts of 37 by source, and of 40 by a finer key whose groups of one record overshoot."""
+    by_source = S.allocate(records(s, d).groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n")), 37)
+    fine = records(s, d).select(F.concat("source", F.least(F.floor(F.col("n_chars") / 500), F.lit(60)).cast("string")).alias("name"))
+    return by_source.unionByName(S.allocate(fine.groupBy("name").agg(F.count("*").alias("n")), 40)).select("name", "n", "given")
 
 
 QUERIES = {
@@ -182,6 +184,31 @@ def sql_sample(limit: int, seed: str, of: str) -> str:
     ) WHERE chosen"""
 
 
+def sql_allocated(of: str, total: int) -> str:
+    """Units one by one: each group has its first units (the whole share, one at least), all its next
+    units are lined up by fraction, and what is too much is taken from a line of all units."""
+    return f"""
+    WITH shared AS (SELECT name, n, {total} * n / (SELECT sum(n) FROM {of}) AS share FROM {of}),
+    begun AS (SELECT *, CAST(least(n, greatest(1, floor(share))) AS BIGINT) AS whole FROM shared),
+    missing AS (SELECT {total} - sum(whole) AS m FROM begun),
+    plus AS (SELECT name FROM begun WHERE whole < n QUALIFY row_number() OVER (ORDER BY share - floor(share) DESC, name) <= (SELECT m FROM missing)),
+    units AS (SELECT name, whole - u - share AS worth FROM (SELECT *, unnest(range(whole)) AS u FROM begun)),
+    minus AS (SELECT name, count(*) AS back FROM (SELECT name FROM units QUALIFY row_number() OVER (ORDER BY worth DESC, name) <= -(SELECT m FROM missing)) GROUP BY name)
+    SELECT name, n, whole + CAST(name IN (SELECT name FROM plus) AS INT) - coalesce(back, 0) AS given FROM begun LEFT JOIN minus USING (name)"""
+
+
+#: A permutation, then the rows that got their own label in the order of labels; no label has more
+#: than half of those in the test tables, which the query checks by giving no row otherwise.
+_ASKS = """
+WITH dealt AS (
+  SELECT a.record_id, a.intent AS own, b.intent AS got FROM (SELECT *, row_number() OVER (ORDER BY md5('c13:seat:' || record_id)) AS i FROM known) a
+  JOIN (SELECT *, row_number() OVER (ORDER BY md5('c13:deal:' || record_id)) AS i FROM known) b USING (i)
+), clash AS (
+  SELECT *, row_number() OVER (ORDER BY own, md5('c13:turn:' || record_id)) - 1 AS place, count(*) OVER () AS total, (SELECT max(c) FROM (SELECT count(*) AS c FROM dealt WHERE own = got GROUP BY own)) AS most FROM dealt WHERE own = got
+)
+SELECT d.record_id, own AS intent, coalesce(t.asked, d.got) AS asked FROM dealt d
+LEFT JOIN (SELECT x.record_id, y.own AS asked FROM clash x JOIN clash y ON y.place = (x.place + x.most) % x.total) t USING (record_id)
+WHERE NOT EXISTS (SELECT 1 FROM clash WHERE 2 * most > total)"""
 _PICK = "{a}[1]"
 _FX = PT._FX | {
     "records": "SELECT doc_id AS record_id, lang AS source, CASE WHEN source = 'src0' THEN 'oos' ELSE source END AS intent, 'd' || CAST(regexp_extract(source, '[0-9]+') AS INT) % 4 AS domain, n_chars, text FROM documents",
@@ -203,6 +230,8 @@ _FX = PT._FX | {
     "scaled": "SELECT record_id, CASE WHEN i <= round_even(0.3 * n, 0) THEN 3 ELSE 5 END AS scale, CASE WHEN i <= round_even(0.3 * n, 0) THEN [0, 0, 1, 2, 2][level + 1] ELSE level END AS level FROM (SELECT o_orderkey AS record_id, CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS level, row_number() OVER (ORDER BY md5('c10:' || o_orderkey)) AS i, count(*) OVER () AS n FROM orders)",
     "report": "SELECT kind, CAST(sum(c) AS BIGINT) AS n, sum(yes) / sum(c) AS yes_share, sum(c) FILTER (WHERE negated) / sum(c) AS negated_share, sum(greatest(yes, c - yes)) / sum(c) AS phrasing_only_accuracy FROM (SELECT kind, template, negated, count(*) AS c, sum(CAST(gold AS INT)) AS yes FROM phrased GROUP BY ALL) GROUP BY kind",
     "balance": "SELECT kind, CAST(sum(CAST(gold AS INT)) AS BIGINT) AS n_true, CAST(sum(CAST(NOT gold AS INT)) AS BIGINT) AS n_false FROM phrased GROUP BY kind",
+    "by_name": "SELECT source AS name, count(*) AS n FROM records GROUP BY source",
+    "by_part": "SELECT source || CAST(least(n_chars // 500, 60) AS VARCHAR) AS name, count(*) AS n FROM records GROUP BY 1",
     "sampled": sql_sample(150, "c15", "records"),
     "lift": "SELECT source, round(max(c) / sum(c) - 0.25, 9) AS lift FROM (SELECT source, domain, count(*) AS c FROM known GROUP BY ALL) GROUP BY source",
     "nulls": f"SELECT source, b, round(max(c) / sum(c) - 0.25, 9) AS lift FROM (SELECT source, b, floor({sql_uniform('null', 'b', 'record_id')} * 4) AS t, count(*) AS c FROM known, (SELECT unnest(range(1, 21)) AS b) GROUP BY ALL) GROUP BY source, b",
@@ -217,7 +246,7 @@ ORACLES = {
     "c2_option_order": q(f"SELECT record_id, array_to_string({sql_shuffled(str(LABELS), 'c2', 'record_id')}, ',') AS options FROM known"),
     "c3_held_out": q("SELECT * FROM held"),
     "c4_domain_conflicts": q("SELECT intent, count(DISTINCT source) AS n_domains FROM records GROUP BY intent HAVING count(DISTINCT source) > 1"),
-    "c5_pool": q(f"SELECT record_id FROM records WHERE intent NOT IN (SELECT intent FROM held) AND {PT.K} NOT IN (SELECT key FROM excluded)"),
+    "c5_pool": q(f"SELECT record_id FROM records WHERE intent NOT IN (SELECT intent FROM held) AND md5({PT.K}) NOT IN (SELECT key FROM excluded)"),
     "c6_option_subset": q("SELECT record_id, answer, array_to_string(options, ',') AS options FROM questions"),
     "c7_fixed_options": q("SELECT record_id, answer, array_to_string(options, ',') AS options FROM fixed"),
     "c8_asked_labels": q("SELECT record_id, asked, underlying FROM asked"),
@@ -225,12 +254,8 @@ ORACLES = {
     "c10_rescaled": q("SELECT * FROM scaled"),
     "c11_stratified": q("SELECT record_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('c11:' || record_id)) AS i FROM records WHERE n_chars <= 2000) WHERE i <= 10"),
     "c12_uniform_sample": q("SELECT record_id FROM records ORDER BY md5('c12:' || record_id) LIMIT 100"),
-    "c13_matched_asks": q(
-        "SELECT a.record_id, a.intent, b.intent AS asked FROM (SELECT *, row_number() OVER (ORDER BY intent, md5('c13:' || record_id)) - 1 AS i, count(*) OVER () AS n FROM known) a JOIN (SELECT *, row_number() OVER (ORDER BY intent, md5('c13:' || record_id)) - 1 AS i FROM known) b ON b.i = (a.i + (SELECT max(c) FROM (SELECT count(*) AS c FROM known GROUP BY intent))) % a.n"
-    ),
-    "c14_allocate": q(
-        "SELECT source, CAST(whole + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, source) <= 37 - sum(whole) OVER () THEN 1 ELSE 0 END AS BIGINT) AS n FROM (SELECT source, 37 * count(*) / (SELECT count(*) FROM records) AS share, greatest(1, floor(37 * count(*) / (SELECT count(*) FROM records))) AS whole FROM records GROUP BY source)"
-    ),
+    "c13_matched_asks": q(f"SELECT * FROM ({_ASKS})"),
+    "c14_allocate": q(f"SELECT * FROM ({sql_allocated('by_name', 37)}) UNION ALL SELECT * FROM ({sql_allocated('by_part', 40)})"),
     "c15_sample_records": q("SELECT * FROM sampled"),
     "c16_fixed_subset": q(sql_sample(60, "c15:sub", "sampled")),
     "c17_phrasings": q("SELECT * FROM phrased"),

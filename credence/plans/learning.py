@@ -13,8 +13,7 @@ from credence.plans import fixtures as X
 from credence.plans.fixtures import oracle, sql_softmax, sql_uniform
 from credence.plans.metrics import _PROPER, _RUNS, at_risk_sql, ece_sql, r, ranked_sql, rounded, choice, judged, runs
 
-RESAMPLES = 1000
-PAIRED = 200
+RESAMPLES = PAIRED = 1000
 
 
 def log(s, d):
@@ -185,7 +184,7 @@ QUERIES = {
     "e1_key_mismatches": lambda s, d: R.key_mismatches(X.results_choice(s, d), run_c(s, d).where("record_id % 10 <> 3"), ["record_id", "question_id"]),
     "e2_bootstrap": lambda s, d: rounded(R.intervals(R.resampled(choice(s, d), weights(s, d, RESAMPLES), ["qtype"]), ["qtype"])),
     "e2_poisson_bootstrap": lambda s, d: rounded(R.intervals(R.resampled(choice(s, d), R.poisson_weights(X.results_choice(s, d), PAIRED, "pois"), ["qtype"]), ["qtype"])),
-    "e3_weighted_runs": lambda s, d: rounded(R.run_metrics(runs(s, d), weights(s, d)).where("b < 20")),
+    "e3_weighted_runs": lambda s, d: rounded(R.run_metrics(runs(s, d), weights(s, d))),
     "e4_contrasts": lambda s, d: rounded(contrast_table(s, d)),
     "e5_paired": lambda s, d: rounded(R.paired(choice(s, d), M.answers(run_c(s, d)), weights(s, d), ["qtype"])),
     "e6_ece_deltas": lambda s, d: rounded(ece_contrasts(s, d)),
@@ -398,7 +397,7 @@ ORACLES = {
         f"SELECT qtype, {ci('accuracy', 'accuracy')}, {ci('ece', 'ece')} FROM ({sql_resampled('qtype', 'judged_choice', 'pois')}) GROUP BY qtype", "qtype", "accuracy_lo accuracy_hi ece_lo ece_hi",
         pois=f"SELECT * FROM (SELECT b, record_id, len(list_filter({_POIS}, lambda c: c <= {sql_uniform('pois', 'b', 'record_id')})) AS w FROM results_choice, (SELECT unnest(range({PAIRED})) AS b)) WHERE w > 0",
     ),
-    "e3_weighted_runs": rr("SELECT run, CAST(b AS INT) AS b, accuracy, ece FROM run_table WHERE b < 20", "run b", "accuracy ece"),
+    "e3_weighted_runs": rr("SELECT run, CAST(b AS INT) AS b, accuracy, ece FROM run_table", "run b", "accuracy ece"),
     "e4_contrasts": rr(sql_contrasts(_CONTRASTS, "accuracy"), "contrast", "value ci_lo ci_hi"),
     "e5_paired": rr(sql_paired("qtype", "judged_choice", "judged_c"), "qtype n", "accuracy_a accuracy_b delta disagreement delta_lo delta_hi"),
     "e6_ece_deltas": rr(f"SELECT *, CASE WHEN ci_lo > 0 THEN 'above' WHEN ci_hi < 0 THEN 'below' ELSE 'level' END AS level FROM ({sql_contrasts({'a-b': 'a - b', 'c-b': 'c - b'}, 'ece')})", "contrast level", "value ci_lo ci_hi"),

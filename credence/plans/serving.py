@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -20,14 +19,14 @@ from credence.plans.fixtures import oracle, sql_uniform
 from credence.plans.metrics import choice, judged, r, rounded
 from credence.sources import files
 from credence.streaming import feedback as S
-from credence.session import tables
+from credence.session import shared_folder, tables
 
 CASES = 16
 
 
-def requests(s, d):
+def requests(s, d, case=None):
     """Requests of which each id modulo 16 breaks another rule."""
-    k = F.col("id") % CASES
+    k = F.col("id") % CASES if case is None else F.lit(case)
     opt = lambda label, text=None: F.struct(F.lit(label).alias("label"), F.lit(text).cast("string").alias("description"))
     none = F.array().cast("array<struct<label:string,description:string>>")
     q = lambda i, t, text, options: F.struct(F.lit(i).alias("id"), F.lit(t).cast("string").alias("type"), F.lit(text).cast("string").alias("instructions"), options.alias("options"))
@@ -45,7 +44,12 @@ def requests(s, d):
     for i in reversed(range(CASES)):
         questions = F.when(k == i, bad[i].cast(A.REQUEST["questions"].dataType)).otherwise(questions)
     docs = tables(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return docs.select("id", F.substring("text", 1, 9000).alias("state"), questions.alias("questions"))
+    return docs.select("id", F.col("text").alias("state"), questions.alias("questions"))
+
+
+def valid_requests(s, d):
+    """The questions that break no rule, for every document."""
+    return requests(s, d, 0)
 
 
 REASONS = [
@@ -82,7 +86,7 @@ def answers_of(s, d):
 
 
 def rendered(s, d):
-    r = A.render_text(requests(s, d).where(f"id % {CASES} = 0"))
+    r = A.render_text(valid_requests(s, d))
     return r.select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
@@ -155,9 +159,7 @@ def stored_round_trip(s, d):
 
 
 def scratch(s):
-    sc = s.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="scratch-")
-    return f"{base}/files-{uuid.uuid4().hex}"
+    return f"{shared_folder(s)}/files-{uuid.uuid4().hex}"
 
 
 def flattened(s, d):
@@ -196,7 +198,7 @@ QUERIES = {
     "d22_flattened": flattened,
     "i1_i3_parsed_replies": lambda s, d: replies(s, d).select("record_id", "status", "answer", "confidence", "lenient_status", "lenient_answer"),
     "i2_typed_values": typed_replies,
-    "i4_answer_schema": lambda s, d: requests(s, d).where(f"id % {CASES} = 0").select("id", F.array_join(I.shown_ids(F.col("questions")), ",").alias("ids"), I.answer_schema(F.col("questions")).alias("schema")),
+    "i4_answer_schema": lambda s, d: valid_requests(s, d).select("id", F.array_join(I.shown_ids(F.col("questions")), ",").alias("ids"), I.answer_schema(F.col("questions")).alias("schema")),
     "i5_baseline_metrics": lambda s, d: rounded(I.baseline_metrics(replies(s, d), ["split"])),
     "i6_last_wins": lambda s, d: I.last_wins(tables(s, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id"),
     "i7_latency": lambda s, d: rounded(I.latency_summary(latencies(s, d), ["event_type"], 5.0)),
@@ -263,12 +265,12 @@ ORACLES = {
     ),
     "a13_entropy_confidence": rr("SELECT record_id, confidence FROM judged WHERE qtype = 'score'", "record_id", "confidence"),
     "a14_route": q("SELECT qtype, CASE WHEN confidence >= 0.6 THEN 'automatic' ELSE 'escalate' END AS route, count(*) AS n FROM judged GROUP BY ALL"),
-    "a15_render_text": q("SELECT doc_id AS id, md5(substr(text, 1, 9000) || chr(10) || chr(10) || 'Which one?' || chr(10) || 'A. a: first' || chr(10) || 'B. b' || chr(10) || chr(10) || 'Is it?' || chr(10) || 'A. yes' || chr(10) || 'B. no') AS text_md5 FROM documents WHERE doc_id % 16 = 0"),
+    "a15_render_text": q("SELECT doc_id AS id, md5(text || chr(10) || chr(10) || 'Which one?' || chr(10) || 'A. a: first' || chr(10) || 'B. b' || chr(10) || chr(10) || 'Is it?' || chr(10) || 'A. yes' || chr(10) || 'B. no') AS text_md5 FROM documents"),
     "a16_shuffled_options": q("SELECT record_id, array_to_string(l, ',') AS labels, CAST(list_position(l, labels[gold + 1]) - 1 AS INT) AS gold FROM (SELECT *, list_transform(list_sort(list_transform(labels, lambda x: {'d': md5('a16:' || CAST(record_id AS VARCHAR) || ':' || x), 'x': x})), lambda s: s.x) AS l FROM results_choice)"),
     "d22_flattened": q("SELECT record_id, question_id, position, labels[gold + 1] AS gold_label, gold FROM results_noul"),
     "i1_i3_parsed_replies": q("SELECT record_id, status, answer, CAST(confidence AS DOUBLE) AS confidence, lenient_status, lenient_answer FROM reply_rows"),
     "i2_typed_values": f"SELECT CAST(record_id AS BIGINT) AS record_id, qtype, status, CAST(answer AS INT) AS answer FROM (VALUES {_TYPED}) AS t(record_id, qtype, status, answer)",
-    "i4_answer_schema": """SELECT doc_id AS id, 'q1,q2' AS ids, '{"q1":{"answer":{"type":"string","enum":["a","b"]},"confidence":{"type":"number"}},"q2":{"answer":{"type":"boolean"},"confidence":{"type":"number"}}}' AS schema FROM documents WHERE doc_id % 16 = 0""",
+    "i4_answer_schema": """SELECT doc_id AS id, 'q1,q2' AS ids, '{"q1":{"answer":{"type":"string","enum":["a","b"]},"confidence":{"type":"number"}},"q2":{"answer":{"type":"boolean"},"confidence":{"type":"number"}}}' AS schema FROM documents""",
     "i5_baseline_metrics": rr(
         "SELECT a.*, ece FROM (SELECT split, count(*) AS n, count(*) FILTER (WHERE status = 'ok') AS n_parsed, count(*) FILTER (WHERE status = 'invalid_json') AS invalid_json, count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'invalid_answer') AS invalid_answer, avg(CAST(answer = gold AS INT)) FILTER (WHERE status = 'ok') AS accuracy, avg(coalesce(CAST(answer = gold AS INT), 0)) AS accuracy_all, avg(coalesce(CAST(lenient_answer = gold AS INT), 0)) AS lenient_accuracy_all, count(*) FILTER (WHERE lenient_status = 'ok' AND status <> 'ok') AS recovered, count(confidence) AS n_with_confidence FROM reply_rows GROUP BY split) a "
         "LEFT JOIN (SELECT split, sum(abs(h - c)) / sum(n) AS ece FROM (SELECT split, least(CAST(floor(confidence * 15) AS INT), 14) AS bin, count(*) AS n, sum(CAST(answer = gold AS INT)) AS h, sum(confidence) AS c FROM reply_rows WHERE confidence IS NOT NULL GROUP BY ALL) GROUP BY split) USING (split)",

@@ -20,6 +20,13 @@ def excluded(s, d):
     return X.excluded_keys(b.select("text"), t.where("doc_id % 50 = 7").select("text"))
 
 
+def wide(text):
+    """A text with full-width letters and digits and ligatures, which NFKC undoes."""
+    plain = "".join(chr(c) for c in (*range(48, 58), *range(65, 91), *range(97, 123)))
+    joined = F.replace(F.replace(text, F.lit("ffi"), F.lit("\ufb03")), F.lit("fi"), F.lit("\ufb01"))
+    return F.translate(joined, plain, "".join(chr(ord(c) + 0xFEE0) for c in plain))
+
+
 def settings(s, d):
     return X.form_settings(docs(s, d).select("source", "text"), ["source"], 0.2)
 
@@ -62,8 +69,8 @@ def applied(s, d):
 _ID = lambda s, d: docs(s, d).select(F.col("doc_id").alias("id"), "text")
 
 QUERIES = {
-    "b1_normalise": lambda s, d: docs(s, d).select("doc_id", F.md5(T.normalise(F.col("text")).cast("binary")).alias("key")),
-    "b2_excluded_keys": lambda s, d: excluded(s, d).select(F.md5(F.col("key").cast("binary")).alias("key")),
+    "b1_normalise": lambda s, d: docs(s, d).select("doc_id", X.text_key(F.col("text")).alias("key"), X.text_key(wide(F.col("text"))).alias("key_of_wide")),
+    "b2_excluded_keys": excluded,
     "b3_keep": lambda s, d: X.keep(docs(s, d), excluded(s, d)).select("doc_id"),
     "b4_dedupe": lambda s, d: X.dedupe(docs(s, d), excluded(s, d), "doc_id"),
     "b5_ngrams": lambda s, d: docs(s, d).select("doc_id", F.size(T.ngrams(T.normalise(F.col("text")))).alias("n_ngrams")),
@@ -85,16 +92,17 @@ QUERIES = {
 
 _KEY = "trim(regexp_replace(lower({t}), '[^a-z0-9]+', ' ', 'g'))"
 K = _KEY.format(t="text")
-_WORDS = "list_filter(regexp_split_to_array(text, '[\\s\\x0B]+'), lambda w: w <> '')"
+_SPACE = "\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_WORDS = f"list_filter(regexp_split_to_array(text, '[{_SPACE}]+'), lambda w: w <> '')"
 _GRAMS = "list_distinct(list_transform(range(1, greatest(1, len(w) - 6)), lambda i: array_to_string(w[i:i + 7], ' ')))"
 _SPLIT = f"(SELECT *, string_split({K}, ' ') AS w FROM {{}})"
 _FX = {
-    "excluded": f"SELECT DISTINCT {K} AS key FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM documents WHERE doc_id % 50 = 7)",
+    "excluded": f"SELECT DISTINCT md5({K}) AS key FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM documents WHERE doc_id % 50 = 7)",
     "measured": f"""
     SELECT doc_id, source, CAST(len({_WORDS}) AS INT) AS word_count_over, CAST(length(text) AS INT) AS char_count_over,
       CAST(coalesce(list_max(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: length(w))), 0) AS INT) AS longest_word_over,
       CAST(regexp_matches(text, '[0-9]') AS INT) AS contains_number, CAST(contains(text, ',') AS INT) AS contains_comma,
-      CAST(regexp_matches(text, '\\?[\\s\\x0B]*$') AS INT) AS ends_with_question_mark FROM documents""",
+      CAST(regexp_matches(text, '\\?[{_SPACE}]*$') AS INT) AS ends_with_question_mark FROM documents""",
     "unpivoted": "SELECT doc_id, source, kind, CAST(value AS BIGINT) AS value FROM measured UNPIVOT (value FOR kind IN (word_count_over, char_count_over, longest_word_over, contains_number, contains_comma, ends_with_question_mark))",
     "shares": "SELECT source, kind, value AS t, (SELECT 1) AS one, 1 - sum(c) OVER (PARTITION BY source, kind ORDER BY value) / sum(c) OVER (PARTITION BY source, kind) AS share FROM (SELECT source, kind, value, count(*) AS c FROM unpivoted WHERE kind LIKE '%over' GROUP BY ALL)",
     "steps": "SELECT source, kind, t, share FROM shares UNION ALL SELECT source, kind, min(value) - 1, 1.0 FROM unpivoted WHERE kind LIKE '%over' GROUP BY source, kind",
@@ -131,11 +139,11 @@ def q(body: str) -> str:
 
 
 ORACLES = {
-    "b1_normalise": q(f"SELECT doc_id, md5({K}) AS key FROM documents"),
-    "b2_excluded_keys": q("SELECT md5(key) AS key FROM excluded"),
-    "b3_keep": q(f"SELECT doc_id FROM documents WHERE {K} NOT IN (SELECT key FROM excluded)"),
+    "b1_normalise": q(f"SELECT doc_id, md5({K}) AS key, md5({K}) AS key_of_wide FROM documents"),
+    "b2_excluded_keys": q("SELECT key FROM excluded"),
+    "b3_keep": q(f"SELECT doc_id FROM documents WHERE md5({K}) NOT IN (SELECT key FROM excluded)"),
     "b4_dedupe": q(
-        f"SELECT doc_id AS \"index\", CASE WHEN key IN (SELECT key FROM excluded) THEN 'test_text' WHEN doc_id > first THEN 'repeat' ELSE 'kept' END AS reason, CASE WHEN key NOT IN (SELECT key FROM excluded) AND doc_id > first THEN first END AS first_kept FROM (SELECT doc_id, {K} AS key, min(doc_id) OVER (PARTITION BY {K}) AS first FROM documents)"
+        f"SELECT doc_id AS \"index\", CASE WHEN key IN (SELECT key FROM excluded) THEN 'test_text' WHEN doc_id > first THEN 'repeat' ELSE 'kept' END AS reason, CASE WHEN key NOT IN (SELECT key FROM excluded) AND doc_id > first THEN first END AS first_kept FROM (SELECT doc_id, md5({K}) AS key, min(doc_id) OVER (PARTITION BY {K}) AS first FROM documents)"
     ),
     "b5_ngrams": q(f"SELECT doc_id, CAST(len({_GRAMS}) AS INT) AS n_ngrams FROM {_SPLIT.format('documents')}"),
     "b6_overlap": r(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,6 +20,19 @@ def session(master: str = "local[8]", partitions: int = 8, **more: str) -> Spark
     return builder.config(map=SETTINGS | more).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session. Where it is
+    unset, a local session gets a temporary folder; a cluster is refused, since executors would not
+    see each other's files."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str):
     """The named tables of a folder of Parquet files; one frame for one name."""
     got = [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]

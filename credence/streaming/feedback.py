@@ -6,13 +6,14 @@ the folder that executors share, never through the driver.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credence.session import shared_folder
+
 LATENESS = "1 day"
 
 
@@ -57,10 +58,10 @@ def running_rate(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
 
 
-def drift(events: DataFrame, limit: float = 0.02) -> DataFrame:
-    """Days whose share of errors is off the usual share by more than a limit (the share is a parameter of the alarm)."""
+def drift(events: DataFrame, usual: float = 0.2, limit: float = 0.02) -> DataFrame:
+    """Days whose share of errors is off the usual share by more than a limit."""
     d = events.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.avg((F.col("event_type") == "error").cast("int")).alias("rate"))
-    return d.select(F.col("w.start").alias("day"), "n", F.round("rate", 6).alias("rate"), (F.abs(F.col("rate") - 0.2) > limit).alias("alarm"))
+    return d.select(F.col("w.start").alias("day"), "n", F.round("rate", 6).alias("rate"), (F.abs(F.col("rate") - usual) > limit).alias("alarm"))
 
 
 def first_of_each(events: DataFrame) -> DataFrame:
@@ -70,20 +71,23 @@ def first_of_each(events: DataFrame) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is there now and return its last result as a table."""
+    """Run a stream over all that is there now and return its last result as a table.
+
+    Each batch has a folder of its own, by its number, which a repeated batch overwrites; in complete
+    mode the last one is the result, else all of them are.
+    """
     spark = stream.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    folder = f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    write = "overwrite" if mode == "complete" else "append"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    last = []
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode(write).parquet(f"{folder}/out")
+    def keep(batch: DataFrame, number: int) -> None:
+        last[:] = [number]
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    out = f"{folder}/out/batch={last[0] if mode == 'complete' else '*'}"
+    return spark.read.schema(stream.schema).parquet(out) if last else spark.createDataFrame([], stream.schema)
 
 
 def streamed(spark: SparkSession, path: str, view: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-computed values, invariants and refusals."""
 
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -128,18 +129,25 @@ def test_tables_that_do_not_align_are_refused(spark):
     assert resampling.aligned(a, a, ["k"]).count() == 2
 
 
+def allocated(spark, sizes, total):
+    rows = sampling.allocate(spark.createDataFrame(sorted(sizes.items()), "name string, n long"), total).collect()
+    return {r["name"]: r["given"] for r in rows}
+
+
 def test_allocation(spark):
-    assert sampling.allocate({"a": 90, "b": 9, "c": 1}, 10) == {"a": 9, "b": 1, "c": 0}  # one too many: the farthest above its share gives way
-    assert sampling.allocate({"a": 60, "b": 26, "c": 14}, 10) == {"a": 6, "b": 3, "c": 1}
-    assert sum(sampling.allocate({"a": 1, "b": 1, "c": 1}, 2).values()) == 2
+    assert allocated(spark, {"a": 90, "b": 9, "c": 1}, 10) == {"a": 9, "b": 1, "c": 0}  # one too many: the farthest above its share gives way
+    assert allocated(spark, {"a": 60, "b": 26, "c": 14}, 10) == {"a": 6, "b": 3, "c": 1}
+    assert sum(allocated(spark, {"a": 1, "b": 1, "c": 1}, 2).values()) == 2
+    assert allocated(spark, {"a": 3, "b": 4}, 7) == {"a": 3, "b": 4}
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.integers(1, 500), min_size=1, max_size=8), st.integers(1, 300))
-def test_allocation_sums_up(sizes, total):
-    total = min(total, sum(sizes.values()))
-    got = sampling.allocate(sizes, total)
-    assert sum(got.values()) == total and all(0 <= got[k] <= sizes[k] for k in sizes)
+def test_allocation_sums_up(spark):
+    rng = random.Random(2)
+    for _ in range(25):
+        sizes = {f"g{i}": rng.randrange(1, rng.choice([3, 500])) for i in range(rng.randrange(1, 30))}
+        total = rng.randrange(1, sum(sizes.values()) + 1)
+        got = allocated(spark, sizes, total)
+        assert sum(got.values()) == total and all(0 <= got[k] <= sizes[k] for k in sizes)
 
 
 def test_ranks_are_complete_under_skew(spark):
@@ -150,13 +158,32 @@ def test_ranks_are_complete_under_skew(spark):
 
 
 def test_nobody_is_asked_its_own_label(spark):
-    rows = spark.range(999).select(F.col("id").alias("record_id"), F.concat(F.lit("l"), (F.sqrt("id") % 7).cast("int").cast("string")).alias("intent"))
-    got = sampling.matched_asks(rows, "intent", "record_id", "t")
-    assert got.where("asked = intent").isEmpty()
-    count = lambda c: {r[0]: r[1] for r in got.groupBy(c).count().collect()}
-    assert count("asked") == count("intent")
+    even = F.concat(F.lit("l"), (F.col("id") % 8).cast("string"))
+    uneven = F.concat(F.lit("l"), (F.sqrt("id") % 7).cast("int").cast("string"))
+    half = F.when(F.col("id") % 2 == 0, "l1").otherwise(F.concat(F.lit("m"), (F.col("id") % 6).cast("string")))
+    two = F.when(F.col("id") < 500, "l1").otherwise("l2")
+    for n, label in ((4000, even), (999, uneven), (1000, half), (1000, two), (2, F.col("id").cast("string"))):
+        rows = spark.range(n).select(F.col("id").alias("record_id"), label.alias("intent"))
+        got = sampling.matched_asks(rows, "intent", "record_id", "t").cache()
+        assert got.count() == n and got.where("asked = intent or asked is null").isEmpty()
+        count = lambda c: {r[0]: r[1] for r in got.groupBy(c).count().collect()}
+        assert count("asked") == count("intent")
+        if label is even:  # what is asked says little of the label: each other one is asked about as often
+            cells = got.groupBy("intent", "asked").count().collect()
+            assert len(cells) == 56 and max(r["count"] for r in cells) < 2 * 4000 / 56
+        got.unpersist()
     with pytest.raises(ValueError):
-        sampling.matched_asks(rows.where("intent = 'l1'"), "intent", "record_id", "t")
+        sampling.matched_asks(rows.where("intent = '1'"), "intent", "record_id", "t")
+
+
+def test_leading_ranks_are_those_of_all_ranks(spark):
+    df = spark.range(5000).select(F.col("id"), (F.col("id") % 3).alias("g"))
+    order = F.md5(F.col("id").cast("string").cast("binary"))
+    for by in ([], ["g"]):
+        whole = sampling.seeded_rank(df, by, order).where("rank <= 40")
+        some = sampling.seeded_rank(df, by, order, upto=40)
+        fine = sampling.seeded_rank(df, by, order, upto=40, rows=10**10)
+        assert sorted(whole.collect()) == sorted(some.collect()) == sorted(fine.collect())
 
 
 def test_duplicates_by_hand(spark):
@@ -174,7 +201,15 @@ def test_overlap_needs_eight_words(spark):
 
 
 def test_compatibility_forms(spark):
-    assert one(spark.createDataFrame([("ﬁne ①",)], "t string").select(T.normalise(T.nfkc(F.col("t"))))) == "fine 1"
+    texts = {"ﬁne ①": "fine 1", "ﬁne ＡＢ": "fine ab", "ｆｕｌｌ ｗｉｄｔｈ": "full width", "cafe\u0301 é": "caf", "ÀB": "b", "plain": "plain", "": ""}
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", T.normalise(F.col("t")).alias("k")).collect()
+    assert {r["t"]: r["k"] for r in rows} == texts | {None: None}
+
+
+def test_words_end_at_any_white_space(spark):
+    t = "a\u00a0b\u3000c\u2003d\x1ce\u200bf?\u00a0"
+    row = spark.createDataFrame([(t,)], "t string").select(T.words(F.col("t")), T.FORM_KINDS["ends_with_question_mark"](F.col("t"))).first()
+    assert row[0] == t.split() and row[1] == 1
 
 
 def test_thresholds_by_hand(spark):
