@@ -18,16 +18,25 @@ def grid(lo: float = LOW, hi: float = HIGH, points: int = POINTS) -> list[float]
     return [lo * (hi / lo) ** (i / (points - 1)) for i in range(points)]
 
 
+#: Points of the finer grid on either side of the best point of the first.
+FINE = 20
+
+
 def losses(rows: DataFrame, loss, by: list[str], points: list[float]) -> DataFrame:
-    """Mean loss at each temperature, all in one pass with partial sums.
+    """Mean loss at each temperature, all in one pass.
 
-    Logits and their maximum are computed once a row; at each temperature ``t`` only the sum of
-    ``exp((z - max) / t)`` is, which all losses are made of.
+    A row's losses at all temperatures are one array, made from its logits and their maximum; the
+    slots are summed in place, so rows are neither multiplied nor shuffled.
     """
+    return _slots(rows, loss, by, F.array(*map(F.lit, points)), len(points))
+
+
+def _slots(rows: DataFrame, loss, by: list[str], points: Column, size: int) -> DataFrame:
     z = rows.withColumn("__z", D.logits(F.col("probs"))).withColumn("__m", F.array_max("__z"))
-    at = z.withColumn("t", F.explode(F.array(*map(F.lit, points))))
-    at = at.withColumn("__s", F.aggregate("__z", F.lit(0.0), lambda a, x: a + F.exp((x - F.col("__m")) / F.col("t"))))
-    return at.groupBy(*by, "t").agg(F.avg(loss(F.col("t"))).alias("loss"), F.count("*").alias("n"))
+    each = z.select(*by, points.alias("__t"), F.transform(points, lambda t: loss(t)).alias("__l"))
+    summed = each.groupBy(*by).agg(F.count("*").alias("n"), F.first("__t").alias("__t"), *[F.avg(F.get("__l", F.lit(i))).alias(f"__l{i}") for i in range(size)])
+    slots = summed.select(*by, "n", "__t", F.posexplode(F.array(*[f"__l{i}" for i in range(size)])).alias("__i", "loss"))
+    return slots.select(*by, F.get("__t", F.col("__i")).alias("t"), "loss", "n").where("t is not null")
 
 
 def pooled(table: DataFrame, by: list[str]) -> DataFrame:
@@ -40,19 +49,35 @@ def best(table: DataFrame, by: list[str]) -> DataFrame:
     return table.groupBy(*by).agg(F.min(F.struct(F.round("loss", 12).alias("l"), "t", "n")).alias("b")).select(*by, F.col("b.t").alias("temperature"), F.col("b.l").alias("loss"), F.col("b.n").alias("n"))
 
 
-def fit(rows: DataFrame, loss, zooms: int = 3) -> float:
-    """One temperature over all rows: the grid, then finer grids about its best point."""
-    lo, hi = LOW, HIGH
-    t = 1.0
-    for _ in range(zooms + 1):
-        got = best(losses(rows, loss, [], grid(lo, hi)), []).first()
-        t, step = got["temperature"], (hi / lo) ** (1 / (POINTS - 1))
-        lo, hi = max(LOW, t / step), min(HIGH, t * step)
-    return t
+def fitted(rows: DataFrame, loss, by: list[str], coarse: DataFrame | None = None) -> DataFrame:
+    """The temperature that minimises the mean loss of each group, and the least loss met.
+
+    The grid's best point is the centre of a finer grid that reaches to its neighbours; the minimum is
+    that of the parabola, in the logarithm of the temperature, through the best fine point and the
+    two about it. Two passes over the rows. At an end of the range the end itself is the answer.
+    """
+    centre = best(losses(rows, loss, by, grid()) if coarse is None else coarse, by).select(*by, F.col("temperature").alias("__c"))
+    near = rows.join(centre, by) if by else rows.join(F.broadcast(centre))  # one row
+    wide = math.log(HIGH / LOW) / (POINTS - 1) / FINE
+    at = F.transform(F.sequence(F.lit(-FINE), F.lit(FINE)), lambda j: F.col("__c") * F.exp(j * wide))
+    inside = F.filter(at, lambda t: (t >= LOW * (1 - 1e-9)) & (t <= HIGH * (1 + 1e-9)))
+    fine = _slots(near, loss, by, inside, 2 * FINE + 1)
+    w = F.sort_array(F.collect_list(F.struct("t", "loss")))  # 41 points a group
+    curve = fine.groupBy(*by).agg(w.alias("w"), F.min(F.struct(F.round("loss", 12).alias("l"), "t")).alias("b"), F.first("n").alias("n"))
+    curve = curve.withColumn("i", F.array_position(F.transform("w", lambda p: p["t"]), F.col("b.t")).cast("int") - 1)
+    before, here, after = (F.get("w", F.col("i") + k)["loss"] for k in (-1, 0, 1))
+    bend = before - 2 * here + after
+    move = F.when((F.col("i") > 0) & (bend > 0), (before - after) / (2 * bend)).otherwise(0.0)
+    return curve.select(*by, (F.col("b.t") * F.exp(F.coalesce(move, F.lit(0.0)) * wide)).alias("temperature"), F.col("b.l").alias("loss"), "n")
+
+
+def _at(t: Column) -> Column:
+    """The sum of the exponentials of the logits, less their maximum, at a temperature."""
+    return F.aggregate("__z", F.lit(0.0), lambda a, x: a + F.exp((x - F.col("__m")) / t))
 
 
 def _log_normaliser(t: Column) -> Column:
-    return F.log("__s") + F.col("__m") / t
+    return F.log(_at(t)) + F.col("__m") / t
 
 
 def nll_loss(t: Column) -> Column:
@@ -61,7 +86,7 @@ def nll_loss(t: Column) -> Column:
 
 def outcome_loss(t: Column, outcome: str = "outcome") -> Column:
     """Log-loss of revealed outcomes at the chosen action."""
-    p = F.exp((D.at(F.col("__z"), F.col("action")) - F.col("__m")) / t) / F.col("__s")
+    p = F.exp((D.at(F.col("__z"), F.col("action")) - F.col("__m")) / t) / _at(t)
     return -D.bernoulli(F.col(outcome), p)
 
 
