@@ -155,30 +155,31 @@ def by_position(judged: DataFrame) -> DataFrame:
     return ece(j, ["where"]).join(j.groupBy("where").agg(F.avg("hit").alias("accuracy")), "where")
 
 
-def score_levels(judged: DataFrame) -> DataFrame:
+def score_levels(judged: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Predicted and gold share of every level, by K and position of the question."""
+    by = by or []
     where = F.when(F.col("position") == 0, "first").otherwise("later").alias("where")
-    roles = judged.select("k", where, F.explode(F.array(F.struct(F.col("prediction").alias("level"), F.lit(1).alias("p"), F.lit(0).alias("g")),
+    roles = judged.select(*by, "k", where, F.explode(F.array(F.struct(F.col("prediction").alias("level"), F.lit(1).alias("p"), F.lit(0).alias("g")),
                                                         F.struct(F.col("gold").alias("level"), F.lit(0).alias("p"), F.lit(1).alias("g")))).alias("r"))
-    counts = roles.groupBy("k", "where", "r.level").agg(F.sum("r.p").alias("p"), F.sum("r.g").alias("g"))
-    totals = counts.groupBy("k", "where").agg(F.sum("g").alias("n"))
+    counts = roles.groupBy(*by, "k", "where", "r.level").agg(F.sum("r.p").alias("p"), F.sum("r.g").alias("g"))
+    totals = counts.groupBy(*by, "k", "where").agg(F.sum("g").alias("n"))
     every = totals.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    got = every.join(counts, ["k", "where", "level"], "left")
+    got = every.join(counts, [*by, "k", "where", "level"], "left")
     share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("n")
-    return got.select("k", "where", "level", "n", share("p").alias("predicted_share"), share("g").alias("gold_share"))
+    return got.select(*by, "k", "where", "level", "n", share("p").alias("predicted_share"), share("g").alias("gold_share"))
 
 
-def order_sensitivity(pairs: DataFrame) -> DataFrame:
+def order_sensitivity(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``pairs`` has qtype, gold, probs and shuffled_probs; one row by type and one overall."""
+    by = by or []
     q, g = F.col("qtype"), F.col("gold")
     a, b = D.prediction(q, F.col("probs")), D.prediction(q, F.col("shuffled_probs"))
     moved = F.array_max(F.zip_with("probs", "shuffled_probs", lambda x, y: F.abs(x - y)))
-    rows = pairs.select("qtype", (a == g).cast("int").alias("h"), (b == g).cast("int").alias("s"), (a == b).cast("int").alias("same"), moved.alias("d"))
-    out = rows.rollup("qtype").agg(
+    rows = pairs.select(*by, F.explode(F.array("qtype", F.lit("overall"))).alias("qtype"), (a == g).cast("int").alias("h"), (b == g).cast("int").alias("s"), (a == b).cast("int").alias("same"), moved.alias("d"))
+    return rows.groupBy(*by, "qtype").agg(
         F.count("*").alias("n"), F.avg("h").alias("accuracy"), F.avg("s").alias("accuracy_shuffled"), F.avg("same").alias("prediction_agreement"),
         F.avg("d").alias("mean_max_abs_difference"), F.max("d").alias("max_abs_difference"),
     )
-    return out.withColumn("qtype", F.coalesce("qtype", F.lit("overall")))
 
 
 def by_gold_other(judged: DataFrame, other: str = "other") -> DataFrame:
@@ -191,10 +192,15 @@ def by_gold_other(judged: DataFrame, other: str = "other") -> DataFrame:
     return out.withColumn("part", F.coalesce("part", F.lit("offering")))
 
 
+def symmetry_terms() -> list[Column]:
+    """The sum of both answers, and whether they agree."""
+    a, b = F.col("probs")[0], F.col("negated_p_yes")
+    return [(a + b).alias("s"), ((a >= 0.5) != (b >= 0.5)).cast("int").alias("c")]
+
+
 def symmetry(results: DataFrame) -> DataFrame:
     """How close P(yes to q) and P(yes to not q) come to summing to one, by kind and overall."""
-    a, b = F.col("probs")[0], F.col("negated_p_yes")
-    rows = results.where("negated_p_yes is not null").select("kind", (a + b).alias("s"), ((a >= 0.5) != (b >= 0.5)).cast("int").alias("c"))
+    rows = results.where("negated_p_yes is not null").select("kind", *symmetry_terms())
     out = rows.rollup("kind").agg(F.count("*").alias("n"), F.avg("s").alias("mean_sum"), F.stddev_pop("s").alias("std_sum"), F.avg("c").alias("argmax_consistent"))
     return out.withColumn("kind", F.coalesce("kind", F.lit("overall")))
 
@@ -207,8 +213,33 @@ def max_abs_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.agg(F.count("*").alias("n"), F.sum((~same).cast("int")).alias("mismatched"), F.max(d).alias("max_abs_difference"))
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, names: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation, by running counts over distinct values: first over
+    ranges of values, then inside a range, so that no task or buffer holds all values of a group."""
+    v = F.col(value).cast("double")
+    ties = df.where(v.isNotNull()).groupBy(*by, v.alias("v")).agg(F.count("*").alias("w"))
+    ties = ties.withColumn("range", F.floor(F.signum("v") * F.log1p(F.abs("v")) * RANGES))  # grows with the value
+    ranges = ties.groupBy(*by, "range").agg(F.sum("w").alias("rw"))
+    below = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumns({"base": F.coalesce(F.sum("rw").over(below), F.lit(0)), "total": F.sum("rw").over(Window.partitionBy(*by))}).drop("rw")
+    inside = Window.partitionBy(*by, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ties.withColumn("w0", F.coalesce(F.sum("w").over(inside), F.lit(0))).join(ranges, [*by, "range"])
+    first = F.col("base") + F.col("w0")  # of the places 0, 1, ... that the value has
+    out = []
+    for name, q in names.items():
+        at = (F.col("total") - 1) * F.lit(q)
+        upto = lambda place: F.max(F.when(first <= place, F.col("v")))
+        part = F.max(at - F.floor(at))
+        lo, hi = upto(F.floor(at)), upto(F.ceil(at))
+        out.append((lo + (hi - lo) * part).alias(name))
+    return placed.groupBy(*by).agg(*out)
+
+
 def timing_summary(df: DataFrame, seconds: str, by: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(seconds).alias("n"), (F.expr(f"percentile({seconds}, 0.5)") * 1000).alias("median_ms"), (F.avg(seconds) * 1000).alias("mean_ms"))
+    median = quantiles(df, by, seconds, {"median": 0.5}).select(*[F.col(c).alias(f"__{c}") for c in by], (F.col("median") * 1000).alias("median_ms"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    means = df.groupBy(*by).agg(F.count(seconds).alias("n"), (F.avg(seconds) * 1000).alias("mean_ms"))
+    return means.join(median, same, "left").select(*by, "n", "median_ms", "mean_ms")
 
 
 def split_metrics(judged: DataFrame) -> DataFrame:

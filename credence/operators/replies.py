@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credence.functions import distributions as D
+from credence.operators.metrics import quantiles
 
 # A whole reply inside a code fence, and the forms of answers asked for.
 FENCE = r"(?s)\A```(?:json)?\s*\n(.*)\n\s*```\z"
@@ -125,11 +126,13 @@ def latency_summary(rows: DataFrame, by: list[str], timeout_s: float) -> DataFra
     retried if it took longer than the timeout."""
     retried = F.when(F.col("retries").isNotNull(), F.col("retries") > 0).otherwise(F.col("latency_s") > timeout_s)
     first = F.when(~retried, F.col("latency_s") * 1000)
-    return rows.groupBy(*by).agg(
-        F.count(first).alias("n"), F.percentile(first, 0.5).alias("median_ms"), F.percentile(first, 0.95).alias("p95_ms"), F.avg(first).alias("mean_ms"),
+    mid = quantiles(rows.withColumn("__ms", first), by, "__ms", {"median_ms": 0.5, "p95_ms": 0.95})
+    counts = rows.groupBy(*by).agg(
+        F.count(first).alias("n"), F.avg(first).alias("mean_ms"),
         F.sum(retried.cast("long")).alias("retried_requests"), F.sum(F.coalesce("retries", F.lit(0))).alias("retries_total"),
         F.sum(F.col("retries").isNull().cast("long")).alias("rows_without_retry_count"), F.sum((F.col("retries").isNull() & (F.col("latency_s") > timeout_s)).cast("long")).alias("over_timeout"),
     )
+    return counts.join(mid, by, "left")
 
 
 def cost_usd(tokens_in: Column, cached: Column, tokens_out: Column, price_in: float, price_cached: float, price_out: float) -> Column:

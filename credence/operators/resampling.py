@@ -36,6 +36,30 @@ def poisson_weights(records: DataFrame, resamples: int, seed: str) -> DataFrame:
     return rows.select("b", "record_id", w.alias("w")).where("w > 0")
 
 
+#: Draws that one digest gives, of 20 bits each.
+PER_DIGEST = 6
+
+
+def with_poisson_weights(rows: DataFrame, resamples: int, seed: str, key: Column) -> DataFrame:
+    """``rows`` once for each resample ``b`` in which its record is drawn, ``w`` times. The weights are
+    Poisson(1) numbers made from the key where the row is: no table of draws, no join, no shuffle."""
+    cuts, term, total = [], 0.36787944117144233, 0.0
+    for k in range(1, 10):  # beyond, 20 bits have no draw
+        total += term
+        cuts.append(total)
+        term /= k
+    each = rows.withColumn("__m", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // PER_DIGEST) - 1)))).withColumn("__d", digest(seed, F.col("__m"), key))
+    draws = []
+    for k in range(PER_DIGEST):
+        u = F.conv(F.substring("__d", 5 * k + 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20))
+        w = F.lit(len(cuts))
+        for i in reversed(range(len(cuts))):
+            w = F.when(u < cuts[i], i).otherwise(w)
+        draws.append(F.struct((F.col("__m") * PER_DIGEST + k).alias("b"), w.alias("w")))
+    out = each.withColumn("__w", F.explode(F.array(*draws))).select(*rows.columns, "__w.*")
+    return out.where((F.col("w") > 0) & (F.col("b") < resamples))
+
+
 def resampled(judged: DataFrame, weights: DataFrame, by: list[str], n_bins: int = D.N_BINS) -> DataFrame:
     """Weighted accuracy and ECE of every resample. Rows are first summed by record and bin."""
     bins = judged.groupBy(*by, "record_id", D.bin_index(F.col("top1"), n_bins).alias("bin")).agg(F.count("*").alias("n"), F.sum("hit").alias("h"), F.sum("top1").alias("c"))

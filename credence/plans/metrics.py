@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from credence.functions import distributions as D
 from credence.operators import metrics as M
+from credence.operators import report
 from credence.plans import fixtures as X
 from credence.plans.fixtures import oracle, sql_uniform
 from credence.session import tables
@@ -46,6 +49,13 @@ def shuffled(spark, sf):
     return a.unionByName(n)
 
 
+def reported(spark, sf):
+    """The report of each split; later yes/no questions ask about the form, choices have a reordered copy."""
+    r = X.results(spark, sf).withColumn("kind", F.when((F.col("qtype") == "noul") & (F.col("position") == 1), "contains_comma").otherwise(F.col("kind")))
+    c = X.results_choice(spark, sf, 0.05, 0.15).select("record_id", "question_id", F.col("probs").alias("shuffled_probs"))
+    return report.split_report(M.answers(r.join(c, ["record_id", "question_id"], "left")))
+
+
 def lines_round_trip(spark, sf):
     """Results as JSON lines and back under the fixed schema."""
     r = X.results(spark, sf)
@@ -77,6 +87,7 @@ QUERIES = {
     "d19_max_abs_difference": lambda s, d: rounded(M.max_abs_difference(X.results_choice(s, d), X.results_choice(s, d, 1.0))),
     "d19_timing": lambda s, d: rounded(M.timing_summary(tables(s, d, "events"), "value", ["event_type"])),
     "d20_split_metrics": lambda s, d: rounded(M.split_metrics(judged(s, d))),
+    "d20_split_report": lambda s, d: rounded(reported(s, d)),
     "d21_lines_round_trip": lines_round_trip,
     "d23_reordered": lambda s, d: X.results_choice(s, d).select("record_id", F.array_join(M.seeded_order(F.col("labels"), "order", F.col("record_id")), ",").alias("labels")),
     "d24_mean_ece": lambda s, d: rounded(M.ece(choice(s, d), ["split"]).agg(F.avg("ece").alias("mean_ece"), F.count("*").alias("splits"))),
@@ -143,6 +154,49 @@ _SPLIT_ROWS = {
     UNION ALL SELECT *, 'kind', qtype || '/' || kind FROM judged UNION ALL SELECT *, 'place', qtype || '/' || {_WHERE} FROM judged"""
 }
 
+_POISSON = [sum(0.36787944117144233 / math.factorial(i) for i in range(k + 1)) for k in range(9)]
+_BY = "split, block"
+_TYPED = {
+    "typed": "SELECT j.* REPLACE (CASE WHEN j.qtype = 'noul' AND j.position = 1 THEN 'contains_comma' ELSE j.kind END AS kind), CASE WHEN j.qtype = 'noul' AND j.position = 1 THEN 'form' ELSE j.qtype END AS block, c.probs AS shuffled FROM judged j LEFT JOIN run_c c ON j.record_id = c.record_id AND j.question_id = c.question_id",
+    "keyed": f"""
+    SELECT * REPLACE ('overall' AS block), 'all' AS part FROM typed WHERE block <> 'form' UNION ALL SELECT *, 'all' FROM typed UNION ALL SELECT *, 'place:' || {_WHERE} FROM typed
+    UNION ALL SELECT *, 'kind:' || kind FROM typed WHERE qtype = 'noul' UNION ALL SELECT *, 'k:' || k FROM typed WHERE qtype = 'choice' UNION ALL SELECT *, 'gold:' || gold FROM typed WHERE qtype = 'choice'
+    UNION ALL SELECT *, 'k:' || k || '/gold:' || gold FROM typed WHERE qtype = 'choice' UNION ALL SELECT *, 'offering' FROM typed WHERE qtype = 'choice' AND list_contains(labels, 'other')
+    UNION ALL SELECT *, CASE WHEN labels[gold + 1] = 'other' THEN 'gold_other' ELSE 'gold_named' END FROM typed WHERE qtype = 'choice' AND list_contains(labels, 'other')""",
+    "means": f"""
+    SELECT split, block, part, count(*) AS n, avg(hit) AS accuracy, avg(list_sum(list_transform(range(len(probs)), lambda i: pow(probs[i + 1] - CASE WHEN i = gold THEN 1 ELSE 0 END, 2)))) AS brier, avg(-ln(greatest(probs[gold + 1], 1e-12))) AS nll,
+      avg(CAST(prediction = 0 AS INT)) AS yes_rate, avg(probs[gold + 1]) AS mean_gold_probability, avg(CAST(labels[prediction + 1] = 'other' AS INT)) AS predicted_other_rate, avg(abs({_LEVEL} - gold)) AS mae FROM keyed GROUP BY ALL""",
+    "bins": "SELECT split, block, part, least(CAST(floor(top1 * 15) AS INT), 14) AS bin, count(*) AS n, avg(top1) AS c, avg(hit) AS h FROM keyed GROUP BY ALL",
+    "pois": f"SELECT record_id, b, len(list_filter({_POISSON}, lambda c: u >= c)) AS w FROM (SELECT record_id, b, CAST('0x' || substr(md5('report:' || CAST(b // 6 AS VARCHAR) || ':' || CAST(record_id AS VARCHAR)), CAST(5 * (b % 6) + 1 AS INT), 5) AS BIGINT) / 1048576.0 AS u FROM (SELECT DISTINCT record_id FROM judged), (SELECT unnest(range(1000)) AS b))",
+    "draws": "SELECT split, block, b, sum(h) / sum(n) AS accuracy, sum(abs(h - c)) / sum(n) AS ece FROM (SELECT split, block, b, least(CAST(floor(top1 * 15) AS INT), 14) AS bin, sum(w) AS n, sum(w * hit) AS h, sum(w * top1) AS c FROM (SELECT split, block, record_id, top1, hit FROM keyed WHERE part = 'all') x JOIN pois USING (record_id) WHERE w > 0 GROUP BY ALL) GROUP BY ALL",
+    "ends": "SELECT split, block, 'all' AS part, quantile_cont(accuracy, 0.025) AS accuracy_lo, quantile_cont(accuracy, 0.975) AS accuracy_hi, quantile_cont(ece, 0.025) AS ece_lo, quantile_cont(ece, 0.975) AS ece_hi FROM draws GROUP BY ALL",
+    "curve": _CURVE.format(by=_BY, of="typed"), "by_top1": ranked_sql(_BY, "top1", "typed"), "by_entropy": ranked_sql(_BY, "confidence", "typed"),
+    "risks": " UNION ALL ".join(f"SELECT split, block, 'risk:{n}:' || printf('%.2f', budget) AS part, coverage, n, accuracy, threshold FROM ({at_risk_sql(_BY, t)})" for n, t in (("top1", "by_top1"), ("entropy", "by_entropy"))),
+    "areas": " UNION ALL ".join(f"SELECT split, block, 'risk:{n}' AS part, avg(errors / kept) AS aurc FROM {t} GROUP BY ALL" for n, t in (("top1", "by_top1"), ("entropy", "by_entropy"))),
+    "f1": "SELECT split, 'choice' AS block, 'all' AS part, avg(f) AS macro_f1 FROM (SELECT g.split, g.label, 2.0 * tp / (golds + coalesce(preds, 0)) AS f FROM (SELECT split, labels[gold + 1] AS label, count(*) AS golds, sum(hit) AS tp FROM judged_choice GROUP BY ALL) g LEFT JOIN (SELECT split, labels[prediction + 1] AS label, count(*) AS preds FROM judged_choice GROUP BY ALL) p ON g.split = p.split AND g.label = p.label) GROUP BY split",
+    "levels": f"SELECT split, 'score' AS block, 'levels:' || k || '/' || {_WHERE} || '/' || level AS part, avg(CAST(prediction = level AS INT)) AS predicted_share, avg(CAST(gold = level AS INT)) AS gold_share FROM (SELECT * FROM judged WHERE qtype = 'score'), (SELECT unnest(range(5)) AS level) GROUP BY ALL",
+    "even": "SELECT split, block, part, count(*) AS n, avg(probs[1] + negated_p_yes) AS mean_sum, stddev_pop(probs[1] + negated_p_yes) AS std_sum, avg(CAST((probs[1] >= 0.5) <> (negated_p_yes >= 0.5) AS INT)) AS argmax_consistent FROM (SELECT *, unnest(['symmetry', 'symmetry:' || kind]) AS part FROM typed WHERE qtype = 'noul') GROUP BY ALL",
+    "moved": f"SELECT split, 'overall' AS block, 'order:' || name AS part, count(*) AS n, avg(hit) AS accuracy, avg(CAST({_PRED.format(p='shuffled')} = gold AS INT)) AS accuracy_shuffled, avg(CAST({_PRED.format(p='shuffled')} = prediction AS INT)) AS prediction_agreement, avg(d) AS mean_max_abs_difference, max(d) AS max_abs_difference FROM (SELECT *, unnest([qtype, 'overall']) AS name, list_max(list_transform(range(1, len(probs) + 1), lambda i: abs(probs[i] - shuffled[i]))) AS d FROM typed WHERE shuffled IS NOT NULL) GROUP BY ALL",
+    "counted": "SELECT split, 'overall' AS block, 'all' AS part, count(DISTINCT record_id) AS n_records FROM judged GROUP BY split",
+    "eces": ece_sql("split, block, part", "keyed"),
+    "thresholds": "SELECT split, block, 'threshold:' || printf('%.2f', threshold) AS part, coverage, n, accuracy FROM curve",
+    "reliable": "SELECT split, block, 'bin:' || bin AS part, n AS count, c AS mean_confidence, h AS mean_accuracy FROM bins WHERE part = 'all'",
+}
+
+
+def _metric_rows() -> str:
+    whole, yes = "part = 'all'", "block IN ('noul', 'form')"
+    shown = [
+        ("means", "n", "true"), ("means", "accuracy", "true"), ("eces", "ece", "part = 'all' OR part LIKE 'place:%' OR part LIKE 'kind:%'"), ("means", "brier", whole), ("means", "nll", whole),
+        ("means", "yes_rate", f"{yes} AND (part = 'all' OR part LIKE 'kind:%')"), ("means", "mean_gold_probability", "part LIKE 'k:%' OR part LIKE 'gold:%'"),
+        ("means", "predicted_other_rate", "part IN ('offering', 'gold_other', 'gold_named')"), ("means", "mae", f"block = 'score' AND {whole}"), ("counted", "n_records", "true"), ("areas", "aurc", "true"), ("f1", "macro_f1", "true"),
+    ]
+    for table, names in (("reliable", "count mean_confidence mean_accuracy"), ("ends", "accuracy_lo accuracy_hi ece_lo ece_hi"), ("thresholds", "coverage n accuracy"), ("risks", "coverage n accuracy threshold"), ("levels", "predicted_share gold_share"),
+                         ("even", "n mean_sum std_sum argmax_consistent"), ("moved", "n accuracy accuracy_shuffled prediction_agreement mean_max_abs_difference max_abs_difference")):
+        shown += [(table, n, "true") for n in names.split()]
+    return " UNION ALL ".join(f"SELECT split, block, part, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM {t} WHERE {w}" for t, m, w in shown)
+
+
 ORACLES = {
     "d1_prediction": oracle("SELECT record_id, question_id, qtype, prediction FROM judged"),
     "d2_row_values": r(f"SELECT * REPLACE (CAST(k AS INT) AS k), CASE WHEN qtype = 'score' THEN {_LEVEL} END AS expected_level FROM judged", "record_id question_id qtype k hit", "top1 expected_level"),
@@ -187,6 +241,7 @@ ORACLES = {
     "d19_max_abs_difference": r("SELECT count(*) AS n, CAST(sum(CAST(len(a.probs) <> len(b.probs) AS INT)) AS BIGINT) AS mismatched, max(list_max(list_transform(range(1, len(a.probs) + 1), lambda i: abs(a.probs[i] - b.probs[i])))) AS max_abs_difference FROM results_choice a JOIN run_b b USING (record_id, question_id)", "n mismatched", "max_abs_difference"),
     "d19_timing": r("SELECT event_type, count(value) AS n, quantile_cont(value, 0.5) * 1000 AS median_ms, avg(value) * 1000 AS mean_ms FROM events GROUP BY event_type", "event_type n", "median_ms mean_ms"),
     "d20_split_metrics": r(f"SELECT p.*, ece FROM ({_PROPER.format(by='split, block, name', of='split_rows')}) p JOIN ({ece_sql('split, block, name', 'split_rows')}) e USING (split, block, name)", "split block name n", "accuracy brier nll ece", **_SPLIT_ROWS),
+    "d20_split_report": r(_metric_rows(), "split block part metric", "value", **_RUNS, **_TYPED),
     "d21_lines_round_trip": r("SELECT qtype, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, CAST(sum(gold) AS BIGINT) AS golds, sum(top1) AS top1 FROM judged GROUP BY qtype", "qtype n hits golds", "top1"),
     "d23_reordered": oracle(
         "SELECT record_id, array_to_string(CASE WHEN drawn = labels AND len(labels) > 1 THEN list_concat(labels[2:], labels[1:1]) ELSE drawn END, ',') AS labels FROM (SELECT record_id, labels, list_transform(list_sort(list_transform(range(1, len(labels) + 1), lambda i: {'d': md5('order:' || CAST(record_id AS VARCHAR) || ':' || CAST(i - 1 AS VARCHAR)), 'x': labels[i]})), lambda s: s.x) AS drawn FROM results_choice)"

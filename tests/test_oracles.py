@@ -35,4 +35,4 @@ def test_entry(spark):
     import __spark_entry__
 
     df = __spark_entry__.entry(spark)
-    assert df.columns == ["split", "block", "name", "n", "accuracy", "brier", "nll", "ece"] and df.count() > 0
+    assert df.columns == ["split", "block", "part", "metric", "value"] and df.count() > 0
