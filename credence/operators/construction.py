@@ -208,6 +208,15 @@ def probe_null(rows: DataFrame, target: str, top: float, permutations: int = 200
     return [probe_accuracy(shuffled_targets(rows, target, f"null:{b}"), target, **probe) - top for b in range(permutations)]
 
 
+def cell_lift(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Of a probe that answers every ``cell`` with its most common ``target``: accuracy over that of the
+    most common target of the group."""
+    counts = rows.groupBy(*by, "cell", "target").agg(F.count("*").alias("c"))
+    hits = counts.groupBy(*by, "cell").agg(F.max("c").alias("m"), F.sum("c").alias("n")).groupBy(*by).agg((F.sum("m") / F.sum("n")).alias("accuracy"))
+    top = counts.groupBy(*by, "target").agg(F.sum("c").alias("c")).groupBy(*by).agg((F.max("c") / F.sum("c")).alias("majority"))
+    return hits.join(top, by).select(*by, F.round(F.col("accuracy") - F.col("majority"), 9).alias("lift"))
+
+
 def lift_gate(lifts: DataFrame, nulls: DataFrame, by: list[str]) -> DataFrame:
     """``lifts`` (by, lift) against permutation lifts (by, lift): p-value and verdict. Fails above the
     hard limit, or above the soft one and the 99th order statistic of the permutations."""

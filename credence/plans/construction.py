@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from credence.functions.draws import digest, uniform
+from credence.functions.draws import digest
 from credence.operators import construction as C
 from credence.operators import sampling as S
 from credence.operators import text as X
@@ -14,6 +14,8 @@ from credence.plans.metrics import r, rounded
 from credence.session import tables
 
 LABELS = [f"src{i}" for i in range(20)]
+#: Shuffles of the targets that a lift is held against.
+NULLS = 200
 
 
 def records(s, d):
@@ -69,13 +71,35 @@ def leaks(s, d):
     return C.held_out_leaks(asked(s, d), held(s, d))
 
 
+def celled(s, d):
+    """Records with the class of their length, the one feature of a small probe for the domain."""
+    return known(s, d).select("source", "record_id", F.least(F.floor(F.col("n_chars") / 700), F.lit(6)).alias("cell"), F.col("domain").alias("target"))
+
+
 def lifts(s, d):
-    """Majority of a target by group over the mean majority, and the same under seeded label shuffles."""
-    base = known(s, d).select("record_id", "source", F.col("domain").alias("target"))
-    lift = C.majority(base, ["source"], "target").select("source", F.round(F.col("majority") - 0.25, 9).alias("lift"))
-    null = base.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("t", F.floor(uniform("null", F.col("b"), F.col("record_id")) * 4))
-    null = C.majority(null, ["source", "b"], "t").select("source", F.round(F.col("majority") - 0.25, 9).alias("lift"))
-    return C.lift_gate(lift, null, ["source"])
+    """The gate on the lift of that probe, which answers each class with its most common domain: over
+    the majority of the source, against the lifts of the same probe on shuffled domains."""
+    base = celled(s, d)
+    many = base.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(NULLS))))
+    order = lambda name: digest(name, F.col("b"), F.col("record_id"))
+    seats = S.seeded_rank(many.drop("target"), ["source", "b"], order("c28:seat"))
+    dealt = S.seeded_rank(many.select("source", "b", "record_id", "target"), ["source", "b"], order("c28:deal")).select("source", "b", "rank", "target")
+    null = C.cell_lift(seats.join(dealt, ["source", "b", "rank"]), ["source", "b"])
+    return C.lift_gate(C.cell_lift(base, ["source"]), null.drop("b"), ["source"])
+
+
+def broken(s, d):
+    """Questions and states that fail every check: one kind always true, answers first, repeated ids, too much JSON."""
+    p = phrased(s, d).withColumn("gold", (F.col("kind") == "en") | F.col("gold"))
+    q = questions(s, d).withColumn("options", F.concat(F.array("answer"), F.array_except("options", F.array("answer"))))
+    w = X.wrap_states(tables(s, d, "documents").select("doc_id", "text"), "doc_id")
+    w = w.withColumn("state_format", F.when(F.col("doc_id") % 2 == 0, "json").otherwise(F.col("state_format")))
+    return p, q.unionByName(q.where("record_id % 97 = 0")), w
+
+
+def gates(s, d):
+    good = C.build_gate(phrased(s, d), questions(s, d), X.wrap_states(tables(s, d, "documents").select("doc_id", "text"), "doc_id"))
+    return good.withColumn("data", F.lit("built")).unionByName(C.build_gate(*broken(s, d)).withColumn("data", F.lit("broken")))
 
 
 def probed(s, d):
@@ -149,7 +173,7 @@ QUERIES = {
     "c21_held_out_leaks": leaks,
     "c22_order_violations": lambda s, d: C.order_violations(structure(s, d)),
     "c23_score_distribution": lambda s, d: scaled(s, d).groupBy("scale", "level").agg(F.count("*").alias("n")),
-    "c24_build_gate": lambda s, d: rounded(C.build_gate(phrased(s, d), questions(s, d), X.wrap_states(tables(s, d, "documents").select("doc_id", "text"), "doc_id"))),
+    "c24_build_gate": lambda s, d: rounded(gates(s, d)),
     "c25_probe_features": lambda s, d: C.probe_features(asked(s, d).withColumn("instructions", F.concat(F.lit("Does this fit: "), "asked", F.lit("?")))).select("record_id", F.size("features").alias("n_features")),
     "c26_usable_groups": lambda s, d: rounded(C.usable_groups(known(s, d), ["source"], "domain", 20)),
     "c27_probe_accuracy": probe,
@@ -209,7 +233,28 @@ WITH dealt AS (
 SELECT d.record_id, own AS intent, coalesce(t.asked, d.got) AS asked FROM dealt d
 LEFT JOIN (SELECT x.record_id, y.own AS asked FROM clash x JOIN clash y ON y.place = (x.place + x.most) % x.total) t USING (record_id)
 WHERE NOT EXISTS (SELECT 1 FROM clash WHERE 2 * most > total)"""
-_PICK = "{a}[1]"
+def sql_cell_lift(by: str, of: str) -> str:
+    cells = f"(SELECT {by}, cell, target, count(*) AS c FROM {of} GROUP BY ALL)"
+    return f"""
+    SELECT h.*, round(hits / n - majority, 9) AS lift FROM (SELECT {by}, sum(m) AS hits, sum(n) AS n FROM (SELECT {by}, cell, max(c) AS m, sum(c) AS n FROM {cells} GROUP BY {by}, cell) GROUP BY {by}) h
+    JOIN (SELECT {by}, max(c) / sum(c) AS majority FROM (SELECT {by}, target, sum(c) AS c FROM {cells} GROUP BY {by}, target) GROUP BY {by}) USING ({by})"""
+
+
+_POSITIONS = "SELECT CAST(k.k AS INT) AS k, CAST(p AS INT) AS position, coalesce(n, 0) AS n FROM (SELECT DISTINCT len(options) AS k, unnest(range(len(options))) AS p FROM {q}) k LEFT JOIN (SELECT len(options) AS k, list_position(options, answer) - 1 AS p, count(*) AS n FROM {q} GROUP BY ALL) c USING (k, p)"
+
+
+def sql_gate(data: str, phrased: str, questions: str, wrapped: str) -> str:
+    only = f"(SELECT kind, sum(greatest(yes, c - yes)) / sum(c) AS alone FROM (SELECT kind, count(*) AS c, sum(CAST(gold AS INT)) AS yes FROM {phrased} GROUP BY kind, template, negated) GROUP BY kind)"
+    off = f"(SELECT k, sum(n) AS total, max(abs(n / t - 1 / k)) / sqrt(1 / k * (1 - 1 / k) / sum(n)) AS deviation FROM (SELECT *, sum(n) OVER (PARTITION BY k) AS t FROM ({_POSITIONS.format(q=questions)})) GROUP BY k)"
+    parts = [
+        f"SELECT 'balance' AS \"check\", kind AS item, avg(CAST(gold AS INT)) AS value FROM {phrased} GROUP BY kind HAVING avg(CAST(gold AS INT)) NOT BETWEEN 0.4 AND 0.6",
+        f"SELECT 'phrasing only', kind, alone FROM {only} WHERE alone > 0.55", f"SELECT 'position', CAST(k AS VARCHAR), deviation FROM {off} WHERE total >= 100 AND deviation > 4",
+        f"SELECT 'unique id', CAST(record_id AS VARCHAR), count(*) FROM {questions} GROUP BY record_id HAVING count(*) > 1",
+        f"SELECT 'json share', 'all', avg(CAST(json AS INT)) FROM {wrapped} HAVING abs(avg(CAST(json AS INT)) - 0.2) > 0.005",
+    ]
+    return f"SELECT '{data}' AS data, * FROM ({' UNION ALL '.join(parts)})"
+
+
 _FX = PT._FX | {
     "records": "SELECT doc_id AS record_id, lang AS source, CASE WHEN source = 'src0' THEN 'oos' ELSE source END AS intent, 'd' || CAST(regexp_extract(source, '[0-9]+') AS INT) % 4 AS domain, n_chars, text FROM documents",
     "known": "SELECT * FROM records WHERE intent <> 'oos'",
@@ -233,8 +278,14 @@ _FX = PT._FX | {
     "by_name": "SELECT source AS name, count(*) AS n FROM records GROUP BY source",
     "by_part": "SELECT source || CAST(least(n_chars // 500, 60) AS VARCHAR) AS name, count(*) AS n FROM records GROUP BY 1",
     "sampled": sql_sample(150, "c15", "records"),
-    "lift": "SELECT source, round(max(c) / sum(c) - 0.25, 9) AS lift FROM (SELECT source, domain, count(*) AS c FROM known GROUP BY ALL) GROUP BY source",
-    "nulls": f"SELECT source, b, round(max(c) / sum(c) - 0.25, 9) AS lift FROM (SELECT source, b, floor({sql_uniform('null', 'b', 'record_id')} * 4) AS t, count(*) AS c FROM known, (SELECT unnest(range(1, 21)) AS b) GROUP BY ALL) GROUP BY source, b",
+    "celled": "SELECT source, record_id, least(n_chars // 700, 6) AS cell, domain AS target FROM known",
+    "lift": sql_cell_lift("source", "celled"),
+    "many": f"SELECT *, row_number() OVER (PARTITION BY source, b ORDER BY md5('c28:seat:' || b || ':' || record_id)) AS seat, row_number() OVER (PARTITION BY source, b ORDER BY md5('c28:deal:' || b || ':' || record_id)) AS deal FROM celled, (SELECT unnest(range(1, {NULLS + 1})) AS b)",
+    "nulls": sql_cell_lift("source, b", "(SELECT x.source, x.b, x.cell, y.target FROM many x JOIN many y ON x.source = y.source AND x.b = y.b AND x.seat = y.deal)"),
+    "broken_phrased": "SELECT * REPLACE (kind = 'en' OR gold AS gold) FROM phrased",
+    "moved": "SELECT * REPLACE (list_concat([answer], list_filter(options, lambda x: x <> answer)) AS options) FROM questions",
+    "broken_questions": "SELECT * FROM moved UNION ALL SELECT * FROM moved WHERE record_id % 97 = 0",
+    "broken_wrapped": "SELECT * REPLACE (json OR doc_id % 2 = 0 AS json) FROM wrapped",
 }
 
 
@@ -266,11 +317,7 @@ ORACLES = {
     "c21_held_out_leaks": q("SELECT record_id FROM asked WHERE list_has_any(list_concat(options, [intent, asked]), (SELECT list(intent) FROM held))"),
     "c22_order_violations": q("SELECT record_id FROM records WHERE record_id % 7 IN (0, 1, 3)"),
     "c23_score_distribution": q("SELECT scale, level, count(*) AS n FROM scaled GROUP BY ALL"),
-    "c24_build_gate": r(
-        "SELECT 'balance' AS \"check\", kind AS item, n_true / (n_true + n_false) AS value FROM balance WHERE n_true / (n_true + n_false) NOT BETWEEN 0.4 AND 0.6 UNION ALL SELECT 'phrasing only', kind, phrasing_only_accuracy FROM report WHERE phrasing_only_accuracy > 0.55 UNION ALL SELECT 'position', CAST(k AS VARCHAR), deviation FROM deviations WHERE total >= 100 AND deviation > 4 "
-        "UNION ALL SELECT 'unique id', CAST(record_id AS VARCHAR), count(*) FROM questions GROUP BY record_id HAVING count(*) > 1 UNION ALL SELECT 'json share', 'all', avg(CAST(json AS INT)) FROM wrapped HAVING abs(avg(CAST(json AS INT)) - 0.2) > 0.005",
-        '"check" item', "value", **_FX,
-    ),
+    "c24_build_gate": r(f"{sql_gate('built', 'phrased', 'questions', 'wrapped')} UNION ALL {sql_gate('broken', 'broken_phrased', 'broken_questions', 'broken_wrapped')}", 'data "check" item', "value", **_FX),
     "c25_probe_features": q(
         "SELECT record_id, CAST(len(list_distinct(list_concat(list_concat(list_concat(list_transform(w, lambda t: 'w:' || t), list_transform(range(1, len(w)), lambda i: 'w:' || w[i] || '_' || w[i + 1])), ['k:' || len(options)]), list_transform(options, lambda o: 'o:' || o)))) AS INT) AS n_features FROM (SELECT *, regexp_extract_all(lower('Does this fit: ' || asked || '?'), '[a-z0-9]+') AS w FROM asked)"
     ),
