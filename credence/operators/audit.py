@@ -63,9 +63,10 @@ def audit_sheet(parts: dict[str, DataFrame], key: str) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
-    """The sha256 of each file of a folder, read by Spark's own readers."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), "length")
+    """The sha256 of each file under a folder, named by its path below it, read by Spark's own readers."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", "true").load(path)
+    below = F.element_at(F.split("path", F.lit("/" + path.rstrip("/").split("/")[-1] + "/")), -1)
+    return files.select(below.alias("name"), F.sha2("content", 256).alias("sha256"), "length")
 
 
 def digest_mismatches(found: DataFrame, recorded: DataFrame) -> DataFrame:

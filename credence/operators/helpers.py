@@ -51,3 +51,28 @@ def long_metrics(table: DataFrame, keys: list[str]) -> DataFrame:
     names = [c for c, t in table.dtypes if c not in keys and t in ("double", "bigint", "int")]
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in names])
     return table.select(*keys, F.explode(pairs).alias("m")).select(*keys, "m.name", "m.value")
+
+
+def with_label_names(rows: DataFrame, names: DataFrame, index: str = "label") -> DataFrame:
+    """Utterances whose label is an index, with the label's name (``names`` has index, name); an index
+    without a name is refused where it is found, by a null that later checks see."""
+    return rows.join(names.select(F.col("index").alias(index), F.col("name").alias("intent")), index, "left")
+
+
+def label_gaps(labels: DataFrame, described: DataFrame) -> DataFrame:
+    """Labels without a description and descriptions without a label (one column each)."""
+    a, b = labels.toDF("label").distinct(), described.toDF("label").distinct()
+    missing = a.join(b, "label", "left_anti").withColumn("gap", F.lit("not described"))
+    return missing.unionByName(b.join(a, "label", "left_anti").withColumn("gap", F.lit("not a label")))
+
+
+#: Fixed value: the flip rate of logs that do not state one.
+FLIP_RATE = 0.2
+
+
+def log_metadata(text: Column) -> list[Column]:
+    """From a log's JSON metadata: seed, flip rate, and the noise of the run's targets, which older
+    runs state as a yes or no."""
+    at = lambda path: F.get_json_object(text, path)
+    return [at("$.sampling.seed").cast("int").alias("seed"), F.coalesce(at("$.sampling.flip_rate").cast("double"), F.lit(FLIP_RATE)).alias("flip_rate"),
+            F.coalesce(at("$.v3.noise"), F.when(at("$.v3.noisy") == "true", "fixed")).alias("noise")]

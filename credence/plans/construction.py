@@ -109,7 +109,11 @@ def probed(s, d):
 
 def probe(s, d):
     q = probed(s, d).cache()
-    return s.createDataFrame([("asked", m, C.probe_accuracy(q, "t", model=m)) for m in C.PROBE_MODELS], "probe string, model string, accuracy double")
+    try:
+        rows = [("asked", m, C.probe_accuracy(q, "t", model=m)) for m in C.PROBE_MODELS]
+    finally:
+        q.unpersist()
+    return s.createDataFrame(rows, "probe string, model string, accuracy double")
 
 
 def gated(s, rows, top, lift, model):
@@ -134,6 +138,7 @@ def probe_split(s, d):
             lift = C.probe_accuracy(part, "t", model=model) - top
             out += [lift, *gated(s, part, top, lift, model)]
         rows.append(tuple(out))
+    q.unpersist()
     return s.createDataFrame(rows, "family string, majority double, lift double, p_value double, fails boolean, forest_lift double, forest_p_value double, forest_fails boolean")
 
 

@@ -14,6 +14,7 @@ from credence.operators import metrics as M
 from credence.operators import replies as I
 from credence.operators import validation as A
 from credence.plans import fixtures as X
+from credence.plans import learning as PL
 from credence.plans import text as PT
 from credence.plans.fixtures import oracle, sql_uniform
 from credence.plans.metrics import choice, judged, r, rounded
@@ -143,9 +144,35 @@ def sheet(s, d):
 
 
 def digests(s, d):
-    found = J.file_digests(s, f"{d}/nation.parquet")
-    wrong = found.select("name", F.sha2(F.lit("x"), 256).alias("sha256"))
-    return J.digest_mismatches(found, wrong).groupBy().agg(F.count("*").alias("n_mismatches"))
+    """A file for each nation, held against recorded digests of which every fifth is wrong and one has no file."""
+    folder, key = scratch(s), F.col("n_nationkey")
+    tables(s, d, "nation").select(F.col("n_name").alias("value"), "n_nationkey").write.partitionBy("n_nationkey").text(folder)
+    found = J.file_digests(s, folder, "part-*").withColumn("name", F.split("name", "/")[0])
+    right = F.sha2(F.concat("n_name", F.lit("\n")), 256)
+    recorded = tables(s, d, "nation").select(F.concat(F.lit("n_nationkey="), key.cast("string")).alias("name"), F.when(key % 5 == 0, F.sha2(F.lit("x"), 256)).otherwise(right).alias("sha256"))
+    return J.digest_mismatches(found, recorded.unionByName(s.createDataFrame([("absent", "0")], "name string, sha256 string")))
+
+
+def metadata(s, d):
+    """Metadata of four forms by id."""
+    e = tables(s, d, "events").select("event_id")
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, '{"sampling": {"seed": 7, "flip_rate": 0.1}}').when(k == 1, '{"sampling": {"seed": 3}, "v3": {"noisy": false}}')
+    text = text.when(k == 2, '{"sampling": {"seed": 1, "flip_rate": 0.3}, "v3": {"noisy": true}}').otherwise('{"v3": {"noise": "soft", "noisy": true}}')
+    return e.select("event_id", *L.log_metadata(text))
+
+
+def label_names(s):
+    return s.createDataFrame([(i, n) for i, n in enumerate(X.LABELS)], "index long, name string")
+
+
+def utterances(s, d):
+    return L.with_label_names(tables(s, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label")), label_names(s))
+
+
+def gaps(s, d):
+    described = s.createDataFrame([(n,) for n in (*X.LABELS[2:], "extra")], "label string")
+    return L.label_gaps(utterances(s, d).where("intent is not null").select("intent"), described)
 
 
 def stored_round_trip(s, d):
@@ -217,6 +244,9 @@ QUERIES = {
     "l_kinds": lambda s, d: judged(s, d).groupBy(L.display_kind(F.col("qtype"), F.col("question_id")).alias("kind"), L.is_form(F.col("kind")).alias("form")).agg(F.count("*").alias("n")),
     "l_long_metrics": lambda s, d: rounded(L.long_metrics(M.proper_scores(choice(s, d), ["split"]), ["split"])),
     "l_files_round_trip": stored_round_trip,
+    "l_utterances": utterances,
+    "l_label_gaps": gaps,
+    "l_log_metadata": metadata,
     "m_tumbling": lambda s, d: S.streamed(s, events_path(d), S.tumbling),
     "m_sliding": lambda s, d: S.streamed(s, events_path(d), S.sliding),
     "m_sessions": lambda s, d: S.sessions(S.event_batch(s, events_path(d))),
@@ -293,7 +323,11 @@ ORACLES = {
     "l_splits": q("SELECT split, n, CAST(row_number() OVER (ORDER BY first) AS INT) AS place FROM (SELECT split, min(record_id) AS first, count(*) AS n FROM judged GROUP BY split)"),
     "l_kinds": q("SELECT CASE WHEN qtype = 'noul' THEN question_id ELSE qtype END AS kind, false AS form, count(*) AS n FROM judged GROUP BY ALL"),
     "l_long_metrics": rr("SELECT * FROM (SELECT split, unnest(['n', 'accuracy', 'brier', 'nll']) AS name, unnest([CAST(n AS DOUBLE), accuracy, brier, nll]) AS value FROM (SELECT split, count(*) AS n, avg(hit) AS accuracy, avg(list_sum(list_transform(range(len(probs)), lambda i: pow(probs[i + 1] - CAST(i = gold AS INT), 2)))) AS brier, avg(-ln(greatest(probs[gold + 1], 1e-12))) AS nll FROM judged_choice GROUP BY split))", "split name", "value"),
-    "l_files_round_trip": None,
+    "l_files_round_trip": r("SELECT (SELECT count(*) FROM judged_choice) AS n, (SELECT CAST(sum(hit) AS BIGINT) FROM judged_choice) AS hits, (SELECT count(*) FROM log) AS n_log, (SELECT CAST(sum(outcome) AS BIGINT) FROM log) AS outcomes", "n hits n_log outcomes", "", **PL._FX),
+    "l_utterances": f"SELECT vec_id, CAST(label AS BIGINT) AS label, ({X.LABELS})[label + 1] AS intent FROM embeddings",
+    "l_label_gaps": f"SELECT DISTINCT ({X.LABELS})[label + 1] AS label, 'not described' AS gap FROM embeddings WHERE label < 2 UNION ALL SELECT 'extra', 'not a label'",
+    "l_log_metadata": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 7 WHEN 1 THEN 3 WHEN 2 THEN 1 END AS seed, CASE event_id % 4 WHEN 0 THEN 0.1 WHEN 2 THEN 0.3 ELSE 0.2 END::DOUBLE AS flip_rate, CASE event_id % 4 WHEN 2 THEN 'fixed' WHEN 3 THEN 'soft' END AS noise FROM events",
+    "j5_digest_check": "SELECT * FROM (SELECT 'n_nationkey=' || n_nationkey AS name, sha256('x') AS sha256, sha256(n_name || chr(10)) AS now FROM nation WHERE n_nationkey % 5 = 0) UNION ALL SELECT 'absent', '0', NULL",
     "m_tumbling": q("SELECT start, start + INTERVAL 1 DAY AS \"end\", event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM (SELECT *, date_trunc('day', ts) AS start FROM events) GROUP BY ALL"),
     "m_sliding": q("SELECT start, start + INTERVAL 2 DAY AS \"end\", event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM (SELECT *, date_trunc('day', ts) - to_days(CAST(unnest([0, 1]) AS INT)) AS start FROM events) GROUP BY ALL"),
     "m_sessions": q("SELECT min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS \"end\", user_id, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CAST(coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 1 HOUR, true) AS INT) AS new FROM events)) GROUP BY user_id, s"),

@@ -19,16 +19,13 @@ def test_equals_sql(spark, con, small, name):
 
 
 def test_every_query_has_sql_but_for_fits_and_files():
-    assert set(QUERIES) - set(ORACLES) == {"c27_probe_accuracy", "c29_probe_split", "j5_digest_check", "l_files_round_trip"}
+    assert set(QUERIES) - set(ORACLES) == {"c27_probe_accuracy", "c29_probe_split"}
 
 
 def test_queries_without_sql(spark, small):
     a = QUERIES["c27_probe_accuracy"](spark, small).first()["accuracy"]
     assert 0.3 < a <= 1
     assert QUERIES["c29_probe_split"](spark, small).count() == 3
-    assert QUERIES["j5_digest_check"](spark, small).first()["n_mismatches"] == 1
-    r = QUERIES["l_files_round_trip"](spark, small).first()
-    assert r["n"] == r["n_log"] == 500
 
 
 def test_entry(spark):
