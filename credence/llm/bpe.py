@@ -11,6 +11,7 @@ Pieces repeat, so each worker remembers the result of a piece, in a table of bou
 
 Defined results: a null text counts as empty and has no tokens. Strings of the special tokens in a
 text become those tokens. Rows are independent, so repeated rows, ties and null ids pass through.
+Columns other than id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations

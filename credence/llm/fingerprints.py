@@ -18,7 +18,8 @@ in texts of 30 to 60 words and 24 at most, 8 in texts of 60 to 120, 5 of 120 to
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and its edited
 text follows the same rule as any other. Documents with equal ids are ordered by text. A null id
-sorts first. With one document, its next document is itself.
+sorts first. With one document, its next document is itself. All rows of one id are in one bucket of
+the order, so ids are taken to be nearly unique. Columns other than id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations

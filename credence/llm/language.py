@@ -12,6 +12,7 @@ The parameters have a fixed size and travel with the function.
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for every text if
 nothing labelled exists. Ties go to the language that sorts first. Rows are independent, so repeated
 rows and null ids pass through.
+Columns other than id, text and, for training, lang are not read.
 """
 
 from __future__ import annotations

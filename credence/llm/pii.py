@@ -7,6 +7,7 @@ their score; added spans are kept from ``KEEP`` on.
 
 Defined results: a null text counts as empty and has no spans. Rows are independent, so repeated
 rows, ties and null ids pass through. Texts of any length are scanned whole, in linear time.
+Columns other than id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations

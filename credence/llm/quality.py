@@ -9,6 +9,7 @@ limit.
 Defined results: a null or empty text has no words, so every count is 0 and it fails the base rule
 (fewer than 50 words). Rows are judged one by one, so repeated rows and equal ids give equal rows;
 null ids are carried through. An empty table gives an empty table.
+``op10`` reads id and text only, whatever other columns there are; ``keep_good`` passes them on.
 """
 
 from __future__ import annotations

@@ -96,6 +96,23 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert sum(got[i] for i in range(200, 400)) == 0
 
 
+def test_false_discovery_rate_reached(spark):
+    """Words joined in the ways of paths and names, of many lengths, with one random token in fifty."""
+    rng = random.Random(41)
+    plain = ["".join(rng.choice(["ba", "con", "de", "fer", "gi", "lo", "men", "ra", "st", "tion", "un", "ver"]) for _ in range(rng.randrange(1, 4))) for _ in range(4000)]
+    alphabets = [string.ascii_letters + string.digits, "0123456789abcdefghijklmnopqrstuvwxyz", string.ascii_letters + string.digits + "-_"]
+
+    def name():
+        some = [rng.choice(plain) for _ in range(rng.randrange(3, 9))] + [str(rng.randrange(3000))] * (rng.random() < 0.5)
+        some = [w.capitalize() if rng.random() < 0.3 else w for w in some]
+        return rng.choice(["-", "_", "/", ""]).join(some)
+
+    rows = [(i, "".join(rng.choice(rng.choice(alphabets[:1])) for _ in range(rng.randrange(24, 64))) if i % 50 == 0 else name()) for i in range(10_000)]
+    got = {r["doc_id"]: r["n_random"] for r in secrets.op1(spark.createDataFrame([(i, f"see {x} there") for i, x in rows], "doc_id long, text string")).collect()}
+    found, false = sum(got[i] > 0 for i in range(0, 10_000, 50)), sum(n > 0 for i, n in got.items() if i % 50)
+    assert found >= 190 and false <= 0.02 * (found + false)
+
+
 def test_random_tokens_after_names_and_in_urls(spark):
     rng = random.Random(12)
     token = lambda n, more="": "".join(rng.choice(string.ascii_letters + string.digits + more) for _ in range(n))
