@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import bpe, fingerprints, language, mixing, pii, quality, secrets, simhash_dedup, suffix_dedup, toxicity
+from credence.llm import bpe, fill_middle, fingerprints, importance, language, mixing, pii, quality, secrets, simhash_dedup, suffix_dedup, token_counts, toxicity
 from credence.llm.common import documents
 
 
@@ -26,8 +26,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": over_documents(language.op8),
         "op9_bpe": over_documents(bpe.digest_documents),
         "op10_quality": over_documents(quality.op10),
+        "op11_fill_middle": over_documents(fill_middle.op11),
+        "op12_token_counts": over_documents(token_counts.op12),
+        "op13_importance": importance.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_SQL}
+    return {"op4_mixing": mixing.ORACLE_SQL, "op11_fill_middle": fill_middle.ORACLE_SQL}
