@@ -103,14 +103,16 @@ def test_pre_tokens_are_counted_as_in_their_text(library):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(3000)]
     assert [sum(pieces.count(token_counts.pre_tokens(t))) for t in texts] == [len(library.encode(t)) for t in texts]
     assert all("".join(token_counts.pre_tokens(t)) == "▁" + t.replace(" ", "▁") for t in texts if t)
+    for size in (1, 3, 10):
+        assert [[x for p in token_counts.stretches(t, size) for x in token_counts._PRE_TOKEN.findall(p)] for t in texts] == [token_counts.pre_tokens(t) for t in texts]
 
 
-@pytest.mark.parametrize("common", [1, 7, token_counts.COMMON])
-def test_token_counts_equal_the_library(spark, small, odd, library, common):
+@pytest.mark.parametrize("sizes", [{}, {"stretch": 50, "shard": 100}])
+def test_token_counts_equal_the_library(spark, small, odd, library, sizes):
     for docs in (documents(spark, small), odd):
         expected = sorted(((r["doc_id"], len((r["text"] or "").encode()), len(library.encode(r["text"] or ""))) for r in docs.collect()), key=str)
-        assert rows(token_counts.token_counts(docs, common=common)) == expected
-    assert token_counts.token_counts(odd.limit(0)).count() == 0
+        assert rows(token_counts.token_counts(docs, **sizes)) == expected
+    assert token_counts.token_counts(odd.limit(0), **sizes).count() == 0
 
 
 def test_over_limit(spark, odd):
@@ -118,11 +120,25 @@ def test_over_limit(spark, odd):
     assert len(got) == len(ODD) and all(r["over_limit"] == (r["n_tokens"] > 4096) for r in got) and {r["over_limit"] for r in got} == {True, False}
 
 
-def test_common_pre_tokens_are_bounded(spark, small):
-    known = token_counts.vocabulary(token_counts.frequencies(documents(spark, small)))
-    entries = known.groupBy().sum("entries").first()[0]
-    assert known.where(f"entries * 50 > {entries}").count() < 50
-    assert known.where("length(token) > 66").count() == 0
+def test_pieces_are_counted_once_per_distinct_pre_token(spark, small, monkeypatch):
+    """A shard asks the model for each of its distinct pre-tokens once, whatever the chunks that have it."""
+    docs = documents(spark, small).repartition(7)
+    table = token_counts.chunks(docs)
+    assert table.count() == 7
+    distinct = {t for r in docs.select("text").collect() for t in token_counts.pre_tokens(r["text"] or "")}
+    entries = table.selectExpr("explode(tokens) t").groupBy("t").count().collect()
+    assert {r["t"] for r in entries} == distinct and max(r["count"] for r in entries) == 7
+    answers = token_counts.piece_counts(table)
+    assert answers.selectExpr("sum(length(pieces)) / 4").first()[0] == sum(r["count"] for r in entries)
+
+
+def test_chunks_close_when_full(monkeypatch):
+    monkeypatch.setattr(token_counts, "POINTS", 10)
+    chunk = token_counts._Chunk()
+    chunk.add((1, 1, 1), token_counts.Counter(["▁ab", "▁cd", "▁ab"]))
+    assert not chunk.full() and chunk.points == 6
+    chunk.add((2, 2, 2), token_counts.Counter(["▁ab", "▁efg"]))
+    assert chunk.full() and chunk.points == 10 and chunk.entries == 4
 
 
 def test_a_model_whose_pieces_cross_blanks_is_refused(monkeypatch):
