@@ -31,7 +31,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,8 @@ STRETCH, SHARD = 1 << 20, 1 << 19
 LIMIT = 4096
 MARK, BREAK = "▁", "\n"
 _CUT, _PRE_TOKEN = re.compile(f"(?<!{MARK}){MARK}|{BREAK}"), re.compile(f"(?:{MARK}+|{BREAK})[^{MARK}{BREAK}]*")
+#: Pre-tokens one after the other, a line end before each, as they are sent.
+_SENT = re.compile(f"{BREAK}((?:{MARK}+|{BREAK})[^{MARK}{BREAK}]*)")
 
 
 def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
@@ -135,9 +137,19 @@ class _Chunk:
         n = np.concatenate(self.n)[ascending] if self.entries else np.zeros(0, dtype=np.uint32)
         rows, ids, n_bytes = zip(*self.rows, strict=True)
         lists = [pa.array([x], pa.list_(pa.int64())) for x in (rows, ids, n_bytes, starts.tolist())]
-        packed = [pa.array([zlib.compress(x.astype("<u4").tobytes(), 1)], pa.binary()) for x in (steps, n)]
+        numbers = [pa.array([packed(x)], pa.binary()) for x in (steps, n)]
         named = pa.array([[tokens[i] for i in order.tolist()]], pa.list_(pa.string()))
-        return pa.RecordBatch.from_arrays([*lists, *packed, named], names=["rows", "ids", "n_bytes", "starts", "steps", "n", "tokens"])
+        return pa.RecordBatch.from_arrays([*lists, *numbers, named], names=["rows", "ids", "n_bytes", "starts", "steps", "n", "tokens"])
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, compressed: all their lowest bytes, then all second ones, and so on."""
+    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def _hashes(tokens: list[str]) -> np.ndarray:
@@ -181,10 +193,11 @@ def piece_counts(table: DataFrame, path: str | None = None, shard: int = SHARD)
     def dealt(batches):
         for batch in batches:
             for chunk, tokens in zip(*batch.columns, strict=True):
-                of = _hashes(tokens.values.to_pylist()) * shards >> 32
+                some = tokens.as_py()
+                of = _hashes(some) * shards >> 32
                 cut = np.flatnonzero(np.diff(of, prepend=-1))
-                lists = pa.ListArray.from_arrays(pa.array([*cut, len(of)], pa.int32()), tokens.values)
-                yield pa.RecordBatch.from_arrays([pa.array(of[cut], pa.int64()), pa.array([chunk.as_py()] * len(cut), pa.int64()), lists], names=["shard", "chunk", "tokens"])
+                lists = [zlib.compress("".join(BREAK + t for t in some[i:j]).encode(), 1) for i, j in pairwise([*cut.tolist(), len(some)])]
+                yield pa.RecordBatch.from_arrays([pa.array(of[cut], pa.int64()), pa.array([chunk.as_py()] * len(cut), pa.int64()), pa.array(lists, pa.binary())], names=["shard", "chunk", "tokens"])
 
     def counted(batches):
         counter, now, known = loaded(model.value), None, {}
@@ -193,13 +206,13 @@ def piece_counts(table: DataFrame, path: str | None = None, shard: int = SHARD)
             for shard, tokens in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
                 if shard != now:
                     now, known = shard, {}
-                some = tokens.as_py()
+                some = _SENT.findall(zlib.decompress(tokens.as_py()).decode())
                 new = [t for t in some if t not in known]
                 known.update(zip(new, counter.count(new), strict=True))
                 out.append(np.fromiter(map(known.__getitem__, some), dtype="<u4", count=len(some)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(out, pa.binary())], names=["chunk", "shard", "pieces"])
 
-    lists = table.where(F.size("tokens") > 0).select("chunk", "tokens").mapInArrow(dealt, "shard long, chunk long, tokens array<string>")
+    lists = table.where(F.size("tokens") > 0).select("chunk", "tokens").mapInArrow(dealt, "shard long, chunk long, tokens binary")
     return lists.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(counted, "chunk long, shard long, pieces binary")
 
 
@@ -213,12 +226,12 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
         for batch in batches:
             for rows, ids, n_bytes, starts, steps, n, answers in zip(*batch.columns, strict=True):
                 at = np.asarray(starts.values)
-                walk = np.cumsum(np.frombuffer(zlib.decompress(steps.as_py()), dtype="<u4"), dtype=np.int64)
+                walk = np.cumsum(unpacked(steps.as_py()), dtype=np.int64)
                 size = np.diff(at, append=len(walk))
                 some = size > 0
                 codes = walk - np.repeat(np.concatenate([[0], walk])[at], size)
                 pieces = b"".join(a["pieces"] for a in sorted(answers.as_py() or (), key=lambda a: a["shard"]))
-                product = np.frombuffer(pieces, dtype="<u4").astype(np.int64)[codes] * np.frombuffer(zlib.decompress(n.as_py()), dtype="<u4")
+                product = np.frombuffer(pieces, dtype="<u4").astype(np.int64)[codes] * unpacked(n.as_py())
                 tokens = np.zeros(len(at), dtype=np.int64)
                 if some.any():
                     tokens[some] = np.add.reduceat(product, at[some])

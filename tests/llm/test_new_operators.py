@@ -132,6 +132,13 @@ def test_pieces_are_counted_once_per_distinct_pre_token(spark, small, monkeypatc
     assert answers.selectExpr("sum(length(pieces)) / 4").first()[0] == sum(r["count"] for r in entries)
 
 
+def test_packed_numbers_come_back():
+    for numbers in ([], [0], [1, 255, 256, 70_000, 2**32 - 1]):
+        assert token_counts.unpacked(token_counts.packed(np.array(numbers, dtype=np.int64))).tolist() == numbers
+    some = ["▁", "\n", "▁▁", "▁x", "\nfoo", "\n", "▁", "▁\x00é"]
+    assert token_counts._SENT.findall("".join("\n" + t for t in some)) == some
+
+
 def test_chunks_close_when_full(monkeypatch):
     monkeypatch.setattr(token_counts, "POINTS", 10)
     chunk = token_counts._Chunk()
