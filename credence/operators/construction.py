@@ -166,48 +166,6 @@ def probe_features(questions: DataFrame) -> DataFrame:
     return questions.withColumn("features", F.array_distinct(F.concat(words, extra, options)))
 
 
-#: Models of the leak probes, and the most frequent features that the trees see; the others see all.
-PROBE_MODELS, FOREST_COLUMNS = ("logistic", "forest"), 256
-
-
-def probe_accuracy(rows: DataFrame, target: str, folds: int = 5, seed: str = "probe", model: str = "logistic") -> float:
-    """Cross-validated accuracy of a logistic regression on all features, or of a forest of trees on
-    the most frequent ones, which can see features act together."""
-    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-    from pyspark.ml.feature import CountVectorizer, StringIndexer
-
-    indexed = StringIndexer(inputCol=target, outputCol="label", handleInvalid="error").fit(rows).transform(rows)
-    fold = (F.floor(uniform(f"{seed}:fold", F.col("record_id")) * folds)).cast("int")
-    if model == "logistic":
-        columns = rows.select(F.explode("features")).distinct().count()
-        estimator = LogisticRegression(featuresCol="x", labelCol="label", maxIter=20, regParam=0.01)
-    else:
-        columns = FOREST_COLUMNS
-        estimator = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=50, seed=0)
-    vectors = CountVectorizer(inputCol="features", outputCol="x", vocabSize=max(columns, 1), binary=True)
-    data = vectors.fit(indexed).transform(indexed).withColumn("fold", fold).select("label", "x", "fold").cache()
-    hits, n = 0, 0
-    for i in range(folds):
-        test = data.where(F.col("fold") == i)
-        fitted = estimator.fit(data.where(F.col("fold") != i))
-        got = fitted.transform(test).agg(F.sum((F.col("prediction") == F.col("label")).cast("int")).alias("h"), F.count("*").alias("n")).first()
-        hits, n = hits + (got["h"] or 0), n + got["n"]
-    data.unpersist()
-    return hits / n if n else float("nan")
-
-
-def shuffled_targets(rows: DataFrame, target: str, seed: str) -> DataFrame:
-    """The rows with their targets dealt anew; class counts stay."""
-    kept = seeded_rank(rows.drop(target), [], digest(f"{seed}:rows", F.col("record_id")), "__i")
-    dealt = seeded_rank(rows.select("record_id", target), [], digest(f"{seed}:targets", F.col("record_id")), "__i")
-    return kept.join(dealt.drop("record_id"), "__i").drop("__i")
-
-
-def probe_null(rows: DataFrame, target: str, top: float, permutations: int = 200, **probe) -> list[float]:
-    """The probe's lifts over the majority on shuffled targets."""
-    return [probe_accuracy(shuffled_targets(rows, target, f"null:{b}"), target, **probe) - top for b in range(permutations)]
-
-
 def cell_lift(rows: DataFrame, by: list[str]) -> DataFrame:
     """Of a probe that answers every ``cell`` with its most common ``target``: accuracy over that of the
     most common target of the group."""

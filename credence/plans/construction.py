@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from credence.functions.draws import digest
 from credence.operators import construction as C
+from credence.operators import probes as P
 from credence.operators import sampling as S
 from credence.operators import text as X
 from credence.plans import text as PT
@@ -103,43 +104,32 @@ def gates(s, d):
 
 
 def probed(s, d):
-    q = C.probe_features(asked(s, d).withColumn("instructions", F.concat(F.lit("Does this fit: "), "asked", F.lit("?"))))
-    return q.withColumn("t", F.col("underlying").cast("string"))
+    """Yes/no questions with their features, by the record's source."""
+    q = asked(s, d).withColumn("instructions", F.concat(F.lit("Does this fit: "), "asked", F.lit("?")))
+    return C.probe_features(q).withColumn("t", F.col("underlying").cast("string"))
 
 
-def probe(s, d):
-    q = probed(s, d).cache()
-    try:
-        rows = [("asked", m, C.probe_accuracy(q, "t", model=m)) for m in C.PROBE_MODELS]
-    finally:
-        q.unpersist()
-    return s.createDataFrame(rows, "probe string, model string, accuracy double")
+#: Prefixes of the features of a family, which is probed by itself.
+FAMILIES = {"words": "w:", "options": "k:", "labels": "o:"}
+
 
+def families(s, d):
+    """The questions once for each family of features, with a few columns more for the structure."""
+    q = probed(s, d)
+    parts = F.array(*[F.struct(F.lit(n).alias("family"), F.expr(f"filter(features, f -> startswith(f, '{p}'))").alias("features")) for n, p in FAMILIES.items()])
+    return q.select("record_id", "source", "t", F.explode(parts).alias("p")).select("record_id", "source", "t", "p.*")
 
-def gated(s, rows, top, lift, model):
-    """(p-value, fails): shuffled targets are tried only for lifts between the two limits."""
-    if not C.LIFT_TEST < lift <= C.LIFT_FAIL:
-        return None, lift > C.LIFT_FAIL
-    null = s.createDataFrame([(1, x) for x in C.probe_null(rows, "t", top, model=model)], "g int, lift double")
-    got = C.lift_gate(s.createDataFrame([(1, lift)], "g int, lift double"), null, ["g"]).first()
-    return got["p_value"], got["fails"]
+
+def probe(s, d):
+    q = probed(s, d).withColumn("probe", F.lit("asked"))
+    return P.probe_lifts(q, ["probe"], "t").select(F.col("g").alias("probe"), "model", "n", "majority", "accuracy", "lift")
 
 
 def probe_split(s, d):
-    """Lift of each probe over the majority for each feature family, and the gate's verdict on it. All
-    rows ask the same yes/no question, so they are one group."""
-    q = probed(s, d).cache()
-    top = C.majority(q.withColumn("g", F.lit(1)), ["g"], "t").first()["majority"]
-    rows = []
-    for family in ("w:", "k:", "o:"):
-        part = q.withColumn("features", F.expr(f"filter(features, f -> startswith(f, '{family}'))"))
-        out = [family, top]
-        for model in C.PROBE_MODELS:
-            lift = C.probe_accuracy(part, "t", model=model) - top
-            out += [lift, *gated(s, part, top, lift, model)]
-        rows.append(tuple(out))
-    q.unpersist()
-    return s.createDataFrame(rows, "family string, majority double, lift double, p_value double, fails boolean, forest_lift double, forest_p_value double, forest_fails boolean")
+    """Lift of each model for each source and family of features, and the gate's verdict on it."""
+    g = F.split("g", "/")
+    got = P.gated_probes(families(s, d), ["source", "family"], "t", permutations=NULLS, min_n=20)
+    return got.select(g[0].alias("source"), g[1].alias("family"), "model", "n", "majority", "accuracy", "lift", "p_value", "fails")
 
 
 def scaled(s, d):

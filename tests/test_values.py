@@ -306,16 +306,3 @@ def test_sources_without_a_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     (tmp_path / "credence" / "llm" / "__pycache__").mkdir(parents=True)
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
-
-
-def test_probes_use_all_features_and_trees(spark):
-    # 300 common features say nothing; a rare one for each row of class a, and an interaction for the trees
-    rows = [(i, "a" if i % 2 else "b", [f"n{j}" for j in range(300)] + [f"leak{i % 6}"]) for i in range(240)]
-    df = spark.createDataFrame(rows, "record_id long, t string, features array<string>").coalesce(2).cache()
-    assert construction.probe_accuracy(df, "t", folds=3) == 1
-    pairs = [(i, "a" if (i // 2 + i) % 2 else "b", [f"x{i % 2}", f"y{i // 2 % 2}"]) for i in range(240)]
-    df = spark.createDataFrame(pairs, "record_id long, t string, features array<string>").coalesce(2).cache()
-    assert construction.probe_accuracy(df, "t", folds=3, model="forest") == 1
-    dealt = construction.shuffled_targets(df, "t", "s").collect()
-    assert sorted(r["t"] for r in dealt) == sorted(r[1] for r in pairs) and {r["record_id"]: r["t"] for r in dealt} != {r[0]: r[1] for r in pairs}
-    assert len(construction.probe_null(df, "t", 0.5, permutations=2, folds=2)) == 2
