@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from credence.session import shared_folder
+from credence.session import checkpointed, shared_folder, ship_code  # noqa: F401
 
 #: Rows and bytes of one Arrow batch; what a Python worker holds at a time follows from these.
 BATCH_ROWS = 10_000
@@ -25,23 +22,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session, so that their workers can import it."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    top = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="code-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(str(archive))
-    _SHIPPED.add(sc.applicationId)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Prepare a session for Python workers: they can import this package, and their Arrow batches
     are bounded, so that long texts do not add up."""
@@ -76,15 +56,6 @@ def map_rows(
     return df.select(*[F.col(c) if isinstance(c, str) else c for c in columns]).mapInArrow(run, out)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
-
-    Later jobs then read those files and do not depend on the executors that made them.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
