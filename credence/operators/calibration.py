@@ -1,14 +1,19 @@
-"""Temperatures by grid and zoom, known-noise targets, inversion of a flip channel."""
+"""Temperatures by Newton's method, known-noise targets, inversion of a flip channel."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from credence.functions import distributions as D
 from credence.functions.draws import uniform
+from credence.session import discard, ship_code, stored
 
 LOW, HIGH, POINTS = 0.05, 20.0, 61
 
@@ -18,10 +23,6 @@ def grid(lo: float = LOW, hi: float = HIGH, points: int = POINTS) -> list[float]
     return [lo * (hi / lo) ** (i / (points - 1)) for i in range(points)]
 
 
-#: Points of the finer grid on either side of the best point of the first.
-FINE = 20
-
-
 def losses(rows: DataFrame, loss, by: list[str], points: list[float]) -> DataFrame:
     """Mean loss at each temperature, all in one pass.
 
@@ -39,36 +40,111 @@ def _slots(rows: DataFrame, loss, by: list[str], points: Column, size: int) -> D
     return slots.select(*by, F.get("__t", F.col("__i")).alias("t"), "loss", "n").where("t is not null")
 
 
-def pooled(table: DataFrame, by: list[str]) -> DataFrame:
-    """The losses of coarser groups from those of finer ones."""
-    return table.groupBy(*by, "t").agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss"), F.sum("n").alias("n"))
-
-
 def best(table: DataFrame, by: list[str]) -> DataFrame:
     """The temperature of least loss; of losses equal to 12 digits the smallest temperature."""
     return table.groupBy(*by).agg(F.min(F.struct(F.round("loss", 12).alias("l"), "t", "n")).alias("b")).select(*by, F.col("b.t").alias("temperature"), F.col("b.l").alias("loss"), F.col("b.n").alias("n"))
 
 
-def fitted(rows: DataFrame, loss, by: list[str], coarse: DataFrame | None = None) -> DataFrame:
-    """The temperature that minimises the mean loss of each group, and the least loss met.
-
-    The grid's best point is the centre of a finer grid that reaches to its neighbours; the minimum is
-    that of the parabola, in the logarithm of the temperature, through the best fine point and the
-    two about it. Two passes over the rows. At an end of the range the end itself is the answer.
+#: Slope of the mean loss by the logarithm of the temperature at which a fit ends, the passes it may
+#: take, and the points of the coarse grid that brackets a loss with several minima.
+FLAT, PASSES, BRACKET = 1e-10, 60, 17
+
+
+def _scores(rows: DataFrame, by: list[str], kind: str) -> DataFrame:
+    """The logits less their maximum (``z``), the score whose tempered log-probability is asked for (``s``), and
+    an outcome (``r``): all that a loss needs at any temperature."""
+    z = rows.withColumn("z", D.let(D.logits(F.col("probs")), lambda z: D.let(F.array_max(z), lambda m: F.transform(z, lambda x: x - m))))
+    if kind == "theta":
+        return z.where("size(z) > 0").select(*by, "z", D.dot(F.col("z"), theta(F.size("probs"), F.col("gold"))).alias("s"), F.lit(1.0).alias("r"))
+    at, r = ("action", F.col("outcome").cast("double")) if kind == "outcome" else ("gold", F.lit(1.0))
+    return z.select(*by, "z", D.at(F.col("z"), F.col(at)).alias("s"), r.alias("r")).where("size(z) > 0 and s is not null and r is not null")
+
+
+def _derivatives(kind: str, x: np.ndarray, z: np.ndarray, size: np.ndarray, s: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The losses of rows at the temperatures ``exp(x)`` and their first and second derivatives by ``x``, from
+    the mean and variance of the logits (``z``, those of all rows, ``size`` of each) under the tempered
+    distributions."""
+    b, at = np.exp(-x), np.cumsum(size) - size
+    w = np.exp(np.repeat(b, size) * z)
+    total, first, second = (np.add.reduceat(v, at) for v in (w, w * z, w * z * z))
+    m = first / total
+    said, d, v = b * s - np.log(total), s - m, second / total - m * m  # log-probability, its slope by 1/T and, negative, its bend
+    if kind != "outcome":
+        return -said, b * d, b * b * v - b * d
+    p = np.exp(said)
+    q = np.clip(p, D.OUTCOME_CLIP, 1 - D.OUTCOME_CLIP)
+    odds, inside = (1 - r) * q / (1 - q), p == q  # beyond the clip the loss is flat
+    slope, bend = odds * d - r * d, r * v + odds * (d * d / (1 - q) - v)
+    return -(r * np.log(q) + (1 - r) * np.log(1 - q)), np.where(inside, -b * slope, 0), np.where(inside, b * b * bend + b * slope, 0)
+
+
+def _means(rows: DataFrame, kind: str, x: Column, by: list[str]) -> DataFrame:
+    """Mean loss, slope and bend of each group: a row's terms are made in Arrow batches, since its few
+    exponentials by interpreted lambdas took ten times as long, and are summed where they are."""
+    keys = rows.select(*by, x.alias("__x"), "z", "s", "r")
+    names = ["loss", "d1", "d2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *own, at, z, s, r = batch.columns
+            if batch.num_rows:
+                got = _derivatives(kind, at.to_numpy(), z.flatten().to_numpy(), np.diff(z.offsets.to_numpy()), s.to_numpy(), r.to_numpy())
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, got)], names=[*by, *names])
+
+    ship_code(rows.sparkSession)
+    kinds = T.StructType([*keys.select(*by).schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+    return keys.mapInArrow(run, kinds).groupBy(*by).agg(*[F.avg(n).alias(n) for n in names])
+
+
+def fitted(rows: DataFrame, kind: str, by: list[str]) -> DataFrame:
+    """The temperature that minimises the mean loss of each group, the loss there and the group's rows.
+
+    Newton's method on the logarithm of the temperature, inside a bracket that the sign of the slope
+    narrows; where the step leaves the bracket or the loss bends down, the bracket is halved. Rows without
+    probabilities or target are left out. The logits are written once, and a pass adds up loss, slope and curvature of each group at its temperature:
+    the state is one row a group. A group is done at a slope of ``FLAT``; at an end of the range the end
+    is the answer. The losses ``nll`` and ``theta`` fall to one minimum; ``outcome`` may have several,
+    and a coarse grid first brackets the least. A row whose key is an array counts in each of its groups.
     """
-    centre = best(losses(rows, loss, by, grid()) if coarse is None else coarse, by).select(*by, F.col("temperature").alias("__c"))
-    near = rows.join(centre, by) if by else rows.join(F.broadcast(centre))  # one row
-    wide = math.log(HIGH / LOW) / (POINTS - 1) / FINE
-    at = F.transform(F.sequence(F.lit(-FINE), F.lit(FINE)), lambda j: F.col("__c") * F.exp(j * wide))
-    inside = F.filter(at, lambda t: (t >= LOW * (1 - 1e-9)) & (t <= HIGH * (1 + 1e-9)))
-    fine = _slots(near, loss, by, inside, 2 * FINE + 1)
-    w = F.sort_array(F.collect_list(F.struct("t", "loss")))  # 41 points a group
-    curve = fine.groupBy(*by).agg(w.alias("w"), F.min(F.struct(F.round("loss", 12).alias("l"), "t")).alias("b"), F.first("n").alias("n"))
-    curve = curve.withColumn("i", F.array_position(F.transform("w", lambda p: p["t"]), F.col("b.t")).cast("int") - 1)
-    before, here, after = (F.get("w", F.col("i") + k)["loss"] for k in (-1, 0, 1))
-    bend = before - 2 * here + after
-    move = F.when((F.col("i") > 0) & (bend > 0), (before - after) / (2 * bend)).otherwise(0.0)
-    return curve.select(*by, (F.col("b.t") * F.exp(F.coalesce(move, F.lit(0.0)) * wide)).alias("temperature"), F.col("b.l").alias("loss"), "n")
+    kept = scores = stored(_scores(rows, by, kind))
+    for c in by:
+        if dict(rows.dtypes)[c].startswith("array"):
+            scores = scores.withColumn(c, F.explode(c))
+    joined = lambda a, b: a.join(b, by) if by else a.join(F.broadcast(b))  # noqa: E731  one row without groups
+    lo, hi = math.log(LOW), math.log(HIGH)
+    state = scores.groupBy(*by).agg(F.count("*").alias("n")).where("n > 0")
+    if kind == "outcome":
+        wide = (hi - lo) / (BRACKET - 1)
+        points = scores.withColumn("__p", F.explode(F.array(*[F.lit(lo + wide * i) for i in range(BRACKET)])))
+        grid_losses = _means(points, kind, F.col("__p"), [*by, "__p"])
+        state = joined(state, grid_losses.groupBy(*by).agg(F.min(F.struct(F.round("loss", 12), "__p"))["__p"].alias("x")))
+        state = state.withColumns({"lo": F.greatest(F.lit(lo), F.col("x") - wide), "hi": F.least(F.lit(hi), F.col("x") + wide)})
+    else:
+        state = state.withColumns({"x": F.lit(0.0), "lo": F.lit(lo), "hi": F.lit(hi)})
+    none = F.lit(None).cast("double")
+    state = stored(state.withColumns({"done": F.lit(False), "loss": none, "d1": none, "d2": none}))
+    for _ in range(PASSES):
+        ahead = state.where("not done").drop("loss", "d1", "d2")
+        sums = _means(joined(scores, ahead.select(*by, "x")), kind, F.col("x"), by)
+        new = stored(state.where("done").unionByName(_moved(joined(ahead, sums))))
+        discard(state)
+        state = new
+        if state.where("not done").isEmpty():
+            break
+    discard(kept)
+    return state.select(*by, F.exp("x").alias("temperature"), F.round("loss", 12).alias("loss"), "n")
+
+
+def _moved(state: DataFrame) -> DataFrame:
+    """The next temperature of each group, or none where the slope is flat or the bracket closed."""
+    x, slope, bend = F.col("x"), F.col("d1"), F.col("d2")
+    lo, hi = F.when(slope < 0, x).otherwise(F.col("lo")), F.when(slope > 0, x).otherwise(F.col("hi"))
+    step = F.when(bend > 0, x - slope / bend)
+    # a first step beyond an end of the range tries the end itself
+    end = F.when(step <= F.col("lo"), F.col("lo")).when(step >= F.col("hi"), F.col("hi"))
+    to = F.when((step > lo) & (step < hi), step).when(end.isNotNull() & (end != x), end).otherwise((lo + hi) / 2)
+    done = (F.abs(slope) <= FLAT) | (hi - lo < 1e-14) | ((x == F.col("lo")) & (slope > 0)) | ((x == F.col("hi")) & (slope < 0))
+    return state.withColumns({"x": F.when(done, x).otherwise(to), "lo": lo, "hi": hi, "done": F.coalesce(done, F.lit(True))})
 
 
 def _at(t: Column) -> Column:
@@ -84,12 +160,6 @@ def nll_loss(t: Column) -> Column:
     return _log_normaliser(t) - D.at(F.col("__z"), F.col("gold")) / t
 
 
-def outcome_loss(t: Column, outcome: str = "outcome") -> Column:
-    """Log-loss of revealed outcomes at the chosen action."""
-    p = F.exp((D.at(F.col("__z"), F.col("action")) - F.col("__m")) / t) / _at(t)
-    return -D.bernoulli(F.col(outcome), p)
-
-
 def scaled(results: DataFrame, t: float) -> DataFrame:
     """Results at a temperature, the answer to the negated question and a reordered copy included."""
     out = results.withColumn("probs", D.tempered(F.col("probs"), t))
@@ -177,10 +247,5 @@ def bandit_samples(results: DataFrame, size: int, epsilon: float, seed: str) ->
     return d.join(results.select("record_id", "question_id", "probs"), ["record_id", "question_id"])
 
 
-def theta_loss(t: Column) -> Column:
-    """Cross-entropy of the tempered distribution against theta."""
-    return _log_normaliser(t) - D.dot(F.col("__z"), theta(F.size("probs"), F.col("gold"))) / t
-
-
 def binary_entropy(f: float) -> float:
     return 0.0 if f in (0.0, 1.0) else -(f * math.log(f) + (1 - f) * math.log(1 - f))

@@ -135,10 +135,9 @@ def grid_table(s, d):
 
 
 def calibrated(s, d):
-    """Temperatures over all rows, by split and by type, from one pass over the finest groups."""
-    fine = K.losses(X.results(s, d), K.nll_loss, ["split", "qtype"], K.grid())
-    scopes = F.explode(F.array(F.lit("all"), F.concat(F.lit("split:"), "split"), F.concat(F.lit("type:"), "qtype")))
-    return K.fitted(X.results(s, d).withColumn("scope", scopes), K.nll_loss, ["scope"], K.pooled(fine.withColumn("scope", scopes), ["scope"]))
+    """Temperatures over all rows, by split and by type."""
+    scopes = F.array(F.lit("all"), F.concat(F.lit("split:"), "split"), F.concat(F.lit("type:"), "qtype"))
+    return K.fitted(X.results(s, d).withColumn("scope", scopes), "nll", ["scope"])
 
 
 def inversion(s, d):
@@ -203,10 +202,10 @@ QUERIES = {
     "f2_scaled": lambda s, d: rounded(M.symmetry(K.scaled(X.results_noul(s, d), 1.7))),
     "f3_mean_nll": lambda s, d: rounded(K.losses(X.results(s, d), K.nll_loss, ["qtype"], [0.5, 1.0, 2.0])),
     "f4_temperature_grid": lambda s, d: rounded(grid_table(s, d)),
-    "f4_fitted": lambda s, d: rounded(K.fitted(X.results_choice(s, d), K.nll_loss, ["qtype"])),
-    "f5_outcome_temperature": lambda s, d: rounded(K.fitted(log(s, d), K.outcome_loss, [])),
+    "f4_fitted": lambda s, d: rounded(K.fitted(X.results_choice(s, d), "nll", ["qtype"])),
+    "f5_outcome_temperature": lambda s, d: rounded(K.fitted(log(s, d), "outcome", [])),
     "f6_scoped_temperatures": lambda s, d: rounded(calibrated(s, d)),
-    "f7_log_temperature": lambda s, d: rounded(K.fitted(learner_log(s, d), K.outcome_loss, [])),
+    "f7_log_temperature": lambda s, d: rounded(K.fitted(learner_log(s, d), "outcome", [])),
     "f8_inverted": lambda s, d: rounded(inversion(s, d)),
     "f9_channel_ece": lambda s, d: rounded(channels(s, d)),
     "f10_entropy_floor": lambda s, d: rounded(s.createDataFrame([(f, K.binary_entropy(f)) for f in (0.0, 0.1, 0.2, 0.3, 1.0)], "rate double, floor double")),
@@ -220,8 +219,8 @@ QUERIES = {
     "g5_calibration_gap": lambda s, d: rounded(K.calibration_gap(K.by_k(environment(s, d)))),
     "g6_environment_metrics": lambda s, d: rounded(env_split(s, d)),
     "g7_bandit_samples": lambda s, d: K.bandit_samples(X.results_choice(s, d), 4, 0.1, "g7").select("record_id", "g", "action", "outcome"),
-    "g7_bandit_temperature": lambda s, d: rounded(K.fitted(K.bandit_samples(X.results_choice(s, d), 4, 0.1, "g7"), K.outcome_loss, [])),
-    "g8_oracle_temperature": lambda s, d: rounded(K.fitted(choice(s, d), K.theta_loss, ["k"])),
+    "g7_bandit_temperature": lambda s, d: rounded(K.fitted(K.bandit_samples(X.results_choice(s, d), 4, 0.1, "g7"), "outcome", [])),
+    "g8_oracle_temperature": lambda s, d: rounded(K.fitted(choice(s, d), "theta", ["k"])),
     "g9_environment_forms": lambda s, d: rounded(env_driver(s, d)),
     "h1_behaviour": lambda s, d: rounded(X.results_choice(s, d).select("record_id", F.array_max(D.behaviour(F.col("probs"), 0.1)).alias("most"), F.array_min(D.behaviour(F.col("probs"), 0.1)).alias("least"))),
     "h2_actions": lambda s, d: rounded(log(s, d).select("index", "action", "propensity")),
@@ -262,14 +261,14 @@ def sql_best(rows: str, by: str, loss: str) -> str:
       SELECT {keys}t, round(avg({loss}), 12) AS l, count(*) AS n FROM ({rows}), (SELECT unnest({_T}) AS t) GROUP BY {keys}t)) WHERE i = 1"""
 
 
-def sql_fitted(rows: str, by: str, loss: str) -> str:
+def sql_zoomed(rows: str, by: str, loss: str) -> str:
     """The grid, a finer grid about its best point, and the vertex of a parabola by finite differences."""
     keys = f"{by}, " if by else ""
     part = f"PARTITION BY {by}" if by else ""
     using = f"USING ({by})" if by else "ON true"
     step = "(ln(400.0) / 60 / 20)"
     return f"""
-    SELECT {keys}t * exp(CASE WHEN lower IS NULL OR upper IS NULL OR lower - 2 * mean + upper <= 0 THEN 0.0 ELSE (lower - upper) / (2 * (lower - 2 * mean + upper)) END * {step}) AS temperature, l AS loss, n FROM (
+    SELECT {keys}t * exp(CASE WHEN lower IS NULL OR upper IS NULL OR lower - 2 * mean + upper <= 0 THEN 0.0 ELSE (lower - upper) / (2 * (lower - 2 * mean + upper)) END * {step}) AS fit FROM (
       SELECT *, row_number() OVER ({part} ORDER BY l, t) AS i FROM (
         SELECT *, round(mean, 12) AS l, lag(mean) OVER ({part} ORDER BY t) AS lower, lead(mean) OVER ({part} ORDER BY t) AS upper FROM (
           SELECT {keys}t, avg({loss}) AS mean, count(*) AS n FROM (
@@ -277,6 +276,25 @@ def sql_fitted(rows: str, by: str, loss: str) -> str:
           ) WHERE t BETWEEN 0.05 * (1 - 1e-9) AND 20 * (1 + 1e-9) GROUP BY {keys}t))) WHERE i = 1"""
 
 
+def sql_fitted(rows: str, by: str, loss: str, score: str, outcome: str | None = None) -> str:
+    """From there three steps of Newton's method, with derivatives of the mean loss by the temperature's logarithm."""
+    keys = f"{by}, " if by else ""
+    using = f"USING ({by})" if by else "ON true"
+    group = f"GROUP BY {by}" if by else ""
+    a = "(m - s)" if outcome is None else f"((1 - {outcome}) * p / (1 - p) * (s - m) - {outcome} * (s - m))"
+    b = "v" if outcome is None else f"({outcome} * v + (1 - {outcome}) * p / (1 - p) * ((s - m) * (s - m) / (1 - p) - v))"
+    inside = "true" if outcome is None else "p BETWEEN 1e-6 AND 1 - 1e-6"
+    fit = sql_zoomed(rows, by, loss)
+    for _ in range(3):
+        fit = f"""
+        SELECT {keys}CASE WHEN avg(d2) > 0 AND any_value(t) BETWEEN 0.0500001 AND 19.99999 THEN least(greatest(any_value(t) * exp(-avg(d1) / avg(d2)), 0.05), 20.0) ELSE any_value(t) END AS fit FROM (
+          SELECT *, CASE WHEN {inside} THEN -{a} / t ELSE 0 END AS d1, CASE WHEN {inside} THEN {b} / t / t + {a} / t ELSE 0 END AS d2 FROM (
+            SELECT *, exp((s - list_max(lp)) / t) / w0 AS p, w1 / w0 AS m, w2 / w0 - pow(w1 / w0, 2) AS v FROM (
+              SELECT *, list_sum(w) AS w0, list_sum(list_transform(range(1, len(w) + 1), lambda i: w[i] * lp[i])) AS w1, list_sum(list_transform(range(1, len(w) + 1), lambda i: w[i] * lp[i] * lp[i])) AS w2 FROM (
+                SELECT x.*, fit AS t, {score} AS s, list_transform(lp, lambda y: exp((y - list_max(lp)) / fit)) AS w FROM ({rows}) x JOIN ({fit}) c {using})))) {group}"""
+    return f"SELECT {keys}any_value(t) AS temperature, round(avg({loss}), 12) AS loss, count(*) AS n FROM (SELECT x.*, fit AS t FROM ({rows}) x JOIN ({fit}) c {using}) {group}"
+
+
 _LSE = "(list_max(z) + ln(list_sum(list_transform(z, lambda y: exp(y - list_max(z))))))"
 _NLL = "ln(list_sum(list_transform(lp, lambda y: exp((y - list_max(lp)) / t)))) + (list_max(lp) - lp[gold + 1]) / t"
 _LP = "list_transform(probs, lambda x: ln(greatest(x, 1e-45))) AS lp"
@@ -444,10 +462,10 @@ ORACLES = {
     ),
     "f3_mean_nll": rr(f"SELECT qtype, CAST(t AS DOUBLE) AS t, avg({_NLL}) AS loss, count(*) AS n FROM (SELECT *, {_LP} FROM results), (SELECT unnest([0.5, 1.0, 2.0]) AS t) GROUP BY ALL", "qtype n", "t loss"),
     "f4_temperature_grid": rr(sql_best(f"SELECT *, {_LP} FROM results WHERE split = 'valid'", "qtype", _NLL), "qtype n", "temperature loss"),
-    "f4_fitted": rr(sql_fitted(f"SELECT *, {_LP} FROM results_choice", "qtype", _NLL), "qtype n", "temperature loss"),
-    "f5_outcome_temperature": rr(sql_fitted(_GRID_LOG, "", _OUT), "n", "temperature loss"),
-    "f6_scoped_temperatures": rr(sql_fitted(f"SELECT *, {_LP}, unnest(['all', 'split:' || split, 'type:' || qtype]) AS scope FROM results", "scope", _NLL), "scope n", "temperature loss"),
-    "f7_log_temperature": rr(sql_fitted("SELECT l.*, list_transform(b.probs, lambda x: ln(greatest(x, 1e-45))) AS lp FROM prefixed l JOIN run_b b ON l.record_id = b.record_id AND l.labels = b.labels WHERE part = 'train'", "", _OUT), "n", "temperature loss"),
+    "f4_fitted": rr(sql_fitted(f"SELECT *, {_LP} FROM results_choice", "qtype", _NLL, "lp[gold + 1]"), "qtype n", "temperature loss"),
+    "f5_outcome_temperature": rr(sql_fitted(_GRID_LOG, "", _OUT, "lp[action + 1]", "outcome"), "n", "temperature loss"),
+    "f6_scoped_temperatures": rr(sql_fitted(f"SELECT *, {_LP}, unnest(['all', 'split:' || split, 'type:' || qtype]) AS scope FROM results", "scope", _NLL, "lp[gold + 1]"), "scope n", "temperature loss"),
+    "f7_log_temperature": rr(sql_fitted("SELECT l.*, list_transform(b.probs, lambda x: ln(greatest(x, 1e-45))) AS lp FROM prefixed l JOIN run_b b ON l.record_id = b.record_id AND l.labels = b.labels WHERE part = 'train'", "", _OUT, "lp[action + 1]", "outcome"), "n", "temperature loss"),
     "f8_inverted": rr(
         _PROPER.format(by="split", of="turned"), "split n", "accuracy brier nll",
         turned=f"SELECT *, CAST(prediction = gold AS INT) AS hit FROM (SELECT *, CAST(list_position(probs, list_max(probs)) - 1 AS INT) AS prediction FROM (SELECT record_id, split, gold, CASE WHEN list_sum(c) > 0 THEN list_transform(c, lambda x: x / list_sum(c)) ELSE probs END AS probs FROM (SELECT *, list_transform(probs, lambda x: greatest(0.0, least(1.0, (x - 0.2) / (1 - 2 * 0.2)))) AS c FROM results_choice)))",
@@ -471,8 +489,8 @@ ORACLES = {
     "g5_calibration_gap": rr("SELECT sum(c * abs(g)) / sum(c) AS calibration_gap FROM (SELECT k, count(*) AS c, avg(top) - avg(top1_hit) AS g FROM environment GROUP BY k)", "", "calibration_gap"),
     "g6_environment_metrics": rr(sql_env_metrics("split", "environment", sql_accepted("g2")), "split n", "accuracy expected_brier brier_min cross_entropy entropy kl calibration_gap sampled_ece"),
     "g7_bandit_samples": q("SELECT record_id, CAST(g AS INT) AS g, action, outcome FROM bandit"),
-    "g7_bandit_temperature": rr(sql_fitted(f"SELECT b.*, {_LP} FROM bandit b JOIN results_choice USING (record_id)", "", _OUT), "n", "temperature loss"),
-    "g8_oracle_temperature": rr(sql_fitted(f"SELECT * REPLACE (CAST(k AS INT) AS k), {TH} AS theta, {_LP} FROM judged_choice", "k", "ln(list_sum(list_transform(lp, lambda y: exp((y - list_max(lp)) / t)))) + list_max(lp) / t - list_sum(list_transform(range(1, k + 1), lambda i: theta[i] * lp[i])) / t"), "k n", "temperature loss"),
+    "g7_bandit_temperature": rr(sql_fitted(f"SELECT b.*, {_LP} FROM bandit b JOIN results_choice USING (record_id)", "", _OUT, "lp[action + 1]", "outcome"), "n", "temperature loss"),
+    "g8_oracle_temperature": rr(sql_fitted(f"SELECT * REPLACE (CAST(k AS INT) AS k), {TH} AS theta, {_LP} FROM judged_choice", "k", "ln(list_sum(list_transform(lp, lambda y: exp((y - list_max(lp)) / t)))) + list_max(lp) / t - list_sum(list_transform(range(1, k + 1), lambda i: theta[i] * lp[i])) / t", "list_sum(list_transform(range(1, k + 1), lambda i: theta[i] * lp[i]))"), "k n", "temperature loss"),
     "g9_environment_forms": rr(
         sql_env_metrics("form", "three", sql_accepted("g2")), "form n", "accuracy expected_brier brier_min cross_entropy entropy kl calibration_gap sampled_ece",
         forms3=f"SELECT 'raw' AS form, record_id, question_id, gold, probs FROM results_choice UNION ALL SELECT 'tempered', record_id, question_id, gold, {tempered('probs', '2.0')} FROM results_choice UNION ALL SELECT 'theta', record_id, question_id, gold, {_THETA.format(k='len(probs)')} FROM results_choice",

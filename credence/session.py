@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -59,6 +60,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it from there. Later jobs read the columns
+    they use, and know the table's size; ``discard`` removes it."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of stored tables that nothing reads any more."""
+    for t in tables:
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str):
     """The named tables of a folder of Parquet files; one frame for one name."""
     got = [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]

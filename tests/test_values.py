@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -98,11 +99,40 @@ def test_temperature_keeps_predictions(spark, small):
     r = fixtures.results_choice(spark, small)
     a, b = metrics.answers(r), metrics.answers(calibration.scaled(r, 2.5))
     assert a.join(b.select("record_id", F.col("prediction").alias("other")), "record_id").where("prediction <> other").isEmpty()
-    t = one(calibration.fitted(r, calibration.nll_loss, []), "temperature")
+    t = one(calibration.fitted(r, "nll", []), "temperature")
     loss = lambda x: one(calibration.losses(r, calibration.nll_loss, [], [x]), "loss")
     assert loss(t) <= min(loss(t * 1.01), loss(t * 0.99)) + 1e-9
 
 
+def test_slopes_vanish_at_fitted_temperatures(spark, small):
+    """Slope of the mean loss at the fit, by plain differences and by the derivatives, for every group and loss."""
+    r = fixtures.results(spark, small).select("qtype", "probs", "gold", F.array(F.lit("all"), "qtype").alias("scope"))
+    fits = {x["scope"]: x for x in calibration.fitted(r, "nll", ["scope"]).collect()}
+    assert set(fits) == {"all", "noul", "choice", "score"}
+    for name, x in fits.items():
+        own = r.where(F.array_contains("scope", name))
+        assert x["n"] == own.count()
+        if not calibration.LOW * 1.001 < x["temperature"] < calibration.HIGH * 0.999:
+            continue
+        t = F.lit(math.log(x["temperature"]))
+        assert abs(one(calibration._means(calibration._scores(own, [], "nll"), "nll", t, []), "d1")) < 1e-9
+    rng = np.random.default_rng(2)
+    for kind in ("nll", "outcome", "theta"):
+        size = np.array([1, 2, 5])
+        z, x, h = rng.normal(size=8), rng.normal(size=3), 1e-5
+        s, o = z[[0, 2, 5]], np.array([1.0, 0.0, 1.0])
+        at = lambda d: calibration._derivatives(kind, x + d, z, size, s, o)  # noqa: E731, B023
+        assert (at(h)[0] - at(-h)[0]) / (2 * h) == pytest.approx(at(0)[1], abs=1e-6)
+        assert (at(h)[1] - at(-h)[1]) / (2 * h) == pytest.approx(at(0)[2], abs=1e-6)
+
+
+def test_fits_at_the_ends_and_of_nothing(spark):
+    sure = spark.createDataFrame([("a", [0.6, 0.4], 0), ("a", [0.7, 0.3], 0), ("b", [0.6, 0.4], 1), ("c", [0.6, 0.4], 0), ("c", [0.6, 0.4], 1), ("d", None, 0), ("d", [], 0)], "g string, probs array<double>, gold int")
+    got = {r["g"]: r["temperature"] for r in calibration.fitted(sure, "nll", ["g"]).collect()}
+    assert got == {"a": pytest.approx(calibration.LOW), "b": pytest.approx(calibration.HIGH), "c": pytest.approx(calibration.HIGH)}
+    assert calibration.fitted(sure.limit(0), "nll", []).count() == 0
+
+
 def test_inversion_by_hand(spark):
     got = spark.createDataFrame([([0.8, 0.2],), ([0.1, 0.1],), ([0.5, 0.5],)], "p array<double>").select(D.inverted(F.col("p"), 0.2).alias("q")).collect()
     assert got[0]["q"] == pytest.approx([1.0, 0.0]) and got[1]["q"] == [0.1, 0.1] and got[2]["q"] == pytest.approx([0.5, 0.5])
