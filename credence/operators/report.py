@@ -14,6 +14,7 @@ from credence.functions import distributions as D
 from credence.operators import metrics as M
 from credence.operators import resampling as R
 from credence.operators.helpers import is_form
+from credence.session import stored
 
 BY = ["split", "block"]
 
@@ -68,19 +69,18 @@ def _long(table: DataFrame, by: list[str], metrics: list[tuple[str, Column]] | l
 
 
 def intervals(typed: DataFrame, resamples: int, seed: str) -> DataFrame:
-    """95 percent intervals of accuracy and ECE by record-level Poisson weights, for types and overall."""
-    sums = typed.groupBy("split", "type", "record_id", D.bin_index(F.col("top1")).alias("bin")).agg(F.count("*").alias("n"), F.sum("hit").alias("h"), F.sum("top1").alias("c"))
-    drawn = R.with_poisson_weights(sums, resamples, seed, F.col("record_id"))
-    total = [F.sum(F.col("w") * F.col(x)).alias(x) for x in "nhc"]
-    cells = drawn.groupBy("split", "type", "b", "bin").agg(*total)
+    """95 percent intervals of accuracy and ECE by record-level weights, for types and overall."""
+    rows = typed.withColumn("bin", D.bin_index(F.col("top1")))
+    cells = R.slot_sums(rows, ["split", "type", "bin"], {"n": F.lit(1), "h": F.col("hit"), "c": F.col("top1")}, resamples, seed).where("b >= 0")
     named = F.explode(F.when(F.col("type") == "form", F.array("type")).otherwise(F.array(F.lit("overall"), "type"))).alias("block")
     cells = cells.select("*", named).groupBy(*BY, "b", "bin").agg(*[F.sum(x).alias(x) for x in "nhc"])
-    draws = cells.groupBy(*BY, "b").agg((F.sum("h") / F.sum("n")).alias("accuracy"), (F.sum(F.abs(F.col("h") - F.col("c"))) / F.sum("n")).alias("ece"))
-    return R.intervals(draws, BY)
+    return R.intervals(R.accuracy_and_ece(cells, [*BY, "b"]), BY)
 
 
 def split_report(judged: DataFrame, resamples: int = 1000, seed: str = "report") -> DataFrame:
+    """The report. The judged rows are written once; no block reads the inputs again."""
     by = [*BY, "part"]
+    judged = stored(judged)
     typed, means = blocks(judged), _means()
     keyed = typed.withColumn("key", F.explode(_keys())).select("split", "key.*", D.bin_index(F.col("top1")).alias("bin"), "top1", *[c.alias(m) for m, c in means.items()])
     cells = keyed.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.sum("top1").alias("c"), *[F.sum(m).alias(m) for m in means])
@@ -95,9 +95,10 @@ def split_report(judged: DataFrame, resamples: int = 1000, seed: str = "report")
     curve = M.coverage_curve(each, BY).withColumn("part", F.concat(F.lit("threshold:"), F.format_number("threshold", 2)))
     out = out.unionByName(_long(curve, by, ["coverage", "n", "accuracy"]))
     risk = M.risk_coverage_block(each, BY).withColumn("part", F.concat(F.lit("risk:"), "ranking", F.lit(":"), F.format_number("budget", 2)))
-    out = out.unionByName(_long(risk, by, ["coverage", "n", "accuracy", "threshold"]))
-    area = risk.select(*BY, F.concat(F.lit("risk:"), "ranking").alias("part"), "aurc").distinct()
-    out = out.unionByName(_long(area, by, ["aurc"]))
+    area = F.struct(F.concat(F.lit("risk:"), "ranking").alias("part"), F.lit("aurc").alias("metric"), F.col("aurc").alias("value"))
+    kept = [F.struct("part", F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("coverage", "n", "accuracy", "threshold")]
+    once = F.when(F.col("budget") == min(D.BUDGETS), F.array(area)).otherwise(F.array().cast("array<struct<part:string,metric:string,value:double>>"))
+    out = out.unionByName(risk.select(*BY, F.explode(F.concat(F.array(*kept), once)).alias("m")).select(*BY, "m.*"))
     f1 = M.macro_f1(each.where("type = 'choice'"), BY).withColumn("part", F.lit("all"))
     out = out.unionByName(_long(f1, by, ["macro_f1"]))
     levels = M.score_levels(each.where("type = 'score'"), BY)

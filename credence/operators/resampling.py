@@ -1,18 +1,28 @@
 """Record-level bootstrap and paired comparison of runs.
 
-``multinomial_weights`` draws n records with replacement for each resample, which takes B * n draws.
-``poisson_weights`` gives each record an independent Poisson(1) count from its own hash; it needs no
-index of the records and no shuffle of draws, and is the form for very many records.
+Resamples are slots of a vector: each record has a Poisson(1) weight for every resample, made from its own
+key where its rows are, and a task adds ``weight times value`` up in one vector of slots for each group. A
+table of draws is never made, and what is shuffled are the tasks' sums, whatever the number of records.
+All runs see the same weights, so differences are paired. ``multinomial_weights`` draws n records with
+replacement for each resample, which takes B * n draws: the plain form, to compare with.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from credence.functions import distributions as D
 from credence.functions.draws import digest, uniform
 from credence.operators.sampling import seeded_rank
+from credence.session import ship_code
 
 
 def multinomial_weights(records: DataFrame, resamples: int, seed: str) -> DataFrame:
@@ -24,47 +34,81 @@ def multinomial_weights(records: DataFrame, resamples: int, seed: str) -> DataFr
     return drawn.groupBy("b", "i").agg(F.count("*").alias("w")).join(indexed, "i").select("b", "record_id", "w")
 
 
-def poisson_weights(records: DataFrame, resamples: int, seed: str) -> DataFrame:
-    u = uniform(seed, F.col("b"), F.col("record_id"))
-    steps, term, total = [], 0.36787944117144233, 0.0
-    for k in range(1, 13):  # cumulative probabilities of Poisson(1)
-        total += term
-        steps.append(total)
-        term /= k
-    w = F.size(F.filter(F.array(*map(F.lit, steps)), lambda c: c <= u)).cast("long")
-    rows = records.select("record_id").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    return rows.select("b", "record_id", w.alias("w")).where("w > 0")
-
-
-#: Draws that one digest gives, of 20 bits each.
-PER_DIGEST = 6
-
-
-def with_poisson_weights(rows: DataFrame, resamples: int, seed: str, key: Column) -> DataFrame:
-    """``rows`` once for each resample ``b`` in which its record is drawn, ``w`` times. The weights are
-    Poisson(1) numbers made from the key where the row is: no table of draws, no join, no shuffle."""
-    cuts, term, total = [], 0.36787944117144233, 0.0
-    for k in range(1, 10):  # beyond, 20 bits have no draw
-        total += term
-        cuts.append(total)
-        term /= k
-    each = rows.withColumn("__m", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // PER_DIGEST) - 1)))).withColumn("__d", digest(seed, F.col("__m"), key))
-    draws = []
-    for k in range(PER_DIGEST):
-        u = F.conv(F.substring("__d", 5 * k + 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20))
-        w = F.lit(len(cuts))
-        for i in reversed(range(len(cuts))):
-            w = F.when(u < cuts[i], i).otherwise(w)
-        draws.append(F.struct((F.col("__m") * PER_DIGEST + k).alias("b"), w.alias("w")))
-    out = each.withColumn("__w", F.explode(F.array(*draws))).select(*rows.columns, "__w.*")
-    return out.where((F.col("w") > 0) & (F.col("b") < resamples))
+#: A prime below 2**31 of which cubing permutes the residues, and constants added between cubes.
+PRIME, ADDED = 2147483579, (1013904223, 1664525, 69069)
+#: Cumulative probabilities of Poisson(1): a draw is the number of them that it reaches.
+CUTS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+#: Rows weighted at a time, and groups whose slots a task holds before it sends them on.
+SLICE, HELD = 1024, 2000
+
+
+def draw_key(seed: str, key: Column) -> Column:
+    """60 bits of a record's digest, from which its weights are made."""
+    return F.conv(F.substring(digest(seed, key), 1, 15), 16, 10).cast("long")
+
+
+def slot_weights(keys: np.ndarray, resamples: int) -> np.ndarray:
+    """``[record, resample]``: Poisson(1) weights. A key's residues give a start and a stride, and cubes
+    modulo a prime, which permute, turn the steps into draws."""
+    x = (keys % PRIME)[:, None] + (keys // PRIME % (PRIME - 1) + 1)[:, None] * np.arange(1, resamples + 1) % PRIME
+    for c in ADDED:
+        x = (x + c) % PRIME
+        x = x * x % PRIME * x % PRIME
+    return np.searchsorted(CUTS, x / PRIME, side="right").astype(np.float64)
+
+
+def slot_sums(rows: DataFrame, by: list[str], values: dict[str, Column], resamples: int, seed: str, key: str = "record_id") -> DataFrame:
+    """``(*by, b, *values)``: weighted sums of the values in each resample 0, 1, ...; b = -1 is the plain sum.
+    Rows without a key are one record."""
+    keys = rows.select(*by, draw_key(seed, F.col(key)).alias("__key"), *[v.cast("double").alias(f"__v{i}") for i, v in enumerate(values.values())])
+    n, slots = len(by), np.arange(-1, resamples, dtype=np.int32)
+    out = T.StructType([*keys.select(*by).schema.fields, T.StructField("b", T.IntegerType()), *[T.StructField(v, T.DoubleType()) for v in values]])
+    kinds = to_arrow_schema(out)
+
+    def summed(held: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for group, sums in held.items():
+            cols = [pa.array([x] * len(slots), kinds.field(i).type) for i, x in enumerate(group)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(slots), *map(pa.array, sums)], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                groups = list(zip(*(c.to_pylist() for c in part.columns[:n]), strict=True)) if n else [()] * part.num_rows
+                w = np.concatenate([np.ones((part.num_rows, 1)), slot_weights(part.column(n).to_numpy(), resamples)], axis=1)
+                v = np.stack([np.nan_to_num(c.to_numpy(zero_copy_only=False)) for c in part.columns[n + 1 :]])
+                where: dict[tuple, list[int]] = {}
+                for i, g in enumerate(groups):
+                    where.setdefault(g, []).append(i)
+                for g, i in where.items():
+                    sums = v[:, i] @ w[i]
+                    held[g] = held[g] + sums if g in held else sums
+                if len(held) >= HELD:
+                    yield from summed(held)
+                    held = {}
+        yield from summed(held)
+
+    ship_code(rows.sparkSession)
+    return keys.mapInArrow(run, out).groupBy(*by, "b").agg(*[F.sum(v).alias(v) for v in values])
+
+
+def accuracy_and_ece(bins: DataFrame, by: list[str]) -> DataFrame:
+    """From sums of rows, hits and confidence by bin."""
+    return bins.groupBy(*by).agg((F.sum("h") / F.sum("n")).alias("accuracy"), (F.sum(F.abs(F.col("h") - F.col("c"))) / F.sum("n")).alias("ece"))
+
+
+def resampled_metrics(judged: DataFrame, by: list[str], resamples: int, seed: str, n_bins: int = D.N_BINS) -> DataFrame:
+    """``(*by, b, accuracy, ece)`` of every resample, and of the rows as they are for b = -1."""
+    rows = judged.withColumn("bin", D.bin_index(F.col("top1"), n_bins))
+    return accuracy_and_ece(slot_sums(rows, [*by, "bin"], {"n": F.lit(1), "h": F.col("hit"), "c": F.col("top1")}, resamples, seed), [*by, "b"])
 
 
 def resampled(judged: DataFrame, weights: DataFrame, by: list[str], n_bins: int = D.N_BINS) -> DataFrame:
-    """Weighted accuracy and ECE of every resample. Rows are first summed by record and bin."""
+    """Weighted accuracy and ECE of every resample of a table of draws. Rows are first summed by record and bin."""
     bins = judged.groupBy(*by, "record_id", D.bin_index(F.col("top1"), n_bins).alias("bin")).agg(F.count("*").alias("n"), F.sum("hit").alias("h"), F.sum("top1").alias("c"))
-    w = bins.join(weights, "record_id").groupBy(*by, "b", "bin").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("h")).alias("h"), F.sum(F.col("w") * F.col("c")).alias("c"))
-    return w.groupBy(*by, "b").agg((F.sum("h") / F.sum("n")).alias("accuracy"), (F.sum(F.abs(F.col("h") - F.col("c"))) / F.sum("n")).alias("ece"))
+    w = bins.join(weights, "record_id").groupBy(*by, "b", "bin").agg(*[F.sum(F.col("w") * F.col(x)).alias(x) for x in "nhc"])
+    return accuracy_and_ece(w, [*by, "b"])
 
 
 def interval(c: str | Column, name: str) -> list[Column]:
@@ -91,21 +135,21 @@ def aligned(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys)
 
 
-def paired(judged_a: DataFrame, judged_b: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:
+def paired(judged_a: DataFrame, judged_b: DataFrame, by: list[str], resamples: int, seed: str) -> DataFrame:
     """Accuracy of both runs, their difference with its interval, and how often predictions differ."""
     keys = ["record_id", "question_id"]
     j = judged_a.join(judged_b.select(*keys, F.col("hit").alias("hit_b"), F.col("prediction").alias("other")), keys)
-    point = j.groupBy(*by).agg(F.count("*").alias("n"), F.avg("hit").alias("accuracy_a"), F.avg("hit_b").alias("accuracy_b"), F.avg(F.col("hit") - F.col("hit_b")).alias("delta"),
-                               F.avg((F.col("prediction") != F.col("other")).cast("int")).alias("disagreement"))
-    per = j.groupBy(*by, "record_id").agg(F.count("*").alias("n"), F.sum(F.col("hit") - F.col("hit_b")).alias("d"))
-    draws = per.join(weights, "record_id").groupBy(*by, "b").agg((F.sum(F.col("w") * F.col("d")) / F.sum(F.col("w") * F.col("n"))).alias("delta"))
-    return point.join(draws.groupBy(*by).agg(*interval("delta", "delta")), by)
+    differ = (F.col("prediction") != F.col("other")).cast("int")
+    sums = slot_sums(j, by, {"n": F.lit(1), "a": F.col("hit"), "c": F.col("hit_b"), "d": differ}, resamples, seed)
+    point, share = F.col("b") < 0, lambda x: F.max(F.when(F.col("b") < 0, F.col(x) / F.col("n")))
+    delta = (F.col("a") - F.col("c")) / F.col("n")
+    return sums.groupBy(*by).agg(F.max(F.when(point, F.col("n"))).cast("long").alias("n"), share("a").alias("accuracy_a"), share("c").alias("accuracy_b"),
+                                 F.max(F.when(point, delta)).alias("delta"), share("d").alias("disagreement"), *interval(F.when(~point, delta), "delta"))
 
 
-def run_metrics(runs: DataFrame, weights: DataFrame) -> DataFrame:
-    """``(run, b, accuracy, ece)`` with the same draws for every run; b = -1 is the unweighted value."""
-    once = runs.select("record_id").distinct().select(F.lit(-1).alias("b"), "record_id", F.lit(1).cast("long").alias("w"))
-    return resampled(runs, weights.unionByName(once), ["run"])
+def run_metrics(runs: DataFrame, resamples: int, seed: str) -> DataFrame:
+    """``(run, b, accuracy, ece)`` with the same weights for every run; b = -1 is the unweighted value."""
+    return resampled_metrics(runs, ["run"], resamples, seed)
 
 
 def contrasts(metrics: DataFrame, contrast: dict[str, dict[str, float]], value: str = "accuracy") -> DataFrame:
@@ -151,10 +195,10 @@ def seed_points(points: DataFrame, by: list[str]) -> DataFrame:
     return points.groupBy(*by).agg(F.avg("value").alias("value"), F.when(many, F.min("value")).alias("lowest"), F.when(many, F.max("value")).alias("highest"), F.count("*").alias("n_seeds"))
 
 
-def run_comparison(runs: DataFrame, weights: DataFrame, base: str, expected: list[str]) -> DataFrame:
+def run_comparison(runs: DataFrame, resamples: int, seed: str, base: str, expected: list[str]) -> DataFrame:
     """Each expected run against the base: accuracy, ECE and the paired interval of the difference;
     runs that are absent are listed with nulls."""
-    metrics = run_metrics(runs, weights)
+    metrics = run_metrics(runs, resamples, seed)
     of_base = metrics.where(F.col("run") == base).select("b", F.col("accuracy").alias("base_accuracy"))
     d = metrics.join(of_base, "b").withColumn("d", F.col("accuracy") - F.col("base_accuracy"))
     point, lo_hi = F.col("b") < 0, interval(F.when(F.col("b") >= 0, F.col("d")), "delta")

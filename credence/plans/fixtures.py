@@ -157,3 +157,18 @@ def oracle(body: str, **more: str) -> str:
     add(body)
     named = ",\n".join(f"{n} AS ({known[n]})" for n in order)
     return f"WITH {named}\n{body}" if order else body
+
+
+def sql_slots(resamples: int, seed: str, of: str) -> str:
+    """Poisson(1) weights of the records of a table in each resample, by cubes modulo a prime."""
+    key = f"CAST('0x' || substr(md5('{seed}:' || CAST(record_id AS VARCHAR)), 1, 15) AS BIGINT)"
+    x = f"""SELECT record_id, CAST(b AS BIGINT) AS b, k % 2147483579 + (k // 2147483579 % 2147483578 + 1) * (b + 1) % 2147483579 AS x
+      FROM (SELECT record_id, {key} AS k FROM (SELECT DISTINCT record_id FROM {of})), (SELECT unnest(range({resamples})) AS b)"""
+    for c in (1013904223, 1664525, 69069):
+        x = f"SELECT record_id, b, y * y % 2147483579 * y % 2147483579 AS x FROM (SELECT record_id, b, (x + {c}) % 2147483579 AS y FROM ({x}))"
+    cuts, term, total = [], 0.36787944117144233, 0.0
+    for i in range(12):
+        total += term
+        cuts.append(total)
+        term /= i + 1
+    return f"SELECT * FROM (SELECT record_id, b, len(list_filter({cuts}, lambda c: c <= x / 2147483579.0)) AS w FROM ({x})) WHERE w > 0"

@@ -10,7 +10,7 @@ from credence.operators import feedback as B
 from credence.operators import metrics as M
 from credence.operators import resampling as R
 from credence.plans import fixtures as X
-from credence.plans.fixtures import oracle, sql_softmax, sql_uniform
+from credence.plans.fixtures import oracle, sql_slots, sql_softmax, sql_uniform
 from credence.plans.metrics import _PROPER, _RUNS, at_risk_sql, ece_sql, r, ranked_sql, rounded, choice, judged, runs
 
 RESAMPLES = PAIRED = 1000
@@ -28,8 +28,8 @@ def run_c(s, d):
     return X.results_choice(s, d, 0.05, 0.15)
 
 
-def weights(s, d, n=PAIRED):
-    return R.multinomial_weights(X.results_choice(s, d), n, "boot")
+#: Resamples and seed of paired comparisons.
+BOOT = PAIRED, "boot"
 
 
 def draws(s, d):
@@ -65,13 +65,13 @@ def enumerated(s, d):
 
 
 def contrast_table(s, d):
-    m = R.run_metrics(runs(s, d), weights(s, d))
+    m = R.run_metrics(runs(s, d), *BOOT)
     of = {"a-c": {"a": 1, "c": -1}, "mean(a,b)-c": {"a": 0.5, "b": 0.5, "c": -1}, "(a-b)-(b-c)": {"a": 1, "b": -2, "c": 1}}
     return R.contrasts(m, of)
 
 
 def ece_contrasts(s, d):
-    m = R.run_metrics(runs(s, d), weights(s, d))
+    m = R.run_metrics(runs(s, d), *BOOT)
     c = R.contrasts(m, {"a-b": {"a": 1, "b": -1}, "c-b": {"c": 1, "b": -1}}, "ece")
     return c.withColumn("level", R.level(F.col("ci_lo"), F.col("ci_hi")))
 
@@ -87,7 +87,7 @@ def cross_split(s, d):
     parts = None
     for split in ("valid", "test"):
         rows = j.where(F.col("split") == split)
-        m = R.resampled(rows, R.multinomial_weights(rows, PAIRED, f"boot:{split}"), ["split"])
+        m = R.resampled_metrics(rows, ["split"], PAIRED, f"boot:{split}").where("b >= 0")
         parts = m if parts is None else parts.unionByName(m)
     return parts.groupBy("b").agg(F.avg("accuracy").alias("m")).agg(*R.interval("m", "mean_accuracy"))
 
@@ -95,7 +95,7 @@ def cross_split(s, d):
 def paired_failures(s, d):
     """A run against a baseline whose every fifth reply failed to parse and counts as wrong."""
     b = M.answers(run_c(s, d)).withColumn("hit", F.when(F.col("record_id") % 5 == 0, 0).otherwise(F.col("hit")))
-    return R.paired(choice(s, d), b, weights(s, d), ["split"])
+    return R.paired(choice(s, d), b, ["split"], *BOOT)
 
 
 def accuracy_table(s, d):
@@ -181,17 +181,17 @@ def env_driver(s, d):
 
 QUERIES = {
     "e1_key_mismatches": lambda s, d: R.key_mismatches(X.results_choice(s, d), run_c(s, d).where("record_id % 10 <> 3"), ["record_id", "question_id"]),
-    "e2_bootstrap": lambda s, d: rounded(R.intervals(R.resampled(choice(s, d), weights(s, d, RESAMPLES), ["qtype"]), ["qtype"])),
-    "e2_poisson_bootstrap": lambda s, d: rounded(R.intervals(R.resampled(choice(s, d), R.poisson_weights(X.results_choice(s, d), PAIRED, "pois"), ["qtype"]), ["qtype"])),
-    "e3_weighted_runs": lambda s, d: rounded(R.run_metrics(runs(s, d), weights(s, d))),
+    "e2_bootstrap": lambda s, d: rounded(R.intervals(R.resampled(choice(s, d), R.multinomial_weights(X.results_choice(s, d), RESAMPLES, "boot"), ["qtype"]), ["qtype"])),
+    "e2_poisson_bootstrap": lambda s, d: rounded(R.intervals(R.resampled_metrics(choice(s, d), ["qtype"], PAIRED, "pois").where("b >= 0"), ["qtype"])),
+    "e3_weighted_runs": lambda s, d: rounded(R.run_metrics(runs(s, d), *BOOT)),
     "e4_contrasts": lambda s, d: rounded(contrast_table(s, d)),
-    "e5_paired": lambda s, d: rounded(R.paired(choice(s, d), M.answers(run_c(s, d)), weights(s, d), ["qtype"])),
+    "e5_paired": lambda s, d: rounded(R.paired(choice(s, d), M.answers(run_c(s, d)), ["qtype"], *BOOT)),
     "e6_ece_deltas": lambda s, d: rounded(ece_contrasts(s, d)),
     "e7_seed_aggregate": lambda s, d: rounded(seeds(s, d)),
     "e8_cross_split": lambda s, d: rounded(cross_split(s, d)),
     "e9_paired_failures": lambda s, d: rounded(paired_failures(s, d)),
     "e10_accuracy_table": lambda s, d: rounded(accuracy_table(s, d)),
-    "e11_run_comparison": lambda s, d: rounded(R.run_comparison(runs(s, d), weights(s, d), "a", ["a", "b", "c", "d"])),
+    "e11_run_comparison": lambda s, d: rounded(R.run_comparison(runs(s, d), *BOOT, "a", ["a", "b", "c", "d"])),
     "e12_kept_at": lambda s, d: rounded(kept_at(s, d)),
     "e12_named_other": lambda s, d: rounded(R.named_other(runs(s, d))),
     "e13_stored_check": checked,
@@ -343,14 +343,6 @@ def sql_resampled(by: str, of: str, w: str) -> str:
     return f"SELECT {by}, b, sum(h) / sum(n) AS accuracy, sum(abs(h - c)) / sum(n) AS ece FROM (SELECT {by}, b, least(CAST(floor(top1 * 15) AS INT), 14) AS bin, sum(w) AS n, sum(w * hit) AS h, sum(w * top1) AS c FROM {of} JOIN {w} USING (record_id) GROUP BY ALL) GROUP BY ALL"
 
 
-_POIS = []
-_term, _total = 0.36787944117144233, 0.0
-for _k in range(1, 13):
-    _total += _term
-    _POIS.append(_total)
-    _term /= _k
-
-
 def ci(x: str, name: str) -> str:
     return f"quantile_cont({x}, 0.025) AS {name}_lo, quantile_cont({x}, 0.975) AS {name}_hi"
 
@@ -396,9 +388,9 @@ _FX = _RUNS | {
           SELECT *, row_number() OVER (ORDER BY md5('v3_log_order:0:' || record_id)) - 1 AS i FROM results_choice)))""",
     "prefixed": "SELECT *, CASE WHEN \"index\" < 360 THEN 'train' ELSE 'select' END AS part FROM log WHERE \"index\" < 400",
     "weighted": "SELECT *, least(1 / propensity, 5.0) / avg(least(1 / propensity, 5.0)) OVER (PARTITION BY part) AS weight, avg(least(1 / propensity, 5.0)) OVER (PARTITION BY part) AS normaliser, avg(CAST(1 / propensity > 5 AS INT)) OVER (PARTITION BY part) AS clipped_share FROM prefixed",
-    "weights": sql_weights(PAIRED, "boot", "results_choice"),
+    "weights": sql_slots(PAIRED, "boot", "results_choice"),
     "many_weights": sql_weights(RESAMPLES, "boot", "results_choice"),
-    "run_table": sql_resampled("run", "all_runs", "(SELECT * FROM weights UNION ALL SELECT -1, record_id, 1 FROM results_choice)"),
+    "run_table": sql_resampled("run", "all_runs", "(SELECT b, record_id, w FROM weights UNION ALL SELECT -1, record_id, 1 FROM results_choice)"),
     "draws": sql_draws("h15"),
     "bandit": f"SELECT d.record_id, d.g, d.action, CAST(d.action = {sql_accepted('g7:env')} AS INT) AS outcome FROM ({sql_draws('g7')}) d",
     "environment": sql_env("judged_choice"),
@@ -428,7 +420,7 @@ ORACLES = {
     "e2_bootstrap": rr(f"SELECT qtype, {ci('accuracy', 'accuracy')}, {ci('ece', 'ece')} FROM ({sql_resampled('qtype', 'judged_choice', 'many_weights')}) GROUP BY qtype", "qtype", "accuracy_lo accuracy_hi ece_lo ece_hi"),
     "e2_poisson_bootstrap": rr(
         f"SELECT qtype, {ci('accuracy', 'accuracy')}, {ci('ece', 'ece')} FROM ({sql_resampled('qtype', 'judged_choice', 'pois')}) GROUP BY qtype", "qtype", "accuracy_lo accuracy_hi ece_lo ece_hi",
-        pois=f"SELECT * FROM (SELECT b, record_id, len(list_filter({_POIS}, lambda c: c <= {sql_uniform('pois', 'b', 'record_id')})) AS w FROM results_choice, (SELECT unnest(range({PAIRED})) AS b)) WHERE w > 0",
+        pois=sql_slots(PAIRED, "pois", "results_choice"),
     ),
     "e3_weighted_runs": rr("SELECT run, CAST(b AS INT) AS b, accuracy, ece FROM run_table", "run b", "accuracy ece"),
     "e4_contrasts": rr(sql_contrasts(_CONTRASTS, "accuracy"), "contrast", "value ci_lo ci_hi"),
@@ -437,7 +429,7 @@ ORACLES = {
     "e7_seed_aggregate": rr(f"SELECT avg(nll) AS mean, min(nll) AS lowest, max(nll) AS highest, count(*) AS n_seeds FROM ({_PROPER.format(by='run', of='all_runs')})", "n_seeds", "mean lowest highest"),
     "e8_cross_split": rr(
         f"SELECT {ci('m', 'mean_accuracy')} FROM (SELECT b, avg(accuracy) AS m FROM ({sql_resampled('split', 'vrows', 'vw')} UNION ALL {sql_resampled('split', 'trows', 'tw')}) GROUP BY b)", "", "mean_accuracy_lo mean_accuracy_hi",
-        vrows="SELECT * FROM judged_choice WHERE split = 'valid'", trows="SELECT * FROM judged_choice WHERE split = 'test'", vw=sql_weights(PAIRED, "boot:valid", "vrows"), tw=sql_weights(PAIRED, "boot:test", "trows"),
+        vrows="SELECT * FROM judged_choice WHERE split = 'valid'", trows="SELECT * FROM judged_choice WHERE split = 'test'", vw=sql_slots(PAIRED, "boot:valid", "vrows"), tw=sql_slots(PAIRED, "boot:test", "trows"),
     ),
     "e9_paired_failures": rr(sql_paired("split", "judged_choice", "failing"), "split n", "accuracy_a accuracy_b delta disagreement delta_lo delta_hi", failing="SELECT * REPLACE (CASE WHEN record_id % 5 = 0 THEN 0 ELSE hit END AS hit) FROM judged_c"),
     "e10_accuracy_table": rr("SELECT split, avg(hit) FILTER (WHERE run = 'a') AS a, avg(hit) FILTER (WHERE run = 'c') AS c, avg(hit) FILTER (WHERE run = 'a') - avg(hit) FILTER (WHERE run = 'c') AS delta FROM all_runs GROUP BY split", "split", "a c delta"),

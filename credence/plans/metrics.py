@@ -10,7 +10,7 @@ from credence.functions import distributions as D
 from credence.operators import metrics as M
 from credence.operators import report
 from credence.plans import fixtures as X
-from credence.plans.fixtures import oracle, sql_uniform
+from credence.plans.fixtures import oracle, sql_slots, sql_uniform
 from credence.session import tables
 
 
@@ -154,7 +154,6 @@ _SPLIT_ROWS = {
     UNION ALL SELECT *, 'kind', qtype || '/' || kind FROM judged UNION ALL SELECT *, 'place', qtype || '/' || {_WHERE} FROM judged"""
 }
 
-_POISSON = [sum(0.36787944117144233 / math.factorial(i) for i in range(k + 1)) for k in range(9)]
 _BY = "split, block"
 _TYPED = {
     "typed": "SELECT j.* REPLACE (CASE WHEN j.qtype = 'noul' AND j.position = 1 THEN 'contains_comma' ELSE j.kind END AS kind), CASE WHEN j.qtype = 'noul' AND j.position = 1 THEN 'form' ELSE j.qtype END AS block, c.probs AS shuffled FROM judged j LEFT JOIN run_c c ON j.record_id = c.record_id AND j.question_id = c.question_id",
@@ -167,7 +166,7 @@ _TYPED = {
     SELECT split, block, part, count(*) AS n, avg(hit) AS accuracy, avg(list_sum(list_transform(range(len(probs)), lambda i: pow(probs[i + 1] - CASE WHEN i = gold THEN 1 ELSE 0 END, 2)))) AS brier, avg(-ln(greatest(probs[gold + 1], 1e-12))) AS nll,
       avg(CAST(prediction = 0 AS INT)) AS yes_rate, avg(probs[gold + 1]) AS mean_gold_probability, avg(CAST(labels[prediction + 1] = 'other' AS INT)) AS predicted_other_rate, avg(abs({_LEVEL} - gold)) AS mae FROM keyed GROUP BY ALL""",
     "bins": "SELECT split, block, part, least(CAST(floor(top1 * 15) AS INT), 14) AS bin, count(*) AS n, avg(top1) AS c, avg(hit) AS h FROM keyed GROUP BY ALL",
-    "pois": f"SELECT record_id, b, len(list_filter({_POISSON}, lambda c: u >= c)) AS w FROM (SELECT record_id, b, CAST('0x' || substr(md5('report:' || CAST(b // 6 AS VARCHAR) || ':' || CAST(record_id AS VARCHAR)), CAST(5 * (b % 6) + 1 AS INT), 5) AS BIGINT) / 1048576.0 AS u FROM (SELECT DISTINCT record_id FROM judged), (SELECT unnest(range(1000)) AS b))",
+    "pois": sql_slots(1000, "report", "judged"),
     "draws": "SELECT split, block, b, sum(h) / sum(n) AS accuracy, sum(abs(h - c)) / sum(n) AS ece FROM (SELECT split, block, b, least(CAST(floor(top1 * 15) AS INT), 14) AS bin, sum(w) AS n, sum(w * hit) AS h, sum(w * top1) AS c FROM (SELECT split, block, record_id, top1, hit FROM keyed WHERE part = 'all') x JOIN pois USING (record_id) WHERE w > 0 GROUP BY ALL) GROUP BY ALL",
     "ends": "SELECT split, block, 'all' AS part, quantile_cont(accuracy, 0.025) AS accuracy_lo, quantile_cont(accuracy, 0.975) AS accuracy_hi, quantile_cont(ece, 0.025) AS ece_lo, quantile_cont(ece, 0.975) AS ece_hi FROM draws GROUP BY ALL",
     "curve": _CURVE.format(by=_BY, of="typed"), "by_top1": ranked_sql(_BY, "top1", "typed"), "by_entropy": ranked_sql(_BY, "confidence", "typed"),

@@ -146,12 +146,54 @@ def test_noise_of_the_environment(spark):
 def test_a_run_has_no_difference_from_itself(spark, small):
     j = metrics.answers(fixtures.results_choice(spark, small))
     w = resampling.multinomial_weights(j, 20, "t")
-    r = resampling.paired(j, j, w, ["qtype"]).first()
+    r = resampling.paired(j, j, ["qtype"], 20, "t").first()
     assert (r["delta"], r["delta_lo"], r["delta_hi"], r["disagreement"]) == (0, 0, 0, 0)
     n = j.select("record_id").distinct().count()
     assert {x["s"] for x in w.groupBy("b").agg(F.sum("w").alias("s")).collect()} == {n}
 
 
+def test_slots_are_poisson_and_independent():
+    keys = np.random.default_rng(1).integers(0, 1 << 60, 4000)
+    w = resampling.slot_weights(keys, 500)
+    share = [(w == k).mean() for k in range(6)]
+    assert share == pytest.approx([math.exp(-1) / math.factorial(k) for k in range(6)], abs=2e-3)
+    assert abs(w.var() - 1) < 0.01 and w.mean(axis=0).std() == pytest.approx(1 / math.sqrt(4000), rel=0.15)
+    near = resampling.slot_weights(np.arange(4000), 500)  # keys and slots in a row are as good
+    for x in (w, near):
+        assert abs(np.corrcoef(x[:, 0], x[:, 1])[0, 1]) < 0.06 and abs(np.corrcoef(x[0], x[1])[0, 1]) < 0.15
+    assert abs(np.corrcoef(w[:-1].ravel(), w[1:].ravel())[0, 1]) < 0.005
+
+
+def test_slot_sums_equal_a_plain_table(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 40, "ab"[i % 2] if i % 7 else None, float(i)) for i in range(3000)] + [(None, "a", 1.0)], "record_id long, g string, v double").repartition(5)
+    keys = {r[0]: r[1] for r in rows.select("record_id", resampling.draw_key("s", F.col("record_id"))).distinct().collect()}
+    w = {k: resampling.slot_weights(np.array([x]), 9)[0] for k, x in keys.items()}
+    expected = {}
+    for r in rows.collect():
+        for b in range(-1, 9):
+            expected[r["g"], b] = expected.get((r["g"], b), 0) + r["v"] * (1 if b < 0 else w[r["record_id"]][b])
+    assert {(r["g"], r["b"]): r["v"] for r in resampling.slot_sums(rows, ["g"], {"v": F.col("v")}, 9, "s").collect()} == pytest.approx(expected)
+    plan = resampling.slot_sums(rows, ["g"], {"v": F.col("v")}, 9, "s")._jdf.queryExecution().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and "Join" not in plan  # the sums' own, and the test's repartition
+
+
+def test_slot_intervals_agree_with_multinomial_ones(spark, small):
+    j = metrics.answers(fixtures.results_choice(spark, small))
+    slots = resampling.intervals(resampling.resampled_metrics(j, ["qtype"], 1000, "s").where("b >= 0"), ["qtype"]).first()
+    drawn = resampling.intervals(resampling.resampled(j, resampling.multinomial_weights(j, 1000, "s"), ["qtype"]), ["qtype"]).first()
+    wide = drawn["accuracy_hi"] - drawn["accuracy_lo"]
+    for c in ("accuracy_lo", "accuracy_hi", "ece_lo", "ece_hi"):
+        assert abs(slots[c] - drawn[c]) < 0.2 * wide
+
+
+def test_the_report_reads_its_inputs_once(spark, small):
+    from credence import plans
+
+    plan = plans.queries()["d20_split_report"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert small not in plan  # only the stored judged rows
+    assert plan.count("+- Exchange") + plan.count(":- Exchange") <= 34
+
+
 def test_tables_that_do_not_align_are_refused(spark):
     a = spark.createDataFrame([(1,), (2,)], "k int")
     with pytest.raises(ValueError):
