@@ -22,8 +22,8 @@ offset, so the windows of a group fall into two classes by that offset, and all
 reach some way beyond the anchor: on the left as far as the class's least offset, on the right as far
 as its greatest leaves room. Pieces whose bytes differ there cannot share a window; the class is split
 by them. Equal pieces become one with a count, crowded groups are halved again, and the last classes
-hold one offset, where a piece is one window and equal ones are one piece. Every group that is left
-goes to a suffix array; nothing is decided by its size.
+hold one offset, where a piece is one window and equal ones are one piece, so that no others repeat. All
+other groups of all rounds go to suffix arrays together.
 
 Groups of copies cost little: equal segments are one segment with a count from the first step on, and
 each of a segment's windows repeats if the count is above one. Such equality (step 2 and the counts)
@@ -43,6 +43,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
 
 import numpy as np
@@ -52,6 +53,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from credence.llm.common import bounded_batches, checkpointed, map_rows, shuffle_width, stored
+from credence.session import discard
 
 WIDTH = 400
 GRAM = 64
@@ -396,9 +398,10 @@ def halves(data: bytes, off: int, starts: int, lo: int, hi: int, width: int, ste
     return out
 
 
-def _split(fetched: DataFrame, crowded: DataFrame, large: int) -> list[DataFrame]:
-    """What repeats in crowded groups of segments, as ``_arrays`` gives it."""
-    width, found = WIDTH, []
+def _split(fetched: DataFrame, crowded: DataFrame, large: int) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """Of crowded groups of segments: what repeats as a whole (as ``_arrays`` gives it), the pieces whose
+    groups are small enough for an array, and the tables that these read."""
+    width, found, small, held = WIDTH, [], [], []
     schema = "key long, step int, d1 long, d2 long, lo int, hi int, off int, starts int, at int, bytes binary, gram long, seg long, seg2 long, n int"
     rest = ["step", "lo", "hi", "off", "starts", "at", "bytes", "gram", "seg", "seg2"]
 
@@ -414,16 +417,18 @@ def _split(fetched: DataFrame, crowded: DataFrame, large: int) -> list[DataFrame
         each = stored(map_rows(pieces.join(crowded, "key", "left_semi"), [*rest, "n"], schema, rows))
         one = each.groupBy("key", "d1", "d2").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.any_value(F.struct(*rest)).alias("one"))
         pieces = stored(one.select("key", "d1", "d2", "n", "one.*"))
+        held.append(pieces)
         again = pieces.where("n > 1").select("key", "d1", "d2")
         whole = each.where("n = 1").join(again, ["key", "d1", "d2"], "left_semi")
         run = F.struct(F.col("at").alias("lo"), (F.col("at") + F.col("starts") - 1).alias("hi"))
-        found.append(whole.select("gram", "seg", "seg2", F.array(run).alias("runs")))
+        found.append(stored(whole.select("gram", "seg", "seg2", F.array(run).alias("runs"))))
+        discard(each)  # a finished round
         groups = pieces.groupBy("key").agg(F.count("*").alias("pieces"), F.min("n").alias("n"), F.max(F.col("hi") - F.col("lo")).alias("range"))
         groups = checkpointed(groups.where("pieces > 1 and n = 1"))
         crowded = groups.where((F.col("pieces") > large) & (F.col("range") > 0)).select("key")
-        fine = groups.where((F.col("pieces") <= large) | (F.col("range") == 0)).select("key")
-        found.append(_arrays(pieces.join(fine, "key", "left_semi")))
-    return found
+        fine = groups.where((F.col("pieces") <= large) & (F.col("range") > 0)).select("key")  # one window each otherwise, all different
+        small.append(pieces.join(fine, "key", "left_semi").select(*PIECE))
+    return found, small, held
 
 
 def removals(keyed: DataFrame, large: int | None = None, steps: tuple[int, ...] = (1,)) -> DataFrame:
@@ -477,10 +482,11 @@ def removals(keyed: DataFrame, large: int | None = None, steps: tuple[int, ...]
         arrays = stored(_arrays(_bytes_of(keyed, wanted)))
     else:
         fetched = stored(_bytes_of(keyed, wanted))
-        arrays = _arrays(fetched.join(crowded, "key", "left_anti"))
-        for part in _split(fetched, crowded, large):
-            arrays = arrays.unionByName(part)
-        arrays = stored(arrays)
+        whole, small, held = _split(fetched, crowded, large)
+        # the groups of all rounds go to arrays together
+        arrays = _arrays(reduce(DataFrame.unionByName, small, fetched.join(crowded, "key", "left_anti").select(*PIECE)))
+        arrays = stored(reduce(DataFrame.unionByName, whole, arrays))
+        discard(fetched, *held, *whole)
     whole = mixed.join(distinct.where("n > 1").select(*segment), segment, "left_semi").select(*at, *span)
     partly = mixed.join(arrays, segment).select(*at, "a", F.explode("runs").alias("r"))
     partly = partly.select(*at, (F.col("a") + F.col("r.lo")).alias("lo"), (F.col("a") + F.col("r.hi") + wide).alias("hi"))
