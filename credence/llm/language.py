@@ -3,15 +3,17 @@
 Texts are put in lower case, encoded as UTF-8 and cut into windows of ``WINDOW`` bytes. Filters of
 several widths slide over a window's bytes (one-hot, so a filter is a table of weights by offset and
 byte), the maximum of each filter is kept, and a softmax over those maxima gives the languages. The
-network is trained by Adam on windows of a bounded sample of labelled documents: at most
-``PER_LANGUAGE`` a language, chosen by a hash of the id. A text's score is the mean of its windows'
+network is trained by Adam on a bounded sample of labelled documents: at most ``PER_LANGUAGE`` a
+language, chosen by a hash of the id, and of all windows of their whole texts at most
+``PER_LANGUAGE_WINDOWS``, chosen by a hash as well, wherever in a text they are. A text's score is the mean of its windows'
 softmax, weighted by their length; all windows of the text count.
 
 The parameters have a fixed size and travel with the function.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for every text if
 nothing labelled exists. Ties go to the language that sorts first. Rows are independent, so repeated
-rows and null ids pass through.
+rows and null ids pass through. An empty table gives an empty table; very long texts are convolved some
+windows at a time.
 Columns other than id, text and, for training, lang are not read.
 """
 
@@ -20,16 +22,17 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from credence.llm.common import map_rows
+from credence.llm.common import map_rows, stored
+from credence.session import discard
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-PER_LANGUAGE = 400
-WINDOWS_PER_TEXT = 6
+#: Bounds of the labelled sample, a language: documents, and windows of their whole texts.
+PER_LANGUAGE, PER_LANGUAGE_WINDOWS = 400, 2400
 EPOCHS = 10
 SEED = 7
 #: Bytes convolved at a time.
@@ -165,41 +168,44 @@ def held_out(id_column: str = "doc_id"):
     return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def training_windows(text: str) -> list[bytes]:
-    """Up to ``WINDOWS_PER_TEXT`` windows spread evenly over a text."""
-    x, sizes = windows(text.lower().encode())
-    some = np.unique(np.linspace(0, len(x) - 1, WINDOWS_PER_TEXT).astype(int))
-    return [x[i].tobytes() for i in some if sizes[i] >= 32 or len(x) == 1]
+def _lowest(rows: DataFrame, hashed: Column, many: int, few: bool) -> DataFrame:
+    """The rows of each language with the lowest hashes. A bound on the hash that follows from the
+    language's count leaves a few times as many to rank, so a language with a third of all rows sends no
+    more than another."""
+    by = rows.groupBy("lang").agg(F.count("*").alias("__n"))
+    keyed = rows.withColumn("__hash", hashed)
+    place = (F.col("__hash").cast("double") + 2.0**63) / 2.0**64
+    near = keyed.join(F.broadcast(by) if few else by, "lang").where(place * F.col("__n") <= 4.0 * many)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("__hash", *rows.columns))
+    return near.withColumn("__rank", rank).where(F.col("__rank") <= many).select(*rows.columns)
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, int, list[bytes]]]:
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, windows_per_language: int = PER_LANGUAGE_WINDOWS) -> list[tuple[str, int, list[bytes]]]:
     """(language, id, windows) of a bounded sample of labelled documents that are not held out.
 
-    Ids are chosen from the id and language columns alone, those of the lowest hashes. A bound on the
-    hash that follows from the language's count leaves a few times ``per_language`` rows to rank, so a
-    language with a third of all rows sends no more than another.
+    Documents are chosen from the id and language columns alone, those of the lowest hashes, and of all
+    windows of their whole texts again those of the lowest hashes.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & F.col("doc_id").isNotNull())
-    by = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    few = by.count() <= 1000
-    # only hashes low enough to be among the first come to the ranking: a few times per_language a language
-    place = (F.xxhash64("doc_id").cast("double") + 2.0**63) / 2.0**64
-    near = usable.select("doc_id", "lang").join(F.broadcast(by) if few else by, "lang").where(place * F.col("n") <= 4.0 * per_language)
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_language)
+    few = usable.select("lang").distinct().count() <= 1000
+    ids = _lowest(usable.select("doc_id", "lang"), F.xxhash64("doc_id"), per_language, few)
     chosen = ids.select("doc_id", "lang").distinct()
     if few:  # at most per_language ids each
         chosen = F.broadcast(chosen)
 
     def rows(langs, keys, texts):
-        got = zip(langs, keys, texts, strict=True)
-        return [(a, k, training_windows(t)) for a, k, t in got if has_letter(t)]
-
-    found = map_rows(
-        usable.join(chosen, ["doc_id", "lang"], "left_semi"), ["lang", "doc_id", "text"],
-        "lang string, doc_id long, windows array<binary>", rows,
-    ).collect()
-    return sorted((r["lang"], r["doc_id"], [bytes(w) for w in r["windows"]]) for r in found)
+        out = []
+        for lang, key, text in zip(langs, keys, texts, strict=True):
+            if has_letter(text):
+                x, _ = windows(text.lower().encode())
+                out += [(lang, key, i, w.tobytes()) for i, w in enumerate(x)]
+        return out
+
+    every = stored(map_rows(usable.join(chosen, ["doc_id", "lang"], "left_semi"), ["lang", "doc_id", "text"], "lang string, doc_id long, i long, window binary", rows))
+    found = _lowest(every, F.xxhash64("doc_id", "i", "window"), windows_per_language, few).groupBy("lang", "doc_id").agg(F.sort_array(F.collect_list(F.struct("i", "window"))).alias("windows"))
+    got = sorted((r["lang"], r["doc_id"], [bytes(w["window"]) for w in r["windows"]]) for r in found.collect())
+    discard(every)
+    return got
 
 
 def fit(labelled: list[tuple[str, int, list[bytes]]]) -> ByteConvNet:
