@@ -14,7 +14,8 @@ id, each half gives a lexicon of whole words tied to its toxic label, and a toxi
 Documents labelled clean have grade 0. A document's grade so depends on neither its own words' part
 in the statistics nor on the features and weights of the model.
 
-The model has at most ``FEATURES`` weights and travels with the function.
+The model has a weight for each feature of the bounded sample above the likelihood ratio, none cut, and
+travels with the function.
 
 Where labels of one id clash, it counts as toxic; labels that are null or neither 0 nor 1 count for
 nothing. Columns other than id and text are not read.
@@ -37,7 +38,6 @@ from xxhash import xxh64_intdigest
 from credence.llm.common import checkpointed, documents, map_rows
 
 PER_CLASS = 3000
-FEATURES = 4096
 GRADES = 4
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Likelihood ratio beyond which a feature is chosen (a chance of about 1 in 10**8, as there are
@@ -215,9 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ordin
         return 2 * (part(t, toxic) + part(c, clean)) if clean and toxic else F.lit(0.0)
 
     def top(of: DataFrame, ratio, least: float) -> list[str]:
-        """At most FEATURES names."""
-        rows = of.select("feature", ratio.alias("ratio")).where(F.col("ratio") > least).orderBy(F.desc("ratio"), "feature").limit(FEATURES)
-        return [r["feature"] for r in rows.collect()]
+        """The names of all features above a ratio; the sample of documents is what bounds them."""
+        rows = of.select("feature", ratio.alias("ratio")).where(F.col("ratio") > least).collect()
+        return [r["feature"] for r in sorted(rows, key=lambda r: (-r["ratio"], r["feature"]))]
 
     names = top(found, ratio(F.col("c0") + F.col("c1"), F.col("t0") + F.col("t1"), clean, toxic), RATIO)
     model = OrdinalModel({f: i for i, f in enumerate(names)})
@@ -248,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ordin
 
 def grade(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """One row per document: expected grade, most likely cumulative grade and the probabilities."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # weights of the bounded sample's features
 
     def rows(ids, texts):
         out = []
