@@ -73,3 +73,39 @@ def digest_mismatches(found: DataFrame, recorded: DataFrame) -> DataFrame:
     """Recorded digests that have no file or another digest."""
     f = found.select("name", F.col("sha256").alias("now"))
     return recorded.join(f, "name", "left").where(F.col("now").isNull() | (F.col("now") != F.col("sha256"))).select("name", "sha256", "now")
+
+
+def _row_digest(columns: list[str]) -> Column:
+    """128 bits of a row: of each column's name and value, nulls apart from every value."""
+    each = [F.md5(F.concat(F.lit(c), F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))).cast("binary")) for c in columns]
+    return F.md5(F.concat(*each).cast("binary"))
+
+
+_SUMS = ["n", "sum_a", "sum_b", "xor_a", "xor_b"]
+
+
+def _digested(sums: DataFrame) -> DataFrame:
+    return sums.withColumn("digest", F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in _SUMS]).cast("binary")))
+
+
+def table_digests(df: DataFrame, by: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """One digest of the rows of each part of a table, which neither their order nor their layout changes.
+
+    Each row is hashed where it is; sums and exclusive ors of both halves of the hashes, and the count, are
+    aggregated partially and combine in any order. A changed, missing or repeated row changes the sums.
+    """
+    h = df.select(*(by or []), _row_digest(columns or sorted(df.columns)).alias("h"))
+    a, b = (F.conv(F.substring("h", i, 15), 16, 10).cast("long") for i in (1, 17))
+    whole = lambda x: F.sum(x.cast("decimal(20,0)")).cast("decimal(38,0)")
+    return _digested(h.groupBy(*(by or [])).agg(F.count("*").alias("n"), whole(a).alias("sum_a"), whole(b).alias("sum_b"), F.bit_xor(a).alias("xor_a"), F.bit_xor(b).alias("xor_b")))
+
+
+def combined_digest(parts: DataFrame) -> DataFrame:
+    """The digest of the whole from those of its parts, without another pass over the rows."""
+    return _digested(parts.agg(F.sum("n").alias("n"), *[F.sum(c).cast("decimal(38,0)").alias(c) for c in _SUMS[1:3]], *[F.bit_xor(c).alias(c) for c in _SUMS[3:]]))
+
+
+def pin_mismatches(found: DataFrame, pinned: DataFrame, by: list[str]) -> DataFrame:
+    """Parts whose digest is not the pinned one, parts that are gone, and parts that were not pinned."""
+    a, b = found.select(*by, F.col("digest").alias("now")), pinned.select(*by, F.col("digest").alias("pinned"))
+    return a.join(b, by, "full_outer").where(~F.col("now").eqNullSafe(F.col("pinned")))

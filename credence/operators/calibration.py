@@ -247,5 +247,7 @@ def bandit_samples(results: DataFrame, size: int, epsilon: float, seed: str) ->
     return d.join(results.select("record_id", "question_id", "probs"), ["record_id", "question_id"])
 
 
-def binary_entropy(f: float) -> float:
-    return 0.0 if f in (0.0, 1.0) else -(f * math.log(f) + (1 - f) * math.log(1 - f))
+def binary_entropy(f: Column) -> Column:
+    """The least mean log-loss that outcomes flipped at a rate allow."""
+    g = 1 - f
+    return F.when((f <= 0) | (f >= 1), 0.0).otherwise(-(f * F.log(f) + g * F.log(g)))

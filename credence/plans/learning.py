@@ -12,6 +12,7 @@ from credence.operators import resampling as R
 from credence.plans import fixtures as X
 from credence.plans.fixtures import oracle, sql_slots, sql_softmax, sql_uniform
 from credence.plans.metrics import _PROPER, _RUNS, at_risk_sql, ece_sql, r, ranked_sql, rounded, choice, judged, runs
+from credence.session import tables
 
 RESAMPLES = PAIRED = 1000
 
@@ -208,7 +209,7 @@ QUERIES = {
     "f7_log_temperature": lambda s, d: rounded(K.fitted(learner_log(s, d), "outcome", [])),
     "f8_inverted": lambda s, d: rounded(inversion(s, d)),
     "f9_channel_ece": lambda s, d: rounded(channels(s, d)),
-    "f10_entropy_floor": lambda s, d: rounded(s.createDataFrame([(f, K.binary_entropy(f)) for f in (0.0, 0.1, 0.2, 0.3, 1.0)], "rate double, floor double")),
+    "f10_entropy_floor": lambda s, d: rounded(tables(s, d, "lineitem").groupBy(F.col("l_discount").alias("rate")).agg(F.count("*").alias("n")).withColumn("floor", K.binary_entropy(F.col("rate")))),
     "f11_recomputed": lambda s, d: rounded(recomputed(s, d)),
     "f12_calibration_table": lambda s, d: rounded(calibration_table(s, d)),
     "g1_theta": lambda s, d: rounded(choice(s, d).select("record_id", K.eta(F.col("k")).alias("eta"), F.array_max(K.theta(F.col("k"), F.col("gold"))).alias("on_gold"), F.get(K.theta(F.col("k"), F.col("gold")), (F.col("gold") + 1) % F.col("k")).alias("off_gold"))),
@@ -466,7 +467,7 @@ ORACLES = {
         "SELECT form, sum(abs(h - c)) / sum(n) AS ece, CAST(sum(n) AS BIGINT) AS n FROM (SELECT form, least(CAST(floor(conf * 15) AS INT), 14) AS bin, count(*) AS n, sum(target) AS h, sum(conf) AS c FROM forms GROUP BY ALL) GROUP BY form", "form n", "ece",
         forms="SELECT 'stored' AS form, CAST(top1 AS DOUBLE) AS conf, CAST(0.2 + (1 - 2 * 0.2) * hit AS DOUBLE) AS target FROM judged_choice UNION ALL SELECT 'mapped', 0.2 + (1 - 2 * 0.2) * top1, 0.2 + (1 - 2 * 0.2) * hit FROM judged_choice UNION ALL SELECT 'top1 only', greatest(0.0, least(1.0, (top1 - 0.2) / (1 - 2 * 0.2))), hit FROM judged_choice",
     ),
-    "f10_entropy_floor": r("SELECT CAST(f AS DOUBLE) AS rate, CASE WHEN f IN (0.0, 1.0) THEN 0.0 ELSE -(f * ln(f) + (1 - f) * ln(1 - f)) END AS floor FROM (SELECT unnest([0.0, 0.1, 0.2, 0.3, 1.0]) AS f)", "", "rate floor"),
+    "f10_entropy_floor": r("SELECT l_discount AS rate, count(*) AS n, CASE WHEN l_discount IN (0, 1) THEN 0.0 ELSE -(l_discount * ln(l_discount) + (1 - l_discount) * ln(1 - l_discount)) END AS floor FROM lineitem GROUP BY l_discount", "n", "rate floor"),
     "f11_recomputed": rr(
         f"SELECT p.*, ece FROM ({_PROPER.format(by='split, block, name', of='blocks')}) p JOIN ({ece_sql('split, block, name', 'blocks')}) e USING (split, block, name)", "split block name n", "accuracy brier nll ece",
         warm=f"SELECT * REPLACE ({tempered('probs', '2.0')} AS probs) FROM results_choice", warm_judged=sql_judged("warm"),

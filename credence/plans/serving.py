@@ -110,13 +110,19 @@ def replies(s, d):
 
 
 def typed_replies(s, d):
-    """Yes/no and score values of all JSON types, read strictly."""
-    rows = []
-    values = ["true", "false", '"true"', '" false "', "1", "0", '"yes"', "null", "2.0", "2.5", '"3"', '"x"', "7", "[1]", "-1"]
-    for q, labels in (("noul", ["true", "false"]), ("score", ["0", "1", "2", "3", "4"])):
-        rows += [(i, q, labels, f'{{"q1": {{"answer": {v}}}}}') for i, v in enumerate(values)]
-    df = s.createDataFrame(rows, "record_id long, qtype string, labels array<string>, reply string").withColumn("shown_id", F.lit("q1"))
-    return I.parsed_replies(df).select("record_id", "qtype", "status", "answer")
+    """A yes/no or score reply for each event, its value of one JSON type or another, read strictly."""
+    e, k = tables(s, d, "events"), F.get_json_object("props", "$.k").cast("int")
+    number = (k % 7).cast("string")
+    forms = [
+        number, F.concat(F.lit('"'), number, F.lit('"')), F.concat(number, F.lit(".0")), F.concat(number, F.lit(".5")), (k % 2 == 0).cast("string"), F.lit('" false "'),
+        F.lit("null"), F.concat(F.lit("["), number, F.lit("]")), F.concat(F.lit("-"), (k % 7 + 1).cast("string")),
+    ]
+    value = F.get(F.array(*forms), (F.col("event_id") % len(forms)).cast("int"))
+    noul = F.floor(F.col("event_id") / len(forms)) % 2 == 0
+    labels = F.when(noul, F.array(F.lit("true"), F.lit("false"))).otherwise(F.array(*[F.lit(str(i)) for i in range(5)]))
+    rows = e.select(F.col("event_id").alias("record_id"), F.when(noul, "noul").otherwise("score").alias("qtype"), labels.alias("labels"), F.lit("q1").alias("shown_id"),
+                    F.concat(F.lit('{"q1": {"answer": '), value, F.lit("}}")).alias("reply"))
+    return I.parsed_replies(rows).select("record_id", "qtype", "status", "answer")
 
 
 def latencies(s, d):
@@ -153,6 +159,23 @@ def digests(s, d):
     return J.digest_mismatches(found, recorded.unionByName(s.createDataFrame([("absent", "0")], "name string, sha256 string")))
 
 
+PINNED = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def pinned(s, d):
+    """The digest of `documents` by source, read in any order and layout, and that of the whole."""
+    by_source = J.table_digests(tables(s, d, "documents"), ["source"], PINNED)
+    return by_source.unionByName(J.combined_digest(by_source).withColumn("source", F.lit("all"))).select("source", "n", "digest")
+
+
+def pin_mismatches(s, d):
+    """Sources whose documents are no longer those pinned: one text is changed, one row is repeated, one source is gone."""
+    docs = tables(s, d, "documents").select(*PINNED)
+    changed = docs.withColumn("text", F.when(F.col("doc_id") == 7, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    now = changed.unionByName(docs.where("doc_id = 11")).where("source <> 'src3'").repartition(5)
+    return J.pin_mismatches(J.table_digests(now, ["source"], PINNED), J.table_digests(docs, ["source"], PINNED), ["source"])
+
+
 def metadata(s, d):
     """Metadata of four forms by id."""
     e = tables(s, d, "events").select("event_id")
@@ -238,6 +261,8 @@ QUERIES = {
     "j3_disagreements": lambda s, d: J.disagreements(verdicts(s, d), "first", "second"),
     "j4_audit_sheet": sheet,
     "j5_digest_check": digests,
+    "j6_table_pin": pinned,
+    "j6_pin_mismatches": pin_mismatches,
     "l_record_text": texts,
     "l_run_names": names,
     "l_splits": lambda s, d: L.splits_in_order(judged(s, d), "record_id"),
@@ -280,8 +305,14 @@ def rr(body: str, keys: str, values: str) -> str:
 _LO = "CASE WHEN n > 0 THEN greatest(0.0, (k / n + {z2} / (2 * n)) / (1 + {z2} / n) - {z} * sqrt(k / n * (1 - k / n) / n + {z2} / (4 * n * n)) / (1 + {z2} / n)) ELSE 0.0 END".format(z=J.Z, z2=J.Z * J.Z)
 _HI = _LO.replace("greatest(0.0,", "least(1.0,").replace(f"- {J.Z} * sqrt", f"+ {J.Z} * sqrt")
 _P = "list_transform(probs, lambda x: x / list_sum(probs))"
-_VALUES = {"noul": {0: 0, 1: 1, 2: 0, 3: 1}, "score": {4: 1, 5: 0, 8: 2, 10: 3}}
-_TYPED = ", ".join(f"({i}, '{t}', '{'ok' if i in ok else 'invalid_answer'}', {ok.get(i, 'NULL')})" for t, ok in _VALUES.items() for i in range(15))
+def sql_pin(of: str, by: str | None) -> str:
+    """The digest of a table: counts, sums and exclusive ors of halves of its rows' digests."""
+    row = "md5(concat(" + ", ".join(f"md5('{c}' || coalesce('=' || CAST({c} AS VARCHAR), ''))" for c in PINNED) + "))"
+    half = lambda i: f"CAST('0x' || substr(h, {i}, 15) AS BIGINT)"
+    parts = ", ':', ".join([f"sum(CAST({half(i)} AS HUGEINT))" for i in (1, 17)] + [f"bit_xor({half(i)})" for i in (1, 17)])
+    return f"SELECT {by or chr(39) + 'all' + chr(39)} AS source, count(*) AS n, md5(concat(count(*), ':', {parts})) AS digest FROM (SELECT *, {row} AS h FROM {of}) {f'GROUP BY {by}' if by else ''}"
+
+
 ORACLES = {
     "a1_render_state": q("SELECT event_id, '{' || chr(10) || '  \"k\": ' || json_extract_string(props, '$.k') || chr(10) || '}' AS state FROM events"),
     "a2_line_rules": q("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'must not be empty' WHEN doc_id % 5 = 1 THEN CASE WHEN contains(text, chr(10)) OR contains(text, chr(13)) THEN 'must not contain line breaks' WHEN text <> trim(text, ' ' || chr(9)) THEN 'must not have leading or trailing whitespace' END WHEN doc_id % 5 = 2 THEN 'must not have leading or trailing whitespace' END AS reason FROM documents"),
@@ -299,7 +330,9 @@ ORACLES = {
     "a16_shuffled_options": q("SELECT record_id, array_to_string(l, ',') AS labels, CAST(list_position(l, labels[gold + 1]) - 1 AS INT) AS gold FROM (SELECT *, list_transform(list_sort(list_transform(labels, lambda x: {'d': md5('a16:' || CAST(record_id AS VARCHAR) || ':' || x), 'x': x})), lambda s: s.x) AS l FROM results_choice)"),
     "d22_flattened": q("SELECT record_id, question_id, position, labels[gold + 1] AS gold_label, gold FROM results_noul"),
     "i1_i3_parsed_replies": q("SELECT record_id, status, answer, CAST(confidence AS DOUBLE) AS confidence, lenient_status, lenient_answer FROM reply_rows"),
-    "i2_typed_values": f"SELECT CAST(record_id AS BIGINT) AS record_id, qtype, status, CAST(answer AS INT) AS answer FROM (VALUES {_TYPED}) AS t(record_id, qtype, status, answer)",
+    "i2_typed_values": """SELECT record_id, qtype, CASE WHEN answer IS NULL THEN 'invalid_answer' ELSE 'ok' END AS status, CAST(answer AS INT) AS answer FROM (
+      SELECT record_id, qtype, CASE WHEN qtype = 'score' AND form <= 2 AND v < 5 THEN v WHEN qtype = 'noul' AND form = 4 THEN k % 2 WHEN qtype = 'noul' AND form = 5 THEN 1 END AS answer FROM (
+        SELECT event_id AS record_id, CASE WHEN event_id // 9 % 2 = 0 THEN 'noul' ELSE 'score' END AS qtype, event_id % 9 AS form, k, k % 7 AS v FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)))""",
     "i4_answer_schema": """SELECT doc_id AS id, 'q1,q2' AS ids, '{"q1":{"answer":{"type":"string","enum":["a","b"]},"confidence":{"type":"number"}},"q2":{"answer":{"type":"boolean"},"confidence":{"type":"number"}}}' AS schema FROM documents""",
     "i5_baseline_metrics": rr(
         "SELECT a.*, ece FROM (SELECT split, count(*) AS n, count(*) FILTER (WHERE status = 'ok') AS n_parsed, count(*) FILTER (WHERE status = 'invalid_json') AS invalid_json, count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'invalid_answer') AS invalid_answer, avg(CAST(answer = gold AS INT)) FILTER (WHERE status = 'ok') AS accuracy, avg(coalesce(CAST(answer = gold AS INT), 0)) AS accuracy_all, avg(coalesce(CAST(lenient_answer = gold AS INT), 0)) AS lenient_accuracy_all, count(*) FILTER (WHERE lenient_status = 'ok' AND status <> 'ok') AS recovered, count(confidence) AS n_with_confidence FROM reply_rows GROUP BY split) a "
@@ -327,6 +360,9 @@ ORACLES = {
     "l_utterances": f"SELECT vec_id, CAST(label AS BIGINT) AS label, ({X.LABELS})[label + 1] AS intent FROM embeddings",
     "l_label_gaps": f"SELECT DISTINCT ({X.LABELS})[label + 1] AS label, 'not described' AS gap FROM embeddings WHERE label < 2 UNION ALL SELECT 'extra', 'not a label'",
     "l_log_metadata": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 7 WHEN 1 THEN 3 WHEN 2 THEN 1 END AS seed, CASE event_id % 4 WHEN 0 THEN 0.1 WHEN 2 THEN 0.3 ELSE 0.2 END::DOUBLE AS flip_rate, CASE event_id % 4 WHEN 2 THEN 'fixed' WHEN 3 THEN 'soft' END AS noise FROM events",
+    "j6_table_pin": f"SELECT * FROM ({sql_pin('documents', 'source')}) UNION ALL SELECT * FROM ({sql_pin('documents', None)})",
+    "j6_pin_mismatches": f"""SELECT coalesce(a.source, b.source) AS source, a.digest AS now, b.digest AS pinned FROM ({sql_pin("(SELECT * REPLACE (CASE WHEN doc_id = 7 THEN text || '.' ELSE text END AS text) FROM documents WHERE source <> 'src3' UNION ALL SELECT * FROM documents WHERE doc_id = 11 AND source <> 'src3')", 'source')}) a
+      FULL JOIN ({sql_pin('documents', 'source')}) b USING (source) WHERE a.digest IS DISTINCT FROM b.digest""",
     "j5_digest_check": "SELECT * FROM (SELECT 'n_nationkey=' || n_nationkey AS name, sha256('x') AS sha256, sha256(n_name || chr(10)) AS now FROM nation WHERE n_nationkey % 5 = 0) UNION ALL SELECT 'absent', '0', NULL",
     "m_tumbling": q("SELECT start, start + INTERVAL 1 DAY AS \"end\", event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM (SELECT *, date_trunc('day', ts) AS start FROM events) GROUP BY ALL"),
     "m_sliding": q("SELECT start, start + INTERVAL 2 DAY AS \"end\", event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM (SELECT *, date_trunc('day', ts) - to_days(CAST(unnest([0, 1]) AS INT)) AS start FROM events) GROUP BY ALL"),

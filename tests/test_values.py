@@ -194,6 +194,20 @@ def test_the_report_reads_its_inputs_once(spark, small):
     assert plan.count("+- Exchange") + plan.count(":- Exchange") <= 34
 
 
+def test_table_digests_tell_contents_from_layout(spark):
+    rows = [(i, f"t{i % 3}", None if i % 4 else "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "i long, g string, v string")
+    of = lambda x: one(audit.table_digests(x), "digest")
+    base = of(df)
+    assert base == of(df.orderBy(F.desc("i")).repartition(7)) == of(df.select("v", "i", "g"))
+    assert base == one(audit.combined_digest(audit.table_digests(df, ["g"], ["g", "i", "v"])), "digest") == one(audit.combined_digest(audit.table_digests(df, ["v"])), "digest")
+    other = [rows[:-1], rows + rows[:1], rows + rows[:2] + rows[:2], [(*rows[0][:2], "y"), *rows[1:]], [(0, "t0", ""), *rows[1:]], rows[1:] + [(0, "x", "t0")]]
+    assert len({base, *(of(spark.createDataFrame(x, df.schema)) for x in other)}) == 1 + len(other)
+    pins = audit.table_digests(df, ["g"])
+    now = audit.table_digests(df.where("g <> 't1'").unionByName(df.where("i = 0")).unionByName(df.limit(1).withColumn("g", F.lit("new"))), ["g"])
+    assert {r["g"] for r in audit.pin_mismatches(now, pins, ["g"]).collect()} == {"t0", "t1", "new"}
+
+
 def test_tables_that_do_not_align_are_refused(spark):
     a = spark.createDataFrame([(1,), (2,)], "k int")
     with pytest.raises(ValueError):
