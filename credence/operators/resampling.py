@@ -94,8 +94,9 @@ def slot_sums(rows: DataFrame, by: list[str], values: dict[str, Column], resampl
 
 
 def accuracy_and_ece(bins: DataFrame, by: list[str]) -> DataFrame:
-    """From sums of rows, hits and confidence by bin."""
-    return bins.groupBy(*by).agg((F.sum("h") / F.sum("n")).alias("accuracy"), (F.sum(F.abs(F.col("h") - F.col("c"))) / F.sum("n")).alias("ece"))
+    """From sums of rows, hits and confidence by bin. A resample that drew no row of a group has none."""
+    sums = bins.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.sum(F.abs(F.col("h") - F.col("c"))).alias("gap")).where("n > 0")
+    return sums.select(*by, (F.col("h") / F.col("n")).alias("accuracy"), (F.col("gap") / F.col("n")).alias("ece"))
 
 
 def resampled_metrics(judged: DataFrame, by: list[str], resamples: int, seed: str, n_bins: int = D.N_BINS) -> DataFrame:
@@ -141,8 +142,8 @@ def paired(judged_a: DataFrame, judged_b: DataFrame, by: list[str], resamples: i
     j = judged_a.join(judged_b.select(*keys, F.col("hit").alias("hit_b"), F.col("prediction").alias("other")), keys)
     differ = (F.col("prediction") != F.col("other")).cast("int")
     sums = slot_sums(j, by, {"n": F.lit(1), "a": F.col("hit"), "c": F.col("hit_b"), "d": differ}, resamples, seed)
-    point, share = F.col("b") < 0, lambda x: F.max(F.when(F.col("b") < 0, F.col(x) / F.col("n")))
-    delta = (F.col("a") - F.col("c")) / F.col("n")
+    point, share = F.col("b") < 0, lambda x: F.max(F.when(F.col("b") < 0, F.try_divide(F.col(x), F.col("n"))))
+    delta = F.try_divide(F.col("a") - F.col("c"), F.col("n"))
     return sums.groupBy(*by).agg(F.max(F.when(point, F.col("n"))).cast("long").alias("n"), share("a").alias("accuracy_a"), share("c").alias("accuracy_b"),
                                  F.max(F.when(point, delta)).alias("delta"), share("d").alias("disagreement"), *interval(F.when(~point, delta), "delta"))
 

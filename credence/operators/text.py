@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from credence.functions import text as T
 from credence.functions.draws import digest, uniform
 from credence.operators.sampling import seeded_rank, share_count
+from credence.session import ship_code, stored
 
 # The yes/no instruction templates by kind, each with its negation.
 ASSISTANT = "a banking, travel, home, work or everyday assistant"
@@ -97,22 +102,70 @@ def dedupe(rows: DataFrame, excluded: DataFrame, index: str, text: str = "text")
     return keyed.join(noted, "key", "left").select("index", reason.alias("reason"), F.when(reason == "repeat", F.col("first")).alias("first_kept"))
 
 
+#: Bits of a Bloom filter for each entry, hash functions, and bits at least and at most (16 MB).
+BLOOM_BITS, BLOOM_HASHES, BLOOM_SIZE = 16, 3, (1 << 10, 1 << 27)
+
+
+def _bloom_places(h: Column, bits: int) -> list[Column]:
+    """The bits of a 64-bit hash: sums of its halves, modulo a power of two."""
+    low, high = h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32)
+    return [(low + i * high).bitwiseAND(bits - 1) for i in range(BLOOM_HASHES)]
+
+
+def bloom_filter(hashes: DataFrame, entries: int) -> np.ndarray:
+    """A Bloom filter, as 64-bit words, of a column ``h``. The words are or-ed by partial aggregation; the
+    driver gets no more than ``BLOOM_SIZE`` allows, and more entries only make it let more pass."""
+    least, most = BLOOM_SIZE
+    bits = min(max(least, 1 << (max(BLOOM_BITS * entries - 1, 1)).bit_length()), most)
+    places = hashes.select(F.explode(F.array(*_bloom_places(F.col("h"), bits))).alias("p"))
+    one = F.expr("shiftleft(1L, int(p & 63))")
+    words = np.zeros(bits // 64, dtype=np.int64)
+    for r in places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(one).alias("b")).toLocalIterator():
+        words[r["w"]] = r["b"]
+    return words
+
+
+def bloom_passed(rows: DataFrame, words: np.ndarray) -> DataFrame:
+    """The rows whose hash ``h`` may be in the filter, all of those that are among them; no row is shuffled."""
+    shared, bits = rows.sparkSession.sparkContext.broadcast(words), len(words) * 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h").to_numpy().view(np.uint64)
+            low, high, ok = (h & np.uint64(0xFFFFFFFF)).astype(np.int64), (h >> np.uint64(32)).astype(np.int64), np.ones(len(h), dtype=bool)
+            for i in range(BLOOM_HASHES):
+                p = (low + i * high) & (bits - 1)
+                ok &= (shared.value[p >> 6] >> (p & 63)) & 1 == 1
+            yield batch.filter(pa.array(ok))
+
+    ship_code(rows.sparkSession)
+    return rows.mapInArrow(run, rows.schema)
+
+
 def overlap(reference: DataFrame, test: DataFrame, n: int = 8) -> DataFrame:
-    """Exact matches and n-gram overlap of the test rows with the reference (columns id, text).
+    """Exact matches and n-gram overlap of the test rows (columns id, text) with the reference (text).
 
-    64-bit hashes of the grams are shuffled first; the grams themselves only of rows and hashes that met.
+    A Bloom filter of the 64-bit gram hashes of the side with less text is tested where the grams of
+    the other side are made: what passes is stored and joined by hash, and then the grams themselves are
+    compared, of the texts and hashes that met. Nothing in proportion to all grams of the larger side
+    is shuffled.
     """
-    ref, own = reference.select(T.normalise(F.col("text")).alias("key")), test.select("id", T.normalise(F.col("text")).alias("key"))
-    grams = lambda df, *more: df.select(*more, F.explode(T.ngrams(F.col("key"), n)).alias("gram")).withColumn("h", F.xxhash64("gram"))
-    met = grams(own, "id").select("id", "h").join(grams(ref).select("h").distinct(), "h", "left_semi").distinct()
-    some = met.select("h").distinct()
-    of_ref = grams(ref).join(some, "h", "left_semi").select("gram").distinct()
-    of_own = grams(own.join(met.select("id").distinct(), "id", "left_semi"), "id").join(some, "h", "left_semi")
-    hit = of_own.join(of_ref, "gram", "left_semi").select("id").distinct()
+    key = T.normalise(F.col("text"))
+    sides = {"ref": reference.select(F.md5(F.col("text").cast("binary")).alias("id"), "text"), "own": test.select("id", "text")}
+    sizes = {k: v.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for k, v in sides.items()}
+    small, large = sorted(sides, key=lambda k: (sizes[k], k == "ref"))
+    grams = lambda df: df.select("id", F.explode(T.ngrams(key, n)).alias("gram")).withColumn("h", F.xxhash64("gram"))
+    few = stored(grams(sides[small]).select("id", "h"))
+    passed = stored(bloom_passed(grams(sides[large]).select("id", "h"), bloom_filter(few, few.count())))
+    met = stored(passed.join(few.select("h").distinct(), "h", "left_semi"))
+    found = {large: met, small: few.join(met.select("h").distinct(), "h", "left_semi")}
+    of = {k: grams(sides[k].join(v.select("id").distinct(), "id", "left_semi")).join(v.select("h").distinct(), "h", "left_semi").select("id", "gram") for k, v in found.items()}
+    hit = of["own"].join(of["ref"].select("gram").distinct(), "gram", "left_semi").select("id").distinct()
+    own, ref = test.select("id", key.alias("key")), reference.select(key.alias("key"))
     exact = own.select("id", F.md5(F.col("key").cast("binary")).alias("key")).join(ref.select(F.md5(F.col("key").cast("binary")).alias("key")).distinct(), "key", "left_semi").select("id")
     counts = own.agg(F.count("*").alias("n_test"), F.sum((F.size(F.split("key", " ")) >= n).cast("int")).alias("n_with_ngrams"))
     both = counts.join(exact.agg(F.count("*").alias("n_exact"))).join(hit.agg(F.count("*").alias("n_overlap")))  # one row each
-    return both.withColumn("overlap_rate", F.col("n_overlap") / F.col("n_test"))
+    return both.withColumn("overlap_rate", F.try_divide("n_overlap", "n_test"))
 
 
 def form_measures(rows: DataFrame, text: str = "text") -> DataFrame:

@@ -177,6 +177,14 @@ def test_slot_sums_equal_a_plain_table(spark, monkeypatch):
     assert plan.count("Exchange hashpartitioning") <= 2 and "Join" not in plan  # the sums' own, and the test's repartition
 
 
+def test_groups_that_a_resample_misses(spark):
+    j = spark.createDataFrame([(1, "a", 0, 0.9, 1, 0), (2, "b", 1, 0.6, 0, 1), (3, "b", 1, 0.7, 1, 1)], "record_id long, g string, question_id int, top1 double, hit int, prediction int")
+    got = resampling.resampled_metrics(j, ["g"], 50, "s")
+    w = got.where("b >= 0").groupBy("g").count().collect()
+    assert {r["g"] for r in w} == {"a", "b"} and min(r["count"] for r in w) < 50
+    assert resampling.paired(j, j, ["g"], 50, "s").where("delta = 0 and delta_lo = 0").count() == 2
+
+
 def test_slot_intervals_agree_with_multinomial_ones(spark, small):
     j = metrics.answers(fixtures.results_choice(spark, small))
     slots = resampling.intervals(resampling.resampled_metrics(j, ["qtype"], 1000, "s").where("b >= 0"), ["qtype"]).first()
@@ -194,6 +202,27 @@ def test_the_report_reads_its_inputs_once(spark, small):
     assert plan.count("+- Exchange") + plan.count(":- Exchange") <= 34
 
 
+def test_bloom_filter_has_no_false_negatives(spark):
+    h = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    words = text.bloom_filter(h.where("h % 4 = 0"), h.where("h % 4 = 0").count())
+    passed = {r["h"] for r in text.bloom_passed(h, words).collect()}
+    inside = {r["h"] for r in h.where("h % 4 = 0").collect()}
+    assert inside <= passed and len(passed - inside) < 0.02 * 20_000
+    assert text.bloom_passed(h, text.bloom_filter(h.limit(0), 0)).isEmpty()
+
+
+def test_overlap_by_hand(spark):
+    """Either side may be the one with less text; its filter finds the same rows, and false hits are dropped."""
+    line = "one two three four five six seven eight nine ten"
+    few = spark.createDataFrame([(1, line), (2, "short text"), (3, None), (4, "a b c d e f g h"), (5, "z " * 9)], "id long, text string")
+    many = spark.createDataFrame([(i, f"w{i} " * 3 + "other words that nobody else has here at all") for i in range(200)] + [(900, f"before {line} after"), (901, "short text"), (902, "")], "id long, text string")
+    got = text.overlap(few, many).first()
+    assert (got["n_test"], got["n_exact"], got["n_overlap"]) == (203, 1, 1)
+    got = text.overlap(many, few).first()
+    assert (got["n_test"], got["n_exact"], got["n_overlap"]) == (5, 1, 1)
+    assert text.overlap(few.limit(0), many).first()["n_overlap"] == 0 and text.overlap(few, many.limit(0)).first()["n_test"] == 0
+
+
 def test_table_digests_tell_contents_from_layout(spark):
     rows = [(i, f"t{i % 3}", None if i % 4 else "x") for i in range(60)]
     df = spark.createDataFrame(rows, "i long, g string, v string")
