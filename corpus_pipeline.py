@@ -1,6 +1,8 @@
 """Corpus pipeline over ``documents``: quality rules, near-duplicates, secrets, mixing, BPE.
 
 Each stage takes all that the one before kept and is written as Parquet before the next one reads it.
+All stages read and (but for the last) return the columns of ``COLUMNS``; others are dropped. Texts of any
+length are read whole, and an empty table gives an empty table in every stage.
 """
 
 from __future__ import annotations
@@ -16,27 +18,31 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the quality rules go."""
+    """Documents that fail the quality rules go, those of a null or empty text among them. Rows are judged
+    by their own text, so repeated rows stay or go together, whatever their ids."""
     return quality.keep_good(docs.select(*COLUMNS))
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id."""
+    """One document of each group of near-duplicates stays, that with the smallest id; a null id comes
+    last, and ties of ids go by text and then by the other columns, so of repeated rows one stays.
+    Documents without a word are one group."""
     return simhash_dedup.one_of_each(docs.select(*COLUMNS))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets give way to a mark; all documents stay."""
+    """Secrets give way to a mark; all documents stay, repeated rows, null ids and null texts too."""
     return secrets.mask_secrets(docs.select(*COLUMNS))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that sources meet their target weights."""
+    """Documents are repeated or left out so that sources meet their target weights. A null source is one
+    of its own, a null text draws as an empty one, and equal rows draw the same number."""
     return mixing.mixed(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document with the decoded text."""
+    """Token ids of each document with the decoded text; a null text has none. A row for each row."""
     return bpe.encode_documents(docs.select(*COLUMNS))
 
 
