@@ -35,9 +35,10 @@ def run_name(size: Column, arm: Column, n: Column, seed: Column, noise: Column)
 
 
 def parsed_run_name(name: Column) -> list[Column]:
+    """The parts of a run's name; a name of another form has an empty size and arm, and nulls."""
     e = "^v3_([^_]+)_(.+)_n([0-9]+)_s([0-9]+)(?:_(.+))?$"
     part = lambda i: F.regexp_extract(name, e, i)
-    return [part(1).alias("size"), part(2).alias("arm"), part(3).cast("int").alias("n"), part(4).cast("int").alias("seed"), F.nullif(part(5), F.lit("")).alias("noise")]
+    return [part(1).alias("size"), part(2).alias("arm"), part(3).try_cast("int").alias("n"), part(4).try_cast("int").alias("seed"), F.nullif(part(5), F.lit("")).alias("noise")]
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SECTIONS = ["metrics", "text", "construction", "learning", "serving"]
+SECTIONS = ["metrics", "text", "construction", "learning", "comparison", "serving"]
 
 
 def queries() -> dict:

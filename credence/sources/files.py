@@ -46,6 +46,16 @@ def write_by_split(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").partitionBy("split").parquet(path)
 
 
+def write_runs(df: DataFrame, path: str) -> None:
+    """JSON lines with a folder for each run, named by column ``run``; an existing path is refused."""
+    df.write.mode("errorifexists").option("compression", "gzip").option("ignoreNullFields", "false").partitionBy("run").json(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The results of all runs of a folder as one table; a filter on ``run`` skips the other folders."""
+    return read_lines(spark, path, f"{RESULTS}, run string")
+
+
 def run_names(spark: SparkSession, path: str) -> DataFrame:
     """Runs in a folder of folders, with the parts of their names (learner, size, seed)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
