@@ -19,6 +19,7 @@ from credence.plans import text as PT
 from credence.plans.fixtures import oracle, sql_uniform
 from credence.plans.metrics import choice, judged, r, rounded
 from credence.sources import files
+from credence.streaming import drift as W
 from credence.streaming import feedback as S
 from credence.session import shared_folder, tables
 
@@ -233,6 +234,16 @@ def events_path(d):
     return f"{d}/events.parquet"
 
 
+ODDS, LIMIT, QUIET = 2.0, 3.0, 3
+
+
+def tracked(s, d):
+    """Users whose share of errors drifts from that of the first week, and those who fall silent."""
+    bad = F.col("event_type") == "error"
+    usual = W.usual_share(S.event_batch(s, events_path(d)), bad)
+    return rounded(W.resumed(W.cusum(S.event_stream(s, events_path(d)), "user_id", bad, usual, ODDS, LIMIT, QUIET), f"{shared_folder(s)}/drift-{uuid.uuid4().hex}"))
+
+
 QUERIES = {
     "a1_render_state": lambda s, d: tables(s, d, "events").select("event_id", A.render_state(F.col("props")).alias("state")),
     "a2_line_rules": lambda s, d: tables(s, d, "documents").select("doc_id", A.line_reason(F.when(F.col("doc_id") % 5 == 0, "").when(F.col("doc_id") % 5 == 1, F.col("text")).when(F.col("doc_id") % 5 == 2, F.concat("source", F.lit(" "))).otherwise(F.col("source"))).alias("reason")),
@@ -277,6 +288,7 @@ QUERIES = {
     "m_sessions": lambda s, d: S.sessions(S.event_batch(s, events_path(d))),
     "m_running_rate": lambda s, d: S.streamed(s, events_path(d), S.running_rate),
     "m_drift": lambda s, d: S.streamed(s, events_path(d), S.drift),
+    "m_drift_by_user": tracked,
     "m_first_of_each": lambda s, d: S.streamed(s, events_path(d), S.first_of_each, "append"),
 }
 
@@ -369,6 +381,17 @@ ORACLES = {
     "m_sessions": q("SELECT min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS \"end\", user_id, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CAST(coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 1 HOUR, true) AS INT) AS new FROM events)) GROUP BY user_id, s"),
     "m_running_rate": q("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY event_type"),
     "m_drift": q("SELECT day, count(*) AS n, round(avg(CAST(event_type = 'error' AS INT)), 6) AS rate, abs(avg(CAST(event_type = 'error' AS INT)) - 0.2) > 0.02 AS alarm FROM (SELECT *, date_trunc('day', ts) AS day FROM events) GROUP BY day"),
+    "m_drift_by_user": f"""
+    WITH RECURSIVE usual AS (SELECT coalesce(avg(CAST(event_type = 'error' AS INT)), 0) AS u FROM events WHERE ts < (SELECT date_trunc('day', min(ts)) + INTERVAL 7 DAY FROM events)),
+    closed AS (SELECT max(ts) - INTERVAL 1 DAY AS w FROM events),
+    days AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS i FROM (
+      SELECT user_id, date_trunc('day', ts) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS bad FROM events GROUP BY ALL), closed WHERE day + INTERVAL 1 DAY <= w),
+    moves AS (SELECT *, CAST(bad * round(1000000 * (ln({ODDS}) - ln(1 + {ODDS - 1} * u))) + (n - bad) * round(-1000000 * ln(1 + {ODDS - 1} * u)) AS BIGINT) AS move FROM days, usual),
+    scores AS (SELECT user_id, i, greatest(0, move) AS score FROM moves WHERE i = 1
+      UNION ALL SELECT m.user_id, m.i, greatest(0, CASE WHEN s.score > {round(LIMIT * 1000000)} THEN 0 ELSE s.score END + m.move) FROM scores s JOIN moves m ON m.user_id = s.user_id AND m.i = s.i + 1),
+    scored AS (SELECT *, score > {round(LIMIT * 1000000)} AS alarm, lead(day) OVER (PARTITION BY user_id ORDER BY day) AS following FROM moves JOIN scores USING (user_id, i))
+    SELECT user_id, day, n, bad, round(score / 1000000.0, 6) AS score, CASE WHEN alarm THEN 'alarm' ELSE 'steady' END AS state FROM scored
+    UNION ALL SELECT user_id, day + INTERVAL 1 DAY, 0, 0, CASE WHEN alarm THEN 0.0 ELSE round(score / 1000000.0, 6) END, 'silent' FROM scored WHERE coalesce(following, w) - (day + INTERVAL 1 DAY) >= INTERVAL {QUIET} DAY""",
     "m_first_of_each": q("SELECT DISTINCT event_id, event_type FROM events"),
 }
 ORACLES = {k: v for k, v in ORACLES.items() if v}
