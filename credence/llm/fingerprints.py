@@ -9,8 +9,9 @@ written as 32 hex digits. Likeness of two fingerprints is the share of equal bit
 one table per block, and a fingerprint looks up in each table all values within ``radius // 8`` bits of
 its own block: two fingerprints in the radius are that close on one block at least. A pair counts only
 in the first table where it meets. Equal fingerprints are one class, so copies do not multiply; a class
-carries its number of documents and its smallest id. The tables hold the query fingerprints, 16 bytes
-each, which every executor reads; all others stream past them.
+carries its number of documents and its smallest id. The tables hold a block of ``ASKED`` query
+fingerprints at a time, by hash, which every executor reads, and all classes stream past them; blocks
+follow one another, so neither the driver nor a task holds more when the query set grows.
 
 ``NEAR`` was measured on the documents of sf0.1: pairs become fewest at 31 to 34 bits, between near
 copies (most at 19) and strangers (from 35 on, most at 64). One changed word moves 11 bits (median)
@@ -24,6 +25,7 @@ the order, so ids are taken to be nearly unique. Columns other than id and text,
 
 from __future__ import annotations
 
+import uuid
 from hashlib import sha256
 
 import numpy as np
@@ -34,13 +36,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from xxhash import xxh64_intdigest
 
-from credence.llm.common import bounded_batches, checkpointed, shuffle_width
+from credence.llm.common import bounded_batches, checkpointed, shared_folder, shuffle_width
 
 BITS = 128
 RADIUS = 3
 #: The radius of ``op5``.
 NEAR = 31
 BLOCKS = 8
+#: Query fingerprints in a block, in the mean.
+ASKED = 1 << 17
 #: Documents looked up at once, and candidates compared at once.
 LOOKED_UP, COMPARED = 256, 1 << 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -208,36 +212,48 @@ class _Tables:
                     a = b
 
 
-def near_classes(all_fps: DataFrame, queries: DataFrame, radius: int = NEAR) -> DataFrame:
+def near_classes(all_fps: DataFrame, queries: DataFrame, radius: int = NEAR, asked: int = ASKED) -> DataFrame:
     """``(fingerprint, near)``: for each distinct query fingerprint, the fingerprints of ``all_fps``
     within ``radius`` bits (itself among them, where it is there), by distance and then by fingerprint,
     with their numbers of documents and smallest ids.
 
-    Both inputs have a column ``fingerprint`` of 32 hex digits, ``all_fps`` one ``doc_id`` as well.
+    Both inputs have a column ``fingerprint`` of 32 hex digits, ``all_fps`` one ``doc_id`` as well. The
+    query fingerprints are taken in blocks of about ``asked``, each written when it is done.
     """
     spark = all_fps.sparkSession
     bounded_batches(spark)
-    asked = sorted(r["fingerprint"] for r in queries.select("fingerprint").distinct().collect())
-    shared = spark.sparkContext.broadcast(_blocks(asked).tobytes())
-    classes = all_fps.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_docs"))
+    classes = checkpointed(all_fps.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_docs")))
+    wanted = checkpointed(queries.select("fingerprint").distinct())
+    blocks = -(-wanted.count() // asked)
     schema = T._parse_datatype_string("q string, near array<struct<distance:int,fingerprint:string,doc_id:long,n_docs:long>>")
     arrow = to_arrow_schema(schema)
 
-    def run(batches):
-        tables = _Tables(np.frombuffer(shared.value, dtype=np.uint16).reshape(-1, BLOCKS), radius)
-        for batch in batches:
-            fps, ids, n_docs = (c.to_pylist() for c in batch.columns)
-            lists: dict[int, list] = {}
-            for found in tables.near(_blocks(fps)):
-                for q, o, apart in zip(*(x.tolist() for x in found), strict=True):
-                    lists.setdefault(q, []).append((apart, fps[o], ids[o], n_docs[o]))
-            if lists:
-                named = [[dict(zip(("distance", "fingerprint", "doc_id", "n_docs"), x, strict=True)) for x in v] for v in lists.values()]
-                keys = [tables.blocks[q].tobytes().hex() for q in lists]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((keys, named), arrow, strict=True)], schema=arrow)
-
-    parts = classes.mapInArrow(run, schema)
-    return parts.groupBy(F.col("q").alias("fingerprint")).agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    def search(shared):
+        def run(batches):
+            tables = _Tables(np.frombuffer(shared.value, dtype=np.uint16).reshape(-1, BLOCKS), radius)
+            for batch in batches:
+                fps, ids, n_docs = (c.to_pylist() for c in batch.columns)
+                lists: dict[int, list] = {}
+                for found in tables.near(_blocks(fps)):
+                    for q, o, apart in zip(*(x.tolist() for x in found), strict=True):
+                        lists.setdefault(q, []).append((apart, fps[o], ids[o], n_docs[o]))
+                if lists:
+                    named = [[dict(zip(("distance", "fingerprint", "doc_id", "n_docs"), x, strict=True)) for x in v] for v in lists.values()]
+                    keys = [tables.blocks[q].tobytes().hex() for q in lists]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((keys, named), arrow, strict=True)], schema=arrow)
+
+        return run
+
+    path = f"{shared_folder(spark)}/near-{uuid.uuid4().hex}"
+    out = None
+    for k in range(max(1, blocks)):
+        block = wanted.where(F.pmod(F.xxhash64("fingerprint"), F.lit(max(1, blocks))) == k)
+        shared = spark.sparkContext.broadcast(_blocks(sorted(r["fingerprint"] for r in block.collect())).tobytes())
+        parts = classes.mapInArrow(search(shared), schema)
+        out = parts.groupBy(F.col("q").alias("fingerprint")).agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+        out.write.parquet(f"{path}/block={k}")
+        shared.unpersist()
+    return spark.read.schema(out.schema).parquet(f"{path}/block=*")
 
 
 def near_counts(all_fps: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -147,6 +147,10 @@ def test_block_tables_find_all_in_the_radius(spark):
     got = {r["fingerprint"]: r["n_near"] for r in fingerprints.near_counts(df, df).collect()}
     want = {f"{v:032x}": sum(0 < (v ^ w).bit_count() <= 3 for w in values) for v in values}
     assert got == {k: n for k, n in want.items() if n}
+    all_fps = df.withColumn("doc_id", F.lit(1).cast("long"))
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(fingerprints.near_classes(all_fps, df, asked=40)) == rows(fingerprints.near_classes(all_fps, df))
+    assert rows(fingerprints.near_classes(all_fps, df.limit(0))) == []
 
 
 # --- near-duplicates -----------------------------------------------------------------------------------
