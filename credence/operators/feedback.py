@@ -156,6 +156,34 @@ def enumerated_gold_step(results: DataFrame, arm: str, size: int, epsilon: float
     return t.groupBy("record_id", "question_id").agg(F.sum(mass * D.total(terms) / size).alias("step"))
 
 
+def logit_gradients(results: DataFrame, draws: DataFrame, arm: str, clip: float = WEIGHT_CLIP, h: float = 1e-5) -> DataFrame:
+    """By question: the loss ``-mean(A w ln p(a))`` over its draws, its gradient in the logits by hand, and
+    the same by central differences of the loss. Advantages and weights stay fixed, as they do in a
+    descent step. A question has a handful of draws, which become an array beside its options."""
+    aw = F.col("advantage") * importance_weight(F.col("p"), F.col("q"), clip)
+    acts = advantages(draws, arm).groupBy("record_id", "question_id").agg(F.collect_list(F.struct("action", aw.alias("aw"))).alias("acts"))
+    j = results.select("record_id", "question_id", "gold", "probs").join(acts, ["record_id", "question_id"])
+    j = j.withColumn("p", D.let(D.total(F.col("probs")), lambda s: F.transform("probs", lambda x: x / s))).withColumn("z", D.logits(F.col("p")))
+    mean = lambda value: -D.total(F.transform("acts", value)) / F.size("acts")
+    loss = lambda z: D.let(D.log_sum_exp(z), lambda s: mean(lambda a: a["aw"] * (F.get(z, a["action"]) - s)))
+    moved = lambda i, by: F.transform("z", lambda x, k: x + F.when(k == i, by).otherwise(0.0))
+    difference = lambda i: (D.let(moved(i, h), loss) - D.let(moved(i, -h), loss)) / (2 * h)
+    hand = F.transform("p", lambda x, i: mean(lambda a: a["aw"] * (F.when(a["action"] == i, 1.0).otherwise(0.0) - x)))
+    return j.select("record_id", "question_id", "gold", loss(F.col("z")).alias("loss"), hand.alias("gradient"), F.transform("z", lambda x, i: difference(i)).alias("by_difference"))
+
+
+def gradient_check(gradients: DataFrame, arm: str, tol: float = 1e-6) -> DataFrame:
+    """One row: how often a descent step lowers the gold logit, the mean loss and size of the gradient,
+    and whether every gradient agrees with its finite differences and sums to zero."""
+    g = gradients.withColumn("at_gold", D.at(F.col("gradient"), F.col("gold")))
+    apart = F.array_max(F.zip_with("gradient", "by_difference", lambda a, b: F.abs(a - b)))
+    return g.agg(
+        F.lit(arm).alias("arm"), F.count("*").alias("questions"), F.count_if(F.col("at_gold") > TOLERANCE).alias("gold_lowered"), F.count_if(F.col("at_gold") < -TOLERANCE).alias("gold_raised"),
+        F.avg("loss").alias("mean_loss"), F.avg(D.total(F.transform("gradient", F.abs))).alias("mean_gradient"),
+        (F.max(apart) < tol).alias("matches"), (F.max(F.abs(D.total(F.col("gradient")))) < tol).alias("sums_to_zero"),
+    )
+
+
 def arm_losses(log: DataFrame, clip: float = WEIGHT_CLIP) -> DataFrame:
     """Mean loss values of the log-mode arms over the rows (column ``weight`` from the propensities)."""
     p, r = p_action(), F.col("outcome")

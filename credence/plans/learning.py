@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.functions import distributions as D
@@ -57,6 +60,13 @@ def simulated(s, d):
     return out
 
 
+def sign_checks(s, d):
+    """Every arm's gradients over the draws of all questions."""
+    q, g = X.results_choice(s, d), draws(s, d)
+    rows = [B.gradient_check(B.logit_gradients(q, g, arm), arm) for arm in B.ARMS]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def enumerated(s, d):
     """Closed form and enumeration for two-option questions."""
     q = X.results_noul(s, d).where("position = 0")
@@ -240,6 +250,7 @@ QUERIES = {
     "h15_simulation": lambda s, d: rounded(simulated(s, d)),
     "h16_expected_step": lambda s, d: rounded(X.results_choice(s, d).select("record_id", *[B.expected_gold_step(F.col("probs"), F.col("gold"), a, 4).alias(a) for a in B.ARMS])),
     "h16_enumeration": enumerated,
+    "l_sign_check": lambda s, d: rounded(sign_checks(s, d)),
     "h17_log_mismatches": lambda s, d: B.log_mismatches(log(s, d), X.results_choice(s, d).where("record_id % 10 <> 4").withColumn("labels", F.when(F.col("record_id") % 10 == 5, F.reverse("labels")).otherwise(F.col("labels")))),
     "h17_log_steps": lambda s, d: B.prefix(log(s, d), 400).groupBy("part").agg(B.log_steps(F.count("*"), 3, 40, 16).alias("steps")),
     "h18_validation": lambda s, d: rounded(B.validation(X.results_choice(s, d), run_b(s, d), "brier")),
@@ -370,6 +381,16 @@ def sql_simulate(arm: str) -> str:
       FROM (SELECT *, {_RW[arm].format(r='r', p='p')} - avg({_RW[arm].format(r='r', p='p')}) OVER (PARTITION BY record_id) AS adv FROM draws) GROUP BY record_id)"""
 
 
+def sql_gradients(arm: str) -> str:
+    reward = _RW[arm].format(r="r", p="p")
+    return f"""
+    SELECT '{arm}' AS arm, count(*) AS questions, count(*) FILTER (WHERE at_gold > 1e-9) AS gold_lowered, count(*) FILTER (WHERE at_gold < -1e-9) AS gold_raised, avg(loss) AS mean_loss, avg(size) AS mean_gradient, true AS matches, max(abs(total)) < 1e-6 AS sums_to_zero
+    FROM (SELECT record_id, sum(loss) / max(k) AS loss, sum(abs(slope)) AS size, sum(slope) AS total, max(slope) FILTER (WHERE j = gold) AS at_gold
+      FROM (SELECT d.record_id, j, max(d.gold) AS gold, max(d.k) AS k, -avg(aw * ln(greatest(p, 1e-45))) AS loss, -avg(aw * (CAST(action = j AS INT) - probs[j + 1] / list_sum(probs))) AS slope
+        FROM (SELECT *, (reward - avg(reward) OVER (PARTITION BY record_id)) * least(p / q, 5.0) AS aw FROM (SELECT *, {reward} AS reward FROM draws)) d
+        JOIN (SELECT record_id, probs, unnest(range(len(probs))) AS j FROM results_choice) o USING (record_id) GROUP BY d.record_id, j) GROUP BY record_id)"""
+
+
 def sql_draws(seed: str) -> str:
     return f"""
     SELECT record_id, question_id, gold, k, g, action, p[action + 1] AS p, q[action + 1] AS q, p[gold + 1] AS p_gold, CAST(action = gold AS INT) AS r FROM (
@@ -512,6 +533,7 @@ ORACLES = {
     "h14_soft_target": rr('SELECT "index", 0.2 + (1 - 2 * 0.2) * outcome AS target FROM log', '"index"', "target"),
     "h15_simulation": rr(" UNION ALL ".join(sql_simulate(a) for a in _RW), "arm questions gold_samples wrong_samples mixed_groups", "gold_negative_advantage wrong_positive_advantage gold_logit_down gold_logit_up mean_gold_logit_step zero_identical zero_equal_rewards zero_other mixed_gold_negative"),
     "h16_expected_step": rr("SELECT record_id, " + ", ".join(f"{_STEP.replace('rw', '(list_transform(range(1, len(probs) + 1), lambda x: ' + e.format(r='CAST(x = gold + 1 AS INT)', p='probs[x]') + '))')} AS {a}" for a, e in _RW.items()) + " FROM results_choice", "record_id", " ".join(_RW)),
+    "l_sign_check": rr(" UNION ALL ".join(sql_gradients(a) for a in _RW), "arm questions gold_lowered gold_raised matches sums_to_zero", "mean_loss mean_gradient"),
     "h16_enumeration": rr("SELECT count(*) AS n, 0.0 AS max_abs_difference, avg((1 - 1.0 / 3) * probs[gold + 1] * ((1 - pow(1 - probs[gold + 1], 2)) - (probs[gold + 1] * (1 - pow(1 - probs[gold + 1], 2)) + probs[2 - gold] * (1 - pow(probs[2 - gold], 2))))) AS mean_step FROM results_noul WHERE position = 0", "n", "max_abs_difference mean_step"),
     "h17_log_mismatches": q('SELECT "index", record_id FROM log WHERE record_id % 10 IN (4, 5)'),
     "h17_log_steps": q("SELECT part, CAST(greatest(40, ceil(3 * count(*) / 16)) AS BIGINT) AS steps FROM prefixed GROUP BY part"),

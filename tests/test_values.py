@@ -421,3 +421,27 @@ def test_sources_without_a_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     (tmp_path / "credence" / "llm" / "__pycache__").mkdir(parents=True)
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+@pytest.mark.parametrize("arm", feedback.ARMS)
+def test_logit_gradients_equal_a_plain_loop(spark, arm):
+    """Loss and gradient of each question by a loop, and the loss's differences as it is moved."""
+    rng = np.random.default_rng(4)
+    ps = {i: [float(x) for x in rng.dirichlet([1] * (2 + i % 3))] for i in range(12)}
+    q = spark.createDataFrame([(i, "q", "choice", i % 2, p) for i, p in ps.items()], "record_id long, question_id string, qtype string, gold int, probs array<double>")
+    draws = feedback.group_draws(q, 5, 0.1, "t")
+    acts = {}
+    for r in draws.collect():
+        acts.setdefault(r["record_id"], []).append(r)
+    for r in feedback.logit_gradients(q, draws, arm).collect():
+        p, mine = np.array(ps[r["record_id"]]), acts[r["record_id"]]
+        a, pa, hit = np.array([x["action"] for x in mine]), np.array([x["p"] for x in mine]), np.array([float(x["r"]) for x in mine])
+        reward = {"outcome": hit, "outcome_minus_p": hit - pa, "brier": 1 - (hit - pa) ** 2, "log": np.log(np.where(hit == 1, pa, 1 - pa))}[arm]
+        aw = (reward - reward.mean()) * np.minimum(pa / (0.9 * pa + 0.1 / len(p)), 5.0)
+        assert r["loss"] == pytest.approx(-(aw * np.log(pa)).mean(), abs=1e-9)
+        want = [-(aw * ((a == j) - p[j])).mean() for j in range(len(p))]
+        assert np.allclose(r["gradient"], want, atol=1e-9) and np.allclose(r["by_difference"], want, atol=1e-6)
+    row = feedback.gradient_check(feedback.logit_gradients(q, draws, arm), arm).first()
+    assert row["questions"] == 12 and row["matches"] and row["sums_to_zero"]
+    wrong = feedback.logit_gradients(q, draws, arm).withColumn("gradient", F.transform("gradient", lambda x: x + 1e-3))
+    assert not feedback.gradient_check(wrong, arm).first()["matches"]
