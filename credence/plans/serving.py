@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from credence.functions import distributions as D
 from credence.functions.draws import digest
 from credence.operators import audit as J
+from credence.operators import feedback as B
 from credence.operators import helpers as L
 from credence.operators import metrics as M
 from credence.operators import replies as I
@@ -177,13 +178,22 @@ def pin_mismatches(s, d):
     return J.pin_mismatches(J.table_digests(now, ["source"], PINNED), J.table_digests(docs, ["source"], PINNED), ["source"])
 
 
+#: Logs of the fixture: flip rate of the rows, and the metadata written beside them.
+LOGS = {
+    "first": (0.1, {"seed": 0, "flip_rate": 0.1}, None),
+    "plain": (0.2, {"seed": 0}, {"noisy": False}),
+    "noisy": (0.3, {"seed": 0, "flip_rate": 0.3}, {"noisy": True}),
+    "soft": (0.4, {"seed": 0, "flip_rate": 0.4}, {"noise": "soft", "noisy": True}),
+    "unknown": (0.2, None, None),
+}
+
+
 def metadata(s, d):
-    """Metadata of four forms by id."""
-    e = tables(s, d, "events").select("event_id")
-    k = F.col("event_id") % 4
-    text = F.when(k == 0, '{"sampling": {"seed": 7, "flip_rate": 0.1}}').when(k == 1, '{"sampling": {"seed": 3}, "v3": {"noisy": false}}')
-    text = text.when(k == 2, '{"sampling": {"seed": 1, "flip_rate": 0.3}, "v3": {"noisy": true}}').otherwise('{"v3": {"noise": "soft", "noisy": true}}')
-    return e.select("event_id", *L.log_metadata(text))
+    """One log's flips redrawn at several rates, each written with its metadata, and all read back."""
+    log, folder = PL.log(s, d), scratch(s)
+    for name, (rate, sampling, v3) in LOGS.items():
+        files.write_log(B.reflip(log, 0, rate), folder, name, sampling, v3)
+    return files.read_log_metadata(s, folder)
 
 
 def label_names(s):
@@ -371,7 +381,13 @@ ORACLES = {
     "l_files_round_trip": r("SELECT (SELECT count(*) FROM judged_choice) AS n, (SELECT CAST(sum(hit) AS BIGINT) FROM judged_choice) AS hits, (SELECT count(*) FROM log) AS n_log, (SELECT CAST(sum(outcome) AS BIGINT) FROM log) AS outcomes", "n hits n_log outcomes", "", **PL._FX),
     "l_utterances": f"SELECT vec_id, CAST(label AS BIGINT) AS label, ({X.LABELS})[label + 1] AS intent FROM embeddings",
     "l_label_gaps": f"SELECT DISTINCT ({X.LABELS})[label + 1] AS label, 'not described' AS gap FROM embeddings WHERE label < 2 UNION ALL SELECT 'extra', 'not a label'",
-    "l_log_metadata": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 7 WHEN 1 THEN 3 WHEN 2 THEN 1 END AS seed, CASE event_id % 4 WHEN 0 THEN 0.1 WHEN 2 THEN 0.3 ELSE 0.2 END::DOUBLE AS flip_rate, CASE event_id % 4 WHEN 2 THEN 'fixed' WHEN 3 THEN 'soft' END AS noise FROM events",
+    "l_log_metadata": oracle(
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS log, count(*) AS n, count(*) FILTER (WHERE {sql_uniform('v3_flip:0', chr(34) + 'index' + chr(34))} < {rate}) AS n_flipped, {at is not None} AS known, CAST({'NULL' if at is None else at['seed']} AS INT) AS seed, CAST({'NULL' if at is None else at.get('flip_rate', 0.2)} AS DOUBLE) AS flip_rate, CAST({noise} AS VARCHAR) AS noise FROM log"
+            for (name, (rate, at, _)), noise in zip(LOGS.items(), ["NULL", "NULL", "'fixed'", "'soft'", "NULL"], strict=True)
+        ),
+        **PL._FX,
+    ),
     "j6_table_pin": f"SELECT * FROM ({sql_pin('documents', 'source')}) UNION ALL SELECT * FROM ({sql_pin('documents', None)})",
     "j6_pin_mismatches": f"""SELECT coalesce(a.source, b.source) AS source, a.digest AS now, b.digest AS pinned FROM ({sql_pin("(SELECT * REPLACE (CASE WHEN doc_id = 7 THEN text || '.' ELSE text END AS text) FROM documents WHERE source <> 'src3' UNION ALL SELECT * FROM documents WHERE doc_id = 11 AND source <> 'src3')", 'source')}) a
       FULL JOIN ({sql_pin('documents', 'source')}) b USING (source) WHERE a.digest IS DISTINCT FROM b.digest""",

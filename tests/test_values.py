@@ -445,3 +445,16 @@ def test_logit_gradients_equal_a_plain_loop(spark, arm):
     assert row["questions"] == 12 and row["matches"] and row["sums_to_zero"]
     wrong = feedback.logit_gradients(q, draws, arm).withColumn("gradient", F.transform("gradient", lambda x: x + 1e-3))
     assert not feedback.gradient_check(wrong, arm).first()["matches"]
+
+
+def test_logs_say_how_they_were_drawn(spark, tmp_path):
+    log = spark.createDataFrame([(0, 1, "q", ["a", "b"], [0.5, 0.5], 0, 0.5, 1, 0), (1, 2, "q", ["a", "b"], [0.5, 0.5], 1, 0.5, 0, 0)], files.LOG)
+    folder = str(tmp_path / "logs")
+    files.write_log(log, folder, "told", {"seed": 7, "flip_rate": 0.4}, {"noise": "soft"})
+    files.write_log(log.limit(1), folder, "older", {"seed": 3})
+    files.write_log(log.limit(1), folder, "untold", None)
+    got = {r["log"]: tuple(r)[1:] for r in files.read_log_metadata(spark, folder).collect()}
+    assert got == {"told": (2, 1, True, 7, 0.4, "soft"), "older": (1, 1, True, 3, 0.2, None), "untold": (1, 1, False, None, None, None)}
+    assert files.read_logs(spark, folder).where("log = 'told'").count() == 2
+    with pytest.raises(Exception, match="already exists"):
+        files.write_log(log, folder, "told", {"seed": 7})
