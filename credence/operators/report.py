@@ -115,3 +115,29 @@ def split_report(judged: DataFrame, resamples: int = 1000, seed: str = "report")
         moved = M.order_sensitivity(order, BY).withColumn("part", F.concat(F.lit("order:"), "qtype"))
         out = out.unionByName(_long(moved, by, ["n", "accuracy", "accuracy_shuffled", "prediction_agreement", "mean_max_abs_difference", "max_abs_difference"]))
     return out
+
+
+def long_rows(table: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """Named columns of a wide table as rows ``(*keys, metric, value)``; nulls stay."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+    return table.select(*keys, F.inline(pairs))
+
+
+def report_rows(results: DataFrame, replies: DataFrame, footers: DataFrame, expected: list[str]) -> DataFrame:
+    """``(run, kind, split, metric, value, n, incomplete)``: runs of every source in one table.
+
+    ``results`` and ``replies`` are ``(run, split, n, metric, value)`` of runs with probabilities and of runs
+    with parsed replies; a run is taken from the former where it is in both. A reply run is incomplete where
+    it has fewer records than the runs with probabilities have in that split. ``footers`` are ``(run, metric,
+    value)``: latency, cost, temperatures. Expected runs in neither source are ``missing``, and those
+    without a footer get an empty one. One row a run, split and metric, so every side is small.
+    """
+    kept = replies.join(results.select("run").distinct(), "run", "left_anti")
+    blocks = results.withColumn("kind", F.lit("results")).unionByName(kept.withColumn("kind", F.lit("replies")))
+    full = results.groupBy("split").agg(F.max("n").alias("full"))
+    blocks = blocks.join(full, "split", "left").withColumn("incomplete", F.coalesce((F.col("kind") == "replies") & (F.col("n") < F.col("full")), F.lit(False)))
+    names = results.sparkSession.createDataFrame([(e,) for e in expected], "run string")
+    gone = names.join(blocks.select("run").distinct(), "run", "left_anti").withColumn("kind", F.lit("missing"))
+    feet = footers.unionByName(names.join(footers.select("run").distinct(), "run", "left_anti"), allowMissingColumns=True).withColumn("kind", F.lit("footer"))
+    out = blocks.drop("full").unionByName(gone, allowMissingColumns=True).unionByName(feet, allowMissingColumns=True)
+    return out.select("run", "kind", "split", "metric", "value", "n", "incomplete")

@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 from credence.functions import distributions as D
 from credence.functions.draws import digest
 from credence.operators import audit as J
+from credence.operators import calibration as K
 from credence.operators import feedback as B
 from credence.operators import helpers as L
 from credence.operators import metrics as M
 from credence.operators import replies as I
+from credence.operators import report as R
 from credence.operators import validation as A
 from credence.plans import fixtures as X
 from credence.plans import learning as PL
 from credence.plans import text as PT
 from credence.plans.fixtures import oracle, sql_uniform
-from credence.plans.metrics import choice, judged, r, rounded
+from credence.plans.metrics import choice, ece_sql, judged, r, rounded
 from credence.sources import files
 from credence.streaming import drift as W
 from credence.streaming import feedback as S
@@ -178,6 +180,24 @@ def pin_mismatches(s, d):
     return J.pin_mismatches(J.table_digests(now, ["source"], PINNED), J.table_digests(docs, ["source"], PINNED), ["source"])
 
 
+#: The run whose requests an event type stands for.
+ASKED_BY = {"click": "a", "view": "api"}
+
+
+def report(s, d):
+    """Two runs with probabilities, one of replies that lacks a tenth of the records, one that is absent;
+    latencies, and the fitted temperature of one, below."""
+    two = PL.runs(s, d).where("run in ('a', 'b')")
+    both = M.ece(two, ["run", "split"]).select("run", "split", "ece", "n").join(two.groupBy("run", "split").agg(F.avg("hit").alias("accuracy")), ["run", "split"])
+    told = I.baseline_metrics(replies(s, d).where("record_id % 10 <> 3"), ["split"]).withColumn("parse_failure_rate", 1 - F.col("n_parsed") / F.col("n"))
+    told = R.long_rows(told.withColumn("run", F.lit("api")), ["run", "split", "n"], ["accuracy_all", "lenient_accuracy_all", "ece", "parse_failure_rate"])
+    by = F.element_at(F.create_map(*[F.lit(x) for pair in ASKED_BY.items() for x in pair]), F.col("event_type"))
+    asked = I.latency_summary(latencies(s, d).withColumn("run", by).where("run is not null"), ["run"], 5.0)
+    heat = K.fitted(X.results_choice(s, d), "nll", []).select(F.lit("a").alias("run"), F.lit("temperature").alias("metric"), F.col("temperature").alias("value"))
+    feet = R.long_rows(asked, ["run"], ["median_ms", "p95_ms", "retried_requests"]).unionByName(heat)
+    return rounded(R.report_rows(R.long_rows(both, ["run", "split", "n"], ["accuracy", "ece"]), told, feet, ["a", "b", "api", "absent"]))
+
+
 #: Logs of the fixture: flip rate of the rows, and the metadata written beside them.
 LOGS = {
     "first": (0.1, {"seed": 0, "flip_rate": 0.1}, None),
@@ -293,6 +313,7 @@ QUERIES = {
     "l_utterances": utterances,
     "l_label_gaps": gaps,
     "l_log_metadata": metadata,
+    "l_report_rows": report,
     "m_tumbling": lambda s, d: S.streamed(s, events_path(d), S.tumbling),
     "m_sliding": lambda s, d: S.streamed(s, events_path(d), S.sliding),
     "m_sessions": lambda s, d: S.sessions(S.event_batch(s, events_path(d))),
@@ -410,4 +431,17 @@ ORACLES = {
     UNION ALL SELECT user_id, day + INTERVAL 1 DAY, 0, 0, CASE WHEN alarm THEN 0.0 ELSE round(score / 1000000.0, 6) END, 'silent' FROM scored WHERE coalesce(following, w) - (day + INTERVAL 1 DAY) >= INTERVAL {QUIET} DAY""",
     "m_first_of_each": q("SELECT DISTINCT event_id, event_type FROM events"),
 }
+_FEW = ORACLES["i5_baseline_metrics"].replace("record_id % 12 AS k FROM judged_choice", "record_id % 12 AS k FROM judged_choice WHERE record_id % 10 <> 3")
+_TOLD = "unnest(['accuracy_all', 'lenient_accuracy_all', 'ece', 'parse_failure_rate']) AS metric, unnest([accuracy_all, lenient_accuracy_all, ece, round(1 - n_parsed / n, 6)]) AS value"
+_ASKED = ORACLES["i7_latency"]
+ORACLES["l_report_rows"] = oracle(
+    f"""SELECT run, 'results' AS kind, split, unnest(['accuracy', 'ece']) AS metric, unnest([round(accuracy, 6), round(ece, 6)]) AS value, CAST(n AS BIGINT) AS n, false AS incomplete
+      FROM ({ece_sql('run, split', 'all_runs')}) JOIN (SELECT run, split, avg(hit) AS accuracy FROM all_runs GROUP BY ALL) USING (run, split) WHERE run IN ('a', 'b')
+    UNION ALL SELECT 'api', 'replies', split, {_TOLD}, CAST(n AS BIGINT), n < (SELECT count(*) FROM results_choice c WHERE c.split = t.split) FROM ({_FEW}) t
+    UNION ALL SELECT 'absent', 'missing', NULL, NULL, NULL, NULL, NULL
+    UNION ALL SELECT CASE event_type WHEN 'click' THEN 'a' ELSE 'api' END, 'footer', NULL, unnest(['median_ms', 'p95_ms', 'retried_requests']), unnest([median_ms, p95_ms, CAST(retried_requests AS DOUBLE)]), NULL, NULL FROM ({_ASKED}) WHERE event_type IN ('click', 'view')
+    UNION ALL SELECT 'a', 'footer', NULL, 'temperature', temperature, NULL, NULL FROM ({PL.ORACLES["f4_fitted"]})
+    UNION ALL SELECT unnest(['b', 'absent']), 'footer', NULL, NULL, NULL, NULL, NULL""",
+    **PL._FX,
+)
 ORACLES = {k: v for k, v in ORACLES.items() if v}

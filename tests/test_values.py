@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from credence.functions import distributions as D
 from credence.functions import text as T
 from credence.functions.draws import uniform
-from credence.operators import audit, calibration, construction, feedback, metrics, replies, resampling, sampling, text, validation
+from credence.operators import audit, calibration, construction, feedback, metrics, replies, report, resampling, sampling, text, validation
 from credence.plans import fixtures
 from credence.sources import files
 
@@ -458,3 +458,16 @@ def test_logs_say_how_they_were_drawn(spark, tmp_path):
     assert files.read_logs(spark, folder).where("log = 'told'").count() == 2
     with pytest.raises(Exception, match="already exists"):
         files.write_log(log, folder, "told", {"seed": 7})
+
+
+def test_report_rows_by_hand(spark):
+    block = "run string, split string, n long, metric string, value double"
+    have = spark.createDataFrame([("m", "test", 10, "accuracy", 0.5), ("both", "test", 10, "accuracy", 0.6)], block)
+    told = spark.createDataFrame([("api", "test", 9, "accuracy_all", 0.4), ("api", "valid", 9, "accuracy_all", 0.3), ("both", "test", 10, "accuracy_all", 0.1)], block)
+    feet = spark.createDataFrame([("m", "temperature", 1.5)], "run string, metric string, value double")
+    got = sorted(map(tuple, report.report_rows(have, told, feet, ["m", "api", "gone"]).collect()), key=str)
+    assert got == sorted([
+        ("m", "results", "test", "accuracy", 0.5, 10, False), ("both", "results", "test", "accuracy", 0.6, 10, False), ("api", "replies", "test", "accuracy_all", 0.4, 9, True),
+        ("api", "replies", "valid", "accuracy_all", 0.3, 9, False), ("gone", "missing", None, None, None, None, None), ("m", "footer", None, "temperature", 1.5, None, None),
+        ("api", "footer", None, None, None, None, None), ("gone", "footer", None, None, None, None, None),
+    ], key=str)
