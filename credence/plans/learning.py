@@ -192,7 +192,7 @@ def env_driver(s, d):
 
 QUERIES = {
     "e1_key_mismatches": lambda s, d: R.key_mismatches(X.results_choice(s, d), run_c(s, d).where("record_id % 10 <> 3"), ["record_id", "question_id"]),
-    "e2_bootstrap": lambda s, d: rounded(R.intervals(R.resampled(choice(s, d), R.multinomial_weights(X.results_choice(s, d), RESAMPLES, "boot"), ["qtype"]), ["qtype"])),
+    "e2_bootstrap": lambda s, d: rounded(R.intervals(R.multinomial_metrics(choice(s, d), X.results_choice(s, d), ["qtype"], RESAMPLES, "boot"), ["qtype"])),
     "e2_poisson_bootstrap": lambda s, d: rounded(R.intervals(R.resampled_metrics(choice(s, d), ["qtype"], PAIRED, "pois").where("b >= 0"), ["qtype"])),
     "e3_weighted_runs": lambda s, d: rounded(R.run_metrics(runs(s, d), *BOOT)),
     "e4_contrasts": lambda s, d: rounded(contrast_table(s, d)),

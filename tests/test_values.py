@@ -194,6 +194,21 @@ def test_slot_intervals_agree_with_multinomial_ones(spark, small):
         assert abs(slots[c] - drawn[c]) < 0.2 * wide
 
 
+def test_packed_draws_are_the_plain_ones_in_blocks_of_bounded_size(spark, small, monkeypatch):
+    monkeypatch.setattr(resampling, "BLOCK_DRAWS", 2000)
+    monkeypatch.setattr(resampling, "TASK_DRAWS", 5000)
+    j = metrics.answers(fixtures.results_choice(spark, small)).withColumn("kind", F.when(F.col("record_id") % 3 > 0, F.lit("x")))
+    j = j.unionByName(j.where("record_id % 5 = 0"))  # a record may have several rows, and a group no name
+    ids = j.select("record_id").unionByName(spark.range(900, 910).select(F.col("id").alias("record_id")))  # or no rows
+    plain = resampling.resampled(j, resampling.multinomial_weights(ids, 20, "t"), ["kind"])
+    packed = resampling.multinomial_metrics(j, ids, ["kind"], 20, "t")
+    rows = lambda df: sorted((str(r["kind"]), r["b"], round(r["accuracy"], 9), round(r["ece"], 9)) for r in df.collect())
+    assert rows(packed) == rows(plain) and packed.count() == 40
+    draws = resampling.packed_draws(spark, 510, 20, "t", 100).groupBy("block").agg(F.sum(F.octet_length("draws")).alias("bytes")).collect()
+    assert sum(r["bytes"] for r in draws) == 4 * 510 * 20 and max(r["bytes"] for r in draws) < 4 * 2500
+    assert resampling.multinomial_metrics(j.limit(0), ids.limit(0), ["kind"], 20, "t").count() == 0
+
+
 def test_the_report_reads_its_inputs_once(spark, small):
     from credence import plans
 
