@@ -5,11 +5,16 @@ A record is ``record_id, source, intent, domain, text``. Randomness comes from s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credence.functions.draws import digest, uniform
 from credence.operators.sampling import exact_sample, option_subset, seeded_rank, share_count, shuffled
+from credence.session import discard, ship_code, stored
 
 #: Fixed values of the gates.
 BALANCE = (0.4, 0.6)
@@ -18,6 +23,9 @@ POSITION_SD = 4.0
 MIN_COUNT = 100
 JSON_SHARE, JSON_SLACK = 0.2, 0.005
 LIFT_FAIL, LIFT_TEST = 0.10, 0.03
+#: Of shuffles: rows of a part that is sorted, about, ranks of a chunk, rows a task holds before it sends
+#: them on, and rows of parts that one task gets, about.
+PART_ROWS, CHUNK, HELD_ROWS, TASK_ROWS = 1 << 16, 1 << 16, 1 << 20, 1 << 22
 
 
 def held_out(labels: DataFrame, per_domain: int, seed: str) -> DataFrame:
@@ -169,12 +177,106 @@ def probe_features(questions: DataFrame) -> DataFrame:
 def cell_lift(rows: DataFrame, by: list[str]) -> DataFrame:
     """Of a probe that answers every ``cell`` with its most common ``target``: accuracy over that of the
     most common target of the group."""
-    counts = rows.groupBy(*by, "cell", "target").agg(F.count("*").alias("c"))
+    return lift_of_counts(rows.groupBy(*by, "cell", "target").agg(F.count("*").alias("c")), by)
+
+
+def lift_of_counts(counts: DataFrame, by: list[str]) -> DataFrame:
+    """The lift of that probe from the counts ``c`` of each cell and target."""
     hits = counts.groupBy(*by, "cell").agg(F.max("c").alias("m"), F.sum("c").alias("n")).groupBy(*by).agg((F.sum("m") / F.sum("n")).alias("accuracy"))
     top = counts.groupBy(*by, "target").agg(F.sum("c").alias("c")).groupBy(*by).agg((F.max("c") / F.sum("c")).alias("majority"))
     return hits.join(top, by).select(*by, F.round(F.col("accuracy") - F.col("majority"), 9).alias("lift"))
 
 
+def _coded(rows: DataFrame, columns: list[str], name: str, values: list[tuple]) -> DataFrame:
+    """``rows`` with the number of their values of some columns, nulls included, in place of these."""
+    kinds = ", ".join(f"__{i} {rows.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
+    table = F.broadcast(rows.sparkSession.createDataFrame([(*v, i) for i, v in enumerate(values)], f"{kinds}, __n int"))
+    same = F.lit(True)
+    for i, c in enumerate(columns):
+        same = same & F.col(c).eqNullSafe(F.col(f"__{i}"))
+    rest = [c for c in rows.columns if c not in columns]
+    return rows.join(table, same).select(*rest, F.col("__n").alias(name))
+
+
+def dealt_counts(rows: DataFrame, by: list[str], times: int, stream: str) -> DataFrame:
+    """``(*by, b, cell, target, c)``: counts of cells and targets after the targets of a group were dealt out
+    anew, for b = 1, 2, ...: the target of the k-th row by the ``deal`` digest goes to the k-th by ``seat``.
+
+    What is shuffled of a row and an order is its digest and one code, packed: parts of an order, by the
+    first bits of the digest, are sorted in tasks. Then only the sorted codes are cut into chunks of
+    equal ranks, where cells meet their targets. Groups, cells and targets must be few.
+    """
+    spark = rows.sparkSession
+    base = rows.groupBy(*by, "cell", "target").agg(F.count("*").alias("c")).collect()  # a row a group, cell and target
+    sizes: dict[tuple, int] = {}
+    for r in base:
+        sizes[tuple(r[c] for c in by)] = sizes.get(tuple(r[c] for c in by), 0) + r["c"]
+    groups, cells, targets = list(sizes), list({(r["cell"],) for r in base}), list({(r["target"],) for r in base})
+    digits = np.array([max(0, n // PART_ROWS).bit_length() for n in sizes.values()], dtype=np.uint64)
+    code = np.dtype(f"<u{1 if max(len(cells), len(targets)) <= 1 << 8 else 4}")
+    packed = np.dtype([("high", "<u8"), ("low", "<u8"), ("code", code)])
+    coded = _coded(_coded(_coded(rows.select(*by, "record_id", "cell", "target"), by, "g", groups), ["cell"], "cell", cells), ["target"], "target", targets)
+    many = coded.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    order = lambda name: F.unhex(digest(f"{stream}:{name}", F.col("b"), F.col("record_id"))).alias(name)
+
+    def sent(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        part, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+        place = np.argsort(part, kind="stable")
+        parts, at = np.unique(part[place], return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(parts), pa.array([x.tobytes() for x in np.split(rows[place], at[1:])], pa.binary())], names=["part", "rows"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            g, b, cell, target = (batch.column(c).to_numpy().astype(np.int64) for c in ("g", "b", "cell", "target"))
+            for side, (name, codes) in enumerate((("seat", cell), ("deal", target))):
+                halves = np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+                one = np.empty(len(g), dtype=packed)
+                one["high"], one["low"], one["code"] = halves[:, 0], halves[:, 1], codes
+                bucket = (halves[:, 0] >> np.uint64(1)) >> (np.uint64(63) - digits[g])
+                held.append(((g * times + b - 1) << 32 | bucket.astype(np.int64) << 1 | side, one))
+            n += batch.num_rows
+            if n >= HELD_ROWS:
+                yield sent(held)
+                held, n = [], 0
+        if held:
+            yield sent(held)
+
+    def sort(part: pa.Table) -> pa.Table:
+        got = np.frombuffer(b"".join(part.column("rows").to_pylist()), dtype=packed)
+        codes = got["code"][np.lexsort((got["low"], got["high"]))]
+        return pa.table({"part": part.column("part").slice(0, 1), "n": pa.array([len(codes)], pa.int64()), "codes": pa.array([codes.tobytes()], pa.binary())})
+
+    def count(chunk: pa.Table) -> pa.Table:
+        pieces = sorted(zip(*(chunk.column(c).to_pylist() for c in ("side", "start", "codes")), strict=True))
+        cell, target = (np.frombuffer(b"".join(p[2] for p in pieces if p[0] == side), dtype=code).astype(np.int64) for side in (0, 1))
+        both, c = np.unique(cell * len(targets) + target, return_counts=True)
+        return pa.table({"order": pa.array([chunk.column("order")[0].as_py()] * len(both), pa.int64()), "cell": (both // len(targets)).astype(np.int32), "target": (both % len(targets)).astype(np.int32), "c": c.astype(np.int64)})
+
+    ship_code(spark)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-2 * times * sum(sizes.values()) // TASK_ROWS))
+    parts = many.select("g", "b", "cell", "target", order("seat"), order("deal")).mapInArrow(split, "part long, rows binary")
+    ranked = stored(parts.repartition(tasks, "part").groupBy("part").applyInArrow(sort, "part long, n long, codes binary"))
+    before = Window.partitionBy("order", "side").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as parts
+    keyed = ranked.select("part", "n", F.shiftright("part", 32).alias("order"), (F.col("part") % 2).cast("int").alias("side"))
+    begins = keyed.select("part", "order", "side", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    cut = ranked.join(begins, "part").withColumn("chunk", F.explode(F.sequence(F.floor(F.col("begin") / CHUNK), F.floor((F.col("begin") + F.col("n") - 1) / CHUNK))))
+    start = F.greatest("begin", F.col("chunk") * CHUNK)
+    size = F.least(F.col("begin") + F.col("n"), (F.col("chunk") + 1) * CHUNK) - start
+    piece = F.substring("codes", ((start - F.col("begin")) * code.itemsize + 1).cast("int"), (size * code.itemsize).cast("int"))
+    pieces = cut.select("order", "chunk", "side", start.alias("start"), piece.alias("codes")).repartition(max(1, tasks // 4), "order", "chunk")
+    met = pieces.groupBy("order", "chunk").applyInArrow(count, "order long, cell int, target int, c long").groupBy("order", "cell", "target").agg(F.sum("c").alias("c"))
+    counts = stored(met)
+    discard(ranked)
+    named = counts
+    for columns, name, values in ((by, "g", groups), (["cell"], "cell", cells), (["target"], "target", targets)):
+        kinds = ", ".join(f"__{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
+        table = F.broadcast(spark.createDataFrame([(*v, i) for i, v in enumerate(values)], f"{kinds}, __n int"))
+        key = F.floor(F.col("order") / times) if name == "g" else F.col(name)
+        named = named.join(table, key == F.col("__n")).drop("__n")
+    return named.select(*[F.col(f"__{c}").alias(c) for c in by], (F.col("order") % times + 1).cast("int").alias("b"), F.col("__cell").alias("cell"), F.col("__target").alias("target"), "c")
+
+
 def lift_gate(lifts: DataFrame, nulls: DataFrame, by: list[str]) -> DataFrame:
     """``lifts`` (by, lift) against permutation lifts (by, lift): p-value and verdict. Fails above the
     hard limit, or above the soft one and the 99th order statistic of the permutations."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from credence.functions.draws import digest
 from credence.operators import construction as C
 from credence.operators import probes as P
 from credence.operators import sampling as S
@@ -81,11 +80,7 @@ def lifts(s, d):
     """The gate on the lift of that probe, which answers each class with its most common domain: over
     the majority of the source, against the lifts of the same probe on shuffled domains."""
     base = celled(s, d)
-    many = base.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(NULLS))))
-    order = lambda name: digest(name, F.col("b"), F.col("record_id"))
-    seats = S.seeded_rank(many.drop("target"), ["source", "b"], order("c28:seat"))
-    dealt = S.seeded_rank(many.select("source", "b", "record_id", "target"), ["source", "b"], order("c28:deal")).select("source", "b", "rank", "target")
-    null = C.cell_lift(seats.join(dealt, ["source", "b", "rank"]), ["source", "b"])
+    null = C.lift_of_counts(C.dealt_counts(base, ["source"], NULLS, "c28"), ["source", "b"])
     return C.lift_gate(C.cell_lift(base, ["source"]), null.drop("b"), ["source"])
 
 

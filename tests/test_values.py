@@ -209,6 +209,22 @@ def test_packed_draws_are_the_plain_ones_in_blocks_of_bounded_size(spark, small,
     assert resampling.multinomial_metrics(j.limit(0), ids.limit(0), ["kind"], 20, "t").count() == 0
 
 
+def test_dealt_counts_are_those_of_ranked_rows(spark, monkeypatch):
+    for name, small in (("PART_ROWS", 16), ("CHUNK", 10), ("HELD_ROWS", 300), ("TASK_ROWS", 2000)):
+        monkeypatch.setattr(construction, name, small)
+    rng = random.Random(3)
+    kinds = [rng.choices((None, "a", "b", "c"), (1, 60, 9, 3))[0] for _ in range(400)]
+    rows = [(i, g, rng.choice((None, 0, 1, 2)), rng.choice((None, "x", "y"))) for i, g in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "record_id long, source string, cell long, target string")
+    many = df.crossJoin(spark.range(1, 5).select(F.col("id").cast("int").alias("b")))
+    rank = lambda name: sampling.seeded_rank(many, ["source", "b"], F.md5(F.concat_ws(":", F.lit(f"t:{name}"), "b", "record_id").cast("binary")))
+    seat, deal = rank("seat").drop("target"), rank("deal").select(F.col("source").alias("s"), F.col("b").alias("b2"), F.col("rank").alias("r"), "target")
+    joined = seat.join(deal, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("b2")) & (F.col("rank") == F.col("r")))
+    expected = {tuple(r) for r in joined.groupBy("source", "b", "cell", "target").count().collect()}
+    assert {tuple(r) for r in construction.dealt_counts(df, ["source"], 4, "t").collect()} == expected
+    assert construction.dealt_counts(df.limit(0), ["source"], 4, "t").isEmpty()
+
+
 def test_the_report_reads_its_inputs_once(spark, small):
     from credence import plans
 
