@@ -173,9 +173,10 @@ def form_measures(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def long_measures(rows: DataFrame, text: str = "text") -> DataFrame:
-    """One row per text and kind: kind, value."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), f(F.col(text)).cast("long").alias("value")) for k, f in T.FORM_KINDS.items()])
-    return rows.select(*[c for c in rows.columns if c != text], F.explode(pairs).alias("m")).select("*", "m.kind", "m.value").drop("m")
+    """One row per text and kind: kind, value. ``rows`` has the texts, or what ``form_measures`` made of them."""
+    m = form_measures(rows, text) if text in rows.columns else rows
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("long").alias("value")) for k in T.FORM_KINDS])
+    return m.select(*[c for c in m.columns if c not in T.FORM_KINDS], F.explode(pairs).alias("m")).select("*", "m.kind", "m.value").drop("m")
 
 
 def best_threshold(values: DataFrame, by: list[str]) -> DataFrame:
@@ -183,7 +184,11 @@ def best_threshold(values: DataFrame, by: list[str]) -> DataFrame:
 
     Works on counts by value: distinct lengths of texts are few.
     """
-    counts = values.groupBy(*by, "value").agg(F.count("*").alias("c"))
+    return threshold_of_counts(values.groupBy(*by, "value").agg(F.count("*").alias("c")), by)
+
+
+def threshold_of_counts(counts: DataFrame, by: list[str]) -> DataFrame:
+    """The same from the counts ``c`` of each value."""
     upto = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*by)
     steps = counts.select(*by, F.col("value").alias("t"), (1 - F.sum("c").over(upto) / F.sum("c").over(whole)).alias("share"))
@@ -192,10 +197,13 @@ def best_threshold(values: DataFrame, by: list[str]) -> DataFrame:
 
 
 def form_settings(rows: DataFrame, by: list[str], max_imbalance: float = 0.1, text: str = "text") -> DataFrame:
-    """Per group and kind: threshold (null for yes/no kinds), yes share, whether it is balanced enough."""
-    m = long_measures(rows.select(*by, text), text)
-    over = best_threshold(m.where(F.col("kind").endswith("_over")), [*by, "kind"])
-    flags = m.where(~F.col("kind").endswith("_over")).groupBy(*by, "kind").agg(F.avg("value").alias("yes_share"))
+    """Per group and kind: threshold (null for yes/no kinds), yes share, whether it is balanced enough.
+    The texts are measured once, for counts by value that are stored."""
+    of = rows.select(*by, *([text] if text in rows.columns else T.FORM_KINDS))
+    counts = stored(long_measures(of, text).groupBy(*by, "kind", "value").agg(F.count("*").alias("c")))
+    over = threshold_of_counts(counts.where(F.col("kind").endswith("_over")), [*by, "kind"])
+    share = F.sum(F.col("value") * F.col("c")) / F.sum(F.when(F.col("value").isNotNull(), F.col("c")))
+    flags = counts.where(~F.col("kind").endswith("_over")).groupBy(*by, "kind").agg(share.alias("yes_share"))
     both = over.unionByName(flags.withColumn("threshold", F.lit(None).cast("long")))
     return both.withColumn("used", F.abs(F.col("yes_share") - 0.5) <= max_imbalance)
 

@@ -8,7 +8,7 @@ from credence.functions import text as T
 from credence.operators import text as X
 from credence.plans.fixtures import oracle, sql_uniform
 from credence.plans.metrics import r, rounded
-from credence.session import tables
+from credence.session import stored, tables
 
 
 def docs(s, d):
@@ -27,6 +27,16 @@ def wide(text):
     return F.translate(joined, plain, "".join(chr(ord(c) + 0xFEE0) for c in plain))
 
 
+def measured(s, d):
+    """The measures of every text, made once and stored, for settings and answers."""
+    return stored(X.form_measures(docs(s, d).select("doc_id", "source", "text")))
+
+
+def answered(s, d, of, *more):
+    m = measured(s, d)
+    return of(m, X.form_settings(m, ["source"], 0.2), ["source"], *more)
+
+
 def settings(s, d):
     return X.form_settings(docs(s, d).select("source", "text"), ["source"], 0.2)
 
@@ -60,7 +70,7 @@ def lines(s, d):
 
 def applied(s, d):
     t = docs(s, d)
-    q = X.add_form_questions(t.select("doc_id", "source", "text"), settings(s, d), ["source"], "doc_id")
+    q = answered(s, d, X.add_form_questions, "doc_id")
     w = X.wrap_states(t.select("doc_id", "text"), "doc_id")
     n = q.groupBy("doc_id").agg(F.count("*").alias("n_form"), F.sum(F.col("answer").cast("int")).alias("n_yes"))
     return w.join(n, "doc_id", "left").groupBy("state_format").agg(F.count("*").alias("n"), F.sum(F.coalesce("n_form", F.lit(0))).alias("n_form"), F.sum(F.coalesce("n_yes", F.lit(0))).alias("n_yes"))
@@ -76,10 +86,10 @@ QUERIES = {
     "b5_ngrams": lambda s, d: docs(s, d).select("doc_id", F.size(T.ngrams(T.normalise(F.col("text")))).alias("n_ngrams")),
     "b6_overlap": lambda s, d: rounded(X.overlap(tables(s, d, "benchmark"), _ID(s, d))),
     "b7_form_measures": lambda s, d: X.form_measures(docs(s, d).select("doc_id", "text")),
-    "b8_best_threshold": lambda s, d: rounded(X.best_threshold(docs(s, d).select("source", F.size(T.words(F.col("text"))).cast("long").alias("value")), ["source"])),
+    "b8_best_threshold": lambda s, d: rounded(X.best_threshold(docs(s, d).select("source", T.word_count(F.col("text")).cast("long").alias("value")), ["source"])),
     "b9_form_settings": lambda s, d: rounded(settings(s, d)),
-    "b10_form_answers": lambda s, d: X.form_answers(docs(s, d).select("doc_id", "source", "text"), settings(s, d), ["source"]).select("doc_id", "kind", "answer"),
-    "b11_form_questions": lambda s, d: X.add_form_questions(docs(s, d).select("doc_id", "source", "text"), settings(s, d), ["source"], "doc_id"),
+    "b10_form_answers": lambda s, d: answered(s, d, X.form_answers).select("doc_id", "kind", "answer"),
+    "b11_form_questions": lambda s, d: answered(s, d, X.add_form_questions, "doc_id"),
     "b12_wrap_states": lambda s, d: X.wrap_states(docs(s, d).select("doc_id", "text"), "doc_id").select("doc_id", "state_format", F.array_join("state_fields", ",").alias("fields")),
     "b13_apply_form": applied,
     "b14_render": instructions,

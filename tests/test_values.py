@@ -225,6 +225,22 @@ def test_dealt_counts_are_those_of_ranked_rows(spark, monkeypatch):
     assert construction.dealt_counts(df.limit(0), ["source"], 4, "t").isEmpty()
 
 
+def test_form_queries_measure_texts_once(spark, small):
+    from credence import plans
+
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("documents.parquet")
+    assert [scans(plans.queries()[q](spark, small)) for q in ("b9_form_settings", "b10_form_answers", "b11_form_questions")] == [0, 0, 0]  # stored measures only
+    texts = [None, "", " ", "a", " a\u2003b\x85c\x1fd\u200be\t", "\u00a0x\u3000y "]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [tuple(r) for r in df.select(T.word_count(F.col("text")), F.size(T.words(F.col("text")))).collect()]
+    assert [a for a, _ in got] == [b for _, b in got] == [None, 0, 0, 1, 4, 2]
+    rows = spark.createDataFrame([("p", "a, b"), ("p", None), ("p", "a b c"), (None, "1")], "source string, text string")
+    plain = text.form_settings(rows, ["source"])
+    again = text.form_settings(text.form_measures(rows), ["source"])
+    assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in again.collect()} and plain.count() == 12
+    assert one(plain.where("source = 'p' and kind = 'contains_comma'"), "yes_share") == 0.5
+
+
 def test_the_report_reads_its_inputs_once(spark, small):
     from credence import plans
 
