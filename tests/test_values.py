@@ -241,6 +241,13 @@ def test_form_queries_measure_texts_once(spark, small):
     assert one(plain.where("source = 'p' and kind = 'contains_comma'"), "yes_share") == 0.5
 
 
+def test_pins_move_no_rows(spark, small):
+    from credence import plans
+
+    plan = plans.queries()["j6_pin_mismatches"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION" not in plan and plan.count("Exchange") > 0  # only the sums of a task travel
+
+
 def test_the_report_reads_its_inputs_once(spark, small):
     from credence import plans
 
