@@ -142,28 +142,92 @@ def bloom_passed(rows: DataFrame, words: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+#: Bytes of normalised texts that are hashed at a time.
+HASHED = 1 << 20
+#: Of the rolling hash: an odd factor, its inverse modulo 2**64, and a random number for each byte.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
+BYTE_CODES = np.random.default_rng(8).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+def gram_hashes(keys: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, hash)`` of every n-gram of words of normalised texts, repeats included: differences of running
+    sums over the bytes, so a gram takes the same time whatever its length. Equal grams have equal hashes."""
+    data = np.frombuffer(b" ".join(keys) + b" ", dtype=np.uint8)
+    power = np.full(len(data), FACTOR, dtype=np.uint64)
+    back = np.full(len(data), INVERSE, dtype=np.uint64)
+    power[0] = back[0] = 1
+    power, back = np.cumprod(power), np.cumprod(back)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(BYTE_CODES[data] * power)])
+    ends = np.flatnonzero(data == 32)  # of words, one after each
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    text = np.searchsorted(np.cumsum([len(k) + 1 for k in keys]), starts, side="right")
+    one = text[: len(text) - n + 1] == text[n - 1 :] if len(text) >= n else np.zeros(0, dtype=bool)
+    first = np.flatnonzero(one)
+    begin, end = starts[first], ends[first + n - 1]
+    h = (sums[end] - sums[begin]) * back[begin]
+    return text[first], h ^ (h >> np.uint64(32))
+
+
+def keyed_grams(rows: DataFrame, n: int, words: np.ndarray | None = None) -> DataFrame:
+    """``rows`` (id, key) with the number of words, the digest of the key, and the distinct hashes of its grams;
+    with a Bloom filter only those that pass it. One pass over the texts, which stay where they are."""
+    out = f"id {rows.schema['id'].dataType.simpleString()}, n_words int, digest string, h array<long>"
+    sc = rows.sparkSession.sparkContext
+    shared, bits = sc.broadcast(words), 0 if words is None else len(words) * 64
+
+    def hashes(keys: list[bytes]) -> list[list[int]]:
+        text, h = gram_hashes(keys, n)
+        if shared.value is not None:
+            low, high, ok = (h & np.uint64(0xFFFFFFFF)).astype(np.int64), (h >> np.uint64(32)).astype(np.int64), np.ones(len(h), dtype=bool)
+            for i in range(BLOOM_HASHES):
+                p = (low + i * high) & (bits - 1)
+                ok &= (shared.value[p >> 6] >> (p & 63)) & 1 == 1
+            text, h = text[ok], h[ok]
+        at = np.searchsorted(text, np.arange(len(keys) + 1))
+        return [np.unique(h[a:b].view(np.int64)).tolist() if b > a else [] for a, b in zip(at, at[1:], strict=False)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("key").to_pylist()
+            keys = [(k or "").encode() for k in texts]
+            found, some, held = [], [], 0
+            for k in keys:
+                some.append(k)
+                held += len(k)
+                if held >= HASHED:
+                    found += hashes(some)
+                    some, held = [], 0
+            found += hashes(some) if some else []
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([0 if t is None else t.count(" ") + 1 for t in texts], pa.int32()), batch.column("digest"), pa.array(found, pa.list_(pa.int64()))], names=["id", "n_words", "digest", "h"])
+
+    ship_code(rows.sparkSession)
+    return rows.select("id", "key", F.md5(F.col("key").cast("binary")).alias("digest")).mapInArrow(run, out)
+
+
 def overlap(reference: DataFrame, test: DataFrame, n: int = 8) -> DataFrame:
     """Exact matches and n-gram overlap of the test rows (columns id, text) with the reference (text).
 
-    A Bloom filter of the 64-bit gram hashes of the side with less text is tested where the grams of
-    the other side are made: what passes is stored and joined by hash, and then the grams themselves are
-    compared, of the texts and hashes that met. Nothing in proportion to all grams of the larger side
-    is shuffled.
+    One pass over each side makes digests of the texts and 64-bit hashes of their grams; those of the
+    side with more text are tested by a Bloom filter of the other's. What passes is joined by hash,
+    and only texts that met are cut into grams, which are compared themselves. Nothing in proportion to
+    all grams of the larger side is shuffled.
     """
     key = T.normalise(F.col("text"))
     sides = {"ref": reference.select(F.md5(F.col("text").cast("binary")).alias("id"), "text"), "own": test.select("id", "text")}
     sizes = {k: v.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for k, v in sides.items()}
     small, large = sorted(sides, key=lambda k: (sizes[k], k == "ref"))
-    grams = lambda df: df.select("id", F.explode(T.ngrams(key, n)).alias("gram")).withColumn("h", F.xxhash64("gram"))
-    few = stored(grams(sides[small]).select("id", "h"))
-    passed = stored(bloom_passed(grams(sides[large]).select("id", "h"), bloom_filter(few, few.count())))
+    keyed = {small: stored(keyed_grams(sides[small].select("id", key.alias("key")), n))}
+    few = keyed[small].select("id", F.explode("h").alias("h"))
+    keyed[large] = stored(keyed_grams(sides[large].select("id", key.alias("key")), n, bloom_filter(few, few.count())))
+    passed = keyed[large].select("id", F.explode("h").alias("h"))
     met = stored(passed.join(few.select("h").distinct(), "h", "left_semi"))
     found = {large: met, small: few.join(met.select("h").distinct(), "h", "left_semi")}
-    of = {k: grams(sides[k].join(v.select("id").distinct(), "id", "left_semi")).join(v.select("h").distinct(), "h", "left_semi").select("id", "gram") for k, v in found.items()}
+    grams = lambda df: df.select("id", F.explode(T.ngrams(key, n)).alias("gram"))
+    of = {k: grams(sides[k].join(v.select("id").distinct(), "id", "left_semi")) for k, v in found.items()}
     hit = of["own"].join(of["ref"].select("gram").distinct(), "gram", "left_semi").select("id").distinct()
-    own, ref = test.select("id", key.alias("key")), reference.select(key.alias("key"))
-    exact = own.select("id", F.md5(F.col("key").cast("binary")).alias("key")).join(ref.select(F.md5(F.col("key").cast("binary")).alias("key")).distinct(), "key", "left_semi").select("id")
-    counts = own.agg(F.count("*").alias("n_test"), F.sum((F.size(F.split("key", " ")) >= n).cast("int")).alias("n_with_ngrams"))
+    exact = keyed["own"].join(keyed["ref"].select("digest").distinct(), "digest", "left_semi")
+    counts = keyed["own"].agg(F.count("*").alias("n_test"), F.sum((F.col("n_words") >= n).cast("int")).alias("n_with_ngrams"))
     both = counts.join(exact.agg(F.count("*").alias("n_exact"))).join(hit.agg(F.count("*").alias("n_overlap")))  # one row each
     return both.withColumn("overlap_rate", F.try_divide("n_overlap", "n_test"))
 

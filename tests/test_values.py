@@ -248,6 +248,18 @@ def test_pins_move_no_rows(spark, small):
     assert "REPARTITION" not in plan and plan.count("Exchange") > 0  # only the sums of a task travel
 
 
+def test_gram_hashes_tell_grams_apart(monkeypatch):
+    rng = random.Random(4)
+    keys = [" ".join(rng.choice(("a", "b", "ab", "ba1")) for _ in range(rng.randrange(1, 40))) for _ in range(60)] + ["", "a", "a b c"]
+    plain = [(i, " ".join(w[j : j + 3])) for i, w in enumerate(k.split(" ") for k in keys) for j in range(len(w) - 2)]
+    which, h = text.gram_hashes([k.encode() for k in keys], 3)
+    assert which.tolist() == [i for i, _ in plain]
+    assert len({*zip(h.tolist(), (g for _, g in plain), strict=True)}) == len({g for _, g in plain}) == len(set(h.tolist()))
+    again = [text.gram_hashes([k.encode()], 3)[1].tolist() for k in keys]
+    assert sum(again, []) == h.tolist()  # wherever a gram is
+    assert text.gram_hashes([b""], 3)[1].tolist() == []
+
+
 def test_the_report_reads_its_inputs_once(spark, small):
     from credence import plans
 
