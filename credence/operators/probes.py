@@ -5,10 +5,11 @@ over the share of the most common target. Two models can be asked: a logistic re
 features, and gradient-boosted trees on the most frequent ones, which see features act together.
 
 Rows of a group with the same features and fold are one cell with the number of rows of each target, a
-vector over all shuffles of the targets. All models of all groups are then fitted side by side: a step
+vector over all shuffles of the targets. Cells are stored packed, some thousands of a group in a row of
+arrays, in as many parts as their rows and shuffles are worth. All models of all groups are then fitted side by side: a step
 (a level of one tree of every model, or one gradient of every model) is one pass over the cells, whose
-partial sums are added up by group and block of shuffles. Rows never leave the executors; the driver sees
-splits and weights, whose number does not depend on the rows.
+partial sums are added up where the cells are and then by group and block of shuffles. Rows never leave
+the executors; the driver sees splits and weights, whose number does not depend on the rows.
 
 Shuffled targets keep their counts and move no row: the targets of a group, sorted, fill its places in
 turn, and a shuffle is a permutation of the places that can be computed from the place alone (the
@@ -42,10 +43,14 @@ COLUMNS = 256
 ROUNDS, DEPTH, RATE, LEAST, PENALTY = 12, 2, 0.4, 20.0, 1.0
 #: Gradients of the logistic regression, and its penalty (half the sum of squares).
 STEPS, RIDGE = 30, 1.0
-#: Shuffles of one block of sums; cells computed at a time; trees applied before margins are stored.
+#: Shuffles of one block of sums; rows computed at a time; trees applied before margins are stored.
 BLOCK, SLICE, KEEP = 25, 1024, 4
 #: Rounds of the permutation, and cells a task holds before it sends them on.
 SWAPS, HELD = 24, 20_000
+#: Cells packed in a row, from and to, and the numbers that one array of them, and the sums of a task, may have.
+FEWEST, PACKED, NUMBERS, SUMMED = 16, 4096, 1 << 20, 1 << 24
+#: Rows times shuffles that are worth a task.
+SHARE = 100_000
 
 
 # --- shuffles ------------------------------------------------------------------------------------------
@@ -118,95 +123,127 @@ def prepared(rows: DataFrame, by: list[str], target: str, seed: str = "probe") -
     return table, groups
 
 
-_CELL = pa.schema([("g", pa.string()), ("fold", pa.int32()), ("x", pa.list_(pa.int32())), ("counts", pa.binary())])
-_STATE = _CELL.append(pa.field("margins", pa.binary()))
+_CELL = pa.schema([("g", pa.string()), ("fold", pa.int32()), ("x", pa.binary()), ("counts", pa.binary())])
+_PACK = pa.schema([("g", pa.string()), ("folds", pa.binary()), ("sizes", pa.binary()), ("x", pa.binary()), ("counts", pa.binary())])
+_STATE = _PACK.append(pa.field("margins", pa.binary()))
 _SUM = pa.schema([("g", pa.string()), ("block", pa.int32()), ("sums", pa.binary())])
 _SPLIT = pa.schema([("g", pa.string()), ("block", pa.int32()), ("split", pa.binary()), ("value", pa.binary())])
 _HIT = pa.schema([("g", pa.string()), ("b", pa.int32()), ("hits", pa.int64())])
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, schema.types, strict=True)], schema=schema)
 
 
 def _mapped(df: DataFrame, run: Callable, schema: pa.Schema) -> DataFrame:
     return df.mapInArrow(run, from_arrow_schema(schema))
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists without nulls, one after the other, and where each list begins and the last ends."""
+    at = column.offsets.to_numpy()
+    return column.values.to_numpy()[at[0] : at[-1]].astype(np.int32), at - at[0]
+
+
+def _pack_size(group: Group, n_shuffles: int, columns: int | None, folds: int) -> int:
+    width = group.columns if columns is None else min(group.columns, columns)
+    return max(FEWEST, min(PACKED, NUMBERS // max(width + 1, n_shuffles * folds * len(group.targets))))
+
+
 def cells(table: DataFrame, groups: dict[str, Group], shuffles: list[int], columns: int | None, folds: int = FOLDS) -> DataFrame:
     """Rows with the same features (of the first ``columns``) and fold as one, with ``counts`` of each shuffle
-    and target. Equal cells meet by key after a partial sum where the rows are."""
+    and target. Equal cells meet by key after a partial sum where the rows are. A row of the result is
+    many cells of one group: their folds, numbers of features and features, and ``[cell, shuffle, target]``."""
     b = np.asarray(shuffles)
     known = {name: (group.n, np.cumsum(group.counts)) for name, group in groups.items()}
-
-    def summed(held: dict) -> pa.RecordBatch:
-        return _batch([(*k[:2], list(k[2]), c.tobytes()) for k, c in held.items()], _CELL)
+    packed = {name: _pack_size(group, len(shuffles), columns, folds) for name, group in groups.items()}
 
     def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, np.ndarray] = {}
+        held: dict[str, tuple[dict, list]] = {}  # of a group: the number of each cell, and arrays of counts
         slots = np.arange(len(b))
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            for g, (index, counts) in held.items():
+                fold, x = zip(*index, strict=True)
+                yield _batch([[g] * len(x), fold, x, [c.tobytes() for c in counts[0][: len(x)]]], _CELL)
+
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                gs, places, ys, xs = (c.to_pylist() for c in batch.slice(at, SLICE).columns)
-                for g in dict.fromkeys(gs):
-                    some = [i for i, other in enumerate(gs) if other == g]
+                part = batch.slice(at, SLICE)
+                names = part.column(0).dictionary_encode()
+                codes = names.indices.to_numpy()
+                places, ys = (part.column(i).to_numpy() for i in (1, 2))
+                values, begins = _lists(part.column(3))
+                if columns is not None:
+                    kept = values < columns
+                    values, begins = values[kept], np.concatenate([[0], np.cumsum(kept)])[begins]
+                raw, begins = values.tobytes(), (begins * 4).tolist()
+                for code, g in enumerate(names.dictionary.to_pylist()):
+                    some = np.flatnonzero(codes == code)
                     n, upto = known[g]
-                    place = np.array([places[i] for i in some], dtype=np.int64)
+                    place = places[some].astype(np.int64)
                     labels = np.searchsorted(upto, permuted(place, n, b), side="right")
-                    labels[b == 0] = [ys[i] for i in some]
-                    for k, i in enumerate(some):
-                        key = g, places[i] % folds, tuple(xs[i] if columns is None else [j for j in xs[i] if j < columns])
-                        if (c := held.get(key)) is None:
-                            c = held[key] = np.zeros((len(b), len(upto)), dtype=np.int64)
-                        c[slots, labels[:, k]] += 1
-                if len(held) >= HELD:
-                    yield summed(held)
-                    held = {}
-        if held:
-            yield summed(held)
+                    labels[b == 0] = ys[some]
+                    if g not in held:
+                        held[g] = {}, [np.zeros((SLICE, len(b), len(upto)), dtype=np.int64)]
+                    index, counts = held[g]
+                    mine = np.array([index.setdefault((f, raw[begins[i] : begins[i + 1]]), len(index)) for f, i in zip((place % folds).tolist(), some.tolist(), strict=True)])
+                    if len(index) > len(counts[0]):
+                        counts[0] = np.concatenate([counts[0], np.zeros_like(counts[0])])
+                    np.add.at(counts[0], (mine[None, :], slots[:, None], labels), 1)
+                if sum(len(index) for index, _ in held.values()) >= HELD:
+                    yield from summed()
+                    held.clear()
+        yield from summed()
 
     def wholly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, None
+        now, total, out = None, None, []  # out: cells of one group
+
+        def pack() -> pa.RecordBatch:
+            _, fold, x, counts = zip(*out, strict=True)
+            arrays = np.array(fold, dtype=np.int32), np.array([len(v) // 4 for v in x], dtype=np.int32)
+            row = _batch([[now[0]], *[[v.tobytes()] for v in arrays], [b"".join(x)], [b"".join(c.tobytes() for c in counts)]], _PACK)
+            out.clear()
+            return row
+
         for batch in batches:
-            out = []
-            for g, fold, x, c in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key, c = (g, fold, tuple(x)), np.frombuffer(c, dtype=np.int64)
+            for *key, c in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                c = np.frombuffer(c, dtype=np.int64)
                 if key == now:
                     total = total + c
-                else:
-                    if now:
-                        out.append((*now[:2], list(now[2]), total.tobytes()))
-                    now, total = key, c
-            if out:
-                yield _batch(out, _CELL)
+                    continue
+                if now:
+                    out.append((*now, total))
+                    if key[0] != now[0] or len(out) >= packed[now[0]]:
+                        yield pack()
+                now, total = key, c
         if now:
-            yield _batch([(*now[:2], list(now[2]), total.tobytes())], _CELL)
+            out.append((*now, total))
+            yield pack()
 
-    spark = table.sparkSession
-    ship_code(spark)
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ship_code(table.sparkSession)
     part = _mapped(table.where(F.col("g").isin(*groups)), partly, _CELL)
-    return checkpointed(_mapped(part.repartition(width, "g", "fold", "x").sortWithinPartitions("g", "fold", "x"), wholly, _CELL))
+    width = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = max(1, min(width, -(-sum(group.n for group in groups.values()) * len(b) // SHARE)))  # a pass has so many tasks
+    return checkpointed(_mapped(part.repartition(width, "g", "fold", "x").sortWithinPartitions("g", "fold", "x"), wholly, _PACK))
 
 
 # --- sums over cells ----------------------------------------------------------------------------------
 
 
 def _pieces(batch: pa.RecordBatch, groups: dict[str, Group], n_shuffles: int, columns: int | None) -> Iterator[tuple]:
-    """(group, folds, presence matrix, counts [shuffle, cell, target], margins) of some cells at a time."""
-    for at in range(0, batch.num_rows, SLICE):
-        part = batch.slice(at, SLICE)
-        cols = [c.to_pylist() for c in part.columns]
-        for g in dict.fromkeys(cols[0]):
-            some = [i for i, other in enumerate(cols[0]) if other == g]
-            group = groups[g]
-            width = group.columns if columns is None else min(group.columns, columns)
-            x = np.zeros((len(some), width + 1))
-            for k, i in enumerate(some):
-                x[k, cols[2][i]] = 1
-            counts = np.stack([np.frombuffer(cols[3][i], dtype=np.int64).reshape(n_shuffles, -1) for i in some], axis=1).astype(float)
-            margins = [np.frombuffer(cols[4][i], dtype=float) for i in some] if len(cols) > 4 and cols[4][some[0]] else None
-            yield g, np.array([cols[1][i] for i in some]), x, counts, margins, [cols[2][i] for i in some]
+    """(group, folds, presence matrix, counts [shuffle, cell, target], margins [model, cell, target], row) of
+    the cells of one row at a time."""
+    for at in range(batch.num_rows):
+        row = [c[at] for c in batch.columns]
+        g, arrays = row[0].as_py(), [np.frombuffer(v.as_buffer(), dtype=t) if v.is_valid and len(v.as_buffer()) else np.zeros(0, dtype=t) for v, t in zip(row[1:], ("i4", "i4", "i4", "i8", "f8"), strict=False)]
+        group, (fold, sizes, values, counts) = groups[g], arrays[:4]
+        width = group.columns if columns is None else min(group.columns, columns)
+        x = np.zeros((len(fold), width + 1))
+        x[np.repeat(np.arange(len(fold)), sizes), values] = 1
+        counts = counts.reshape(len(fold), n_shuffles, -1).transpose(1, 0, 2).astype(float)
+        margins = arrays[4].reshape(len(fold), -1, counts.shape[2]).transpose(1, 0, 2) if len(arrays) > 4 and len(arrays[4]) else None
+        yield g, fold, x, counts, margins, row
 
 
 def _blocks(n: int) -> list[slice]:
@@ -224,9 +261,29 @@ def _softmax(margins: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _summed(terms: Iterator[tuple[str, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The sum of each group and block where the cells are. They lie by group there, so one group is held at
+    a time, and no more than ``SUMMED`` numbers of it."""
+    held: dict[tuple, np.ndarray] = {}
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for (g, block), sums in held.items():
+            yield _batch([[g], [block], [sums.tobytes()]], _SUM)
+        held.clear()
+
+    for g, block, sums in terms:
+        if (g, block) in held:
+            held[g, block] += sums
+            continue
+        if held and (next(iter(held))[0] != g or sums.size * (len(held) + 1) > SUMMED):
+            yield from sent()
+        held[g, block] = sums
+    yield from sent()
+
+
 def _added_up(parts: DataFrame, then: Callable[[str, int, np.ndarray], list[bytes]], out: pa.Schema) -> list:
     """The sums of each group and block in one task each, and what ``then`` makes of them."""
-    spark = parts.sparkSession
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
         for batch in batches:
@@ -236,13 +293,12 @@ def _added_up(parts: DataFrame, then: Callable[[str, int, np.ndarray], list[byte
                     total = total + sums
                 else:
                     if now:
-                        yield _batch([(*now, *then(*now, total))], out)
+                        yield _batch([[v] for v in (*now, *then(*now, total))], out)
                     now, total = key, sums.copy()
         if now:
-            yield _batch([(*now, *then(*now, total))], out)
+            yield _batch([[v] for v in (*now, *then(*now, total))], out)
 
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return _mapped(parts.repartition(width, "g", "block").sortWithinPartitions("g", "block"), run, out).collect()
+    return _mapped(parts.repartition("g", "block").sortWithinPartitions("g", "block"), run, out).collect()
 
 
 def _hits(table: DataFrame, groups: dict[str, Group], shuffles: list[int], margins: Callable, columns: int | None, folds: int) -> DataFrame:
@@ -251,15 +307,15 @@ def _hits(table: DataFrame, groups: dict[str, Group], shuffles: list[int], margi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for g, fold, x, counts, held, lists in _pieces(batch, groups, len(shuffles), columns):
+            for g, fold, x, counts, held, _ in _pieces(batch, groups, len(shuffles), columns):
                 out = []
                 for block, part in enumerate(blocks):
-                    m = margins(g, block, x, held, part, lists)  # [model, cell, target]
+                    m = margins(g, block, x, held, part)  # [model, cell, target]
                     m = m.reshape(-1, folds, *m.shape[1:])[:, fold, np.arange(len(fold))]
                     best = np.argmax(np.round(m, 9), axis=-1)
                     hits = np.take_along_axis(counts[part], best[..., None], axis=-1).sum(axis=(1, 2))
                     out += [(g, shuffles[part.start + i], int(h)) for i, h in enumerate(hits)]
-                yield _batch(out, _HIT)
+                yield _batch(list(zip(*out, strict=True)), _HIT)
 
     return _mapped(table, run, _HIT).groupBy("g", "b").agg(F.sum("hits").alias("hits"))
 
@@ -309,11 +365,11 @@ def boosted(table: DataFrame, groups: dict[str, Group], shuffles: list[int], fol
     trees: dict[tuple, list] = {(g, k): [] for g in groups for k in range(len(blocks))}  # not yet in the margins
 
     def margins_of(known):
-        def margins(g, block, x, held, part, _):
+        def margins(g, block, x, held, part):
             shape = (part.stop - part.start) * folds, len(x), len(groups[g].targets)
             out = _grown(known[g, block], x, shape)
             if held is not None:
-                out += np.stack([h.reshape(-1, shape[2])[part.start * folds : part.stop * folds] for h in held], axis=1)
+                out += held[part.start * folds : part.stop * folds]
             return out
 
         return margins
@@ -324,24 +380,27 @@ def boosted(table: DataFrame, groups: dict[str, Group], shuffles: list[int], fol
         for level in range(depth):
             shared = spark.sparkContext.broadcast((trees, now))
 
-            def partly(batches: Iterator[pa.RecordBatch], shared=shared, level=level) -> Iterator[pa.RecordBatch]:
+            def terms(batches: Iterator[pa.RecordBatch], shared=shared, level=level) -> Iterator[tuple]:
                 margins = margins_of(shared.value[0])
                 for batch in batches:
-                    for g, fold, x, counts, held, lists in _pieces(batch, groups, n_shuffles, COLUMNS):
+                    for g, fold, x, counts, held, _ in _pieces(batch, groups, n_shuffles, COLUMNS):
                         for block, part in enumerate(blocks):
                             rows = _trained(counts[part], fold, folds)
-                            p, many = _softmax(margins(g, block, x, held, part, lists)), rows.sum(axis=-1, keepdims=True)
-                            terms = many * p - rows, many * p * (1 - p), np.broadcast_to(many, p.shape)
+                            p, many = _softmax(margins(g, block, x, held, part)), rows.sum(axis=-1, keepdims=True)
+                            slopes = many * p - rows, many * p * (1 - p), np.broadcast_to(many, p.shape)
                             node = _walked(shared.value[1][g, block], x, p.shape)
                             sums = np.zeros((len(p), 2**level, p.shape[2], 3, x.shape[1]))
                             for j in range(2**level):
                                 for k in range(p.shape[2]):
                                     here = node[:, :, k] == j
-                                    for i, term in enumerate(terms):
+                                    for i, term in enumerate(slopes):
                                         own = term[:, :, k] * here
                                         sums[:, j, k, i, :-1] = own @ x[:, :-1]
                                         sums[:, j, k, i, -1] = own.sum(axis=1)
-                            yield _batch([(g, block, sums.tobytes())], _SUM)
+                            yield g, block, sums
+
+            def partly(batches: Iterator[pa.RecordBatch], terms=terms) -> Iterator[pa.RecordBatch]:
+                return _summed(terms(batches))
 
             def then(g: str, block: int, sums: np.ndarray, level=level) -> list[bytes]:
                 width = min(groups[g].columns, COLUMNS) + 1
@@ -361,10 +420,9 @@ def boosted(table: DataFrame, groups: dict[str, Group], shuffles: list[int], fol
             def updated(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 margins = margins_of(shared.value)
                 for batch in batches:
-                    for g, fold, x, counts, held, lists in _pieces(batch, groups, n_shuffles, COLUMNS):
-                        each = np.concatenate([margins(g, k, x, held, part, lists) for k, part in enumerate(blocks)])
-                        rows = [(g, int(f), lists[i], counts[:, i].astype(np.int64).tobytes(), np.ascontiguousarray(each[:, i]).tobytes()) for i, f in enumerate(fold)]
-                        yield _batch(rows, _STATE)
+                    for g, _, x, _, held, row in _pieces(batch, groups, n_shuffles, COLUMNS):
+                        each = np.concatenate([margins(g, k, x, held, part) for k, part in enumerate(blocks)])
+                        yield _batch([[v] for v in (*row[:5], each.transpose(1, 0, 2).tobytes())], _STATE)
 
             state = checkpointed(_mapped(state, updated, _STATE))
             trees = {key: [] for key in trees}
@@ -385,7 +443,7 @@ def logistic(table: DataFrame, groups: dict[str, Group], shuffles: list[int], fo
     pace = {g: 1 / (0.5 * (group.widest + 1) * np.array([*group.frequency, group.n]) + RIDGE) for g, group in groups.items()}
 
     def margins_of(known):
-        def margins(g, block, x, held, part, lists):
+        def margins(g, block, x, held, part):
             w = known[g, block]
             out = np.einsum("cf,fmk->mck", x[:, :-1], w[:-1], optimize=True) if len(w) > 1 else np.zeros((w.shape[1], len(x), w.shape[2]))
             return out + w[-1][:, None, :]
@@ -396,15 +454,17 @@ def logistic(table: DataFrame, groups: dict[str, Group], shuffles: list[int], fo
         ahead = {key: w + t / (t + 3) * (w - before[key]) for key, w in weights.items()}
         shared = spark.sparkContext.broadcast(ahead)
 
-        def partly(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def terms(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[tuple]:
             margins = margins_of(shared.value)
             for batch in batches:
-                for g, fold, x, counts, held, lists in _pieces(batch, groups, len(shuffles), None):
+                for g, fold, x, counts, held, _ in _pieces(batch, groups, len(shuffles), None):
                     for block, part in enumerate(blocks):
                         rows = _trained(counts[part], fold, folds)
-                        off = rows.sum(axis=-1, keepdims=True) * _softmax(margins(g, block, x, held, part, lists)) - rows
-                        sums = np.concatenate([np.einsum("cf,mck->fmk", x[:, :-1], off, optimize=True), off.sum(axis=1)[None]])
-                        yield _batch([(g, block, sums.tobytes())], _SUM)
+                        off = rows.sum(axis=-1, keepdims=True) * _softmax(margins(g, block, x, held, part)) - rows
+                        yield g, block, np.concatenate([np.einsum("cf,mck->fmk", x[:, :-1], off, optimize=True), off.sum(axis=1)[None]])
+
+        def partly(batches: Iterator[pa.RecordBatch], terms=terms) -> Iterator[pa.RecordBatch]:
+            return _summed(terms(batches))
 
         got = _added_up(_mapped(table, partly, _SUM), lambda g, block, sums: [sums.tobytes()], _SUM)
         slopes = {(r["g"], r["block"]): np.frombuffer(r["sums"], dtype=float).reshape(ahead[r["g"], r["block"]].shape) for r in got}
@@ -417,10 +477,14 @@ def logistic(table: DataFrame, groups: dict[str, Group], shuffles: list[int], fo
 
 
 def _lifts(spark: SparkSession, table: DataFrame, groups: dict[str, Group], models: tuple[str, ...], shuffles: list[int], folds: int) -> DataFrame:
-    out = None
+    out, made = None, {}
     for model in models:
         fit, columns = (boosted, COLUMNS) if model == "boosting" else (logistic, None)
-        got = fit(cells(table, groups, shuffles, columns, folds), groups, shuffles, folds).withColumn("model", F.lit(model))
+        if all(x.columns <= COLUMNS for x in groups.values()):
+            columns = None  # the same cells for both models
+        if columns not in made:
+            made[columns] = cells(table, groups, shuffles, columns, folds)
+        got = fit(made[columns], groups, shuffles, folds).withColumn("model", F.lit(model))
         out = got if out is None else out.unionByName(got)
     known = F.broadcast(spark.createDataFrame([(g, x.n, x.majority) for g, x in groups.items()], "g string, n long, majority double"))
     lifts = out.join(known, "g").withColumn("accuracy", F.col("hits") / F.col("n"))

@@ -128,6 +128,55 @@ def test_blocks_of_shuffles_do_not_matter(spark, rows, monkeypatch):
     assert one == probed and len(one) == 2 * 7
 
 
+def test_cells_are_packed_in_as_few_parts_as_they_need(spark, rows):
+    table, groups = probes.prepared(rows, ["part"], "t")
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        got = probes.cells(table, groups, [0, 5], None)
+        assert got.rdd.getNumPartitions() <= 8  # a pass has so many tasks; 64 before
+        packed, each = got.collect(), table.collect()
+        assert probes.cells(table, groups, list(range(2000)), None).rdd.getNumPartitions() == 6  # 520,000 rows shuffled
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    expected = {(r["g"], r["place"] % probes.FOLDS, tuple(r["x"])) for r in each}
+    found = []
+    for r in packed:
+        fold, sizes, x = (np.frombuffer(r[c], dtype=np.int32) for c in ("folds", "sizes", "x"))
+        lists = np.split(x, np.cumsum(sizes)[:-1])
+        found += [(r["g"], int(f), tuple(v.tolist())) for f, v in zip(fold, lists, strict=True)]
+        counts = np.frombuffer(r["counts"], dtype=np.int64).reshape(len(fold), 2, -1)
+        assert (counts.sum(axis=2)[:, 0] == counts.sum(axis=2)[:, 1]).all()  # a shuffle moves no row
+    assert len(found) == len(set(found)) and set(found) == expected
+    assert len(packed) < len(found) / 4  # rows of many cells, not a row a cell
+    for g, group in groups.items():
+        counts = sum(np.frombuffer(r["counts"], dtype=np.int64).reshape(-1, 2, len(group.targets)).sum(axis=0) for r in packed if r["g"] == g)
+        assert counts.tolist() == [list(group.counts)] * 2
+
+
+@pytest.mark.parametrize("model", probes.MODELS)
+def test_small_packs_do_not_matter(spark, rows, monkeypatch, model):
+    def probed():
+        return sorted(map(tuple, probes.probe_lifts(rows, ["part"], "t", (model,), shuffles=list(range(4))).collect()))
+
+    one = probed()
+    for name, least in (("PACKED", 3), ("FEWEST", 3), ("HELD", 40), ("SLICE", 16), ("BLOCK", 3)):
+        monkeypatch.setattr(probes, name, least)
+    assert probed() == one and len(one) == 2 * 4
+
+
+def test_partial_sums_are_added_up_where_the_cells_are(monkeypatch):
+    terms = [("a", 0), ("a", 1), ("a", 0), ("a", 1), ("b", 0), ("b", 0), ("a", 0)]
+
+    def summed():
+        got = [b.to_pylist()[0] for b in probes._summed((g, k, np.full(3, 2.0**i)) for i, (g, k) in enumerate(terms))]
+        return [(r["g"], r["block"], np.frombuffer(r["sums"])[0]) for r in got]
+
+    assert summed() == [("a", 0, 5), ("a", 1, 10), ("b", 0, 48), ("a", 0, 64)]
+    monkeypatch.setattr(probes, "SUMMED", 5)  # one block at a time
+    assert summed() == [("a", 0, 1), ("a", 1, 2), ("a", 0, 4), ("a", 1, 8), ("b", 0, 48), ("a", 0, 64)]
+
+
 def test_permutations():
     for n in (1, 2, 3, 10, 97):
         got = probes.permuted(np.arange(n), n, np.arange(12))
